@@ -1,14 +1,14 @@
-"""What the training-data operators share: inputs, the shared folder, written tables, file access."""
+"""What the training-data operators share: inputs, folds, batch sizes, file access."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sievelake.plans.shared import ROOT, forget, fresh_dir, written
+
+__all__ = ["batches", "crc_mod", "filesystem", "forget", "fresh_dir", "held_out", "table", "written"]
+
 #: Rows of an Arrow batch handed to Python; with a byte bound beside it a batch of very long texts stays small.
 BATCH_ROWS = "1000"
 BATCH_BYTES = str(8 << 20)
@@ -24,52 +24,7 @@ def batches(spark: SparkSession) -> None:
     """Bound the Arrow batches of this session by rows and bytes, as texts differ by a factor of 10,000."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; one's own only in a local session that sets none."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    own = f"file://{tempfile.mkdtemp(prefix='sievelake-')}"
-    spark.sparkContext.setCheckpointDir(own)
-    return spark.sparkContext.getCheckpointDir()
-
-
-def _forget(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # the session may have ended before the interpreter does
-        pass
-
-
-def fresh_dir(spark: SparkSession, kind: str) -> str:
-    """A new folder in the shared one, removed when the driver's interpreter ends."""
-    path = f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
-    atexit.register(_forget, spark, path)
-    return path
-
-
-def forget(spark: SparkSession, *frames: DataFrame) -> None:
-    """Delete written tables that no later plan reads."""
-    for df in frames:
-        if path := getattr(df, "_written", None):
-            _forget(spark, path)
-
-
-def written(df: DataFrame, kind: str = "stage") -> DataFrame:
-    """Cut the lineage with a table in the shared folder: an executor's loss then costs no recomputation."""
-    spark = df.sparkSession
-    path = fresh_dir(spark, kind)
-    schema = df.schema
-    df.write.parquet(path)
-    out = spark.read.schema(schema).parquet(path)
-    out._written = path
-    return out
+    spark.sparkContext.environment.setdefault("PYTHONPATH", ROOT)
 
 
 def crc_mod(id_column: str, n: int) -> Column:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sievelake.llm.common import batches, forget, written
+from sievelake.llm.common import batches, written
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long"
 #: Entries of a worker's tables from strings to token ids; a full table is emptied.
