@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievelake.llm import language_id, packing, topk, warc
+from sievelake.llm import ctw, decontaminate, language_id, near_dedup, packing, substring_dedup, topk, warc
 from sievelake.llm.common import crc_mod, held_out, table
 
 
@@ -28,6 +28,18 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark, pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.passages(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeats(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.classes(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
     model = language_id.fit(docs.where(crc_mod("doc_id", 5) != 0))
@@ -38,8 +50,14 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents", "doc_id", "text"), lambda: packing.word_encoder(tokenizer_path()))
 
 
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    found = ctw.score(docs, crc_mod("doc_id", 10) != 0)
+    return found.select("doc_id", held_out("doc_id", 10), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_exact_topk_search, op3_warc, op8_language_id, op9_best_fit_packing)}
+    return {f.__name__: f for f in (op2_exact_topk_search, op3_warc, op4_decontamination, op6_substring_dedup, op7_minhash_near_dedup, op8_language_id, op9_best_fit_packing, op10_lm_scoring)}
 
 
 #: DuckDB SQL by query name; the others are tested against brute force, a round trip or held-out accuracy.
@@ -52,6 +70,13 @@ ORACLE_SQL: dict[str, str] = {
               FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id),
         r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""",
+    "op6_substring_dedup": """
+        WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
+        p AS (SELECT doc_id, line, CAST(coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INTEGER) AS start,
+                     lower(trim(regexp_replace(line, '\\s+', ' ', 'g'))) AS norm FROM l),
+        u AS (SELECT doc_id, start, CAST(start + length(line) AS INTEGER) AS "end", CAST(len(string_split(norm, ' ')) AS INTEGER) AS words, norm FROM p WHERE norm <> '' AND len(string_split(norm, ' ')) >= 10),
+        r AS (SELECT *, first_value(doc_id) OVER w AS kept_doc_id, first_value(start) OVER w AS kept_start, row_number() OVER w AS n FROM u WINDOW w AS (PARTITION BY norm ORDER BY doc_id, start))
+        SELECT doc_id, start, "end", words, kept_doc_id, kept_start FROM r WHERE n > 1""",
     "op3_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
         d AS (SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, sha256(h) AS payload_digest FROM p),
