@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievelake.llm import ctw, decontaminate, language_id, near_dedup, packing, substring_dedup, topk, warc
+from sievelake.llm import ctw, decontaminate, language_id, near_dedup, packing, quality, substring_dedup, topk, toxicity, warc
 from sievelake.llm.common import crc_mod, held_out, table
 
 
@@ -17,6 +17,12 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels", "doc_id", "toxic"))
+    return toxicity.score(docs, model, "doc_id", held_out()).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
 def op2_exact_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings", "vec_id", "embedding").where(topk.usable("embedding"))
     whole = rows.select("vec_id", F.transform("embedding", lambda x: F.floor(F.lit(1024.0) * x.cast("double")).cast("long")).alias("vector"))
@@ -32,6 +38,12 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.passages(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    model = quality.fit(docs, table(spark, sf_dir, "labels", "doc_id", "quality"))
+    return quality.score(docs, model, "doc_id", held_out()).withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeats(table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -57,7 +69,7 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_exact_topk_search, op3_warc, op4_decontamination, op6_substring_dedup, op7_minhash_near_dedup, op8_language_id, op9_best_fit_packing, op10_lm_scoring)}
+    return {f.__name__: f for f in (op1_toxicity, op2_exact_topk_search, op3_warc, op4_decontamination, op5_quality_classifier, op6_substring_dedup, op7_minhash_near_dedup, op8_language_id, op9_best_fit_packing, op10_lm_scoring)}
 
 
 #: DuckDB SQL by query name; the others are tested against brute force, a round trip or held-out accuracy.
