@@ -218,6 +218,10 @@ def classes(docs: DataFrame, similarity: float = 0.8, sketcher: Sketcher | None
             break
         tested = tested.unionByName(fresh)
         turn += 1
+    return _classes(made, firsts, labels)
+
+
+def _classes(made: DataFrame, firsts: DataFrame, labels: DataFrame) -> DataFrame:
     of_digest = firsts.join(labels, firsts["doc_id"] == labels["node"], "left").select("digest", F.coalesce("component", "doc_id").alias("class_id"))
     return made.join(of_digest, "digest", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
 
@@ -251,7 +255,12 @@ def _untested(members: DataFrame, labels: DataFrame, tested: DataFrame, fits, tu
 
 
 def keep_first(docs: DataFrame, similarity: float = 0.8, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """docs without all but the smallest id of each class; rows without an id stay."""
+    """docs with one row of each class, that of its smallest id; rows without an id stay."""
     found = classes(docs, similarity, None, id_column, text_column)
     gone = found.where("doc_id <> class_id").select("doc_id").distinct()
-    return docs.join(gone, docs[id_column].cast("long") == gone["doc_id"], "left_anti")
+    kept = docs.join(gone, docs[id_column].cast("long") == gone["doc_id"], "left_anti")
+    again = found.where("doc_id = class_id").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_again"))
+    if again.limit(1).count() == 0:  # no id is repeated, so no text need move
+        return kept
+    match = docs[id_column].cast("long") == again["_again"]
+    return kept.join(again, match, "left_anti").unionByName(kept.join(again, match, "left_semi").dropDuplicates([id_column]))
