@@ -7,8 +7,8 @@ plain MinHash follows sets. Bands of `rows` entries are bucket keys. Candidates
 distance at most (1 - similarity) of the longer text.
 
 Equal word sequences are one representative from the start. A bucket links its members to its first one; the members
-that this leaves in other classes are compared with the rest of their bucket until none is left untested: small rests
-at once, large ones pivot by pivot. No bucket and no class is capped, and no group of copies is expanded into pairs.
+that this leaves in other classes are compared with the rest of their bucket until none is left untested, a bounded number
+of them a turn. No bucket and no class is capped, and no group of copies is expanded into pairs.
 
 Defined results: a text without a word (null and empty ones too) is a class of its own; a text of fewer than k words has
 one k-mer, all its words; repeated rows get the same class; empty tables give no rows; extra columns are ignored.
@@ -21,15 +21,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievelake.llm.common import batches, written
 from sievelake.plans.components import connected_components
 
 WORD = re.compile(r"[^\W_]+")
-#: Members of a bucket, in classes not yet joined, up to which all that is untested is compared in one round.
-AT_ONCE = 24
+#: Members outside a bucket's first class that are compared with the rest of the bucket in one turn.
+PIVOTS = 256
 WORDS_KEPT = 500_000
 
 
@@ -141,11 +141,12 @@ def edits_within(a: list, b: list, most: int) -> int | None:
     return distance if distance <= most else None
 
 
-def similar(a: list[str], b: list[str], similarity: float) -> bool:
+def compared(a: list[str], b: list[str], similarity: float) -> tuple[bool, int, int | None]:
+    """(linked, a lower bound of the edit distance, the distance if linked)."""
     longer = max(len(a), len(b))
     most = int((1 - similarity) * longer + 1e-9)
-    if abs(len(a) - len(b)) > most:
-        return False
+    if (apart := abs(len(a) - len(b))) > most:
+        return False, apart, None
     # no alignment keeps more words than the two have in common
     counts: dict[str, int] = {}
     for w in a:
@@ -155,7 +156,14 @@ def similar(a: list[str], b: list[str], similarity: float) -> bool:
         if c := counts.get(w, 0):
             counts[w] = c - 1
             common += 1
-    return longer - common <= most and edits_within(a, b, most) is not None
+    if longer - common > most:
+        return False, longer - common, None
+    distance = edits_within(a, b, most)
+    return (False, most + 1, None) if distance is None else (True, distance, distance)
+
+
+def similar(a: list[str], b: list[str], similarity: float) -> bool:
+    return compared(a, b, similarity)[0]
 
 
 def sketches(docs: DataFrame, sketcher: Sketcher, id_column: str, text_column: str) -> DataFrame:
@@ -177,20 +185,21 @@ def sketches(docs: DataFrame, sketcher: Sketcher, id_column: str, text_column: s
 
 
 def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """a, b, linked of candidate pairs; texts by doc_id, once each."""
+    """a, b, linked, low, high of candidate pairs: bounds of their distance, high only if linked; texts by doc_id, once each."""
     both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple[str, list[str]] = ("", [])
         for frame in frames:
-            linked = []
+            found = []
             for ta, tb in zip(frame.column(2).to_pylist(), frame.column(3).to_pylist(), strict=True):
                 if ta != last[0]:
                     last = (ta, ta.split(" "))
-                linked.append(similar(last[1], tb.split(" "), similarity))
-            yield pa.RecordBatch.from_arrays([frame.column(0), frame.column(1), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
+                found.append(compared(last[1], tb.split(" "), similarity))
+            columns = [pa.array([x[k] for x in found], t) for k, t in enumerate((pa.bool_(), pa.int32(), pa.int32()))]
+            yield pa.RecordBatch.from_arrays([frame.column(0), frame.column(1), *columns], names=["a", "b", "linked", "low", "high"])
 
-    return both.mapInArrow(run, "a long, b long, linked boolean")
+    return both.mapInArrow(run, "a long, b long, linked boolean, low int, high int")
 
 
 def classes(docs: DataFrame, similarity: float = 0.8, sketcher: Sketcher | None = None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -209,16 +218,17 @@ def classes(docs: DataFrame, similarity: float = 0.8, sketcher: Sketcher | None
     pairs = members.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b"), "words").distinct()
     pairs = pairs.join(sizes, "a").where(fits(F.col("words"), F.col("wa"))).select("a", "b")
     tested = written(verified(pairs, texts, similarity), "links")
-    turn = 0
+    labels, turn = connected_components(tested.where("linked")), 0
     while True:
-        labels = connected_components(tested.where("linked"))
-        more = _untested(members, labels, tested, fits, turn)
-        fresh = written(verified(more, texts, similarity), "links")
-        if fresh.limit(1).count() == 0:
-            break
+        rest = written(_rest(members, labels, tested, turn), "rest")
+        fresh = written(verified(_untested(rest, tested, fits, similarity), texts, similarity), "links")
+        state = fresh.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("linked"), 1)).alias("linked")).first()
         tested = tested.unionByName(fresh)
+        if state.linked:
+            labels = connected_components(tested.where("linked"))
+        if not state.n or rest.where(F.col("nth") > PIVOTS).limit(1).count() == 0:  # nothing is left, or all of it was in this turn
+            return _classes(made, firsts, labels)
         turn += 1
-    return _classes(made, firsts, labels)
 
 
 def _classes(made: DataFrame, firsts: DataFrame, labels: DataFrame) -> DataFrame:
@@ -237,19 +247,33 @@ def _texts(docs: DataFrame, needed: DataFrame, id_column: str, text_column: str)
     return own.mapInArrow(run, "doc_id long, text string").groupBy("doc_id").agg(F.min("text").alias("text"))
 
 
-def _untested(members: DataFrame, labels: DataFrame, tested: DataFrame, fits, turn: int) -> DataFrame:
-    """Pairs (a, b) that share a bucket, lie in different classes and were not compared yet.
+def _rest(members: DataFrame, labels: DataFrame, tested: DataFrame, turn: int) -> DataFrame:
+    """Members of buckets that hold more than one class, with the bounds of their distance to the bucket's pivot.
 
-    Of a bucket with few classes left, all of them; of others, those of one pivot a turn: the member outside the
-    bucket's first class that the turn's hash picks.
+    nth numbers, by the turn's hash, those outside the bucket's first class; of the first class it is null.
+    """
+    named = members.join(labels, members["id"] == labels["node"], "left").select("bucket", "pivot", "id", "words", F.coalesce("component", "id").alias("class"))
+    open_ = named.groupBy("bucket").agg(F.min("class").alias("first"), F.max("class").alias("last")).where("first <> last").select("bucket", "first")
+    own = named.join(open_, "bucket").withColumn("outside", F.col("class") != F.col("first"))
+    order = Window.partitionBy("bucket", "outside").orderBy(F.xxhash64("id", F.lit(turn)), "id")
+    numbered = own.where("outside").withColumn("nth", F.row_number().over(order)).unionByName(own.where("not outside").withColumn("nth", F.lit(None).cast("int")))
+    known = tested.select(F.col("a").alias("pivot"), F.col("b").alias("id"), "low", "high")
+    bounded = numbered.join(known, ["pivot", "id"], "left")
+    zero = F.when(F.col("id") == F.col("pivot"), 0)
+    return bounded.withColumn("low", F.coalesce("low", zero)).withColumn("high", F.coalesce("high", zero)).drop("outside", "first")
+
+
+def _untested(rest: DataFrame, tested: DataFrame, fits, similarity: float) -> DataFrame:
+    """Pairs (a, b) of a bucket that lie in different classes, were not compared yet and may be close: one of them is among
+    the turn's PIVOTS members outside the bucket's first class.
+
+    The edit distance is a metric, so two bounds of distances to the bucket's pivot rule out a pair without its texts:
+    members of a large class are as far from a stranger as their pivot is, less their own distance to it.
     """
-    named = members.join(labels, members["id"] == labels["node"], "left").select("bucket", "id", "words", F.coalesce("component", "id").alias("class"))
-    open_ = named.groupBy("bucket").agg(F.min("class").alias("first"), F.max("class").alias("last"), F.count(F.lit(1)).alias("n")).where("first <> last")
-    own = named.join(open_, "bucket")
-    rest = own.where(F.col("class") != F.col("first"))
-    pick = rest.groupBy("bucket").agg(F.count(F.lit(1)).alias("left"), F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), "id")).alias("p")).select("bucket", "left", F.col("p.id").alias("p"))
-    pivots = rest.join(pick, "bucket").where((F.col("left") <= AT_ONCE) | (F.col("id") == F.col("p"))).select("bucket", F.col("id").alias("x"), F.col("class").alias("cx"), F.col("words").alias("wx"))
-    met = own.join(pivots, "bucket").where((F.col("class") != F.col("cx")) & fits(F.col("words"), F.col("wx")))
+    pivots = rest.where(F.col("nth") <= PIVOTS).select("bucket", F.col("id").alias("x"), F.col("class").alias("cx"), F.col("words").alias("wx"), F.col("low").alias("lx"), F.col("high").alias("hx"))
+    most = F.floor(F.greatest("words", "wx") * F.lit(1 - similarity) + 1e-9)
+    far = F.coalesce(F.col("lx") - F.col("high") > most, F.lit(False)) | F.coalesce(F.col("low") - F.col("hx") > most, F.lit(False))
+    met = rest.join(pivots, "bucket").where((F.col("class") != F.col("cx")) & fits(F.col("words"), F.col("wx")) & ~far)
     pairs = met.select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b")).distinct()
     return pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
 
