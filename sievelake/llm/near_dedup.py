@@ -30,6 +30,8 @@ from sievelake.plans.components import connected_components
 WORD = re.compile(r"[^\W_]+")
 #: Members outside a bucket's first class that are compared with the rest of the bucket in one turn.
 PIVOTS = 256
+#: Bands whose buckets are compared before the others, so that a class is joined by few links for each member.
+FIRST_BANDS = 4
 WORDS_KEPT = 500_000
 
 
@@ -209,16 +211,22 @@ def classes(docs: DataFrame, similarity: float = 0.8, sketcher: Sketcher | None
     made = written(sketches(docs, sketcher or Sketcher(), id_column, text_column).where("doc_id is not null"), "sketches")
     # one representative per word sequence; only the smallest (id, keys) of a group travels
     firsts = written(made.where("digest is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "words", "bands")).alias("f")).select("digest", "f.*"), "representatives")
-    rows = firsts.select(F.col("doc_id").alias("id"), "words", F.explode("bands").alias("bucket"))
-    shared = rows.groupBy("bucket").agg(F.min("id").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = written(rows.join(shared.select("bucket", "pivot"), "bucket"), "members")
+    rows = firsts.select(F.col("doc_id").alias("id"), "words", F.posexplode("bands").alias("band", "bucket"))
+    shared = rows.groupBy("bucket").agg(F.min(F.struct("id", "words")).alias("p"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    members = written(rows.join(shared.select("bucket", F.col("p.id").alias("pivot"), F.col("p.words").alias("wp")), "bucket"), "members")
     texts = written(_texts(docs, members.select("id").distinct(), id_column, text_column), "candidate-texts")
     fits = lambda x, y: F.least(x, y) >= F.greatest(x, y) * F.lit(similarity - 1e-9)
-    sizes = firsts.select(F.col("doc_id").alias("a"), F.col("words").alias("wa"))
-    pairs = members.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b"), "words").distinct()
-    pairs = pairs.join(sizes, "a").where(fits(F.col("words"), F.col("wa"))).select("a", "b")
-    tested = written(verified(pairs, texts, similarity), "links")
-    labels, turn = connected_components(tested.where("linked")), 0
+    # each member against its bucket's pivot; later bands skip what the first ones have joined already
+    labels, tested = None, None
+    for bands in (F.col("band") < FIRST_BANDS, F.col("band") >= FIRST_BANDS):
+        pairs = members.where(bands & (F.col("id") != F.col("pivot")) & fits(F.col("words"), F.col("wp"))).select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
+        if labels is not None:
+            of = lambda x: labels.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))  # noqa: B023, E731
+            pairs = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b").join(tested.select("a", "b"), ["a", "b"], "left_anti")
+        fresh = written(verified(pairs, texts, similarity), "links")
+        tested = fresh if tested is None else tested.unionByName(fresh)
+        labels = connected_components(tested.where("linked"))
+    turn = 0
     while True:
         rest = written(_rest(members, labels, tested, turn), "rest")
         fresh = written(verified(_untested(rest, tested, fits, similarity), texts, similarity), "links")
