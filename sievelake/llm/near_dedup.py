@@ -29,7 +29,9 @@ from sievelake.plans.components import connected_components
 
 WORD = re.compile(r"[^\W_]+")
 #: Members outside a bucket's first class that are compared with the rest of the bucket in one turn.
-PIVOTS = 256
+PIVOTS = 2048
+#: Cells of the word counts from which a distance is bounded without the texts.
+CELLS = 128
 #: Bands whose buckets are compared before the others, so that a class is joined by few links for each member.
 FIRST_BANDS = 4
 WORDS_KEPT = 500_000
@@ -169,21 +171,22 @@ def similar(a: list[str], b: list[str], similarity: float) -> bool:
 
 
 def sketches(docs: DataFrame, sketcher: Sketcher, id_column: str, text_column: str) -> DataFrame:
-    """doc_id, digest of the words (null if there is none), number of words, bucket keys."""
+    """doc_id, digest of the words (null if there is none), number of words, bucket keys, counts of the words by hashed cell."""
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_digest
 
         for frame in frames:
-            digests, sizes, keys = [], [], []
+            digests, sizes, keys, bags = [], [], [], []
             for text in frame.column(1).to_pylist():
                 words = normalise(text)
                 sizes.append(len(words))
                 digests.append(xxh3_128_digest(" ".join(words).encode("utf-8", "replace")) if words else None)
                 keys.append(sketcher.bands(words) if words else None)
-            yield pa.RecordBatch.from_arrays([frame.column(0), pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "digest", "words", "bands"])
+                bags.append(np.bincount((sketcher.numbers(words) >> np.uint64(40)).astype(np.int64) % CELLS, minlength=CELLS).astype(np.int32) if words else None)
+            yield pa.RecordBatch.from_arrays([frame.column(0), pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64())), pa.array(bags, pa.list_(pa.int32()))], names=["doc_id", "digest", "words", "bands", "bag"])
 
-    return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")).mapInArrow(run, "doc_id long, digest binary, words int, bands array<long>")
+    return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")).mapInArrow(run, "doc_id long, digest binary, words int, bands array<long>, bag array<int>")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
@@ -210,7 +213,7 @@ def classes(docs: DataFrame, similarity: float = 0.8, sketcher: Sketcher | None
     batches(spark)
     made = written(sketches(docs, sketcher or Sketcher(), id_column, text_column).where("doc_id is not null"), "sketches")
     # one representative per word sequence; only the smallest (id, keys) of a group travels
-    firsts = written(made.where("digest is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "words", "bands")).alias("f")).select("digest", "f.*"), "representatives")
+    firsts = written(made.where("digest is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "words", "bands", "bag")).alias("f")).select("digest", "f.*"), "representatives")
     rows = firsts.select(F.col("doc_id").alias("id"), "words", F.posexplode("bands").alias("band", "bucket"))
     shared = rows.groupBy("bucket").agg(F.min(F.struct("id", "words")).alias("p"), F.count(F.lit(1)).alias("n")).where("n > 1")
     members = written(rows.join(shared.select("bucket", F.col("p.id").alias("pivot"), F.col("p.words").alias("wp")), "bucket"), "members")
@@ -228,13 +231,13 @@ def classes(docs: DataFrame, similarity: float = 0.8, sketcher: Sketcher | None
         labels = connected_components(tested.where("linked"))
     turn = 0
     while True:
-        rest = written(_rest(members, labels, tested, turn), "rest")
+        rest = written(_rest(members, labels, tested, turn).join(firsts.select(F.col("doc_id").alias("id"), "bag"), "id"), "rest")
         fresh = written(verified(_untested(rest, tested, fits, similarity), texts, similarity), "links")
         state = fresh.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("linked"), 1)).alias("linked")).first()
         tested = tested.unionByName(fresh)
         if state.linked:
             labels = connected_components(tested.where("linked"))
-        if not state.n or rest.where(F.col("nth") > PIVOTS).limit(1).count() == 0:  # nothing is left, or all of it was in this turn
+        if rest.where(F.col("nth") > PIVOTS).limit(1).count() == 0:  # nothing is left, or all of it was in this turn
             return _classes(made, firsts, labels)
         turn += 1
 
@@ -278,10 +281,13 @@ def _untested(rest: DataFrame, tested: DataFrame, fits, similarity: float) -> Da
     The edit distance is a metric, so two bounds of distances to the bucket's pivot rule out a pair without its texts:
     members of a large class are as far from a stranger as their pivot is, less their own distance to it.
     """
-    pivots = rest.where(F.col("nth") <= PIVOTS).select("bucket", F.col("id").alias("x"), F.col("class").alias("cx"), F.col("words").alias("wx"), F.col("low").alias("lx"), F.col("high").alias("hx"))
+    pivots = rest.where(F.col("nth") <= PIVOTS).select("bucket", F.col("id").alias("x"), F.col("class").alias("cx"), F.col("words").alias("wx"), F.col("low").alias("lx"), F.col("high").alias("hx"), F.col("bag").alias("bx"))
     most = F.floor(F.greatest("words", "wx") * F.lit(1 - similarity) + 1e-9)
     far = F.coalesce(F.col("lx") - F.col("high") > most, F.lit(False)) | F.coalesce(F.col("low") - F.col("hx") > most, F.lit(False))
-    met = rest.join(pivots, "bucket").where((F.col("class") != F.col("cx")) & fits(F.col("words"), F.col("wx")) & ~far)
+    # an edit takes one word out of a cell, puts one into a cell, or both; the two sums differ by the difference of the lengths
+    surplus = F.aggregate(F.zip_with("bag", "bx", lambda p, q: F.greatest(p - q, F.lit(0))), F.lit(0), lambda a, b: a + b)
+    near = surplus + F.greatest(F.col("wx") - F.col("words"), F.lit(0)) <= most
+    met = rest.join(pivots, "bucket").where((F.col("class") != F.col("cx")) & fits(F.col("words"), F.col("wx")) & ~far & near)
     pairs = met.select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b")).distinct()
     return pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
 
