@@ -47,6 +47,14 @@ def adjusted_kurtosis(x: Column) -> Column:
     return F.when(n > 3, F.when(F.var_pop(x) == 0, F.lit(0.0)).otherwise((n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * g + 6)))
 
 
+def correlation(a: str | Column, b: str | Column) -> Column:
+    """Pearson's r over rows that have both; null for a constant side, where the built-in one would raise."""
+    a, b = (F.col(x) if isinstance(x, str) else x for x in (a, b))
+    both = a.isNotNull() & b.isNotNull()
+    x, y = F.when(both, a), F.when(both, b)
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def mode(name: str) -> Column:
     """The most frequent value; of several the smallest."""
     return F.mode(F.col(f"`{name}`"), True)

@@ -8,7 +8,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sievelake.functions.stats import adjusted_kurtosis, adjusted_skew, number, numeric_columns
+from sievelake.functions.stats import adjusted_kurtosis, adjusted_skew, correlation, number, numeric_columns
 
 BINS = 50
 TINY = 1e-10
@@ -101,11 +101,11 @@ class HistogramCorrelation(BaseDistribution):
     def value(self):
         flat = (F.stddev_pop("p") == 0) | (F.stddev_pop("q") == 0)
         far = F.max(F.abs(F.col("p") - F.col("q"))) > 1e-8
-        return F.when(F.count(F.lit(1)) < 2, 0.0).when(flat, far.cast("double")).otherwise(1 - F.corr("p", "q"))
+        return F.when(F.count(F.lit(1)) < 2, 0.0).when(flat, far.cast("double")).otherwise(1 - correlation("p", "q"))
 
 
 def _relative(a: str, m: Column) -> Column:
-    return F.sum(F.when(F.col(a) > 0, F.col(a) * F.log(F.col(a) / m)).otherwise(0.0))
+    return F.sum(F.when(F.col(a) > 0, F.col(a) * F.log(F.try_divide(F.col(a), m))).otherwise(0.0))
 
 
 class JensenShannon(BaseDistribution):
@@ -241,7 +241,7 @@ class CorrelationMatrix(BaseDistance):
             terms.append(F.pow(F.col(f"d{i}_1") - F.col(f"d{i}_0"), F.lit(2)))
         for i, (a, b) in enumerate(combinations(columns, 2)):
             for s in (0, 1):
-                r = F.corr(one(a, s), one(b, s))
+                r = correlation(one(a, s), one(b, s))
                 exprs.append(F.when(F.isnan(r), 0.0).otherwise(F.coalesce(r, F.lit(0.0))).alias(f"r{i}_{s}"))
             terms.append(2 * F.pow(F.col(f"r{i}_1") - F.col(f"r{i}_0"), F.lit(2)))
         return both(p, q, columns).agg(*exprs).select(F.sqrt(sum(terms[1:], terms[0])).alias("value"))

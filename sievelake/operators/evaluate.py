@@ -14,7 +14,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sievelake.functions.stats import hash_unit, number, numeric_columns
+from sievelake.functions.stats import correlation, hash_unit, number, numeric_columns
 
 
 def split(df: DataFrame, key: list[str], target: str | None = None, test: float = 0.2, seed: int = 42, name: str = "split") -> DataFrame:
@@ -307,7 +307,7 @@ def average_ranks(df: DataFrame, by: list[str], value: str, name: str) -> DataFr
 def spearman(df: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
     """Rank correlation of each group."""
     both = average_ranks(average_ranks(df.where(F.col(a).isNotNull() & F.col(b).isNotNull()), by, a, "_ra"), by, b, "_rb")
-    return both.groupBy(*by).agg(F.corr("_ra", "_rb").alias("rho"), F.count(F.lit(1)).alias("n"))
+    return both.groupBy(*by).agg(correlation("_ra", "_rb").alias("rho"), F.count(F.lit(1)).alias("n"))
 
 
 def partial_spearman(df: DataFrame, by: list[str], a: str, b: str, given: str) -> DataFrame:
@@ -315,7 +315,7 @@ def partial_spearman(df: DataFrame, by: list[str], a: str, b: str, given: str) -
     ranked = df
     for c, n in ((a, "_ra"), (b, "_rb"), (given, "_rz")):
         ranked = average_ranks(ranked, by, c, n)
-    r = ranked.groupBy(*by).agg(F.corr("_ra", "_rb").alias("ab"), F.corr("_ra", "_rz").alias("az"), F.corr("_rb", "_rz").alias("bz"))
+    r = ranked.groupBy(*by).agg(correlation("_ra", "_rb").alias("ab"), correlation("_ra", "_rz").alias("az"), correlation("_rb", "_rz").alias("bz"))
     return r.select(*by, ((F.col("ab") - F.col("az") * F.col("bz")) / F.nullif(F.sqrt((1 - F.col("az") ** 2) * (1 - F.col("bz") ** 2)), F.lit(0.0))).alias("rho"))
 
 

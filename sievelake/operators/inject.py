@@ -8,7 +8,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievelake.functions.stats import hash_unit, number, numeric_columns
+from sievelake.functions.stats import correlation, hash_unit, number, numeric_columns
 
 
 @dataclass(frozen=True)
@@ -41,7 +41,7 @@ def inject_mar(df: DataFrame, rate: float, key: list[str], anchor: str | None =
     if len(own) < 2:
         return inject_mcar(df, rate, key, own, seed)
     pairs = [(anchor, c) for c in own if c != anchor] if anchor else list(combinations(own, 2))
-    row = df.agg(*(F.abs(F.corr(number(a), number(b))).alias(str(i)) for i, (a, b) in enumerate(pairs))).first()
+    row = df.agg(*(F.abs(correlation(number(a), number(b))).alias(str(i)) for i, (a, b) in enumerate(pairs))).first()
     a, b = pairs[max(range(len(pairs)), key=lambda i: row[str(i)] or 0.0)]
     limit = df.agg(F.percentile(number(a), F.lit(0.75))).first()[0]
     # a quarter of the rows qualifies, so the rate among them is four times the rate among all

@@ -8,7 +8,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-from sievelake.functions.stats import adjusted_kurtosis, adjusted_skew, number, numeric_columns, quantiles
+from sievelake.functions.stats import adjusted_kurtosis, adjusted_skew, correlation, number, numeric_columns, quantiles
 from sievelake.operators.distance import normalised_drift
 
 
@@ -128,7 +128,7 @@ class AdvancedStatsObserver(BaseObserver):
         row = df.agg(
             mean([clean(F.skewness(number(c))) for c in columns]).alias("skew"),
             mean([clean(F.kurtosis(number(c))) for c in columns]).alias("kurtosis"),
-            mean([F.abs(clean(F.corr(number(a), number(b)))) for a, b in pairs]).alias("correlation"),
+            mean([F.abs(clean(correlation(number(a), number(b)))) for a, b in pairs]).alias("correlation"),
             F.coalesce(zeros / F.nullif(cells, F.lit(0)), F.lit(0.0)).alias("zeros"),
         )
         if self.target and self.target not in numeric_columns(df):

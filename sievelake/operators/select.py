@@ -7,7 +7,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievelake.functions.stats import number, numeric_columns, quantiles
+from sievelake.functions.stats import correlation, number, numeric_columns, quantiles
 from sievelake.operators.base import Action
 
 
@@ -73,7 +73,7 @@ class LinearCorrelationSelector(BaseSelector):
 
     def scores(self, df, columns):
         y = number(self.target)
-        row = df.agg(*(e for c in columns for e in (F.corr(number(c), y).alias(f"r_{c}"), F.count(F.when(number(c).isNotNull() & y.isNotNull(), 1)).alias(f"n_{c}")))).first()
+        row = df.agg(*(e for c in columns for e in (correlation(number(c), y).alias(f"r_{c}"), F.count(F.when(number(c).isNotNull() & y.isNotNull(), 1)).alias(f"n_{c}")))).first()
         return {c: None if (r := row[f"r_{c}"]) is None else r * r / max(1 - r * r, 1e-300) * (row[f"n_{c}"] - 2) for c in columns}
 
 
@@ -119,7 +119,7 @@ class CollinearitySelector(BaseSelector):
 
     def scores(self, df, columns):
         pairs = list(combinations(columns, 2))
-        row = df.agg(F.count(F.lit(1)).alias("_n"), *(F.corr(number(a), number(b)).alias(f"{i}") for i, (a, b) in enumerate(pairs))).first()
+        row = df.agg(F.count(F.lit(1)).alias("_n"), *(correlation(number(a), number(b)).alias(f"{i}") for i, (a, b) in enumerate(pairs))).first()
         most = dict.fromkeys(columns, 0.0)
         for i, (_, b) in enumerate(pairs):
             most[b] = max(most[b], abs(row[f"{i}"] or 0.0))
