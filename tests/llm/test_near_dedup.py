@@ -51,9 +51,9 @@ def test_classes_against_brute_force(spark, make_docs):
 
 
 def test_outsiders_of_a_large_class_are_compared(spark, make_docs, monkeypatch):
-    monkeypatch.setattr(near_dedup, "PIVOTS", 1)
+    monkeypatch.setattr(near_dedup, "PIVOTS", 3)
     base = prose(1, 60)
-    texts = [changed(base, 0.12, s) for s in range(40)]
+    texts = [changed(base, 0.12, s) for s in range(12)]
     got = {r.doc_id: r.class_id for r in near_dedup.classes(make_docs(texts), sketcher=near_dedup.Sketcher(entries=128, rows=1)).collect()}
     assert [got[i] for i in range(len(texts))] == brute(texts)
 
