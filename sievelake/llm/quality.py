@@ -119,7 +119,8 @@ class Model:
         if self.network is None or not texts:
             return np.full(len(texts), self.share)
         bags = [passages(t) for t in texts]
-        return self.network.predict(np.concatenate(bags), np.cumsum([0, *(len(b) for b in bags[:-1])]))
+        found = self.network.predict(np.concatenate(bags), np.cumsum([0, *(len(b) for b in bags[:-1])]))
+        return np.round(found, 12)  # the last digits follow the batch's shape
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = 8000, id_column: str = "doc_id", text_column: str = "text") -> Model:
