@@ -78,7 +78,7 @@ class LanguageModel:
         return self.within[f].classes[c], p * q
 
 
-def fit(labelled: DataFrame, per_language: int = 800, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", seed: int = 8) -> LanguageModel | None:
+def fit(labelled: DataFrame, per_language: int = 400, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", seed: int = 8) -> LanguageModel | None:
     """Learn from (text, language) rows: of each language the `per_language` with the smallest hash at most.
 
     Counts over all rows give each language's sampling rate; the sample is drawn by hash and holds at most
