@@ -40,6 +40,17 @@ def brute(texts):
     return label
 
 
+def test_usual_sketch_finds_scattered_edits():
+    usual, met = near_dedup.Sketcher(), []
+    for share in (0.1, 0.15, 0.2):
+        for i in range(70):
+            a = prose(i, 60).split()
+            b = changed(" ".join(a), share, i).split()
+            if edits(a, b) <= int(0.2 * 60 + 1e-9):
+                met.append(bool((usual.bands(a) == usual.bands(b)).any()))
+    assert len(met) > 120 and sum(met) >= 0.99 * len(met)
+
+
 def test_classes_against_brute_force(spark, make_docs):
     base = [prose(i, 80) for i in range(8)]
     shared = prose(99, 30)
