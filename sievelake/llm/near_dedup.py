@@ -9,8 +9,8 @@ about a third of the 3-mers, and 1 - (1 - J^2)^64 of the pairs meet). Candidates
 distance at most (1 - similarity) of the longer text.
 
 Equal word sequences are one representative from the start. A bucket links its members to its first one; the members
-that this leaves in other classes are compared with the rest of their bucket until none is left untested, a bounded number
-of them a turn. No bucket and no class is capped, and no group of copies is expanded into pairs.
+that this leaves in other classes are numbered once in each bucket, and compared with the rest of it range by range of
+these numbers, PIVOTS a turn; after the last range no pair is left untested. No bucket and no class is capped, and no group of copies is expanded into pairs.
 
 Defined results: a text without a word (null and empty ones too) is a class of its own; a text of fewer than k words has
 one k-mer, all its words; repeated rows get the same class; empty tables give no rows; extra columns are ignored.
@@ -231,17 +231,15 @@ def classes(docs: DataFrame, similarity: float = 0.8, sketcher: Sketcher | None
         fresh = written(verified(pairs, texts, similarity), "links")
         tested = fresh if tested is None else tested.unionByName(fresh)
         labels = connected_components(tested.where("linked"))
-    turn = 0
-    while True:
-        rest = written(_rest(members, labels, tested, turn).join(firsts.select(F.col("doc_id").alias("id"), "bag"), "id"), "rest")
-        fresh = written(verified(_untested(rest, tested, fits, similarity), texts, similarity), "links")
-        state = fresh.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("linked"), 1)).alias("linked")).first()
+    numbered = written(_numbered(members, labels).join(firsts.select(F.col("doc_id").alias("id"), "bag"), "id"), "numbered")
+    last = numbered.agg(F.max("nth")).first()[0] or 0
+    for start in range(0, last, PIVOTS):
+        rest = written(_rest(numbered, labels, tested, start), "rest")
+        fresh = written(verified(_untested(rest, tested, start, fits, similarity), texts, similarity), "links")
         tested = tested.unionByName(fresh)
-        if state.linked:
+        if fresh.where("linked").limit(1).count():
             labels = connected_components(tested.where("linked"))
-        if rest.where(F.col("nth") > PIVOTS).limit(1).count() == 0:  # nothing is left, or all of it was in this turn
-            return _classes(made, firsts, labels)
-        turn += 1
+    return _classes(made, firsts, labels)
 
 
 def _classes(made: DataFrame, firsts: DataFrame, labels: DataFrame) -> DataFrame:
@@ -260,36 +258,48 @@ def _texts(docs: DataFrame, needed: DataFrame, id_column: str, text_column: str)
     return own.mapInArrow(run, "doc_id long, text string").groupBy("doc_id").agg(F.min("text").alias("text"))
 
 
-def _rest(members: DataFrame, labels: DataFrame, tested: DataFrame, turn: int) -> DataFrame:
-    """Members of buckets that hold more than one class, with the bounds of their distance to the bucket's pivot.
-
-    nth numbers, by the turn's hash, those outside the bucket's first class; of the first class it is null.
-    """
+def _numbered(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members of buckets that hold more than one class: nth numbers, once and for all, those outside the bucket's first
+    class, `home`; of that class it is null."""
     named = members.join(labels, members["id"] == labels["node"], "left").select("bucket", "pivot", "id", "words", F.coalesce("component", "id").alias("class"))
-    open_ = named.groupBy("bucket").agg(F.min("class").alias("first"), F.max("class").alias("last")).where("first <> last").select("bucket", "first")
-    own = named.join(open_, "bucket").withColumn("outside", F.col("class") != F.col("first"))
-    order = Window.partitionBy("bucket", "outside").orderBy(F.xxhash64("id", F.lit(turn)), "id")
-    numbered = own.where("outside").withColumn("nth", F.row_number().over(order)).unionByName(own.where("not outside").withColumn("nth", F.lit(None).cast("int")))
+    open_ = named.groupBy("bucket").agg(F.min("class").alias("home"), F.max("class").alias("last")).where("home <> last").select("bucket", "home")
+    own = named.join(open_, "bucket").withColumn("outside", F.col("class") != F.col("home")).drop("class")
+    order = Window.partitionBy("bucket", "outside").orderBy(F.xxhash64("id"), "id")
+    return own.where("outside").withColumn("nth", F.row_number().over(order)).unionByName(own.where("not outside").withColumn("nth", F.lit(None).cast("int"))).drop("outside")
+
+
+def _rest(numbered: DataFrame, labels: DataFrame, tested: DataFrame, start: int) -> DataFrame:
+    """The numbered members with their class of now, whether that is the bucket's home by now, and the bounds of their
+    distance to the bucket's pivot; of buckets with a number over `start`."""
+    going = numbered.groupBy("bucket").agg(F.max("nth").alias("last")).where(F.col("last") > start).select("bucket")
+    of = lambda x: labels.select(F.col("node").alias(x), F.col("component").alias(f"of_{x}"))
+    named = numbered.join(going, "bucket", "left_semi").join(of("id"), "id", "left").join(of("home"), "home", "left")
+    named = named.withColumn("class", F.coalesce("of_id", "id")).withColumn("at_home", F.col("class") == F.coalesce("of_home", "home"))
     known = tested.select(F.col("a").alias("pivot"), F.col("b").alias("id"), "low", "high")
-    bounded = numbered.join(known, ["pivot", "id"], "left")
+    bounded = named.join(known, ["pivot", "id"], "left")
     zero = F.when(F.col("id") == F.col("pivot"), 0)
-    return bounded.withColumn("low", F.coalesce("low", zero)).withColumn("high", F.coalesce("high", zero)).drop("outside", "first")
+    return bounded.withColumn("low", F.coalesce("low", zero)).withColumn("high", F.coalesce("high", zero)).drop("home", "of_id", "of_home")
+
 
+def _untested(rest: DataFrame, tested: DataFrame, start: int, fits, similarity: float) -> DataFrame:
+    """Pairs (a, b) of a bucket that lie in different classes, were not compared yet and may be close: one of them, the
+    turn's pivot, has a number over `start`, up to PIVOTS more, and is not at home.
 
-def _untested(rest: DataFrame, tested: DataFrame, fits, similarity: float) -> DataFrame:
-    """Pairs (a, b) of a bucket that lie in different classes, were not compared yet and may be close: one of them is among
-    the turn's PIVOTS members outside the bucket's first class.
+    Of two members in different classes one is not at home, so its turn compares the pair; members of smaller number that
+    are not at home have had their turn with all the others, and are left out of later ones.
 
     The edit distance is a metric, so two bounds of distances to the bucket's pivot rule out a pair without its texts:
     members of a large class are as far from a stranger as their pivot is, less their own distance to it.
     """
-    pivots = rest.where(F.col("nth") <= PIVOTS).select("bucket", F.col("id").alias("x"), F.col("class").alias("cx"), F.col("words").alias("wx"), F.col("low").alias("lx"), F.col("high").alias("hx"), F.col("bag").alias("bx"))
+    turn = rest.where(~F.col("at_home") & (F.col("nth") > start) & (F.col("nth") <= start + PIVOTS))
+    pivots = turn.select("bucket", F.col("id").alias("x"), F.col("class").alias("cx"), F.col("words").alias("wx"), F.col("low").alias("lx"), F.col("high").alias("hx"), F.col("bag").alias("bx"))
+    others = rest.where(F.col("at_home") | (F.col("nth") > start))
     most = F.floor(F.greatest("words", "wx") * F.lit(1 - similarity) + 1e-9)
     far = F.coalesce(F.col("lx") - F.col("high") > most, F.lit(False)) | F.coalesce(F.col("low") - F.col("hx") > most, F.lit(False))
     # an edit takes one word out of a cell, puts one into a cell, or both; the two sums differ by the difference of the lengths
     surplus = F.aggregate(F.zip_with("bag", "bx", lambda p, q: F.greatest(p - q, F.lit(0))), F.lit(0), lambda a, b: a + b)
     near = surplus + F.greatest(F.col("wx") - F.col("words"), F.lit(0)) <= most
-    met = rest.join(pivots, "bucket").where((F.col("class") != F.col("cx")) & fits(F.col("words"), F.col("wx")) & ~far & near)
+    met = others.join(pivots, "bucket").where((F.col("class") != F.col("cx")) & fits(F.col("words"), F.col("wx")) & ~far & near)
     pairs = met.select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b")).distinct()
     return pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
 

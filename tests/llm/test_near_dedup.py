@@ -69,6 +69,23 @@ def test_outsiders_of_a_large_class_are_compared(spark, make_docs, monkeypatch):
     assert [got[i] for i in range(len(texts))] == brute(texts)
 
 
+def test_more_unlike_members_in_a_bucket_than_pivots(spark, make_docs, monkeypatch):
+    monkeypatch.setattr(near_dedup, "PIVOTS", 2)
+    compare, turns = near_dedup._untested, []
+
+    def counted(*args):
+        turns.append(1)
+        assert len(turns) <= 8, "compared without end"
+        return compare(*args)
+
+    monkeypatch.setattr(near_dedup, "_untested", counted)
+    shared = prose(77, 30)
+    texts = [shared + " " + prose(400 + i, 60) for i in range(8)]
+    texts += [changed(texts[5], 0.1, 1), changed(texts[7], 0.1, 2)]
+    got = {r.doc_id: r.class_id for r in near_dedup.classes(make_docs(texts), sketcher=near_dedup.Sketcher(entries=128, rows=1)).collect()}
+    assert [got[i] for i in range(len(texts))] == brute(texts) and len(turns) > 2
+
+
 def test_keep_first(spark, make_docs):
     docs = make_docs([(5, prose(1, 50)), (3, prose(1, 50)), (3, prose(1, 50)), (9, prose(2, 50)), (7, None), (8, None)])
     kept = near_dedup.keep_first(docs)
