@@ -229,9 +229,13 @@ class EMImputer(Action):
 
 
 class MICEImputer(Action):
-    """Chained random forests, most nulls first: each column with nulls is predicted from the others, mean-filled at first."""
+    """Chained random forests, most nulls first: each column with nulls is predicted from the others, mean-filled at first.
 
-    DEFAULTS = {"max_iter": 2, "tol": 1e-3, "n_estimators": 50, "max_depth": 6, "random_state": 42}
+    Rounds end when no filled value moved by more than `tol` times the largest observed one, after `max_iter` at most; every
+    round is written out, so that plans stay short.
+    """
+
+    DEFAULTS = {"max_iter": 50, "tol": 1e-3, "n_estimators": 50, "max_depth": 6, "random_state": 42}
     NUMERIC_ONLY = True
 
     def stat_exprs(self, df, columns):
@@ -251,24 +255,35 @@ class MICEImputer(Action):
         from pyspark.ml.feature import VectorAssembler
         from pyspark.ml.regression import RandomForestRegressor
 
-        from sievelake.plans.shared import written
+        from sievelake.plans.shared import forget, written
 
         order = sorted((c for c in columns if stats[f"gaps_{c}"] and stats[f"mean_{c}"] is not None), key=lambda c: -stats[f"gaps_{c}"])
-        models, rows = [], self._start(df, columns, stats)
-        if len(columns) > 1:
-            for _ in range(self.params["max_iter"]):
+        models, rows, rounds = [], self._start(df, columns, stats), 0
+        if order and len(columns) > 1:
+            limit = self.params["tol"] * max(rows.agg(*(F.max(F.abs(number(c))).alias(c) for c in columns)).first().asDict().values(), key=lambda v: v or 0.0)
+            for rounds in range(1, self.params["max_iter"] + 1):
+                before, rows = rows, rows.withColumns({f"_o_{c}": F.col(f"_f_{c}") for c in order})
                 for c in order:
                     train = VectorAssembler(inputCols=[f"_f_{d}" for d in columns if d != c], outputCol="_x").transform(rows).where(number(c).isNotNull()).select("_x", number(c).alias("_y"))
                     forest = RandomForestRegressor(featuresCol="_x", labelCol="_y", predictionCol="_p", numTrees=self.params["n_estimators"], maxDepth=self.params["max_depth"], seed=self.params["random_state"])
                     models.append((c, forest.fit(train)))
                     rows = self._step(rows, *models[-1][:1], columns, models[-1][1])
                 rows = written(rows, "mice")
-        return stats | {"models": models}
+                forget(before)
+                moved = max(rows.agg(*(F.max(F.abs(F.col(f"_f_{c}") - F.col(f"_o_{c}"))).alias(c) for c in order)).first())
+                if moved < limit:
+                    break
+            forget(rows)
+        return stats | {"models": models, "rounds": rounds}
 
     def apply(self, df, columns, stats):
-        rows = self._start(df, columns, stats)
-        for c, model in stats["models"]:
+        from sievelake.plans.shared import written
+
+        rows, each = self._start(df, columns, stats), len({c for c, _ in stats["models"]})
+        for i, (c, model) in enumerate(stats["models"], 1):
             rows = self._step(rows, c, columns, model)
+            if i % each == 0 and i < len(stats["models"]):
+                rows = written(rows, "mice")
         return rows.withColumns({c: F.col(f"_f_{c}") for c in columns}).drop(*(f"_f_{c}" for c in columns))
 
 

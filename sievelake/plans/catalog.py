@@ -97,12 +97,12 @@ def _part(spark, sf):
 
 @query("impute_em")
 def impute_em(spark, sf):
-    return impute.EMImputer(columns=["p_retailprice", "p_size", "p_group"], max_iter=5).fit_transform(_part(spark, sf))
+    return impute.EMImputer(columns=["p_retailprice", "p_size", "p_group"]).fit_transform(_part(spark, sf))
 
 
 @query("impute_mice")
 def impute_mice(spark, sf):
-    return impute.MICEImputer(columns=["p_retailprice", "p_size", "p_group"], max_iter=1, n_estimators=10).fit_transform(_part(spark, sf))
+    return impute.MICEImputer(columns=["p_retailprice", "p_size", "p_group"]).fit_transform(_part(spark, sf))
 
 
 @query("impute_forward_fill", "SELECT c_custkey, last_value(c_acctbal IGNORE NULLS) OVER (PARTITION BY c_nationkey ORDER BY c_custkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS c_acctbal FROM " + CUSTOMER)
@@ -150,7 +150,7 @@ def outlier_lof(spark, sf):
 
 @query("outlier_isolation_forest")
 def outlier_isolation_forest(spark, sf):
-    return outliers.IsolationForestCleaner(columns=["value"], trees=20).fit_transform(table(spark, sf, "events")).select("event_id", "value")
+    return outliers.IsolationForestCleaner(columns=["value"]).fit_transform(table(spark, sf, "events")).select("event_id", "value")
 
 
 @query("outlier_parameterized", _HOW["drop"].format(b=_IQR.replace("1.5", "2.0")))
@@ -339,7 +339,7 @@ def select_fscore(spark, sf):
     return _selection(spark, s).withColumn("score", F.round("score", 2))
 
 
-for _name, _kind, _params in (("mutual_info", select.MutualInformationSelector, {"k": 2}), ("random_forest", select.RandomForestSelector, {"n_estimators": 10}), ("low_deviation", select.LowDeviationSelector, {}), ("lasso", select.LassoSelector, {})):
+for _name, _kind, _params in (("mutual_info", select.MutualInformationSelector, {"k": 2}), ("random_forest", select.RandomForestSelector, {}), ("low_deviation", select.LowDeviationSelector, {}), ("lasso", select.LassoSelector, {})):
 
     @query(f"select_{_name}")
     def _(spark, sf, kind=_kind, params=_params):

@@ -86,6 +86,15 @@ def test_regression_imputers_follow_a_line(spark):
     assert max(abs(r.b - (3 * r.a + 1)) for r in forest.where("k % 5 = 0 and k between 5 and 50").collect()) < 25
 
 
+def test_chained_forests_go_on_until_nothing_moves(spark):
+    rows = [(i, float(i) if i % 4 else None, 3.0 * i + 1 if i % 3 and i % 4 else None, float((i * 7) % 11)) for i in range(60)]
+    df = spark.createDataFrame(rows, "k int, a double, b double, c double")
+    kind = impute.MICEImputer(columns=["a", "b", "c"], n_estimators=3).fit(df)
+    assert 2 < kind.stats["rounds"] < 50 and len(kind.stats["models"]) == 2 * kind.stats["rounds"]
+    assert kind.transform(df).where("a is null or b is null").count() == 0
+    assert len(impute.MICEImputer(columns=["a", "b", "c"], n_estimators=3, max_iter=3, tol=0).fit(df).stats["models"]) == 6
+
+
 def test_scalers(spark):
     df = spark.createDataFrame([(1, 1, 0.5, 1000, "p"), (2, 10, 5.0, 2000, "q"), (3, 100, 50.0, 3000, "r")], "k int, a int, b double, c int, label string")
     out = scale.DecimalScaler(columns=["a", "b", "c"]).fit_transform(df)
