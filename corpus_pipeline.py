@@ -13,12 +13,13 @@ from sievelake.llm import decontaminate, language_id, near_dedup, packing, subst
 from sievelake.llm.common import crc_mod, table, written
 from sievelake.llm.queries import tokenizer_path
 
-#: Below the chance of a guess among the four languages of the corpus a text is taken to be in none of them.
+#: A bar that no text of the four languages' model falls under: two families and two languages in each give a score of 0.25 at
+#: least. It bites only with three or more families, or languages in a family.
 LEAST_LANGUAGE_SCORE = 0.25
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without a letter, or that no learned language claims, go; a missing lang is filled in."""
+    """Texts without a letter go; a missing lang is filled in. Texts in a language that was not learned, and junk of letters, stay."""
     model = language_id.fit(docs.where(crc_mod("doc_id", 5) != 0))
     found = language_id.predict(docs, model).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SCORE))
     return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(docs.columns)
