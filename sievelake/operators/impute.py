@@ -75,12 +75,13 @@ class ForwardFill(Action):
 
 
 class RandomImputer(Action):
-    """A value drawn from the observed ones, by a hash of the row's key; a column without observed values stays.
+    """A value drawn from all observed ones, by a hash of the row's key; a column without observed values stays.
 
-    The pool is the `pool` observed values of smallest hash, so it is bounded and the same on every run.
+    The observed values are numbered by hash, block by block of about `block` rows, and written out; a gap is joined to the
+    number that its hash draws, so each value comes up as often as it is observed.
     """
 
-    DEFAULTS = {"random_state": 42, "pool": 1000, "key": None}
+    DEFAULTS = {"random_state": 42, "block": 1 << 18, "key": None}
     NUMERIC_ONLY = True
 
     def _key(self, df):
@@ -88,16 +89,32 @@ class RandomImputer(Action):
         return [F.col(f"`{k}`") for k in ([keys] if isinstance(keys, str) else keys)]
 
     def settle(self, df, columns, stats):
-        seed, key = self.params["random_state"] or 0, self._key(df)
-        return {c: [r[0] for r in df.select(number(c).alias("v"), F.xxhash64(*key, F.lit(c), F.lit(seed)).alias("h")).where("v is not null").orderBy("h", "v").select("v").limit(self.params["pool"]).collect()] for c in columns}
+        from sievelake.plans.shared import written
 
-    def apply(self, df, columns, stats):
-        out, key = {}, self._key(df)
+        seed, key, out = self.params["random_state"] or 0, self._key(df), {}
         for c in columns:
-            if pool := stats.get(c):
-                place = F.floor(hash_unit(*key, F.lit(c), seed=(self.params["random_state"] or 0) + 1) * len(pool)).cast("int")
-                out[c] = F.coalesce(number(c), F.get(F.array(*map(F.lit, pool)), place))
-        return df.withColumns(out)
+            own = df.select(number(c).alias("v"), F.xxhash64(*key, F.lit(c), F.lit(seed)).alias("h")).where("v is not null")
+            if n := own.count():
+                dealt = own.withColumn("b", F.pmod("h", F.lit(-(-n // self.params["block"]))))
+                sizes, starts, at = dealt.groupBy("b").count().orderBy("b").collect(), [], 0
+                for b, size in sizes:
+                    starts.append((b, at))
+                    at += size
+                nth = F.row_number().over(Window.partitionBy("b").orderBy("h", "v"))
+                numbered = dealt.withColumn("nth", nth).join(F.broadcast(df.sparkSession.createDataFrame(starts, "b long, start long")), "b")
+                out[c] = (written(numbered.select((F.col("start") + F.col("nth") - 1).alias("_place"), F.col("v").alias("_drawn")), "observed"), at)
+        return out
+
+    def apply(self, df, columns, stats):
+        key, seed = self._key(df), (self.params["random_state"] or 0) + 1
+        pools = {c: stats[c] for c in columns if stats.get(c)}
+        # a row without a gap gets a negative place, which no value has, and does not gather with others in one task
+        place = {c: F.floor(hash_unit(*key, F.lit(c), seed=seed) * n).cast("long") for c, (_, n) in pools.items()}
+        rows = df.withColumns({f"_at_{c}": F.when(number(c).isNull(), p).otherwise(-1 - p) for c, p in place.items()})
+        for c, (values, _) in pools.items():
+            own = values.select(F.col("_place").alias(f"_at_{c}"), F.col("_drawn").alias(f"_of_{c}"))
+            rows = rows.join(own, f"_at_{c}", "left")
+        return rows.withColumns({c: F.coalesce(number(c), F.col(f"`_of_{c}`")) for c in pools}).select(*(f"`{c}`" for c in df.columns))
 
 
 class KNNImputer(Action):

@@ -86,6 +86,16 @@ def test_regression_imputers_follow_a_line(spark):
     assert max(abs(r.b - (3 * r.a + 1)) for r in forest.where("k % 5 = 0 and k between 5 and 50").collect()) < 25
 
 
+def test_random_draws_reach_rare_values(spark):
+    df = spark.range(12000).selectExpr("id k", "CASE WHEN id % 2 = 0 THEN null ELSE cast(id AS double) END v")
+    kind = impute.RandomImputer(columns=["v"], key="k", block=1000)
+    out = kind.fit_transform(df)
+    drawn = [r.v for r in out.where("k % 2 = 0").collect()]
+    assert out.columns == ["k", "v"] and len(drawn) == 6000 and all(v % 2 == 1 for v in drawn)
+    assert len(set(drawn)) > 3000  # 6000 draws of 6000 values leave out a share of 1/e
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, kind.transform(df).collect()))
+
+
 def test_chained_forests_go_on_until_nothing_moves(spark):
     rows = [(i, float(i) if i % 4 else None, 3.0 * i + 1 if i % 3 and i % 4 else None, float((i * 7) % 11)) for i in range(60)]
     df = spark.createDataFrame(rows, "k int, a double, b double, c double")
