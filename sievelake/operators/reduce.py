@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sievelake.functions.stats import hash_unit, number
@@ -64,8 +65,8 @@ class RandomProjector(Action):
 class SMOTEBalancer(Action):
     """Adds rows between neighbours of the smaller classes until each is as large as the largest.
 
-    Neighbours are looked for among rows of the class in one block of at most `block`, dealt by hash; draws follow hashes
-    of the key, so a run repeats. Classes below `least` rows stay as they are.
+    Neighbours are the k nearest of the whole class: blocks of about `block` rows, dealt by hash, meet in tasks of two, and the
+    k nearest of each are merged. Keys are unique; ties go to the smaller one; draws follow the values, so a run repeats. Classes below `least` rows stay as they are.
     """
 
     DEFAULTS = {"k": 5, "key": None, "least": 6, "block": 4096, "random_state": 42}
@@ -88,22 +89,43 @@ class SMOTEBalancer(Action):
             own = df.where(F.col(target) == F.lit(label)).select(F.col(key).alias("k"), F.array(*(F.coalesce(number(c), F.lit(0.0)) for c in columns)).alias("x"))
             times, rest = divmod(most - n, n)
             blocks = max(1, -(-n // self.params["block"]))
-            ranked = own.withColumn("n", F.lit(times) + (hash_unit("k", seed=seed) < rest / n).cast("int")).withColumn("b", F.pmod(F.xxhash64("k", F.lit(seed)), F.lit(blocks)))
-            width = len(columns)
-
-            def between(table: pa.Table) -> pa.Table:
-                x = np.array(table["x"].to_pylist(), float).reshape(-1, width)
-                out = []
-                for i, times in enumerate(table["n"].to_pylist()):
-                    if times and len(x) > 1:
-                        near = np.argsort(((x - x[i]) ** 2).sum(axis=1), kind="stable")
-                        near = near[near != i][:k]
-                        rng = np.random.default_rng(abs(hash((seed, tuple(x[i].tolist())))))
+            all_blocks = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+            dealt = own.withColumns({"n": F.lit(times) + (hash_unit("k", seed=seed) < rest / n).cast("int"), "own": F.pmod(F.xxhash64("k", F.lit(seed)), F.lit(blocks)).cast("int"), "k": F.col("k").cast("string")})
+            left = dealt.where("n > 0").withColumn("other", all_blocks)
+            right = dealt.select(F.col("k").alias("near"), F.col("x").alias("y"), F.col("own").alias("other")).withColumn("own", all_blocks)
+            shape = pa.schema([("q", pa.string()), ("n", pa.int32()), ("x", pa.list_(pa.float64())), ("near", pa.string()), ("distance", pa.float64()), ("y", pa.list_(pa.float64()))])
+
+            def nearest(a: pa.Table, b: pa.Table) -> pa.Table:
+                out: list[list] = [[], [], [], [], [], []]
+                if a.num_rows and b.num_rows:
+                    names, values = b["near"].to_pylist(), b["y"].to_pylist()
+                    y = np.array(values, float)
+                    for q, times, own_x in zip(a["k"].to_pylist(), a["n"].to_pylist(), a["x"].to_pylist(), strict=True):
+                        distance = ((y - np.array(own_x, float)) ** 2).sum(axis=1)
+                        fit = np.arange(len(y))
+                        if len(fit) > k + 1:  # one of them may be the row itself
+                            fit = fit[distance <= np.partition(distance, k)[k]]
+                        others = (i for i in fit if names[i] != q)
+                        for i in sorted(others, key=lambda i: (distance[i], len(names[i]), names[i]))[:k]:
+                            for column, v in zip(out, (q, times, own_x, names[i], float(distance[i]), values[i]), strict=True):
+                                column.append(v)
+                return pa.table([pa.array(c, f.type) for c, f in zip(out, shape, strict=True)], schema=shape)
+
+            def between(frames):
+                for frame in frames:
+                    out = []
+                    for times, own_x, near in zip(*(frame.column(i).to_pylist() for i in range(3)), strict=True):
+                        x = np.array(own_x, float)
+                        rng = np.random.default_rng(abs(hash((seed, tuple(x.tolist())))))
                         for _ in range(times):
-                            out.append((x[i] + rng.random() * (x[int(rng.choice(near))] - x[i])).tolist())
-                return pa.table({"x": pa.array(out, pa.list_(pa.float64()))})
-
-            rows = ranked.groupBy("b").applyInArrow(between, "x array<double>").select(*(F.get("x", F.lit(i)).alias(c) for i, c in enumerate(columns)), F.lit(label).alias(target))
+                            share = rng.random()
+                            out.append((x + share * (np.array(near[int(rng.integers(len(near)))]["y"], float) - x)).tolist())
+                    yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.float64()))], names=["x"])
+
+            found = left.groupBy("own", "other").cogroup(right.groupBy("own", "other")).applyInArrow(nearest, "q string, n int, x array<double>, near string, distance double, y array<double>")
+            best = found.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy("distance", F.length("near"), "near"))).where(F.col("r") <= k)
+            drawn = best.groupBy("q").agg(F.first("n").alias("n"), F.first("x").alias("x"), F.sort_array(F.collect_list(F.struct("r", "y"))).alias("near")).select("n", "x", "near")
+            rows = drawn.mapInArrow(between, "x array<double>").select(*(F.get("x", F.lit(i)).alias(c) for i, c in enumerate(columns)), F.lit(label).alias(target))
             made = rows if made is None else made.unionByName(rows)
         typed = made.select(*(F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) if f.name in made.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema.fields))
         return df.unionByName(typed)

@@ -204,6 +204,15 @@ def test_reduction_and_balancing(spark):
     assert 50 < len(made) < 110 and all(r.rare and r.b == pytest.approx(2 * r.a) for r in made)
 
 
+def test_smote_neighbours_are_those_of_the_whole_class(spark):
+    df = spark.createDataFrame([(i, float(i), i >= 100) for i in range(130)], "k int, a double, rare boolean")
+    made = reduce.SMOTEBalancer(columns=["a"], key="k", target="rare", k=1, block=4).fit_transform(df).where("k is null").collect()
+    own = range(100, 130)
+    near = [sorted((abs(i - j), len(str(j)), str(j), j) for j in own if j != i)[0][3] for i in own]
+    assert 40 < len(made) < 100 and all(any(min(i, j) <= r.a <= max(i, j) for i, j in zip(own, near, strict=True)) for r in made)
+    assert max(min(abs(r.a - i) for i in own) for r in made) <= 0.5 and len({int(r.a) for r in made}) > 20
+
+
 def test_fitting_together_is_fitting_apart(spiky):
     apart = [scale.ZScoreScaler(columns=["A"]).fit(spiky), outliers.IQROutlierCleaner(columns=["A"]).fit(spiky)]
     together = base.fit_together(spiky, [scale.ZScoreScaler(columns=["A"]), outliers.IQROutlierCleaner(columns=["A"])])
