@@ -45,7 +45,11 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.repeats(table(spark, sf_dir, "documents", "doc_id", "text"))
+    """A row per document: the text that is left, and the removed spans as start-end:kept_doc_id@kept_start."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    found = substring_dedup.remove(docs, substring_dedup.repeats(docs), spans_column="spans")
+    written_out = F.transform("spans", lambda s: F.format_string("%d-%d:%d@%d", s["start"], s["end"], s["kept_doc_id"], s["kept_start"]))
+    return found.select("doc_id", "text", F.coalesce(F.array_join(written_out, " "), F.lit("")).alias("removed_spans"), F.coalesce(F.aggregate("spans", F.lit(0), lambda n, s: n + s["words"]), F.lit(0)).alias("removed_words"))
 
 
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,13 +86,21 @@ ORACLE_SQL: dict[str, str] = {
               FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id),
         r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""",
-    "op6_substring_dedup": """
-        WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
-        p AS (SELECT doc_id, line, CAST(coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INTEGER) AS start,
-                     lower(trim(regexp_replace(line, '\\s+', ' ', 'g'))) AS norm FROM l),
-        u AS (SELECT doc_id, start, CAST(start + length(line) AS INTEGER) AS "end", CAST(len(string_split(norm, ' ')) AS INTEGER) AS words, norm FROM p WHERE norm <> '' AND len(string_split(norm, ' ')) >= 10),
-        r AS (SELECT *, first_value(doc_id) OVER w AS kept_doc_id, first_value(start) OVER w AS kept_start, row_number() OVER w AS n FROM u WINDOW w AS (PARTITION BY norm ORDER BY doc_id, start))
-        SELECT doc_id, start, "end", words, kept_doc_id, kept_start FROM r WHERE n > 1""",
+    "op6_substring_dedup": r"""
+        WITH s AS (SELECT doc_id, regexp_extract_all(text, '[^.!?\n]*[.!?]*[ \t\n\r\f]*') AS us FROM documents WHERE text IS NOT NULL),
+        x AS (SELECT doc_id, unnest(us) AS u, generate_subscripts(us, 1) AS i FROM s),
+        p AS (SELECT doc_id, i, u, CAST(coalesce(sum(length(u)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INTEGER) AS start,
+                     regexp_extract_all(lower(u), '[\p{L}\p{N}]+') AS ws FROM x WHERE u <> ''),
+        w AS (SELECT doc_id, start, start + length(u) AS "end", len(ws) AS words, array_to_string(ws, ' ') AS norm, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS nth FROM p WHERE len(ws) > 0),
+        k AS (SELECT *, first_value(doc_id) OVER o AS kept_doc_id, first_value(start) OVER o AS kept_start, row_number() OVER o AS occurrence FROM w WINDOW o AS (PARTITION BY norm ORDER BY doc_id, start)),
+        l AS (SELECT *, nth - row_number() OVER (PARTITION BY doc_id ORDER BY nth) AS island FROM k WHERE occurrence > 1),
+        r AS (SELECT doc_id, min(start) AS start, max("end") AS "end", sum(words) AS words, min_by(kept_doc_id, nth) AS kept_doc_id, min_by(kept_start, nth) AS kept_start
+              FROM l GROUP BY doc_id, island HAVING sum(CASE WHEN words >= 4 THEN words ELSE 0 END) >= 10),
+        t AS (SELECT p.doc_id, coalesce(string_agg(p.u, '' ORDER BY p.i) FILTER (r.doc_id IS NULL), '') AS text FROM p LEFT JOIN r ON p.doc_id = r.doc_id AND p.start >= r.start AND p.start < r."end" GROUP BY p.doc_id),
+        n AS (SELECT doc_id, string_agg(concat(start, '-', "end", ':', kept_doc_id, '@', kept_start), ' ' ORDER BY start) AS removed_spans, CAST(sum(words) AS INTEGER) AS removed_words FROM r GROUP BY doc_id)
+        SELECT d.doc_id, CASE WHEN n.doc_id IS NULL THEN d.text WHEN trim(t.text, E' \t\n\r\f\v') = '' THEN '' ELSE t.text END AS text,
+               coalesce(n.removed_spans, '') AS removed_spans, coalesce(n.removed_words, 0) AS removed_words
+        FROM documents d LEFT JOIN t ON t.doc_id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id""",
     "op3_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
         d AS (SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, sha256(h) AS payload_digest FROM p),

@@ -1,18 +1,22 @@
-"""Substring deduplication by hashing lines.
-
-Lines of at least `least_words` words are normalised (lower case, single spaces) and hashed to 128 bits; digests are
-counted over all documents; the occurrence that comes first by (document id, offset) stays and every other one is
-removed. Offsets are those of the original text, in characters.
-
-Defined results: null and empty texts hold no line; of rows that repeat a document id and a line at the same offset all stay or
-all go; a line that repeats within its own document stays once; empty tables give no rows; extra columns are ignored
-by `repeats` and kept by `remove`.
+"""Substring deduplication by hashing the sentences of lines.
+
+A line is cut after each run of sentence ends (. ! ?), and every piece is a unit: its words (lower case, letters and digits)
+are hashed to 128 bits, digests are grouped over all documents, and the occurrence that comes first by (document id, text
+digest, offset) is kept. Neighbouring units of a text that are all later occurrences make a run; a run is removed if its units of
+`least_unit` words or more have `least_words` words together, so a short sentence that two texts share by chance stays.
+A whole repeated line is a run of its sentences, and so is a passage that stands inside longer lines or is broken into
+lines elsewhere. Offsets are those of the original text, in characters.
+
+Defined results: null and empty texts hold no unit; rows that repeat a document id and a text are one text, of which all rows
+stay or lose the same spans; rows with one id, or none, and different texts are documents of their own, those without an id first;
+a passage that repeats within its document stays once; empty tables give no rows; extra columns are ignored by `repeats` and
+kept by `remove`, whatever their names.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
-from hashlib import blake2b
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -20,60 +24,100 @@ from pyspark.sql import functions as F
 
 from sievelake.llm.common import batches, written
 
-UNITS = "doc_id long, start int, end int, words int, digest binary"
+UNIT = re.compile(r"[^.!?\n]*[.!?]*[ \t\n\r\f]*")
+WORD = re.compile(r"[^\W_]+")
+UNITS = "doc_id long, text_key long, nth int, start int, end int, words int, digest binary"
+SPANS = "array<struct<start: int, end: int, words: int, kept_doc_id: long, kept_start: int>>"
 
 
-def lines(text: str) -> Iterator[tuple[int, int, str]]:
-    """(start, end, normalised) of each line, without its line end."""
-    at = 0
-    for line in text.split("\n"):
-        yield at, at + len(line), " ".join(line.lower().split())
-        at += len(line) + 1
+def pieces(text: str) -> Iterator[tuple[int, int, list[str]]]:
+    """(start, end, words) of each unit with a word; units and their white space tile the text."""
+    for m in UNIT.finditer(text):
+        if words := WORD.findall(m.group().lower()):
+            yield m.start(), m.end(), words
 
 
-def units(docs: DataFrame, least_words: int, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def units(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     batches(docs.sparkSession)
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh3_128_digest
+
         for frame in frames:
-            out: tuple[list, ...] = ([], [], [], [], [])
-            for doc, text in zip(frame.column(0).to_pylist(), frame.column(1).to_pylist(), strict=True):
-                for start, end, line in lines(text or ""):
-                    if (n := line.count(" ") + 1) >= least_words and line:
-                        for column, x in zip(out, (doc, start, end, n, blake2b(line.encode("utf-8", "replace"), digest_size=16).digest()), strict=True):
-                            column.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), *(pa.array(x, pa.int32()) for x in out[1:4]), pa.array(out[4], pa.binary())], names=["doc_id", "start", "end", "words", "digest"])
+            out: tuple[list, ...] = ([], [], [], [], [], [], [])
+            for doc, key, text in zip(*(frame.column(k).to_pylist() for k in range(3)), strict=True):
+                for nth, (start, end, words) in enumerate(pieces(text or "")):
+                    for column, x in zip(out, (doc, key, nth, start, end, len(words), xxh3_128_digest(" ".join(words).encode("utf-8", "replace"))), strict=True):
+                        column.append(x)
+            kinds = (pa.int64(), pa.int64(), *[pa.int32()] * 4, pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=["doc_id", "text_key", "nth", "start", "end", "words", "digest"])
+
+    return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.xxhash64(F.col(text_column)).alias("text_key"), F.col(text_column).alias("text")).mapInArrow(run, UNITS)
+
+
+def runs(found: list[dict], least_words: int, least_unit: int) -> list[dict]:
+    """Spans to remove, from the later occurrences of one text in order."""
+    out: list[dict] = []
+    evidence, last = 0, None
+    own: list[dict] = []
+    for unit in [*found, None]:
+        if own and (unit is None or unit["nth"] != last + 1):
+            if evidence >= least_words:
+                out.append({"start": own[0]["start"], "end": own[-1]["end"], "words": sum(u["words"] for u in own), "kept_doc_id": own[0]["kept_doc_id"], "kept_start": own[0]["kept_start"]})
+            own, evidence = [], 0
+        if unit is not None:
+            own.append(unit)
+            evidence += unit["words"] if unit["words"] >= least_unit else 0
+            last = unit["nth"]
+    return out
+
+
+def repeats(docs: DataFrame, least_words: int = 10, least_unit: int = 4, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """doc_id, text_key (a hash of the text), spans: what is removed of each text that loses anything, in order.
+
+    A span's kept_doc_id and kept_start are where the first unit of it is kept.
+    """
+    found = written(units(docs, id_column, text_column), "units")
+    place = F.struct("doc_id", "text_key", "start")
+    # the keepers' side is a table with one row a digest, so a digest that fills a partition can be split on the other side
+    first = written(found.groupBy("digest").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "first-units")
+    later = found.join(first, "digest").where(~place.eqNullSafe(F.col("first")))
+    unit = F.struct("nth", "start", "end", "words", F.col("first.doc_id").alias("kept_doc_id"), F.col("first.start").alias("kept_start"))
+    by_text = later.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set(unit)).alias("units"))
 
-    return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")).mapInArrow(run, UNITS)
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for frame in frames:
+            spans = [runs(x, least_words, least_unit) for x in frame.column(2).to_pylist()]
+            keep = [k for k, x in enumerate(spans) if x]
+            kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("words", pa.int32()), ("kept_doc_id", pa.int64()), ("kept_start", pa.int32())]))
+            yield pa.RecordBatch.from_arrays([frame.column(0).take(pa.array(keep, pa.int64())), frame.column(1).take(pa.array(keep, pa.int64())), pa.array([spans[k] for k in keep], kind)], names=["doc_id", "text_key", "spans"])
+
+    return by_text.mapInArrow(run, f"doc_id long, text_key long, spans {SPANS}")
 
 
-def repeats(docs: DataFrame, least_words: int = 10, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """A row per removed occurrence: doc_id, start, end, words, kept_doc_id, kept_start."""
-    found = written(units(docs, least_words, id_column, text_column), "units")
-    first = found.groupBy("digest").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", F.col("first.doc_id").alias("kept_doc_id"), F.col("first.start").alias("kept_start"))
-    # the keepers' side has one row a digest, so a digest that fills a partition can be split on the other side
-    return found.join(first, "digest").where(~(F.col("doc_id").eqNullSafe(F.col("kept_doc_id")) & (F.col("start") == F.col("kept_start")))).select("doc_id", "start", "end", "words", "kept_doc_id", "kept_start")
+def cut(text: str, spans: list[dict]) -> str:
+    kept, end = [], 0
+    for span in spans:
+        kept.append(text[end : span["start"]])
+        end = span["end"]
+    out = "".join(kept) + text[end:]
+    return out if out.strip() else ""
 
 
-def remove(docs: DataFrame, spans: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """docs with the spans (and the line end after each) cut out of their texts; a text left blank becomes empty."""
+def remove(docs: DataFrame, spans: DataFrame, id_column: str = "doc_id", text_column: str = "text", spans_column: str | None = None) -> DataFrame:
+    """docs without the spans that `repeats` found; a text left blank becomes empty. With `spans_column` the spans stay, as its value."""
     batches(docs.sparkSession)
-    own = spans.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("_spans")).withColumnRenamed("doc_id", "_doc")
-    joined = docs.join(own, docs[id_column].eqNullSafe(own["_doc"]), "left").drop("_doc")
-    at, names = docs.columns.index(text_column), docs.columns
+    names = docs.columns
+    own = spans.select(F.col("doc_id").alias("_of_id"), F.col("text_key").alias("_of_text"), F.col("spans").alias("_spans"))
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names)])  # so that no name of theirs clashes
+    ident, text = f"c{names.index(id_column)}", f"c{names.index(text_column)}"
+    joined = rows.join(own, F.col(ident).cast("long").eqNullSafe(F.col("_of_id")) & (F.xxhash64(text) == F.col("_of_text")), "left").drop("_of_id", "_of_text")
+    at = names.index(text_column)
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:
-            texts = []
-            for text, cut in zip(frame.column(at).to_pylist(), frame.column(len(names)).to_pylist(), strict=True):
-                if text and cut:
-                    kept, end = [], 0
-                    for span in cut:
-                        kept.append(text[end : span["start"]])
-                        end = max(end, min(len(text), span["end"] + 1))
-                    text = "".join(kept) + text[end:]
-                    text = text if text.strip() else ""
-                texts.append(text)
-            yield pa.RecordBatch.from_arrays([*frame.columns[:at], pa.array(texts, pa.string()), *frame.columns[at + 1 : len(names)]], names=names)
-
-    return joined.mapInArrow(run, docs.schema)
+            texts = [cut(t, s) if t and s else t for t, s in zip(frame.column(at).to_pylist(), frame.column(len(names)).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*frame.columns[:at], pa.array(texts, pa.string()), *frame.columns[at + 1 :]], names=frame.schema.names)
+
+    out = joined.mapInArrow(run, joined.schema)
+    return out.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(names)], *([F.col("_spans").alias(spans_column)] if spans_column else []))

@@ -11,6 +11,8 @@ from tests.llm.conftest import DOCS, prose
 from tests.llm.test_classifiers import SYLLABLES
 from tests.llm.test_decontaminate import brute as alignment
 from tests.llm.test_near_dedup import brute as classes
+from tests.llm.test_substring_dedup import brute as repeated
+from tests.llm.test_substring_dedup import left
 
 LINE = prose(4242, 55)
 ITEMS = [prose(900 + i, 30) for i in range(4)]
@@ -37,20 +39,10 @@ def plain(spark, path, docs):
     ids = sorted(kept)
     label = classes([kept[i] for i in ids])
     kept = {i: kept[i] for k, i in enumerate(ids) if label[k] == k}
-    seen, cut = set(), {}
-    for i in sorted(kept):
-        out = []
-        lines = kept[i].split("\n")
-        for n, line in enumerate(lines):
-            key = " ".join(line.lower().split())
-            end = "\n" if n < len(lines) - 1 else ""
-            if len(key.split()) >= 10 and key in seen:
-                continue
-            seen.add(key)
-            out.append(line + end)
-        text = "".join(out)
-        if text.strip():
-            cut[i] = text
+    ids = sorted(kept)
+    spans = repeated([kept[i] for i in ids])
+    cut = {i: left(kept[i], spans.get(k, [])) for k, i in enumerate(ids)}
+    cut = {i: t for i, t in cut.items() if t.strip()}
     clean = {}
     for i, t in cut.items():
         words = near_dedup.normalise(t)
