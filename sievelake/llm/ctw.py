@@ -11,7 +11,7 @@ at most 256 * 255 rows, are finished on the driver. Probabilities travel back to
 and score their documents there.
 
 The text that is scored is the sequence of its lower-cased words, each with a space after it, and an end mark; contexts
-before a text's start hold the end mark. A context that training never met adds no estimate, so its parents' mixture
+before a text's start hold the end mark. Words are told apart by 64-bit hashes. A context that training never met adds no estimate, so its parents' mixture
 stands.
 
 Defined results: null and empty texts are the end mark alone; repeated rows are scored (and learned) each; without
@@ -21,7 +21,7 @@ training documents every bit has probability 1/2; empty tables give no rows; ext
 from __future__ import annotations
 
 import math
-import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,9 +30,14 @@ from pyspark.sql import functions as F
 
 from sievelake.llm.common import batches, written
 
-WORD = re.compile(rb"[^\x20\x09-\x0D]+")
-LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
+SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 END = 0xFF  # no byte of UTF-8
+#: Bytes that are worked on at once.
+STEP = 1 << 20
+_LETTER = np.random.default_rng(5).integers(1, 2**63, 256, dtype=np.uint64)
+_LETTER[[0x20, END]] = 0
+_FACTOR = 0x9E3779B97F4A7C15
 _TABLE = 1024
 _HALVES = np.array([math.lgamma(n + 0.5) for n in range(_TABLE)])
 _WHOLES = np.array([math.lgamma(n + 1.0) for n in range(_TABLE)])
@@ -50,18 +55,65 @@ def log_kt(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
     return log_gamma(n0, 0.5, _HALVES) + log_gamma(n1, 0.5, _HALVES) - math.log(math.pi) - log_gamma(n0 + n1, 1.0, _WHOLES)
 
 
-def words(text: str | None) -> list[bytes]:
-    return WORD.findall((text or "").encode("utf-8", "replace").translate(LOWER))
-
-
-def keys(tokens: list[bytes], depth: int) -> np.ndarray:
-    """A number per byte of the text: its contexts, the latest byte first, then the byte itself."""
-    raw = np.frombuffer(bytes([END]) * depth + b"".join(t + b" " for t in tokens) + bytes([END]), np.uint8)
-    n = len(raw) - depth
-    key = np.zeros(n, np.int64)
-    for d in range(1, depth + 1):
-        key = key << 8 | raw[depth - d : depth - d + n]
-    return key << 8 | raw[depth:]
+class Batch:
+    """The bytes that are scored of some texts, one text after another: words with a space after each, and an end mark."""
+
+    def __init__(self, texts: list[str | None], depth: int):
+        raw = [bytes([END]) * depth + (t or "").encode("utf-8", "replace") + bytes([0x20, END]) for t in texts]
+        whole = LOWER[np.frombuffer(b"".join(raw), np.uint8)]
+        space = SPACE[whole]
+        keep = ~space
+        keep[1:] |= keep[:-1] & (whole[:-1] != END)  # of white space, what stands right after a word
+        starts = np.concatenate(([0], np.cumsum([len(x) for x in raw])[:-1])).astype(np.int64)
+        self.depth = depth
+        self.sizes = np.add.reduceat(keep, starts, dtype=np.int64) - depth
+        whole[space] = 0x20
+        self.padded = whole[keep]  # with the end marks before each text
+        own = np.ones(len(self.padded), bool)
+        at = np.concatenate(([0], np.cumsum(self.sizes + depth)[:-1]))
+        own[(at[:, None] + np.arange(depth)).ravel()] = False
+        self.places = np.flatnonzero(own)
+        self.doc = np.repeat(np.arange(len(texts)), self.sizes)
+
+    def keys(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(text, key) of each byte; a key is its contexts, the latest byte first, then the byte itself."""
+        for a in range(0, len(self.places), STEP):
+            at = self.places[a : a + STEP]
+            key = np.zeros(len(at), np.int64)
+            for d in range(1, self.depth + 1):
+                key = key << 8 | self.padded[at - d]
+            yield self.doc[a : a + STEP], key << 8 | self.padded[at]
+
+    def words(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(text, 64-bit hash) of each word: a polynomial in its bytes."""
+        raw = self.padded[self.places]
+        ends = np.flatnonzero((raw == 0x20) | (raw == END))
+        starts = np.concatenate(([0], ends[:-1] + 1))
+        sizes = ends + 1 - starts
+        power = np.full(int(sizes.max(initial=1)), _FACTOR, np.uint64).cumprod(dtype=np.uint64)
+        cuts = np.unique(np.searchsorted(starts, np.arange(0, len(raw) + STEP, STEP)))
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            first, n = starts[a:b], sizes[a:b]
+            part = raw[first[0] : first[0] + n.sum()]
+            place = np.arange(len(part)) - np.repeat(first - first[0], n)
+            found = np.add.reduceat(_LETTER[part] * power[place], first - first[0])
+            found = (found ^ found >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+            word = raw[ends[a:b]] == 0x20
+            yield self.doc[ends[a:b][word]], (found ^ found >> np.uint64(32)).view(np.int64)[word]
+
+
+def in_batches(*columns: list) -> Iterator[tuple[list, ...]]:
+    """Rows of (text, ...) together up to STEP characters; a longer text is a batch of its own."""
+    rows: list[tuple] = []
+    size = 0
+    for row in zip(*columns, strict=True):
+        if rows and size + len(row[0] or "") > STEP:
+            yield tuple(map(list, zip(*rows, strict=True)))
+            rows, size = [], 0
+        rows.append(row)
+        size += len(row[0] or "") + 16
+    if rows:
+        yield tuple(map(list, zip(*rows, strict=True)))
 
 
 def summed(of: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -138,10 +190,8 @@ def part_of_key(key: np.ndarray, depth: int, parts: int) -> np.ndarray:
     return (key >> 8 * (depth - 1)) * 40503 % 65521 % parts
 
 
-def part_of_word(word: bytes, parts: int) -> int:
-    from zlib import crc32
-
-    return crc32(word) % parts
+def part_of_word(word: np.ndarray, parts: int) -> np.ndarray:
+    return (word & 0xFFFFFFFF) % parts
 
 
 class _Counts:
@@ -158,55 +208,61 @@ class _Counts:
             self.settle()
 
     def settle(self) -> None:
-        met = [np.unique(np.concatenate(x), return_counts=True) if x else (np.zeros(0, np.int64),) * 2 for x in self.pending]
+        met = [_distinct(np.concatenate(x)) if x else (np.zeros(0, np.int64),) * 2 for x in self.pending]
         self.pending, self.size = ([], []), 0
-        own = np.concatenate((self.key, met[0][0], met[1][0]))
-        n = np.concatenate((self.count, np.zeros(len(met[0][0]), np.int64), met[1][1]))
-        order = np.argsort(own, kind="stable")
-        own, n = own[order], n[order]
-        first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1]))) if len(own) else np.zeros(0, np.int64)
-        self.key, self.count = own[first], np.add.reduceat(n, first) if len(first) else n
+        self.key, self.count = merged([(self.key, self.count), (met[0][0], np.zeros(len(met[0][0]), np.int64)), met[1]])
+
+
+def _distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    key = np.sort(key)
+    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
+    return key[first], np.diff(np.concatenate((first, [len(key)])))
+
+
+def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, ascending, and the sums of their counts: one sort for all parts."""
+    key = np.concatenate([np.zeros(0, np.int64), *(k for k, _ in parts)])
+    n = np.concatenate([np.zeros(0, np.int64), *(c for _, c in parts)]).astype(np.int64)
+    order = np.argsort(key)
+    key, n = key[order], n[order]
+    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
+    return key[first], np.add.reduceat(n, first) if len(first) else n
 
 
 def _gather(table: pa.Table, depth: int, parts: int) -> pa.Table:
-    """A row for each part: the chunk's distinct keys and words with their training counts."""
-    counts, word_counts, ends = _Counts(), {}, 0
-    for learn, text in zip(table["learn"].to_pylist(), table["text"], strict=True):
-        tokens = words(text.as_py())
-        counts.add(keys(tokens, depth), learn)
-        ends += learn
-        for w in tokens:
-            word_counts[w] = word_counts.get(w, 0) + learn
+    """A row for each part that the chunk has something for: its distinct keys and words with their training counts."""
+    counts, word_counts, ends = _Counts(), _Counts(), 0
+    for texts, learn in in_batches(table["text"].to_pylist(), table["learn"].to_pylist()):
+        batch, learned = Batch(texts, depth), np.array(learn, bool)
+        ends += int(learned.sum())
+        for into, found in ((counts, batch.keys()), (word_counts, batch.words())):
+            for doc, x in found:
+                for learns in (False, True):
+                    into.add(x[learned[doc] == learns], learns)
     counts.settle()
-    part = part_of_key(counts.key, depth, parts)
-    by_part: list[list[bytes]] = [[] for _ in range(parts)]
-    for w in word_counts:
-        by_part[part_of_word(w, parts)].append(w)
+    word_counts.settle()
+    split = []
+    for of, part in ((counts, part_of_key(counts.key, depth, parts)), (word_counts, part_of_word(word_counts.key, parts))):
+        order = np.argsort(part, kind="stable")
+        bounds = np.searchsorted(part[order], np.arange(parts + 1))
+        split.append((of.key[order], of.count[order].astype(np.int32), bounds))
     rows = []
     for p in range(parts):
-        own = part == p
-        rows.append((table["chunk"][0].as_py(), p, planes(counts.key[own]), planes(counts.count[own].astype(np.int32)), b" ".join(by_part[p]), planes(np.array([word_counts[w] for w in by_part[p]], np.int32)), ends if p == 0 else 0))
+        own = [x[bounds[p] : bounds[p + 1]] for key, n, bounds in split for x in (key, n)]
+        if p == 0 or len(own[0]) or len(own[2]):
+            rows.append((table["chunk"][0].as_py(), p, *map(planes, own), ends if p == 0 else 0))
     return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), *[pa.binary()] * 4, pa.int64()), strict=True)], names=["chunk", "part", "keys", "counts", "words", "word_counts", "ends"])
 
 
-def _merged_words(table: pa.Table) -> dict[bytes, int]:
-    total: dict[bytes, int] = {}
-    for raw, n in zip(table["words"], table["word_counts"], strict=True):
-        if raw := raw.as_py():
-            for w, c in zip(raw.split(b" "), unplaned(n.as_py(), "i4").tolist(), strict=True):
-                total[w] = total.get(w, 0) + c
-    return total
-
-
-def _merged_keys(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    key, count = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    for raw, n in zip(table["keys"], table["counts"], strict=True):
-        key, _, count = summed(np.concatenate((key, unplaned(raw.as_py(), "i8"))), np.concatenate((count, unplaned(n.as_py(), "i4").astype(np.int64))))
-    return key, count
+def _merged(table: pa.Table, keys: str, counts: str) -> tuple[np.ndarray, np.ndarray]:
+    return merged([(unplaned(k.as_py(), "i8"), unplaned(n.as_py(), "i4")) for k, n in zip(table[keys], table[counts], strict=True)])
 
 
 def score(docs: DataFrame, learns: Column, depth: int = 5, chunk_bytes: int = 32 << 20, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """doc_id, n_tokens, n_known, train_tokens, base_score, score of every row; `learns` marks the training rows."""
+    """doc_id, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte of every row; `learns` marks the training rows.
+
+    bits_per_byte is the code length of the text's bytes, its end mark among them, over their number.
+    """
     spark = docs.sparkSession
     batches(spark)
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"), F.coalesce(learns, F.lit(False)).alias("learn"))
@@ -218,10 +274,10 @@ def score(docs: DataFrame, learns: Column, depth: int = 5, chunk_bytes: int = 32
 
     def top(table: pa.Table) -> pa.Table:
         """Additive shares of the nodes of depth 1, and of the token totals (node -1)."""
-        key, count = _merged_keys(table)
-        names = _merged_words(table)
+        key, count = _merged(table, "keys", "counts")
+        _, of_words = _merged(table, "words", "word_counts")
         ends = sum(table["ends"].to_pylist())
-        out = [(-1, sum(names.values()) + ends, sum(map(bool, names.values())), float(ends))]
+        out = [(-1, int(of_words.sum()) + ends, int(np.count_nonzero(of_words)), float(ends))]
         if len(key):
             node, n0, n1, weighted = Tree(key, count, depth, min(2, depth)).summary()
             up, _, n0, n1, sums = summed((node >> 16) << 8 | node & 255, n0, n1, weighted)
@@ -237,46 +293,46 @@ def score(docs: DataFrame, learns: Column, depth: int = 5, chunk_bytes: int = 32
 
     def answer(left: pa.Table) -> pa.Table:
         """Probabilities and word counts for each chunk's own keys and words."""
-        key, count = _merged_keys(left)
-        names = _merged_words(left)
+        key, count = _merged(left, "keys", "counts")
+        names, of_words = _merged(left, "words", "word_counts")
         if len(key):
             tree = Tree(key, count, depth, min(2, depth))
             node = tree.levels[-1][0]
             at = np.searchsorted(state[0], (node >> 16) << 8 | node & 255)
             log10 = tree.log10(*(x[at] for x in state[1:]))
         out = []
-        for chunk, raw, own in zip(left["chunk"].to_pylist(), left["keys"], left["words"], strict=True):
-            mine = unplaned(raw.as_py(), "i8")
-            own = own.as_py()
-            out.append((chunk, raw.as_py(), planes(log10[np.searchsorted(key, mine)]) if len(mine) else b"", own, planes(np.array([names[w] for w in own.split(b" ")] if own else [], np.int64))))
+        for chunk, raw, words in zip(left["chunk"].to_pylist(), left["keys"], left["words"], strict=True):
+            mine, own = unplaned(raw.as_py(), "i8"), unplaned(words.as_py(), "i8")
+            out.append((chunk, raw.as_py(), planes(log10[np.searchsorted(key, mine)]) if len(mine) else b"", words.as_py(), planes(of_words[np.searchsorted(names, own)]) if len(own) else b""))
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), *[pa.binary()] * 4), strict=True)], names=["chunk", "keys", "log10", "words", "word_counts"])
 
     answers = gathered.groupBy("part").applyInArrow(answer, "chunk long, keys binary, log10 binary, words binary, word_counts binary")
     unit = math.log10(tokens + 0.1 * (known + 1)) if tokens else math.log10(0.1 * (known + 1))
 
     def final(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: list[tuple] = []
-        if left.num_rows:
-            key = [unplaned(x.as_py(), "i8") for x in right["keys"]]
-            order = np.argsort(key := np.concatenate(key) if key else np.zeros(0, np.int64), kind="stable")
-            key, log10 = key[order], np.concatenate([unplaned(x.as_py(), "f8") for x in right["log10"]])[order]
-            index: dict[bytes, int] = {}
-            for raw in right["words"]:
-                if raw := raw.as_py():
-                    for w in raw.split(b" "):
-                        index[w] = len(index)
-            n = np.concatenate([unplaned(x.as_py(), "i8") for x in right["word_counts"]] or [np.zeros(0, np.int64)])
-            logs, met = np.log10(n + 0.1) - unit, n > 0
-            end = math.log10(ends + 0.1) - unit
-            for doc, text in zip(left["doc_id"].to_pylist(), left["text"], strict=True):
-                own = words(text.as_py())
-                at = np.fromiter(map(index.__getitem__, own), np.int64, len(own))
-                got = log10[np.searchsorted(key, keys(own, depth))].sum()
-                out.append((doc, len(own) + 1, int(met[at].sum()) + (ends > 0), tokens, float(logs[at].sum()) + end, float(got)))
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 6, kinds, strict=True)], names=["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-
-    return chunked.drop("learn").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(final, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+        import pandas as pd
+
+        whole = lambda name, kind: np.concatenate([np.zeros(0, kind), *(unplaned(x.as_py(), kind) for x in right[name])])
+        index, log10 = pd.Index(whole("keys", "i8")), whole("log10", "f8")
+        names, n = pd.Index(whole("words", "i8")), whole("word_counts", "i8")
+        logs, met = np.log10(n + 0.1) - unit, n > 0
+        end = math.log10(ends + 0.1) - unit
+        out: list[tuple] = [(np.zeros(0, np.int64),) * 4 + (np.zeros(0),) * 3]
+        for texts, docs in in_batches(left["text"].to_pylist(), left["doc_id"].to_pylist()):
+            batch, k = Batch(texts, depth), len(texts)
+            tokens_of, known_of, base, got = np.ones(k, np.int64), np.full(k, int(ends > 0)), np.full(k, end), np.zeros(k)
+            for doc, word in batch.words():
+                at = names.get_indexer(word)
+                tokens_of += np.bincount(doc, minlength=k)
+                known_of += np.bincount(doc, met[at], k).astype(np.int64)
+                base += np.bincount(doc, logs[at], k)
+            for doc, key in batch.keys():
+                got += np.bincount(doc, log10[index.get_indexer(key)], k)
+            out.append((docs, tokens_of, known_of, np.full(k, tokens), base, got, -got * math.log2(10) / batch.sizes))
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64())
+        return pa.Table.from_arrays([pa.chunked_array([pa.array(x, t) for x in c], t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"])
+
+    return chunked.drop("learn").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(final, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double")
 
 
 def _top_state(above: dict[int, tuple]) -> tuple[np.ndarray, ...]:

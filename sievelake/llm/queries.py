@@ -69,7 +69,7 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     found = ctw.score(docs, crc_mod("doc_id", 10) != 0)
-    return found.select("doc_id", held_out("doc_id", 10), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return found.select("doc_id", held_out("doc_id", 10), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -1,8 +1,11 @@
 import math
+import re
 import zlib
 from collections import Counter
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from sievelake.llm import ctw
@@ -10,6 +13,14 @@ from sievelake.llm import ctw
 TEXTS = ["the cat sat on the mat", "The dog sat", None, "", "zebra quartz!", "the the the cat\n\nmat"] + [f"cat number {i % 7} sat" for i in range(40)]
 
 
+def words(text):
+    return re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode("utf-8", "replace").translate(bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))))
+
+
+def raw_of(text, depth):
+    return bytes([ctw.END]) * depth + b"".join(w + b" " for w in words(text)) + bytes([ctw.END])
+
+
 class Node:
     def __init__(self):
         self.n, self.kids = [0, 0], {}
@@ -63,24 +74,48 @@ def brute(train, texts, depth):
 def test_scores_against_brute_force(spark, make_docs, chunk_bytes):
     depth = 3
     got = {r.doc_id: r for r in ctw.score(make_docs(TEXTS, extra=True), F.col("doc_id") % 3 != 0, depth=depth, chunk_bytes=chunk_bytes).collect()}
-    raw = [bytes([ctw.END]) * depth + b"".join(w + b" " for w in ctw.words(t)) + bytes([ctw.END]) for t in TEXTS]
+    raw = [raw_of(t, depth) for t in TEXTS]
     want = brute([x for i, x in enumerate(raw) if i % 3], raw, depth)
     tokens = Counter()
     for i, t in enumerate(TEXTS):
         if i % 3:
-            tokens.update([*ctw.words(t), None])
+            tokens.update([*words(t), None])
     n, v = sum(tokens.values()), len(tokens)
     for i, t in enumerate(TEXTS):
-        own = [*ctw.words(t), None]
+        own = [*words(t), None]
         assert got[i].score == pytest.approx(want[i], rel=1e-6)
+        assert got[i].bits_per_byte == pytest.approx(-want[i] * math.log2(10) / (len(raw[i]) - depth), rel=1e-6)
         assert got[i].base_score == pytest.approx(sum(math.log10((tokens[w] + 0.1) / (n + 0.1 * (v + 1))) for w in own))
         assert (got[i].n_tokens, got[i].n_known, got[i].train_tokens) == (len(own), sum(tokens[w] > 0 for w in own), n)
 
 
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text(st.sampled_from("aB \t\n\x0b\x1cé\u2003zq"), max_size=30)), min_size=1, max_size=6), st.sampled_from([3, 1 << 20]))
+def test_batches_hold_the_words_and_contexts_of_each_text(texts, step):
+    before, ctw.STEP = ctw.STEP, step
+    try:
+        found = list(ctw.in_batches(texts))
+        assert [t for own, in found for t in own] == texts
+        for own, in found:
+            batch = ctw.Batch(own, 2)
+            keys, hashed = [[] for _ in own], [[] for _ in own]
+            for into, parts in ((keys, batch.keys()), (hashed, batch.words())):
+                for doc, x in parts:
+                    for d, v in zip(doc.tolist(), x.tolist(), strict=True):
+                        into[d].append(v)
+            for d, t in enumerate(own):
+                raw = raw_of(t, 2)
+                assert keys[d] == [raw[i - 1] << 16 | raw[i - 2] << 8 | raw[i] for i in range(2, len(raw))]
+                assert hashed[d] == [v for w in words(t) for _, x in ctw.Batch([w.decode()], 2).words() for v in x.tolist()]
+    finally:
+        ctw.STEP = before
+    assert len({v for w in ("ab", "ba", "a", "b", "aa") for _, x in ctw.Batch([w], 2).words() for v in x.tolist()}) == 5
+
+
 def test_probabilities_of_all_bytes_sum_to_one():
     import numpy as np
 
-    key = ctw.keys([b"abab", b"abc"], 3)
+    key = np.concatenate([k for _, k in ctw.Batch(["abab abc"], 3).keys()])
     distinct, count = np.unique(key, return_counts=True)
     every = np.unique(np.concatenate((distinct, ((distinct[0] >> 8) << 8) + np.arange(256))))
     counts = np.zeros(len(every), np.int64)
