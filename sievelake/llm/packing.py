@@ -27,23 +27,27 @@ from pyspark.sql import functions as F
 from sievelake.llm.common import batches, written
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long"
-#: Entries of a worker's tables from strings to token ids; a full table is emptied.
-KEPT = 600_000
+#: Bytes of strings and token ids that a worker keeps, what an entry takes besides, and the longest string kept; a full table is emptied.
+KEPT, ENTRY, LONGEST_KEPT = 96 << 20, 190, 64
 #: Strings for which Python's re splits as the tokenizer's own pattern does: visible ASCII and the Latin-1 letters.
 SIMPLE = re.compile(r"[!-~À-ÖØ-öø-ÿ]*")
 PRE_TOKENS = re.compile(r"[a-zà-öø-ÿß]+|[0-9]|'s|'t|'re|'ve|'m|'ll|'d|[^\sa-zà-öø-ÿß0-9]+")
 
 
 class _Kept(dict):
-    """A string's token ids as bytes, made when first asked for."""
+    """A string's token ids as bytes, made when first asked for; bounded by what strings and ids measure together."""
 
     def __init__(self, make: Callable[[str], bytes]):
-        self.make = make
+        self.make, self.size = make, 0
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= KEPT:
-            self.clear()
-        ids = self[word] = self.make(word)
+        ids = self.make(word)
+        if len(word) <= LONGEST_KEPT:
+            self.size += ENTRY + len(word) + len(ids)
+            if self.size > KEPT:
+                self.clear()
+                self.size = ENTRY + len(word) + len(ids)
+            self[word] = ids
         return ids
 
 
@@ -51,10 +55,11 @@ _encoders: dict[str, Callable[[list[str]], list[bytes]]] = {}
 
 
 def word_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
-    """Texts to little-endian unsigned 32-bit token ids, by the tokenizer at `path` (lower case, words with ends).
+    """Texts to little-endian unsigned 32-bit token ids, by the tokenizer at `path` (lower case, words with ends), as it is loaded.
 
     The tokenizer never joins across white space, nor its model across pre-tokens; so strings between spaces, and their
-    pre-tokens, are encoded once in a worker process and kept.
+    pre-tokens, are encoded once in a worker process and kept, in one table: a pre-token alone is a string of one. Texts that
+    hold one of the tokenizer's special tokens, which it looks for first, are encoded whole.
     """
     if path in _encoders:  # one table for all tasks of a worker process
         return _encoders[path]
@@ -62,7 +67,8 @@ def word_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
     from tokenizers.pre_tokenizers import ByteLevel
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+    added = sorted({t.content.lower() for t in tokenizer.get_added_tokens_decoder().values()})
+    special = re.compile("|".join(map(re.escape, added)) or "(?!)", re.IGNORECASE)
     level = ByteLevel(add_prefix_space=False, use_regex=False)
     # the sign of each byte above ASCII is the last one of a character that ends in that byte
     marks = {b: level.pre_tokenize_str(bytes([0xC3, b]).decode())[0][0][-1] for b in range(0x80, 0xC0)}
@@ -72,17 +78,19 @@ def word_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
         raw = word if word.isascii() else word.encode().decode("latin-1").translate(marks)
         return array("I", [t.id for t in tokenizer.model.tokenize(raw)]).tobytes()
 
-    pre_tokens = _Kept(of_pre_token)
+    def whole(text: str) -> bytes:
+        return array("I", tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def of_string(text: str) -> bytes:
         if SIMPLE.fullmatch(text):
-            return b"".join(map(pre_tokens.__getitem__, PRE_TOKENS.findall(text.lower())))
-        return array("I", tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+            own = PRE_TOKENS.findall(text.lower())
+            return b"".join(kept[w] for w in own) if len(own) > 1 else b"".join(map(of_pre_token, own))
+        return whole(text)
 
     kept = _Kept(of_string)
 
     def encode(texts: list[str]) -> list[bytes]:
-        found = [b"".join(map(kept.__getitem__, t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "))) for t in texts]
+        found = [whole(t) if special.search(t) else b"".join(map(kept.__getitem__, t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "))) for t in texts]
         return found if sys.byteorder == "little" else [np.frombuffer(x, ">u4").astype("<u4").tobytes() for x in found]
 
     _encoders[path] = encode

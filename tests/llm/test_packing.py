@@ -19,9 +19,19 @@ def test_plan_places_every_piece_once(histogram):
         for n, q in pattern:
             placed[n] = placed.get(n, 0) + q * times
     assert placed == histogram
-    least = -(-sum(n * c for n, c in histogram.items()) // 64)
-    # no worse than best fit decreasing's guarantee
-    assert sum(t for _, t in patterns) <= 11 / 9 * max(least, sum(c for n, c in histogram.items() if n > 32)) + 2
+    # no worse than best fit decreasing's guarantee over what best fit decreasing itself needs
+    assert sum(t for _, t in patterns) <= 11 / 9 * best_fit_decreasing(histogram, 64) + 2
+
+
+def best_fit_decreasing(histogram, capacity):
+    rooms = []
+    for n in sorted((n for n, c in histogram.items() for _ in range(c)), reverse=True):
+        fits = [r for r in rooms if r >= n]
+        room = min(fits) if fits else capacity
+        if fits:
+            rooms.remove(room)
+        rooms.append(room - n)
+    return len(rooms)
 
 
 def test_configurations_solve_a_known_program():
@@ -34,8 +44,7 @@ def test_encoder_agrees_with_the_tokenizer():
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_file(tokenizer_path())
-    whole.encode_special_tokens = True
-    texts = ["", "   ", "it's we'll DON'T x'S", "naïve café ÀÉÎ ß × ÷ µ ª º ² ½", "日本語 テスト", "a b　c", "İ ΣΑΣ", "<|endoftext|> hi", "a\x1cb\x0bc", "12 $%^", "t\tn\r\nl", "é z​"]
+    texts = ["", "   ", "it's we'll DON'T x'S", "naïve café ÀÉÎ ß × ÷ µ ª º ² ½", "日本語 テスト", "a b　c", "İ ΣΑΣ", "<|endoftext|> hi", "hi <|endoftext|> there", "a<|startoftext|>b", "<|ENDOFTEXT|> x", "< |endoftext|>", "x" * 300, "a\x1cb\x0bc", "12 $%^", "t\tn\r\nl", "é z​"]
     for text, raw in zip(texts, packing.word_encoder(tokenizer_path())(texts), strict=True):
         assert np.frombuffer(raw, "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, text
 
@@ -62,5 +71,13 @@ def test_pack_round_trip(spark, make_docs, extra):
     assert len(by) <= -(-sum(by.values()) // 2048) + 2
 
 
+def test_kept_strings_are_bounded_in_bytes(monkeypatch):
+    monkeypatch.setattr(packing, "KEPT", 3000)
+    kept = packing._Kept(lambda w: w.encode())
+    for i in range(100):
+        assert kept[f"w{i}"] == f"w{i}".encode() and kept["y" * 100] == b"y" * 100
+        assert len(kept) <= 3000 // packing.ENTRY and "y" * 100 not in kept
+
+
 def test_empty_table(spark, make_docs):
     assert packing.pack(make_docs([]), lambda: packing.word_encoder(tokenizer_path())).count() == 0
