@@ -11,23 +11,41 @@ from sievelake.plans.shared import forget, written
 def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the smallest node that links lead to; only nodes with a link are listed.
 
-    Each round takes the smallest label among a node's neighbours, then the label of that label, so paths shorten by
-    more than half; every round is a written table, and only the count of changes reaches the driver. Nodes of very
-    many links are pre-aggregated before the shuffle by label and split by adaptive skew handling in the joins.
+    Each round points every node at its smallest neighbour, shortens the pointers until they end at a root, and puts roots
+    in place of the links' ends. Links inside a root's tree vanish, and every tree has two nodes or more, so at least half
+    of the nodes are gone after a round and the rounds work on ever smaller tables. All of them are written; only whether
+    anything is left reaches the driver. Nodes of very many links are pre-aggregated before the shuffle, and the pointers'
+    side of every join has one row a node, so adaptive execution can split the other.
     """
-    one = links.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null and a <> b")
-    both = written(one.union(one.select("b", "a")).distinct(), "links")
-    labels = written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component")), "labels")
+    one = links.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a is not null and b is not null and a <> b")
+    # greatest and least skip nulls, so a link with one end would be a loop, which goes
+    edges = written(one.distinct(), "links")
+    labels: DataFrame | None = None
+    while labels is None or edges.limit(1).count():
+        near = edges.union(edges.select("b", "a")).groupBy("a").agg(F.min("b").alias("m"))
+        roots = _rooted(written(near.select(F.col("a").alias("node"), F.least("a", "m").alias("component")), "pointers"))
+        of = lambda x: roots.select(F.col("node").alias(x), F.col("component").alias(f"of_{x}"))  # noqa: B023, E731
+        moved = edges.join(of("a"), "a").join(of("b"), "b").where("of_a <> of_b")
+        fewer = written(moved.select(F.least("of_a", "of_b").alias("a"), F.greatest("of_a", "of_b").alias("b")).distinct(), "links")
+        if labels is None:
+            labels, old = roots, []
+        else:
+            old = [labels, roots]
+            onward = roots.select(F.col("node").alias("at"), F.col("component").alias("to"))
+            labels = written(labels.join(onward, labels["component"] == onward["at"], "left").select("node", F.coalesce("to", "component").alias("component")), "labels")
+        forget(edges, *old)
+        edges = fewer
+    forget(edges)
+    return labels
+
+
+def _rooted(pointers: DataFrame) -> DataFrame:
+    """Pointers (node, component) followed to their ends, by doubling."""
     while True:
-        near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("component").alias("m"))
-        nearer = labels.join(near, labels["node"] == near["a"]).select("node", F.least("component", "m").alias("component"), F.col("component").alias("was"))
-        step = written(nearer, "labels")
-        jump = step.select(F.col("node").alias("at"), F.col("component").alias("to"))
-        new = written(step.join(jump, step["component"] == jump["at"], "left").select("node", F.least("component", F.coalesce("to", "component")).alias("component"), "was"), "labels")
-        done = new.where("component <> was").limit(1).count() == 0
-        forget(labels, step)
-        labels = new.select("node", "component")
-        labels._written = new._written
-        if done:
-            forget(both)
-            return labels
+        jump = pointers.select(F.col("node").alias("at"), F.col("component").alias("to"))
+        new = written(pointers.join(jump, pointers["component"] == jump["at"]).select("node", F.col("to").alias("component"), (F.col("to") != F.col("component")).alias("moved")), "pointers")
+        forget(pointers)
+        pointers = new.select("node", "component")
+        pointers._written = new._written
+        if not new.where("moved").limit(1).count():
+            return pointers

@@ -47,11 +47,20 @@ def forget(*frames: DataFrame) -> None:
             _forget(df.sparkSession, path)
 
 
+#: Shuffle files of an ended execution go at once, not when the driver's garbage is next collected.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, kind: str = "stage") -> DataFrame:
     """Cut the lineage with a table in the shared folder: an executor's loss then costs no recomputation."""
     spark = df.sparkSession
     path, schema = fresh_dir(spark, kind), df.schema
-    df.write.parquet(path)
+    before = spark.conf.get(CLEAN_UP, "false")
+    spark.conf.set(CLEAN_UP, "true")  # the plan is run this once
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEAN_UP, before)
     out = spark.read.schema(schema).parquet(path)
     out._written = path
     return out
