@@ -4,13 +4,16 @@ A text is its words (lower case, no punctuation); its k-mers are runs of `k` wor
 repeated k-mer counts each time. A sketch entry takes the `ell` labelled k-mers of smallest hash and keeps them in text
 order, so two texts agree on it only if they share those k-mers in the same order; that follows edit similarity, where
 plain MinHash follows sets. Bands of `rows` entries are bucket keys; the usual parameters are such that a pair at the least
-similarity meets in some bucket even if its edits are scattered (2 of 10 words changed at random leave a Jaccard share of
-about a third of the 3-mers, and 1 - (1 - J^2)^64 of the pairs meet). Candidates are verified by banded alignment: word edit
+similarity meets in some bucket even if its edits are scattered (2 of 10 words changed at random leave a Jaccard share J of
+a fifth of the 5-mers, and 1 - (1 - J^2)^128 of the pairs meet). Candidates are verified by banded alignment: word edit
 distance at most (1 - similarity) of the longer text.
 
-Equal word sequences are one representative from the start. A bucket links its members to its first one; the members
-that this leaves in other classes are numbered once in each bucket, and compared with the rest of it range by range of
-these numbers, PIVOTS a turn; after the last range no pair is left untested. No bucket and no class is capped, and no group of copies is expanded into pairs.
+Equal word sequences are one representative from the start. A bucket links its members to its first one. Where this leaves
+more than one class in a bucket, its members are dealt into blocks by a hash, and any two blocks of which one lies outside
+the bucket's largest class meet in a task of their own: there each pair of different classes is ruled out by bounds of
+the edit distance (lengths, and words and word pairs counted in hashed cells) or goes on to the alignment. So every pair
+that meets in a bucket is linked, in one class already, ruled out or aligned, whatever the size of the bucket; no bucket and no class is
+capped, no task holds more than two blocks, and no group of copies is expanded into pairs.
 
 Defined results: a text without a word (null and empty ones too) is a class of its own; a text of fewer than k words has
 one k-mer, all its words; repeated rows get the same class; empty tables give no rows; extra columns are ignored.
@@ -23,20 +26,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievelake.llm.common import batches, written
+from sievelake.llm.common import batches, forget, written
 from sievelake.plans.components import connected_components
 
 WORD = re.compile(r"[^\W_]+")
-#: Members outside a bucket's first class that are compared with the rest of the bucket in one turn.
-PIVOTS = 2048
-#: Cells of the word counts from which a distance is bounded without the texts.
-CELLS = 128
+#: Members of a block, about; two blocks of a bucket meet in one task.
+BLOCK = 4096
+#: Cells of the counts of words and of word pairs from which a distance is bounded without the texts.
+CELLS, PAIR_CELLS = 512, 256
 #: Bands whose buckets are compared before the others, so that a class is joined by few links for each member.
 FIRST_BANDS = 4
-WORDS_KEPT = 500_000
 
 
 def normalise(text: str | None) -> list[str]:
@@ -46,25 +48,30 @@ def normalise(text: str | None) -> list[str]:
 class Sketcher:
     """Order MinHash sketches of word sequences."""
 
-    def __init__(self, k: int = 3, ell: int = 2, entries: int = 64, rows: int = 1, seed: int = 7):
+    def __init__(self, k: int = 5, ell: int = 2, entries: int = 128, rows: int = 1, seed: int = 7):
         self.k, self.ell, self.entries, self.rows = k, ell, entries, rows
         rng = np.random.default_rng(seed)
-        self.mix = rng.integers(1, 2**63, entries, dtype=np.uint64) | np.uint64(1)
-        self.add = rng.integers(1, 2**63, entries, dtype=np.uint64)
+        self.mix = rng.integers(1, 2**32, entries, dtype=np.uint32) | np.uint32(1)
+        self.add = rng.integers(1, 2**32, entries, dtype=np.uint32)
         self.order = rng.integers(1, 2**63, ell, dtype=np.uint64) | np.uint64(1)
         self.place = rng.integers(1, 2**63, k, dtype=np.uint64) | np.uint64(1)
-        self.kept: dict[str, int] = {}
+        self.letter = rng.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
+        self.letter[32] = 0
+        self.power = np.full(64, 0x9E3779B97F4A7C15, np.uint64).cumprod(dtype=np.uint64)
 
     def numbers(self, words: list[str]) -> np.ndarray:
-        from xxhash import xxh3_64_intdigest
-
-        kept = self.kept
-        if len(kept) > WORDS_KEPT:
-            kept.clear()
-        for w in words:
-            if w not in kept:
-                kept[w] = xxh3_64_intdigest(w.encode("utf-8", "replace"))
-        return np.array([kept[w] for w in words], np.uint64)
+        """A 64-bit hash of each word: a polynomial in its UTF-8 bytes, all words at once."""
+        if not words:
+            return np.zeros(0, np.uint64)
+        raw = np.frombuffer((" ".join(words) + " ").encode("utf-8", "replace"), np.uint8)
+        ends = np.flatnonzero(raw == 32) + 1
+        starts = np.concatenate(([0], ends[:-1]))
+        sizes = ends - starts
+        if (longest := int(sizes.max())) > len(self.power):
+            self.power = np.full(2 * longest, 0x9E3779B97F4A7C15, np.uint64).cumprod(dtype=np.uint64)
+        found = np.add.reduceat(self.letter[raw] * self.power[np.arange(len(raw)) - np.repeat(starts, sizes)], starts)
+        found = (found ^ found >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+        return found ^ found >> np.uint64(32)
 
     def bands(self, words: list[str]) -> np.ndarray:
         """Signed 64-bit bucket keys, one a band."""
@@ -76,20 +83,29 @@ class Sketcher:
         for i in range(self.k):
             mers += n[i : i + size] * self.place[i]
         mers ^= mers >> np.uint64(31)
-        order = np.argsort(mers, kind="stable")
-        run = np.concatenate(([True], mers[order][1:] != mers[order][:-1]))
-        nth = np.empty(size, np.uint64)
-        at = np.arange(size)
-        nth[order] = at - np.maximum.accumulate(np.where(run, at, 0))
-        labelled = mers + nth * np.uint64(0x9E3779B97F4A7C15)
-        labelled ^= labelled >> np.uint64(29)
+        labelled = mers
+        ranked = np.sort(mers)
+        if (ranked[1:] == ranked[:-1]).any():
+            order = np.argsort(mers, kind="stable")
+            run = np.concatenate(([True], mers[order][1:] != mers[order][:-1]))
+            nth = np.empty(size, np.uint64)
+            at = np.arange(size)
+            nth[order] = at - np.maximum.accumulate(np.where(run, at, 0))
+            labelled = mers + nth * np.uint64(0x9E3779B97F4A7C15)
+        labelled = ((labelled ^ labelled >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(32)).astype(np.uint32)
         out = np.empty(self.entries, np.uint64)
         ell = min(self.ell, size)
-        for a in range(0, self.entries, 16):  # bounded memory for texts of any length
-            h = labelled[None, :] * self.mix[a : a + 16, None] + self.add[a : a + 16, None]
-            h ^= h >> np.uint64(32)
-            least = np.sort(np.argpartition(h, ell - 1, axis=1)[:, :ell], axis=1) if ell < size else np.broadcast_to(np.arange(size), (len(h), size))
-            out[a : a + 16] = (mers[least] * self.order[None, :ell]).sum(axis=1, dtype=np.uint64)
+        step = max(1, min(self.entries, (1 << 16) // size))  # as many entries at once as stay in the processor's cache
+        for a in range(0, self.entries, step):
+            h = labelled[None, :] * self.mix[a : a + step, None]
+            h += self.add[a : a + step, None]
+            row = np.arange(len(h))
+            least = np.empty((len(h), ell), np.int64)
+            for e in range(ell):  # the smallest, then the next smallest
+                least[:, e] = h.argmin(axis=1)
+                h[row, least[:, e]] = ~np.uint32(0)
+            least.sort(axis=1)
+            out[a : a + step] = (mers[least] * self.order[None, :ell]).sum(axis=1, dtype=np.uint64)
         out ^= out >> np.uint64(30)
         keys = np.zeros(self.entries // self.rows, np.uint64)
         for r in range(self.rows):
@@ -98,6 +114,14 @@ class Sketcher:
         keys ^= keys >> np.uint64(31)
         return (keys * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
 
+    def bag(self, words: list[str]) -> bytes:
+        """Counts of the words and of the pairs of neighbouring words by hashed cell, up to 15 each, two in a byte."""
+        n = self.numbers(words)
+        pairs = (n[:-1] * self.place[0] + n[1:]) * np.uint64(0x9E3779B97F4A7C15)
+        counts = [np.bincount((x >> np.uint64(40)).astype(np.int64) % size, minlength=size) for x, size in ((n, CELLS), (pairs, PAIR_CELLS))]
+        few = np.minimum(np.concatenate(counts), 15).astype(np.uint8)
+        return (few[0::2] | few[1::2] << 4).tobytes()
+
 
 def edits_within(a: list, b: list, most: int) -> int | None:
     """Edit distance of two sequences if it is at most `most`, else None: bit-parallel over a band of 2 * most + 1 diagonals."""
@@ -147,12 +171,11 @@ def edits_within(a: list, b: list, most: int) -> int | None:
     return distance if distance <= most else None
 
 
-def compared(a: list[str], b: list[str], similarity: float) -> tuple[bool, int, int | None]:
-    """(linked, a lower bound of the edit distance, the distance if linked)."""
+def similar(a: list[str], b: list[str], similarity: float) -> bool:
     longer = max(len(a), len(b))
     most = int((1 - similarity) * longer + 1e-9)
-    if (apart := abs(len(a) - len(b))) > most:
-        return False, apart, None
+    if abs(len(a) - len(b)) > most:
+        return False
     # no alignment keeps more words than the two have in common
     counts: dict[str, int] = {}
     for w in a:
@@ -162,38 +185,31 @@ def compared(a: list[str], b: list[str], similarity: float) -> tuple[bool, int,
         if c := counts.get(w, 0):
             counts[w] = c - 1
             common += 1
-    if longer - common > most:
-        return False, longer - common, None
-    distance = edits_within(a, b, most)
-    return (False, most + 1, None) if distance is None else (True, distance, distance)
-
-
-def similar(a: list[str], b: list[str], similarity: float) -> bool:
-    return compared(a, b, similarity)[0]
+    return longer - common <= most and edits_within(a, b, most) is not None
 
 
 def sketches(docs: DataFrame, sketcher: Sketcher, id_column: str, text_column: str) -> DataFrame:
-    """doc_id, digest of the words (null if there is none), number of words, bucket keys, counts of the words by hashed cell."""
+    """doc_id, digest of the words (null if there is none), number of words, bucket keys."""
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_digest
 
         for frame in frames:
-            digests, sizes, keys, bags = [], [], [], []
+            digests, sizes, keys = [], [], []
             for text in frame.column(1).to_pylist():
                 words = normalise(text)
                 sizes.append(len(words))
                 digests.append(xxh3_128_digest(" ".join(words).encode("utf-8", "replace")) if words else None)
                 keys.append(sketcher.bands(words) if words else None)
-                bags.append(np.bincount((sketcher.numbers(words) >> np.uint64(40)).astype(np.int64) % CELLS, minlength=CELLS).astype(np.int32) if words else None)
-            yield pa.RecordBatch.from_arrays([frame.column(0), pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64())), pa.array(bags, pa.list_(pa.int32()))], names=["doc_id", "digest", "words", "bands", "bag"])
+            yield pa.RecordBatch.from_arrays([frame.column(0), pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "digest", "words", "bands"])
 
-    return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")).mapInArrow(run, "doc_id long, digest binary, words int, bands array<long>, bag array<int>")
+    return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")).mapInArrow(run, "doc_id long, digest binary, words int, bands array<long>")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """a, b, linked, low, high of candidate pairs: bounds of their distance, high only if linked; texts by doc_id, once each."""
-    both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
+    """a, b, linked of candidate pairs; texts by doc_id, once each."""
+    of = lambda x: texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"t{x}"))
+    both = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "ta", "tb")
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple[str, list[str]] = ("", [])
@@ -202,106 +218,164 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
             for ta, tb in zip(frame.column(2).to_pylist(), frame.column(3).to_pylist(), strict=True):
                 if ta != last[0]:
                     last = (ta, ta.split(" "))
-                found.append(compared(last[1], tb.split(" "), similarity))
-            columns = [pa.array([x[k] for x in found], t) for k, t in enumerate((pa.bool_(), pa.int32(), pa.int32()))]
-            yield pa.RecordBatch.from_arrays([frame.column(0), frame.column(1), *columns], names=["a", "b", "linked", "low", "high"])
+                found.append(similar(last[1], tb.split(" "), similarity))
+            yield pa.RecordBatch.from_arrays([frame.column(0), frame.column(1), pa.array(found, pa.bool_())], names=["a", "b", "linked"])
 
-    return both.mapInArrow(run, "a long, b long, linked boolean, low int, high int")
+    return both.mapInArrow(run, "a long, b long, linked boolean")
 
 
 def classes(docs: DataFrame, similarity: float = 0.8, sketcher: Sketcher | None = None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id, class_id (the smallest id of the class), one row per row of docs with an id."""
     spark = docs.sparkSession
     batches(spark)
-    made = written(sketches(docs, sketcher or Sketcher(), id_column, text_column).where("doc_id is not null"), "sketches")
+    sketcher = sketcher or Sketcher()
+    made = written(sketches(docs, sketcher, id_column, text_column).where("doc_id is not null"), "sketches")
     # one representative per word sequence; only the smallest (id, keys) of a group travels
-    firsts = written(made.where("digest is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "words", "bands", "bag")).alias("f")).select("digest", "f.*"), "representatives")
+    firsts = written(made.where("digest is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "words", "bands")).alias("f")).select("digest", "f.*"), "representatives")
+    ids = written(made.select("doc_id", "digest"), "ids")
+    forget(made)
     rows = firsts.select(F.col("doc_id").alias("id"), "words", F.posexplode("bands").alias("band", "bucket"))
-    shared = rows.groupBy("bucket").agg(F.min(F.struct("id", "words")).alias("p"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = written(rows.join(shared.select("bucket", F.col("p.id").alias("pivot"), F.col("p.words").alias("wp")), "bucket"), "members")
-    texts = written(_texts(docs, members.select("id").distinct(), id_column, text_column), "candidate-texts")
-    fits = lambda x, y: F.least(x, y) >= F.greatest(x, y) * F.lit(similarity - 1e-9)
+    # one row a bucket, as a table, so that a bucket that fills a partition can be split on the members' side
+    shared = written(rows.groupBy("bucket").agg(F.min("id").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "buckets")
+    members = written(rows.join(shared, "bucket"), "members")
+    of_digest = written(firsts.select("digest", "doc_id", "words"), "ids")
+    forget(firsts, shared)
+    texts = written(_texts(docs, members.select("id").distinct(), sketcher, id_column, text_column), "candidate-texts")
     # each member against its bucket's pivot; later bands skip what the first ones have joined already
     labels, tested = None, None
+    sizes = of_digest.select(F.col("doc_id").alias("a"), F.col("words").alias("wa"))
+    fits = F.least("wa", "words") >= F.greatest("wa", "words") * F.lit(similarity - 1e-9)
     for bands in (F.col("band") < FIRST_BANDS, F.col("band") >= FIRST_BANDS):
-        pairs = members.where(bands & (F.col("id") != F.col("pivot")) & fits(F.col("words"), F.col("wp"))).select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
+        pairs = members.where(bands & (F.col("id") != F.col("pivot"))).select(F.col("pivot").alias("a"), F.col("id").alias("b"), "words").distinct().join(sizes, "a").where(fits).select("a", "b")
         if labels is not None:
             of = lambda x: labels.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))  # noqa: B023, E731
             pairs = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b").join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        fresh = written(verified(pairs, texts, similarity), "links")
-        tested = fresh if tested is None else tested.unionByName(fresh)
-        labels = connected_components(tested.where("linked"))
-    numbered = written(_numbered(members, labels).join(firsts.select(F.col("doc_id").alias("id"), "bag"), "id"), "numbered")
-    last = numbered.agg(F.max("nth")).first()[0] or 0
-    for start in range(0, last, PIVOTS):
-        rest = written(_rest(numbered, labels, tested, start), "rest")
-        fresh = written(verified(_untested(rest, tested, start, fits, similarity), texts, similarity), "links")
-        tested = tested.unionByName(fresh)
-        if fresh.where("linked").limit(1).count():
-            labels = connected_components(tested.where("linked"))
-    return _classes(made, firsts, labels)
-
-
-def _classes(made: DataFrame, firsts: DataFrame, labels: DataFrame) -> DataFrame:
-    of_digest = firsts.join(labels, firsts["doc_id"] == labels["node"], "left").select("digest", F.coalesce("component", "doc_id").alias("class_id"))
-    return made.join(of_digest, "digest", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
-
-
-def _texts(docs: DataFrame, needed: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """doc_id and words joined by spaces, of the needed ids, once each (repeated rows: the smallest text)."""
+        fresh = written(verified(pairs, texts, similarity), "compared")
+        labels, tested = _joined(labels, fresh), fresh if tested is None else tested.unionByName(fresh)
+    near = written(_close(_blocks(members, labels, texts), similarity).join(tested.select("a", "b"), ["a", "b"], "left_anti"), "close")
+    forget(members)
+    labels = _joined(labels, written(verified(near, texts, similarity), "compared"))
+    forget(texts)
+    of_digest = of_digest.join(labels, of_digest["doc_id"] == labels["node"], "left").select("digest", F.coalesce("component", "doc_id").alias("class_id"))
+    return ids.join(of_digest, "digest", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
+
+
+def _joined(labels: DataFrame | None, fresh: DataFrame) -> DataFrame:
+    """Classes after more links: each member so far holds on to its class by one link."""
+    links = fresh.where("linked").select("a", "b")
+    if labels is None:
+        return connected_components(links)
+    if not links.limit(1).count():
+        return labels
+    return connected_components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links))
+
+
+def _texts(docs: DataFrame, needed: DataFrame, sketcher: Sketcher, id_column: str, text_column: str) -> DataFrame:
+    """doc_id, words joined by spaces and their counts by cell, of the needed ids, once each (repeated rows: the smallest text)."""
     own = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")).join(needed, F.col("doc_id") == needed["id"], "left_semi")
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:
-            yield pa.RecordBatch.from_arrays([frame.column(0), pa.array([" ".join(normalise(t)) for t in frame.column(1).to_pylist()], pa.string())], names=["doc_id", "text"])
+            words = [normalise(t) for t in frame.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([frame.column(0), pa.array(map(len, words), pa.int32()), pa.array([" ".join(x) for x in words], pa.string()), pa.array(map(sketcher.bag, words), pa.binary())], names=["doc_id", "words", "text", "bag"])
 
-    return own.mapInArrow(run, "doc_id long, text string").groupBy("doc_id").agg(F.min("text").alias("text"))
+    made = own.mapInArrow(run, "doc_id long, words int, text string, bag binary")
+    return made.groupBy("doc_id").agg(F.min(F.struct("text", "words", "bag")).alias("f")).select("doc_id", "f.*")
 
 
-def _numbered(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members of buckets that hold more than one class: nth numbers, once and for all, those outside the bucket's first
-    class, `home`; of that class it is null."""
-    named = members.join(labels, members["id"] == labels["node"], "left").select("bucket", "pivot", "id", "words", F.coalesce("component", "id").alias("class"))
-    open_ = named.groupBy("bucket").agg(F.min("class").alias("home"), F.max("class").alias("last")).where("home <> last").select("bucket", "home")
-    own = named.join(open_, "bucket").withColumn("outside", F.col("class") != F.col("home")).drop("class")
-    order = Window.partitionBy("bucket", "outside").orderBy(F.xxhash64("id"), "id")
-    return own.where("outside").withColumn("nth", F.row_number().over(order)).unionByName(own.where("not outside").withColumn("nth", F.lit(None).cast("int"))).drop("outside")
-
-
-def _rest(numbered: DataFrame, labels: DataFrame, tested: DataFrame, start: int) -> DataFrame:
-    """The numbered members with their class of now, whether that is the bucket's home by now, and the bounds of their
-    distance to the bucket's pivot; of buckets with a number over `start`."""
-    going = numbered.groupBy("bucket").agg(F.max("nth").alias("last")).where(F.col("last") > start).select("bucket")
-    of = lambda x: labels.select(F.col("node").alias(x), F.col("component").alias(f"of_{x}"))
-    named = numbered.join(going, "bucket", "left_semi").join(of("id"), "id", "left").join(of("home"), "home", "left")
-    named = named.withColumn("class", F.coalesce("of_id", "id")).withColumn("at_home", F.col("class") == F.coalesce("of_home", "home"))
-    known = tested.select(F.col("a").alias("pivot"), F.col("b").alias("id"), "low", "high")
-    bounded = named.join(known, ["pivot", "id"], "left")
-    zero = F.when(F.col("id") == F.col("pivot"), 0)
-    return bounded.withColumn("low", F.coalesce("low", zero)).withColumn("high", F.coalesce("high", zero)).drop("home", "of_id", "of_home")
+def _blocks(members: DataFrame, labels: DataFrame, texts: DataFrame) -> DataFrame:
+    """bucket, i, j, block, id, class, words, bag, earlier: a row for each meeting (i, j) of two blocks that a member takes part in.
 
+    Only buckets of more than one class are left. Blocks of the largest class have negative numbers and meet the others,
+    not one another; a block's number is a hash, so no bucket is sorted or counted through in one task. A member's buckets,
+    at most one a band, are gathered before its counts are joined, so that those move once; `earlier` has those of the bands
+    before the bucket's own, as a pair that meets in several buckets is to be found in the first of them alone.
+    """
+    named = members.join(labels, members["id"] == labels["node"], "left").select("bucket", "band", "id", F.coalesce("component", "id").alias("class"))
+    sizes = named.groupBy("bucket", "class").agg(F.count(F.lit(1)).alias("n"))
+    open_ = sizes.groupBy("bucket").agg(F.max(F.struct("n", "class")).alias("h"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("classes")).where("classes > 1")
+    blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
+    open_ = open_.select("bucket", F.col("h.class").alias("largest"), blocks(F.col("h.n")).alias("inner"), blocks(F.col("all") - F.col("h.n")).alias("outer"))
+    home, deal = F.col("class") == F.col("largest"), lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    own = named.join(open_, "bucket").withColumn("block", F.when(home, -1 - deal("inner")).otherwise(deal("outer")))
+    by_id = own.groupBy("id").agg(F.first("class").alias("class"), F.collect_list(F.struct("band", "bucket", "block", "inner", "outer")).alias("all"))
+    found = by_id.join(texts.select(F.col("doc_id").alias("id"), "words", "bag"), "id").select("id", "class", "words", "bag", "all", F.explode("all").alias("at"))
+    before = F.transform(F.filter("all", lambda x: x["band"] < F.col("at.band")), lambda x: F.struct(x["band"].alias("band"), x["bucket"].alias("bucket")))
+    found = found.select("id", "class", "words", "bag", before.alias("earlier"), "at.*")
+    meeting = lambda i, j: F.struct(i.alias("i"), j.alias("j"))
+    outer, every, block = F.sequence(F.lit(0), F.col("outer") - 1), F.sequence(-F.col("inner"), F.col("outer") - 1), F.col("block")
+    met = F.when(block < 0, F.transform(outer, lambda x: meeting(x, block))).otherwise(F.transform(every, lambda x: meeting(F.greatest(x, block), F.least(x, block))))
+    return found.select("bucket", F.explode(met).alias("m"), "block", "id", "class", "words", "bag", "earlier").select("bucket", "m.i", "m.j", "block", "id", "class", "words", "bag", "earlier")
+
+
+def unpacked(bags: list[bytes]) -> np.ndarray:
+    """A row of counts for each of the bags."""
+    packed = np.frombuffer(b"".join(bags), np.uint8).reshape(len(bags), (CELLS + PAIR_CELLS) // 2)
+    counts = np.empty((len(bags), CELLS + PAIR_CELLS), np.uint8)
+    counts[:, 0::2], counts[:, 1::2] = packed & 15, packed >> 4
+    return counts
+
+
+def by_band(earlier: pa.ListArray) -> np.ndarray:
+    """A row of bucket keys by band for each list of (band, bucket); 0 where there is none."""
+    at, flat = np.repeat(np.arange(len(earlier)), earlier.value_lengths().to_numpy()), earlier.flatten()
+    band = flat.field(0).to_numpy()
+    out = np.zeros((len(earlier), int(band.max(initial=0)) + 1), np.int64)
+    out[at, band] = flat.field(1).to_numpy()
+    return out
+
+
+def close(block: np.ndarray, ident: np.ndarray, of: np.ndarray, words: np.ndarray, bags: np.ndarray, earlier: np.ndarray, i: int, j: int, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of members of blocks i and j, of different classes and without a bucket of an earlier band in common, whose distance the bounds leave within reach."""
+    order = np.argsort(words, kind="stable")
+    ident, of, words, bags, earlier, block = ident[order], of[order], words[order], bags[order], earlier[order], block[order]
+    ours, theirs = np.flatnonzero(block == i), np.flatnonzero(block == j)
+    if len(ours) > len(theirs):
+        ours, theirs = theirs, ours
+    sizes = words[theirs]
+    for x in ours.tolist():
+        n = int(words[x])
+        from_, to = np.searchsorted(sizes, [n * similarity - 1e-6, n / similarity + 1e-6], side="left")
+        other = theirs[from_:to]
+        other = other[(of[other] != of[x]) & (ident[other] > ident[x])] if i == j else other[of[other] != of[x]]
+        # an edit takes one word out of a cell, puts one into a cell, or both; of pairs of words, two at most
+        for at, reach in ((slice(None, CELLS), 1), (slice(CELLS, None), 2)):
+            if not len(other):
+                break
+            mine, theirs_bag = bags[x, at], bags[other, at]
+            most = reach * ((1 - similarity) * np.maximum(words[other], n) + 1e-9).astype(np.int64)
+            union = np.maximum(mine, theirs_bag)
+            other = other[((union - mine).sum(axis=1, dtype=np.int64) <= most) & ((union - theirs_bag).sum(axis=1, dtype=np.int64) <= most)]
+        if len(other) and len(bands := np.flatnonzero(earlier[x])):
+            other = other[~(earlier[np.ix_(other, bands)] == earlier[x, bands]).any(axis=1)]
+        if len(other):
+            yield np.minimum(ident[x], ident[other]), np.maximum(ident[x], ident[other])
 
-def _untested(rest: DataFrame, tested: DataFrame, start: int, fits, similarity: float) -> DataFrame:
-    """Pairs (a, b) of a bucket that lie in different classes, were not compared yet and may be close: one of them, the
-    turn's pivot, has a number over `start`, up to PIVOTS more, and is not at home.
 
-    Of two members in different classes one is not at home, so its turn compares the pair; members of smaller number that
-    are not at home have had their turn with all the others, and are left out of later ones.
+def _close(meetings: DataFrame, similarity: float) -> DataFrame:
+    """Distinct pairs a, b that the bounds do not rule out."""
 
-    The edit distance is a metric, so two bounds of distances to the bucket's pivot rule out a pair without its texts:
-    members of a large class are as far from a stranger as their pivot is, less their own distance to it.
-    """
-    turn = rest.where(~F.col("at_home") & (F.col("nth") > start) & (F.col("nth") <= start + PIVOTS))
-    pivots = turn.select("bucket", F.col("id").alias("x"), F.col("class").alias("cx"), F.col("words").alias("wx"), F.col("low").alias("lx"), F.col("high").alias("hx"), F.col("bag").alias("bx"))
-    others = rest.where(F.col("at_home") | (F.col("nth") > start))
-    most = F.floor(F.greatest("words", "wx") * F.lit(1 - similarity) + 1e-9)
-    far = F.coalesce(F.col("lx") - F.col("high") > most, F.lit(False)) | F.coalesce(F.col("low") - F.col("hx") > most, F.lit(False))
-    # an edit takes one word out of a cell, puts one into a cell, or both; the two sums differ by the difference of the lengths
-    surplus = F.aggregate(F.zip_with("bag", "bx", lambda p, q: F.greatest(p - q, F.lit(0))), F.lit(0), lambda a, b: a + b)
-    near = surplus + F.greatest(F.col("wx") - F.col("words"), F.lit(0)) <= most
-    met = others.join(pivots, "bucket").where((F.col("class") != F.col("cx")) & fits(F.col("words"), F.col("wx")) & ~far & near)
-    pairs = met.select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b")).distinct()
-    return pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def settled(parts: list[pa.Table]) -> Iterator[pa.RecordBatch]:
+            whole = pa.concat_tables(parts).combine_chunks()
+            columns = [whole.column(k).to_numpy() for k in range(7)]
+            for a, b in close(*columns[3:], unpacked(whole.column(7).to_pylist()), by_band(whole.column(8).combine_chunks()), int(columns[1][0]), int(columns[2][0]), similarity):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+        parts, last = [], None
+        for frame in frames:  # sorted by meeting, of which one is held at a time
+            keys = list(zip(*(frame.column(k).to_pylist() for k in range(3)), strict=True))
+            starts = [n for n in range(len(keys)) if not n or keys[n] != keys[n - 1]]
+            for at, end in zip(starts, [*starts[1:], len(keys)], strict=True):
+                if parts and keys[at] != last:
+                    yield from settled(parts)
+                    parts = []
+                last = keys[at]
+                parts.append(pa.Table.from_batches([frame.slice(at, end - at)]))
+        if parts:
+            yield from settled(parts)
+
+    return meetings.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(run, "a long, b long").distinct()
 
 
 def keep_first(docs: DataFrame, similarity: float = 0.8, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
