@@ -5,12 +5,12 @@ an item the rarest is a seed, so that no unbroken run of n + stretch - 1 shared
 words. Places in documents where seeds of one item gather are aligned with the item word by word; a passage is
 contaminated when its alignment score reaches `threshold` of what the item would score against itself.
 
-The items' table is the small side. Up to `most_items` words of it ride to the executors with the code (checked against its real
+The items' table is the small side. Up to `most_bytes` of its text ride to the executors with the code (checked against its real
 size); beyond that the items are taken in blocks of that size, each with its own passes over the corpus.
 
 Defined results: null and empty texts and items match nothing; an item shorter than n words is compared as a whole run
-of words; repeated rows are reported once per (document, item), with their best passage; empty tables give no rows; extra
-columns are ignored by `passages`.
+of words; repeated rows are reported once per (document, item), with their best passage, and documents without an id together,
+as rows of one; items without an id are left out; empty tables give no rows; extra columns are ignored by `passages`.
 """
 
 from __future__ import annotations
@@ -32,7 +32,13 @@ MATCH, MISMATCH, GAP = 2, -1, -1
 
 
 def words(text: str) -> list[str]:
-    return WORD.findall(text.lower())
+    low = text.lower()
+    return WORD.findall(low) if len(low) == len(text) else [w.lower() for w in WORD.findall(text)]
+
+
+def places(text: str) -> list[tuple[int, int]]:
+    """(start, end) of each word in the text as it is; lower case may be longer."""
+    return [m.span() for m in WORD.finditer(text)]
 
 
 def smith_waterman(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
@@ -158,14 +164,14 @@ def align(items: Items, numbers: np.ndarray, found: dict[int, list[int]], least:
             yield k, best[0] / (MATCH * n), int(np.isin(own, item).sum()), best[1], best[2]
 
 
-def passages(docs: DataFrame, benchmark: DataFrame, n: int = 3, stretch: int = 4, least: int = 2, threshold: float = 0.5, most_items: int = 4_000_000, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", item_text_column: str = "text") -> DataFrame:
+def passages(docs: DataFrame, benchmark: DataFrame, n: int = 3, stretch: int = 4, least: int = 2, threshold: float = 0.5, most_bytes: int = 16 << 20, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", item_text_column: str = "text") -> DataFrame:
     """doc_id, item_id, similarity, matches, start, end: the best contaminated passage of each document and item, in characters."""
     spark = docs.sparkSession
     batches(spark)
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
     tests = benchmark.select(F.col(item_column).cast("long").alias("item_id"), F.col(item_text_column).alias("text")).where("item_id is not null and text is not null")
-    size = tests.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
-    blocks = max(1, -(-size // most_items))
+    size = tests.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = max(1, -(-size // most_bytes))
     out = None
     for block in range(blocks):
         own = tests.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block) if blocks > 1 else tests
@@ -196,9 +202,8 @@ def _passages(rows: DataFrame, items: Items, stretch: int, least: int, threshold
                         found.setdefault(k, []).append(p - q)
                 spans = None
                 for k, similarity, matches, first, last in align(items, numbers, found, least, threshold):
-                    spans = spans or [m.span() for m in WORD.finditer(text.lower())]
-                    end = min(spans[last][1], len(text))
-                    out.append((doc, items.ids[k], similarity, matches, min(spans[first][0], end), end))
+                    spans = spans or places(text)
+                    out.append((doc, items.ids[k], similarity, matches, spans[first][0], spans[last][1]))
             kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32(), pa.int32())
             columns = zip(*out, strict=True) if out else [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["doc_id", "item_id", "similarity", "matches", "start", "end"])

@@ -43,10 +43,40 @@ def test_planted_passages(spark, make_docs):
     assert texts[1][one.start : one.end].lower() == items[0] and one.similarity == 1.0
 
 
+def test_offsets_are_those_of_the_text(spark, make_docs):
+    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    text = "İİİİ İstanbul " + item.title() + " end"
+    benchmark = spark.createDataFrame([(1, item), (2, "İstanbul " + prose(3, 20))], "item_id long, text string")
+    rows = decontaminate.passages(make_docs([text, "x İstanbul " + prose(3, 20) + " y"]), benchmark).collect()
+    assert {(r.doc_id, r.item_id): text[r.start : r.end] for r in rows if r.doc_id == 0} == {(0, 1): item.title()}
+    assert [(r.item_id, r.similarity, r.start) for r in rows if r.doc_id == 1] == [(2, 1.0, 2)]
+
+
+def test_passages_against_whole_alignments(spark, make_docs):
+    rng = random.Random(5)
+    items = [prose(2000 + i, 24 + 3 * i) for i in range(5)]
+    texts = []
+    for i in range(30):
+        words = items[i % 5].split()
+        for k in rng.sample(range(len(words)), int(len(words) * (i % 6) * 0.08)):
+            words[k] = "q" + str(k)
+        texts.append(prose(3000 + i, 30) + " " + " ".join(words) + " " + prose(4000 + i, 30))
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.similarity for r in decontaminate.passages(make_docs(texts), benchmark).collect()}
+    for d, text in enumerate(texts):
+        for k, item in enumerate(items):
+            a = decontaminate.words(item)
+            score = brute(a, decontaminate.words(text)) / (2 * len(a))
+            if score >= 0.6:
+                assert got[d, k] == score
+            elif score < 0.5:
+                assert (d, k) not in got
+
+
 def test_item_blocks_and_empty_tables(spark, make_docs):
     items = spark.createDataFrame([(i, prose(i, 40)) for i in range(10)], "item_id long, text string")
     docs = make_docs([prose(i, 40) for i in range(10)])
-    got = decontaminate.passages(docs, items, most_items=100).select("doc_id", "item_id").collect()
+    got = decontaminate.passages(docs, items, most_bytes=700).select("doc_id", "item_id").collect()
     assert sorted(map(tuple, got)) == [(i, i) for i in range(10)]
     assert decontaminate.passages(docs.limit(0), items).count() == 0
     assert decontaminate.passages(docs, items.limit(0)).count() == 0
