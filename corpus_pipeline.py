@@ -31,7 +31,7 @@ def near_deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def deduplicate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated lines go from all but the first document that has them; a text of which nothing is left goes."""
+    """Runs of repeated sentences go from all but the first document that has them; a text of which nothing is left goes."""
     cut = substring_dedup.remove(docs, substring_dedup.repeats(docs)).where("text <> ''")
     return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 
