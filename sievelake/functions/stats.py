@@ -61,5 +61,9 @@ def mode(name: str) -> Column:
 
 
 def hash_unit(*parts: str | Column, seed: int) -> Column:
-    """A number in [0, 1) that depends on the parts and the seed only, so it is the same on every run and cluster."""
-    return F.pmod(F.xxhash64(*parts, F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
+    """A number in [0, 1) that depends on the parts and the seed only, so it is the same on every run and cluster.
+
+    The first 48 bits of an MD5 of the parts as text, which any engine can work out again.
+    """
+    text = F.concat_ws("|", *(F.coalesce((F.col(x) if isinstance(x, str) else x).cast("string"), F.lit("")) for x in parts), F.lit(str(seed)))
+    return F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("double") / float(1 << 48)

@@ -93,7 +93,7 @@ class RandomImputer(Action):
 
         seed, key, out = self.params["random_state"] or 0, self._key(df), {}
         for c in columns:
-            own = df.select(number(c).alias("v"), F.xxhash64(*key, F.lit(c), F.lit(seed)).alias("h")).where("v is not null")
+            own = df.select(number(c).alias("v"), (hash_unit(*key, F.lit(c), seed=seed) * float(1 << 48)).cast("long").alias("h")).where("v is not null")
             if n := own.count():
                 dealt = own.withColumn("b", F.pmod("h", F.lit(-(-n // self.params["block"]))))
                 sizes, starts, at = dealt.groupBy("b").count().orderBy("b").collect(), [], 0
@@ -185,10 +185,11 @@ class KNNImputer(Action):
 
 
 class EMImputer(Action):
-    """Chained ridge regressions: nulls start at the mean and are predicted from the other columns, fewest nulls first.
+    """Chained ridge regressions: nulls start at the mean and are predicted from the other columns as filled so far, fewest nulls first.
 
-    Every regression is fitted from one aggregate row of sums of products; the filled values are expressions over the
-    raw columns of the previous round, which is written out so that plans stay short.
+    Every regression is fitted from one aggregate row of sums of products; each round's filled columns are written out, so that
+    plans stay short. Rounds end when no filled value moved by more than `tol` times the largest observed one, after
+    `max_iter` at most; other frames go through the same regressions in the same order.
     """
 
     DEFAULTS = {"max_iter": 20, "tol": 1e-3, "random_state": 42, "ridge": 1e-3}
@@ -196,53 +197,59 @@ class EMImputer(Action):
     ASCENDING = True
 
     def stat_exprs(self, df, columns):
-        return {f"{k}_{c}": e for c in columns for k, e in (("mean", F.avg(number(c))), ("sd", F.stddev_pop(number(c))), ("gaps", F.count(F.when(number(c).isNull(), 1))))}
+        return {f"{k}_{c}": e for c in columns for k, e in (("mean", F.avg(number(c))), ("sd", F.stddev_pop(number(c))), ("most", F.max(F.abs(number(c)))), ("gaps", F.count(F.when(number(c).isNull(), 1))))}
 
     def _order(self, columns, stats):
         own = [c for c in columns if stats[f"gaps_{c}"]]
         return sorted(own, key=lambda c: stats[f"gaps_{c}"], reverse=not self.ASCENDING)
 
     def settle(self, df, columns, stats):
+        from sievelake.plans.shared import forget, written
+
         columns = [c for c in columns if stats[f"mean_{c}"] is not None]
-        order = self._order(columns, stats)
-        models: dict[str, list[float]] = {}
-        for _ in range(self.params["max_iter"]):
-            moved = 0.0
+        order, models = self._order(columns, stats), []
+        scale = max([stats[f"most_{c}"] or 0.0 for c in columns], default=0.0)
+        raw = [number(c).alias(f"_v_{i}") for i, c in enumerate(columns)]
+        start = [F.coalesce(number(c), F.lit(stats[f"mean_{c}"])).alias(f"_f_{i}") for i, c in enumerate(columns)]
+        rows = written(df.select(*raw, *start), "em-round") if order else None
+        for _ in range(self.params["max_iter"] if order else 0):
+            was = rows
+            rows = rows.withColumns({f"_w_{i}": F.col(f"_f_{i}") for i in range(len(columns))})
             for c in order:
-                rows = self._filled(df, columns, stats, models)
-                z = {d: (F.col(f"_f_{d}") - stats[f"mean_{d}"]) / (stats[f"sd_{d}"] or 1.0) for d in columns}
-                others = [d for d in columns if d != c]
-                terms = [F.lit(1.0), *(z[d] for d in others), z[c]]
-                sums = rows.where(number(c).isNotNull()).agg(*(F.sum(terms[i] * terms[j]).alias(f"{i}_{j}") for i in range(len(terms)) for j in range(i, len(terms)))).first()
+                i = columns.index(c)
+                z = self._standard(columns, stats)
+                terms = [F.lit(1.0), *(z[j] for j in range(len(columns)) if j != i), (F.col(f"_v_{i}") - stats[f"mean_{c}"]) / (stats[f"sd_{c}"] or 1.0)]
                 k = len(terms) - 1
-                gram = np.array([[sums[f"{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(k)] for i in range(k)])
-                beta = np.linalg.solve(gram + self.params["ridge"] * np.eye(k), np.array([sums[f"{i}_{k}"] or 0.0 for i in range(k)]))
-                moved = max(moved, float(np.abs(beta - np.array(models.get(c, [0.0] * k))).max()))
-                models[c] = beta.tolist()
-            if moved < self.params["tol"]:
+                sums = rows.where(F.col(f"_v_{i}").isNotNull()).agg(*(F.sum(terms[a] * terms[b]).alias(f"{a}_{b}") for a in range(len(terms)) for b in range(a, len(terms)))).first()
+                gram = np.array([[sums[f"{min(a, b)}_{max(a, b)}"] or 0.0 for b in range(k)] for a in range(k)])
+                beta = np.linalg.solve(gram + self.params["ridge"] * np.eye(k), np.array([sums[f"{a}_{k}"] or 0.0 for a in range(k)]))
+                models.append((i, beta.tolist()))
+                rows = rows.withColumn(f"_f_{i}", self._predicted(i, beta.tolist(), columns, stats, F.col(f"_v_{i}")))
+            rows = written(rows, "em-round")
+            forget(was)
+            moved = rows.agg(F.max(F.greatest(*(F.abs(F.col(f"_f_{i}") - F.col(f"_w_{i}")) for i in range(len(columns))), F.lit(0.0)))).first()[0]
+            if (moved or 0.0) <= self.params["tol"] * scale:
                 break
+        if order:
+            forget(rows)
         return stats | {"models": models, "used": columns}
 
-    def _filled(self, df, columns, stats, models):
-        """_f_<column>: the value, or its prediction from mean-filled other columns."""
-        start = {d: F.coalesce(number(d), F.lit(stats[f"mean_{d}"])) for d in columns}
-        z = {d: (start[d] - stats[f"mean_{d}"]) / (stats[f"sd_{d}"] or 1.0) for d in columns}
-        out = {}
-        for c in columns:
-            if c in models:
-                others = [d for d in columns if d != c]
-                value = F.lit(models[c][0])
-                for b, d in zip(models[c][1:], others, strict=True):
-                    value = value + F.lit(b) * z[d]
-                out[f"_f_{c}"] = F.coalesce(number(c), value * (stats[f"sd_{c}"] or 1.0) + stats[f"mean_{c}"])
-            else:
-                out[f"_f_{c}"] = start[c]
-        return df.withColumns(out)
+    def _standard(self, columns, stats):
+        return [(F.col(f"_f_{j}") - stats[f"mean_{d}"]) / (stats[f"sd_{d}"] or 1.0) for j, d in enumerate(columns)]
+
+    def _predicted(self, i, beta, columns, stats, observed):
+        """The observed value, or the regression's on the other columns as they are filled now."""
+        value = F.lit(beta[0])
+        for b, x in zip(beta[1:], (x for j, x in enumerate(self._standard(columns, stats)) if j != i), strict=True):
+            value = value + F.lit(b) * x
+        return F.coalesce(observed, value * (stats[f"sd_{columns[i]}"] or 1.0) + stats[f"mean_{columns[i]}"])
 
     def apply(self, df, columns, stats):
         used = stats["used"]
-        rows = self._filled(df, used, stats, stats["models"])
-        return rows.withColumns({c: F.col(f"_f_{c}") for c in used}).drop(*(f"_f_{c}" for c in used))
+        rows = df.withColumns({f"_f_{i}": F.coalesce(number(c), F.lit(stats[f"mean_{c}"])) for i, c in enumerate(used)})
+        for i, beta in stats["models"]:
+            rows = rows.withColumn(f"_f_{i}", self._predicted(i, beta, used, stats, number(used[i])))
+        return rows.withColumns({c: F.col(f"_f_{i}") for i, c in enumerate(used)}).drop(*(f"_f_{i}" for i in range(len(used))))
 
 
 class MICEImputer(Action):

@@ -234,7 +234,7 @@ class QLearner:
             state = int(rng.integers(n))
             while state < n:
                 open_ = np.flatnonzero(self.reward[state] >= 0)
-                move = int(rng.choice(open_)) if rng.random() < max(self.epsilon, 0.3) else int(open_[q[state, open_].argmax()])
+                move = int(rng.choice(open_)) if rng.random() < self.epsilon else int(open_[q[state, open_].argmax()])
                 ahead = q[move].max() if move < n else 0.0
                 q[state, move] += self.beta * (self.reward[state, move] + self.gamma * ahead - q[state, move])
                 state = move
