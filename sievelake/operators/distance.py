@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievelake.functions.stats import adjusted_kurtosis, adjusted_skew, correlation, number, numeric_columns
+from sievelake.plans.shared import written
 
 BINS = 50
 TINY = 1e-10
@@ -129,15 +130,16 @@ class KullbackLeibler(BaseDistribution):
         return held.join(total, "feature").withColumn("q", F.col("q") / F.col("_t")).groupBy("feature").agg(_relative("p", F.col("q")).alias("value"))
 
 
-def wasserstein(p: DataFrame, q: DataFrame, columns: list[str], buckets: int = 256) -> DataFrame:
-    """feature, value: the area between the two distribution functions of each column.
+def steps(p: DataFrame, q: DataFrame, columns: list[str], buckets: int = 256) -> DataFrame:
+    """feature, width, fp, fq: the two distribution functions of each column between one value and the next.
 
-    Values are counted first, so repeated ones weigh nothing; running counts go by value ranges: within a range by a window,
-    between ranges by the sums of those before (at most `buckets` rows a column).
+    Values are counted first, so repeated ones weigh nothing, and the counts are a written table, as three plans read it;
+    running counts go by value ranges: within a range by a window, between ranges by the sums of those before (at most
+    `buckets` rows a column).
     """
     entries = lambda df, side: df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), number(c).alias("v")) for c in columns))).alias("e")).select("e.*", F.lit(side).alias("side")).where("v is not null")
     long = entries(p, 0).unionByName(entries(q, 1))
-    counts = long.groupBy("feature", "v").agg(F.count(F.when(F.col("side") == 0, 1)).alias("cp"), F.count(F.when(F.col("side") == 1, 1)).alias("cq"))
+    counts = written(long.groupBy("feature", "v").agg(F.count(F.when(F.col("side") == 0, 1)).alias("cp"), F.count(F.when(F.col("side") == 1, 1)).alias("cq")), "value-counts")
     cuts = counts.groupBy("feature").agg(F.percentile_approx("v", [i / buckets for i in range(1, buckets)], 5000).alias("cuts"))
     placed = counts.join(F.broadcast(cuts), "feature").withColumn("b", F.size(F.filter("cuts", lambda x: x < F.col("v")))).drop("cuts")
     within = Window.partitionBy("feature", "b").orderBy("v")
@@ -147,8 +149,12 @@ def wasserstein(p: DataFrame, q: DataFrame, columns: list[str], buckets: int = 2
     totals = sums.groupBy("feature").agg(F.sum("sp").alias("np"), F.sum("sq").alias("nq")).where("np > 0 and nq > 0")
     run = within.rowsBetween(Window.unboundedPreceding, 0)
     lines = placed.join(before, ["feature", "b"]).withColumn("next", F.coalesce(F.lead("v").over(within), F.col("then"))).withColumn("fp", F.sum("cp").over(run) + F.col("bp")).withColumn("fq", F.sum("cq").over(run) + F.col("bq"))
-    area = F.abs(F.col("fp") / F.col("np") - F.col("fq") / F.col("nq")) * (F.col("next") - F.col("v"))
-    return lines.join(totals, "feature").groupBy("feature").agg(F.coalesce(F.sum(area), F.lit(0.0)).alias("value"))
+    return lines.join(totals, "feature").select("feature", (F.col("next") - F.col("v")).alias("width"), (F.col("fp") / F.col("np")).alias("fp"), (F.col("fq") / F.col("nq")).alias("fq"))
+
+
+def wasserstein(p: DataFrame, q: DataFrame, columns: list[str], buckets: int = 256) -> DataFrame:
+    """feature, value: the area between the two distribution functions of each column."""
+    return steps(p, q, columns, buckets).groupBy("feature").agg(F.coalesce(F.sum(F.abs(F.col("fp") - F.col("fq")) * F.col("width")), F.lit(0.0)).alias("value"))
 
 
 class Wasserstein(BaseDistance):
@@ -275,6 +281,12 @@ def normalised_drift(reference: DataFrame, current: DataFrame, cap: float = 5.0)
     return w.join(spread, "feature").where("sd > 0 and n > 1").agg(F.coalesce(F.avg(F.least(F.col("value") / F.col("sd"), F.lit(cap))), F.lit(0.0)).alias("value"))
 
 
+def energy_distance(reference: DataFrame, current: DataFrame) -> DataFrame:
+    """Mean over columns of the energy distance, twice the integral of the squared difference of the distribution functions, and of its root."""
+    by = steps(reference, current, common(reference, current)).groupBy("feature").agg(F.coalesce(F.sum(2 * (F.col("fp") - F.col("fq")) ** 2 * F.col("width")), F.lit(0.0)).alias("e"))
+    return by.agg(F.coalesce(F.avg("e"), F.lit(0.0)).alias("value"), F.coalesce(F.avg(F.sqrt("e")), F.lit(0.0)).alias("root"))
+
+
 def distortion(reference: DataFrame, current: DataFrame, weights: dict[str, float] | None = None) -> float:
     """A composite in [0, 1]: capped W1, base-2 Jensen-Shannon, correlation change, variance and skewness shift.
 

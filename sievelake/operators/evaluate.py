@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievelake.functions.stats import correlation, hash_unit, number, numeric_columns
+from sievelake.plans.shared import written
 
 
 def split(df: DataFrame, key: list[str], target: str | None = None, test: float = 0.2, seed: int = 42, name: str = "split") -> DataFrame:
@@ -149,23 +150,63 @@ class OLSEvaluator(BaseRegressionEvaluator):
         return regression.LinearRegression(solver="normal")
 
 
+def lasso(gram: np.ndarray, product: np.ndarray, alpha: float, start: np.ndarray, rounds: int = 1000, tol: float = 1e-10) -> np.ndarray:
+    """Coordinate descent for the least of b'Gb/2 - b'p + alpha |b|, G and p being centred means of products."""
+    beta = start.copy()
+    for _ in range(rounds):
+        before = beta.copy()
+        for j in np.flatnonzero(np.diag(gram) > 0):
+            rho = product[j] - gram[j] @ beta + gram[j, j] * beta[j]
+            beta[j] = np.sign(rho) * max(abs(rho) - alpha, 0.0) / gram[j, j]
+        if np.abs(beta - before).max(initial=0.0) <= tol * max(1.0, np.abs(beta).max(initial=0.0)):
+            break
+    return beta
+
+
 class LassoEvaluator(BaseRegressionEvaluator):
-    """The best of a grid of penalties by hash-fold cross-validation."""
+    """The best of a grid of 100 penalties by hash-fold cross-validation.
 
-    def estimator(self):
-        from pyspark.ml.evaluation import RegressionEvaluator
-        from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+    Fits and errors of all folds and penalties follow from sums of products by fold: one pass over the rows, whatever the grid.
+    """
 
-        model = regression.LinearRegression(elasticNetParam=1.0, featuresCol="x", labelCol="y")
-        grid = ParamGridBuilder().addGrid(model.regParam, self.params.get("alphas", list(np.logspace(-4, 0, 5)))).build()
-        cv = CrossValidator(estimator=model, estimatorParamMaps=grid, evaluator=RegressionEvaluator(labelCol="y"), numFolds=self.params.get("folds", 5), seed=self.seed, parallelism=4)
-        cv.setFeaturesCol = cv.setLabelCol = lambda _: cv
-        return cv
+    def predictions(self, df):
+        features = self.features or [c for c in numeric_columns(df) if c not in (*self.key, self.target)]
+        folds, alphas = self.params.get("folds", 5), sorted(self.params.get("alphas", np.logspace(-4, 0, 100)), reverse=True)
+        known = split(df.where(F.col(self.target).isNotNull()), self.key, seed=self.seed)
+        means = known.agg(*(F.avg(number(c)).alias(c) for c in features)).first()
+        own = [F.coalesce(number(c), F.lit(means[c] or 0.0)) for c in features]
+        terms = [F.lit(1.0), *(x - F.lit(means[c] or 0.0) for c, x in zip(features, own, strict=True)), number(self.target)]
+        t = len(terms)
+        fold = F.floor(hash_unit(*self.key, F.lit("fold"), seed=self.seed) * folds).alias("fold")
+        by = known.where("split = 'train'").groupBy(fold).agg(*(F.sum(terms[i] * terms[j]).alias(f"{i}_{j}") for i in range(t) for j in range(i, t))).orderBy("fold").collect()
+        sums = [np.array([[r[f"{min(i, j)}_{max(i, j)}"] for j in range(t)] for i in range(t)]) for r in by]
+        total = sum(sums)
+
+        def path(m: np.ndarray) -> list[np.ndarray]:
+            """Intercept and slopes for each penalty."""
+            mean = m[0] / m[0, 0]
+            centred = m / m[0, 0] - np.outer(mean, mean)
+            beta, out = np.zeros(t - 2), []
+            for alpha in alphas:
+                beta = lasso(centred[1:-1, 1:-1], centred[1:-1, -1], alpha, beta)
+                out.append(np.concatenate(([mean[-1] - mean[1:-1] @ beta], beta)))
+            return out
+
+        errors = np.zeros(len(alphas))
+        for m in sums if len(sums) > 1 else []:
+            for a, b in enumerate(path(total - m)):
+                errors[a] += (np.array([*b, -1.0]) @ m @ np.array([*b, -1.0])) / m[0, 0] / len(sums)
+        best = int(errors.argmin())
+        self.alpha, beta = alphas[best], path(total)[best]
+        value = F.lit(float(beta[0]))
+        for b, x in zip(beta[1:], terms[1:-1], strict=True):
+            value = value + F.lit(float(b)) * x
+        return known.where("split = 'test'").select(*self.key, number(self.target).alias("label"), value.alias("prediction"))
 
 
 class GBREvaluator(BaseRegressionEvaluator):
     def estimator(self):
-        return regression.GBTRegressor(maxIter=self.params.get("n_estimators", 20), maxDepth=3, stepSize=0.1, seed=self.seed)
+        return regression.GBTRegressor(maxIter=self.params.get("n_estimators", 100), maxDepth=3, stepSize=0.1, seed=self.seed)
 
 
 class KernelRidgeEvaluator(BaseRegressionEvaluator):
@@ -296,11 +337,26 @@ def confidence_interval(df: DataFrame, by: list[str], value: str) -> DataFrame:
     return df.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd")).withColumn("ci95", F.coalesce(1.96 * F.col("sd") / F.sqrt("n"), F.lit(0.0)))
 
 
+def running_counts(counts: DataFrame, by: list[str], value: str, count: str) -> DataFrame:
+    """The counts with `_run`, their running sum by value within each group: a sum within ranges of values, and the ranges before.
+
+    Ranges are Spark's own partitions by value, so a group of any number of values spreads over tasks.
+    """
+    parts = written(counts.repartitionByRange(*by, value).withColumn("_range", F.spark_partition_id()), "ranges")
+    inside = Window.partitionBy("_range", *by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    sizes = parts.groupBy("_range", *by).agg(F.sum(count).alias("_s"))
+    before = sizes.select("_range", *by, (F.sum("_s").over(Window.partitionBy(*by).orderBy("_range")) - F.col("_s")).alias("_before"))  # a row a range and group
+    same = F.col("x._range") == F.col("y._range")
+    for c in by:
+        same = same & F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}"))
+    within = parts.withColumn("_in", F.sum(count).over(inside))
+    return within.alias("x").join(before.alias("y"), same).select("x.*", "y._before").withColumn("_run", F.col("_in") + F.col("_before")).drop("_range", "_in", "_before")
+
+
 def average_ranks(df: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
     """Ranks within groups, ties at their mean: distinct values are counted first."""
     counts = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c"))
-    over = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    ranks = counts.withColumn(name, F.sum("_c").over(over) - (F.col("_c") - 1) / 2).drop("_c")
+    ranks = running_counts(counts, by, value, "_c").withColumn(name, F.col("_run") - (F.col("_c") - 1) / 2).drop("_c", "_run")
     return df.join(ranks, [*by, value])
 
 
@@ -319,6 +375,35 @@ def partial_spearman(df: DataFrame, by: list[str], a: str, b: str, given: str) -
     return r.select(*by, ((F.col("ab") - F.col("az") * F.col("bz")) / F.nullif(F.sqrt((1 - F.col("az") ** 2) * (1 - F.col("bz") ** 2)), F.lit(0.0))).alias("rho"))
 
 
+def one_sample_t(df: DataFrame, by: list[str], value: str, mean: float = 0.0) -> DataFrame:
+    """n, mean and Student's t of each group's mean against a given one."""
+    rows = df.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"))
+    return rows.select(*by, "n", "mean", ((F.col("mean") - F.lit(mean)) / F.nullif(F.col("sd") / F.sqrt("n"), F.lit(0.0))).alias("t"))
+
+
+def wilcoxon(df: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
+    """Signed-rank test of paired columns by group: n of unequal pairs, the smaller rank sum, and its normal score with ties allowed for."""
+    own = df.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).select(*by, (F.col(a) - F.col(b)).alias("_d")).withColumn("_a", F.abs("_d"))
+    counts = own.groupBy(*by, "_a").agg(F.count(F.lit(1)).alias("_c"), F.sum((F.col("_d") > 0).cast("long")).alias("_p"))
+    ranks = running_counts(counts, by, "_a", "_c").withColumn("_r", F.col("_run") - (F.col("_c") - 1) / 2)
+    c = F.col("_c").cast("double")
+    sums = ranks.groupBy(*by).agg(F.sum("_c").alias("n"), F.sum(F.col("_r") * F.col("_p")).alias("_up"), F.sum(F.col("_r") * (F.col("_c") - F.col("_p"))).alias("_down"), F.sum(c**3 - c).alias("_ties"))
+    n = F.col("n").cast("double")
+    w = F.least("_up", "_down")
+    return sums.select(*by, "n", w.alias("w"), ((w - n * (n + 1) / 4) / F.nullif(F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("_ties") / 48), F.lit(0.0))).alias("z"))
+
+
+def grouped_totals(df: DataFrame, by: list[str], value: str, how: str = "cube") -> DataFrame:
+    """Counts, sums and means over every subset of the grouping columns (`cube`) or its leading ones (`rollup`); `level` tells which."""
+    grouped = {"cube": df.cube, "rollup": df.rollup}[how](*by)
+    return grouped.agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("total"), F.avg(value).alias("mean"), F.grouping_id().alias("level"))
+
+
+def align_target(features: DataFrame, target: DataFrame, key: str) -> DataFrame:
+    """The target's rows of the keys that the features still have; a cleaning step may have dropped some."""
+    return target.join(features.select(key).distinct(), key, "left_semi")
+
+
 def power_law(df: DataFrame, x: str, y: str) -> DataFrame:
     """Exponent and R2 of y = c x^e, by logarithms."""
     return df.where((F.col(x) > 0) & (F.col(y) > 0)).agg(F.regr_slope(F.log(y), F.log(x)).alias("exponent"), F.regr_r2(F.log(y), F.log(x)).alias("r2"))

@@ -7,11 +7,12 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievelake.functions.stats import number, quantiles
 from sievelake.operators.base import Action, ParameterizedAction, ParamSpec
+from sievelake.plans.shared import written
 
 METHODS = ("mask", "drop", "clip")
 
@@ -171,8 +172,6 @@ class LocalOutlierFactorCleaner(Action):
         part = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda x: x < F.col("v"))) if cuts else F.lit(0)
         own = rows.withColumn("part", part).withColumn("mine", F.lit(True))
         if cuts:
-            from pyspark.sql import Window
-
             up, down = Window.partitionBy("part").orderBy("v", "k"), Window.partitionBy("part").orderBy(F.desc("v"), F.desc("k"))
             ranked = own.withColumn("a", F.row_number().over(up)).withColumn("b", F.row_number().over(down))
             halo = ranked.where(F.col("a") <= 3 * k).withColumn("part", F.col("part") - 1).unionByName(ranked.where(F.col("b") <= 3 * k).withColumn("part", F.col("part") + 1)).withColumn("mine", F.lit(False)).drop("a", "b")
@@ -212,6 +211,67 @@ class LocalOutlierFactorCleaner(Action):
         return out.drop(*(f"_out_{c}" for c in bad))
 
 
+def nearest_rows(df: DataFrame, key: str, columns: list[str], k: int, block: int = 4096) -> DataFrame:
+    """q, d, distance, r: the k nearest other rows of every row (Euclidean, ties to the smaller key), of rows without nulls.
+
+    Every two blocks of rows meet in one task, which keeps k a row; these are merged. The search is exact, so each row
+    travels once for every block.
+    """
+    kind = df.schema[key].dataType.simpleString()
+    rows = df.select(F.col(key).alias("q"), F.array(*(number(c) for c in columns)).alias("x")).where(~F.exists("x", lambda v: v.isNull()) & F.col("q").isNotNull())
+    blocks = max(1, -(-rows.count() // block))
+    own = F.pmod(F.xxhash64("q"), F.lit(blocks)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    left, right = rows.select("q", "x", own.alias("i"), every.alias("j")), rows.select("q", "x", every.alias("i"), own.alias("j"))
+    schema = pa.schema([("q", pa.int64()), ("d", pa.int64()), ("distance", pa.float64())])
+
+    def meet(a: pa.Table, b: pa.Table) -> pa.Table:
+        out: list[list] = [[], [], []]
+        if a.num_rows and b.num_rows:
+            names, m = np.array(b["q"].to_pylist()), np.array(b["x"].to_pylist(), float)
+            for q, x in zip(a["q"].to_pylist(), np.array(a["x"].to_pylist(), float), strict=True):
+                other = names != q
+                distance, ids = np.sqrt(((m[other] - x) ** 2).sum(axis=1)), names[other]
+                for i in np.lexsort((ids, distance))[:k].tolist():
+                    for column, v in zip(out, (q, int(ids[i]), float(distance[i])), strict=True):
+                        column.append(v)
+        return pa.table([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
+
+    if kind not in ("bigint", "int", "smallint", "tinyint"):
+        raise ValueError("the key must be an integer")
+    left, right = (t.withColumn("q", F.col("q").cast("long")) for t in (left, right))
+    found = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(meet, "q long, d long, distance double")
+    return found.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy("distance", "d"))).where(F.col("r") <= k)
+
+
+class MultivariateLOFCleaner(Action):
+    """Drops rows with nulls and the `contamination` share of rows of largest local outlier factor, over all columns together."""
+
+    DEFAULTS = {"n_neighbors": 4, "contamination": 0.1, "key": None, "block": 4096}
+    NUMERIC_ONLY = True
+
+    def factors(self, df: DataFrame, columns: list[str]) -> DataFrame:
+        """q, factor of every row without nulls."""
+        key = self.params["key"]
+        if key is None:
+            raise ValueError("MultivariateLOFCleaner needs the name of an integer key column")
+        near = written(nearest_rows(df, key, [c for c in columns if c != key], self.params["n_neighbors"], self.params["block"]), "neighbours")
+        reach = near.groupBy("q").agg(F.max("distance").alias("far")).select(F.col("q").alias("d"), "far")
+        density = written(near.join(reach, "d").groupBy("q").agg((1 / (F.avg(F.greatest("distance", "far")) + 1e-10)).alias("density")), "densities")
+        of = density.select(F.col("q").alias("d"), F.col("density").alias("theirs"))
+        return near.join(of, "d").groupBy("q").agg(F.avg("theirs").alias("theirs")).join(density, "q").select("q", (F.col("theirs") / F.col("density")).alias("factor"))
+
+    def fit(self, df):
+        self.fitted_columns, self.stats = self.select_columns(df), {}
+        return self
+
+    def apply(self, df, columns, stats):
+        found = written(self.factors(df, columns), "factors")
+        limit = found.agg(F.percentile("factor", F.lit(1 - self.params["contamination"]))).first()[0]
+        kept = found.where(F.col("factor") <= F.lit(limit)).select("q") if limit is not None else found.select("q")
+        return df.join(kept, df[self.params["key"]] == kept["q"], "left_semi")
+
+
 class IsolationForestCleaner(Action):
     """Drops the `contamination` share of rows that random splits isolate soonest; trees grow on a bounded sample by hash."""
 

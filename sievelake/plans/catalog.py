@@ -77,6 +77,21 @@ def impute_random(spark, sf):
     return impute.RandomImputer(columns=["c_acctbal"], key="c_custkey").fit_transform(customer(spark, sf)).select("c_custkey", "c_acctbal")
 
 
+@query(
+    "outlier_lof_multivariate",
+    """WITH n AS (SELECT * FROM (SELECT a.s_suppkey AS q, b.s_suppkey AS d, sqrt(power(a.s_acctbal - b.s_acctbal, 2) + power(a.s_nationkey - b.s_nationkey, 2)) AS distance,
+           row_number() OVER (PARTITION BY a.s_suppkey ORDER BY sqrt(power(a.s_acctbal - b.s_acctbal, 2) + power(a.s_nationkey - b.s_nationkey, 2)), b.s_suppkey) AS r FROM supplier a JOIN supplier b ON a.s_suppkey <> b.s_suppkey) WHERE r <= 4),
+       k AS (SELECT q, max(distance) AS far FROM n GROUP BY q), l AS (SELECT n.q, 1 / (avg(greatest(distance, far)) + 1e-10) AS density FROM n JOIN k ON k.q = n.d GROUP BY n.q),
+       f AS (SELECT n.q, avg(t.density) / any_value(l.density) AS factor FROM n JOIN l ON l.q = n.q JOIN l t ON t.q = n.d GROUP BY n.q)
+       SELECT q AS s_suppkey, round(factor, 6) AS factor FROM f WHERE factor <= (SELECT quantile_cont(factor, 0.9) FROM f)""",
+)
+def outlier_lof_multivariate(spark, sf):
+    s = table(spark, sf, "supplier").select("s_suppkey", "s_acctbal", "s_nationkey")
+    lof = outliers.MultivariateLOFCleaner(columns=["s_acctbal", "s_nationkey"], key="s_suppkey")
+    kept = lof.fit_transform(s).select("s_suppkey")
+    return kept.join(lof.factors(s, ["s_acctbal", "s_nationkey"]).withColumnRenamed("q", "s_suppkey"), "s_suppkey").select("s_suppkey", r("factor").alias("factor"))
+
+
 SUPPLIER = "(SELECT s_suppkey, CASE WHEN s_suppkey % 7 = 0 THEN NULL ELSE s_acctbal END AS a, CAST(s_nationkey AS DOUBLE) AS b FROM supplier)"
 
 
@@ -400,7 +415,7 @@ def mislabel_removal(spark, sf):
 for _name, _f in (
     ("mcar", lambda c: inject.inject_mcar(c, 0.1, ["c_custkey"], ["c_acctbal"])),
     ("mar", lambda c: inject.inject_mar(c, 0.1, ["c_custkey"], columns=["c_acctbal", "c_nationkey"])),
-    ("outliers", lambda c: inject.inject_outliers(c, 0.1, ["c_custkey"], columns=["c_acctbal"])),
+    ("outliers", lambda c: inject.inject_outliers(c, 0.1, ["c_custkey"], columns=["c_acctbal"]).withColumn("c_acctbal", F.round("c_acctbal", 4))),
     ("duplicates", lambda c: inject.inject_duplicates(c, 0.1, ["c_custkey"])),
     ("label_noise", lambda c: inject.inject_label_noise(c, 0.1, ["c_custkey"], "c_mktsegment")),
     ("clusters", lambda c: inject.inject_cluster_missing(c, 0.3, ["c_custkey"], ["c_acctbal"])),
@@ -473,9 +488,14 @@ def dist_drift(spark, sf):
     return distance.normalised_drift(*sides(spark, sf)).select(r("value").alias("value"))
 
 
+@query("dist_energy", f"WITH {_LONG}, c AS (SELECT f, v, count(*) FILTER (side = 0) AS cp, count(*) FILTER (side = 1) AS cq FROM l GROUP BY f, v), s AS (SELECT f, v, lead(v) OVER w AS nx, sum(cp) OVER w / CAST(sum(cp) OVER (PARTITION BY f) AS DOUBLE) AS fp, sum(cq) OVER w / CAST(sum(cq) OVER (PARTITION BY f) AS DOUBLE) AS fq FROM c WINDOW w AS (PARTITION BY f ORDER BY v)), e AS (SELECT f, sum(2 * power(fp - fq, 2) * (nx - v)) AS e FROM s GROUP BY f) SELECT round(avg(e), 6) AS value, round(avg(sqrt(e)), 6) AS root FROM e")
+def dist_energy(spark, sf):
+    return distance.energy_distance(*sides(spark, sf)).select(r("value").alias("value"), r("root").alias("root"))
+
+
 @query("dist_distortion")
 def dist_distortion(spark, sf):
-    return spark.createDataFrame([(float(distance.distortion(*sides(spark, sf))),)], "value double")
+    return spark.createDataFrame([(round(float(distance.distortion(*sides(spark, sf))), 6),)], "value double")
 
 
 # ---- profiles and observers
@@ -518,7 +538,8 @@ def observer_advanced(spark, sf):
 @query("observer_quality")
 def observer_quality(spark, sf):
     whole = customer(spark, sf)
-    return profile.DataQualityObserver(whole, "c_mktsegment").frame(impute.DropMissing().transform(whole))
+    found = profile.DataQualityObserver(whole, "c_mktsegment").frame(impute.DropMissing().transform(whole))
+    return found.select(*(r(c, 5).alias(c) for c in found.columns))
 
 
 # ---- rewards
@@ -636,7 +657,34 @@ def stats_spearman(spark, sf):
 
 @query("stats_partial_spearman")
 def stats_partial_spearman(spark, sf):
-    return evaluate.partial_spearman(table(spark, sf, "lineitem"), ["l_returnflag"], "l_quantity", "l_extendedprice", "l_discount")
+    return evaluate.partial_spearman(table(spark, sf, "lineitem"), ["l_returnflag"], "l_quantity", "l_extendedprice", "l_discount").select("l_returnflag", r("rho").alias("rho"))
+
+
+@query("stats_one_sample_t", "SELECT event_type, count(value) AS n, round(avg(value), 6) AS mean, round((avg(value) - 50) / (stddev_samp(value) / sqrt(count(value))), 6) AS t FROM events GROUP BY 1")
+def stats_one_sample_t(spark, sf):
+    return evaluate.one_sample_t(table(spark, sf, "events"), ["event_type"], "value", 50.0).select("event_type", "n", r("mean").alias("mean"), r("t").alias("t"))
+
+
+@query(
+    "stats_wilcoxon",
+    """WITH d AS (SELECT l_returnflag, l_quantity * 1000 - l_extendedprice AS d FROM lineitem WHERE l_quantity * 1000 <> l_extendedprice),
+       c AS (SELECT l_returnflag, abs(d) AS a, count(*) AS c, count(*) FILTER (d > 0) AS p FROM d GROUP BY 1, 2),
+       k AS (SELECT *, sum(c) OVER (PARTITION BY l_returnflag ORDER BY a) - (c - 1) / 2.0 AS r FROM c),
+       s AS (SELECT l_returnflag, CAST(sum(c) AS BIGINT) AS n, least(sum(r * p), sum(r * (c - p))) AS w, sum(power(c, 3) - c) AS ties FROM k GROUP BY 1)
+       SELECT l_returnflag, n, CAST(w AS DOUBLE) AS w, round((w - n * (n + 1.0) / 4) / sqrt(n * (n + 1.0) * (2 * n + 1.0) / 24 - ties / 48), 6) AS z FROM s""",
+)
+def stats_wilcoxon(spark, sf):
+    return evaluate.wilcoxon(table(spark, sf, "lineitem").withColumn("a", F.col("l_quantity") * 1000), ["l_returnflag"], "a", "l_extendedprice").select("l_returnflag", "n", "w", r("z").alias("z"))
+
+
+@query("grouping_sets", "SELECT o_orderstatus, o_orderpriority, count(*) AS n, round(sum(o_totalprice), 2) AS total, round(avg(o_totalprice), 4) AS mean, CAST(grouping(o_orderstatus, o_orderpriority) AS BIGINT) AS level FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)")
+def grouping_sets(spark, sf):
+    return evaluate.grouped_totals(table(spark, sf, "orders"), ["o_orderstatus", "o_orderpriority"], "o_totalprice").select("o_orderstatus", "o_orderpriority", "n", r("total", 2).alias("total"), r("mean", 4).alias("mean"), F.col("level").cast("long").alias("level"))
+
+
+@query("align_target", f"SELECT c_custkey, c_mktsegment FROM customer WHERE c_custkey IN (SELECT c_custkey FROM {CUSTOMER} WHERE c_acctbal IS NOT NULL AND c_mktsegment IS NOT NULL)")
+def align_target(spark, sf):
+    return evaluate.align_target(impute.DropMissing().transform(customer(spark, sf)), table(spark, sf, "customer").select("c_custkey", "c_mktsegment"), "c_custkey")
 
 
 @query("stats_pareto", "SELECT p_partkey FROM part p WHERE NOT EXISTS (SELECT 1 FROM part o WHERE o.p_size >= p.p_size AND o.p_retailprice >= p.p_retailprice AND (o.p_size > p.p_size OR o.p_retailprice > p.p_retailprice))")
@@ -796,3 +844,70 @@ def prepare_and_score(spark, sf):
     out = scaler.transform(kept).agg(F.count(F.lit(1)).alias("rows_out"))
     n = raw.agg(F.count(F.lit(1)).alias("rows_in"))
     return n.join(out).select("rows_in", "rows_out", r(F.sqrt(F.col("rows_out") / F.col("rows_in"))).alias("reward"), F.lit(round(scaler.stats["mean_v"], 4)).alias("mean"), F.lit(round(scaler.stats["sd_v"], 4)).alias("sd"))
+
+
+# ---- twins of queries above that need more than a line
+
+
+def _unit(*parts: str, seed: int = 42) -> str:
+    """SQL of hash_unit."""
+    return f"(CAST('0x' || substr(md5(concat_ws('|', {', '.join(parts)}, '{seed}')), 1, 12) AS BIGINT) / 281474976710656.0)"
+
+
+def _ranked(columns: list[str], by: str, source: str) -> str:
+    mean = lambda c: f"rank() OVER (PARTITION BY {by} ORDER BY {c}) + (count(*) OVER (PARTITION BY {by}, {c}) - 1) / 2.0"
+    return f"SELECT {by}, " + ", ".join(f"{mean(c)} AS r{i}" for i, c in enumerate(columns)) + f" FROM {source}"
+
+
+_KEY, _BAL = "CAST(c_custkey AS VARCHAR)", "'c_acctbal'"
+_CELL = "CASE WHEN {hit} THEN NULL ELSE {c} END AS {c}"
+SQL["inject_mcar"] = f"SELECT * REPLACE ({_CELL.format(hit=_unit(_KEY, _BAL) + ' < 0.1', c='c_acctbal')}) FROM customer"
+SQL["inject_mar"] = f"SELECT * REPLACE ({_CELL.format(hit='c_acctbal > (SELECT quantile_cont(c_acctbal, 0.75) FROM customer) AND ' + _unit(_KEY, chr(39) + 'c_nationkey' + chr(39)) + ' < 0.4', c='c_nationkey')}) FROM customer"
+SQL["inject_outliers"] = (
+    "WITH m AS (SELECT avg(c_acctbal) AS m, stddev_samp(c_acctbal) AS s FROM customer) SELECT c.* REPLACE (round(CASE WHEN " + _unit(_KEY, _BAL) + " < 0.1 THEN m + (CASE WHEN " + _unit(_KEY, _BAL, seed=43) + " < 0.5 THEN -1 ELSE 1 END) * 3 * s"
+    " + sqrt(-2 * ln(1 - " + _unit(_KEY, _BAL, seed=44) + ")) * cos(" + _unit(_KEY, _BAL, seed=45) + " * 6.283185307179586) * s / 10 ELSE c_acctbal END, 4) AS c_acctbal) FROM customer c, m"
+)
+SQL["inject_duplicates"] = f"SELECT * FROM customer UNION ALL SELECT * FROM customer WHERE {_unit(_KEY, chr(39) + 'row' + chr(39))} < 0.1"
+SQL["inject_label_noise"] = (
+    "WITH k AS (SELECT list(DISTINCT c_mktsegment ORDER BY c_mktsegment) AS k FROM customer) SELECT c.* REPLACE (CASE WHEN " + _unit(_KEY, "'label'") + " < 0.1"
+    " THEN list_filter(k, lambda x: x <> c_mktsegment)[1 + CAST(floor(" + _unit(_KEY, "'class'", seed=43) + " * (len(k) - 1)) AS BIGINT)] ELSE c_mktsegment END AS c_mktsegment) FROM customer c, k"
+)
+SQL["impute_random"] = (
+    f"WITH c AS {CUSTOMER}, o AS (SELECT c_acctbal AS v, row_number() OVER (ORDER BY {_unit(_KEY, _BAL)}, c_acctbal) - 1 AS place FROM c WHERE c_acctbal IS NOT NULL)"
+    f" SELECT c_custkey, coalesce(c_acctbal, v) AS c_acctbal FROM c LEFT JOIN o ON c_acctbal IS NULL AND place = CAST(floor({_unit(_KEY, _BAL, seed=43)} * (SELECT count(*) FROM o)) AS BIGINT)"
+)
+SQL["source_split"] = f"""WITH x AS (SELECT c_mktsegment, row_number() OVER (PARTITION BY c_mktsegment ORDER BY {_unit(_KEY)}, c_custkey) AS i, count(*) OVER (PARTITION BY c_mktsegment) AS n FROM customer)
+    SELECT c_mktsegment, CASE WHEN i <= ceil(n * 0.25) THEN 'test' ELSE 'train' END AS split, count(*) AS n FROM x GROUP BY 1, 2"""
+SQL["select_low_deviation"] = "WITH d AS (" + " UNION ALL ".join(f"SELECT '{c}' AS feature, stddev_samp({c}) AS score FROM lineitem" for c in _FEATURES) + ") SELECT feature, round(score, 6) AS score, score >= (SELECT quantile_cont(score, 0.25) FROM d) AS kept FROM d"
+SQL["stats_partial_spearman"] = f"""WITH k AS ({_ranked(["l_quantity", "l_extendedprice", "l_discount"], "l_returnflag", "lineitem")}), c AS (SELECT l_returnflag, corr(r0, r1) AS ab, corr(r0, r2) AS az, corr(r1, r2) AS bz FROM k GROUP BY 1)
+    SELECT l_returnflag, round((ab - az * bz) / sqrt((1 - az * az) * (1 - bz * bz)), 6) AS rho FROM c"""
+_STEPS = "c AS (SELECT f, v, count(*) FILTER (side = 0) AS cp, count(*) FILTER (side = 1) AS cq FROM l GROUP BY f, v), s AS (SELECT f, v, lead(v) OVER w AS nx, sum(cp) OVER w / CAST(sum(cp) OVER (PARTITION BY f) AS DOUBLE) AS fp, sum(cq) OVER w / CAST(sum(cq) OVER (PARTITION BY f) AS DOUBLE) AS fq FROM c WINDOW w AS (PARTITION BY f ORDER BY v)), w AS (SELECT f, sum(abs(fp - fq) * (nx - v)) AS w FROM s GROUP BY f)"
+SQL["dist_distortion"] = f"""{_HIST}, {_STEPS}, m AS (SELECT f, var_pop(v) FILTER (side = 0) AS v0, var_pop(v) FILTER (side = 1) AS v1, skewness(v) FILTER (side = 0) AS s0, skewness(v) FILTER (side = 1) AS s1 FROM l GROUP BY f)
+    SELECT round(0.3 * (SELECT avg(least(1, w / (3 * sqrt(v0)))) FROM w JOIN m USING (f)) + 0.25 * least(1, ({_DIST["jensen_shannon"].removeprefix(_HIST).replace("round(avg(v), 6)", "avg(v)")}) / sqrt(ln(2)))
+      + 0.2 * least(1, ({_DIST["correlation_matrix"].replace("round(", "(").replace(", 6) AS value", ") AS value")}) / (2 * sqrt(3)))
+      + (SELECT 0.15 * avg(least(1, abs(ln(v1 / v0)) / 2)) + 0.1 * avg(least(1, abs(s1 - s0) / (1 + abs(s0)))) FROM m), 6) AS value"""
+_WHOLE = f"(SELECT c_custkey, c_acctbal, c_nationkey, c_mktsegment FROM {CUSTOMER})"
+_LEFT = f"(SELECT * FROM {_WHOLE} WHERE c_acctbal IS NOT NULL AND c_mktsegment IS NOT NULL)"
+_THREE = ("c_custkey", "c_acctbal", "c_nationkey")
+SQL["observer_quality"] = (
+    "WITH l AS (SELECT * FROM (" + " UNION ALL ".join(f"SELECT {side} AS side, '{c}' AS f, CAST({c} AS DOUBLE) AS v FROM {source}" for side, source in ((0, _WHOLE), (1, _LEFT)) for c in _THREE) + f") WHERE v IS NOT NULL), {_STEPS},"
+    f" t AS (SELECT f, stddev_pop(v) AS sd FROM l WHERE side = 0 GROUP BY f), g AS (SELECT c_mktsegment, count(*) AS n FROM {_LEFT} GROUP BY 1), k AS (SELECT f, skewness(v) AS s, kurtosis(v) AS k FROM l WHERE side = 1 GROUP BY f)"
+    f" SELECT round((SELECT count(*) FROM {_LEFT}) / CAST((SELECT count(*) FROM {_WHOLE}) AS DOUBLE), 5) AS row_ratio, 1.0::DOUBLE AS column_ratio, 0.0::DOUBLE AS missing_mean, 0.0::DOUBLE AS missing_max, 0.0::DOUBLE AS duplicates,"
+    " round((SELECT min(n) / CAST(max(n) AS DOUBLE) FROM g), 5) AS class_ratio, round((SELECT avg(abs(s)) FROM k), 5) AS skew, round((SELECT avg(k) FROM k), 5) AS kurtosis, round((SELECT avg(least(w / sd, 5)) FROM w JOIN t USING (f)), 5) AS drift"
+)
+
+
+def _linked(pairs: str, key: str, source: str, columns: str) -> str:
+    """The rows that stay when all but the smallest key of each component of the pairs (a, b) go."""
+    return f"""WITH RECURSIVE e AS MATERIALIZED ({pairs}), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), c(n, m) AS (SELECT a, a FROM u UNION SELECT u.b, c.m FROM c JOIN u ON u.a = c.n WHERE c.m < u.b)
+        SELECT {columns} FROM {source} WHERE {key} NOT IN (SELECT n FROM c WHERE m < n)"""
+
+
+SQL["dedup_approximate_blocked"] = _linked("SELECT x.p_partkey AS a, y.p_partkey AS b FROM part x JOIN part y ON x.p_brand = y.p_brand AND x.p_partkey < y.p_partkey WHERE jaro_winkler_similarity(x.p_name, y.p_name) >= 0.85", "p_partkey", "part", "p_partkey")
+SQL["dedup_sorted_neighbourhood"] = _linked(
+    "SELECT DISTINCT x.p_partkey AS a, y.p_partkey AS b FROM (SELECT *, dense_rank() OVER (ORDER BY p_brand) AS g FROM part) x JOIN (SELECT *, dense_rank() OVER (ORDER BY p_brand) AS g FROM part) y"
+    " ON abs(x.g - y.g) <= 1 AND x.p_partkey < y.p_partkey WHERE jaro_winkler_similarity(x.p_name, y.p_name) >= 0.85", "p_partkey", "part", "p_partkey")
+SQL["dedup_row_metric"] = _linked("SELECT x.n_nationkey AS a, y.n_nationkey AS b FROM nation x JOIN nation y ON x.n_nationkey < y.n_nationkey WHERE damerau_levenshtein(x.n_name, y.n_name) < 0.3 * (length(x.n_name) + length(y.n_name)) / 2.0", "n_nationkey", "nation", "n_nationkey, n_name")
+_WORDS = "(SELECT doc_id AS k, list_distinct(list_filter(string_split(trim(regexp_replace(lower(text), '\\s+', ' ', 'g')), ' '), lambda t: t <> '')) AS t FROM documents WHERE text IS NOT NULL)"
+SQL["dedup_jaccard"] = _linked(
+    f"SELECT a, b FROM (SELECT x.k AS a, y.k AS b, len(list_intersect(x.t, y.t)) AS c, len(x.t) AS m, len(y.t) AS n FROM {_WORDS} x JOIN {_WORDS} y ON x.k < y.k AND least(len(x.t), len(y.t)) >= 0.8 * greatest(len(x.t), len(y.t)) AND len(x.t) > 0) WHERE c >= (0.8 - 1e-12) * (m + n - c)", "doc_id", "documents", "doc_id")

@@ -7,6 +7,7 @@ from typing import Any
 from sievelake.operators import base, dedup, distance, evaluate, impute, outliers, scale, select, validate
 from sievelake.sources import loaders
 
+# Public names and the usual parameters that go with them.
 ACTIONS: dict[str, tuple[type, dict[str, Any]]] = {
     "deduplication/exact": (dedup.ExactDeduplicator, {"keep": "first"}),
     "deduplication/approximate": (dedup.ApproximateDeduplicator, {"threshold": 0.95, "comparison_type": "jarowinkler", "keep": "first", "max_rows_limit": 10000}),
@@ -14,7 +15,7 @@ ACTIONS: dict[str, tuple[type, dict[str, Any]]] = {
     "imputation/em": (impute.EMImputer, {"max_iter": 20, "tol": 1e-3, "random_state": None}),
     "imputation/mice": (impute.MICEImputer, {"random_state": 42}),
     "imputation/knn": (impute.KNNImputer, {"n_neighbors": 5, "weights": "uniform", "metric": "nan_euclidean"}),
-    "imputation/mf": (impute.MFImputer, {"rank": 10, "max_iter": 200}),
+    "imputation/mf": (impute.MFImputer, {}),
     "imputation/mean": (impute.MeanImputer, {}),
     "imputation/median": (impute.MedianImputer, {}),
     "imputation/random": (impute.RandomImputer, {"random_state": None}),
@@ -36,13 +37,13 @@ ACTIONS: dict[str, tuple[type, dict[str, Any]]] = {
 }
 DISTANCES = distance.DISTANCES
 DATASETS = {"csv": loaders.CSVLoader, "hf": loaders.LocalDatasetLoader, "kaggle": loaders.DownloadedCSVLoader, "openml": loaders.CachedTableLoader}
-EVALUATORS = {"CART": evaluate.CARTEvaluator, "LDA": evaluate.LDAEvaluator, "NB": evaluate.GaussianNBEvaluator, "MNB": evaluate.MultinomialNBEvaluator, "OLS": evaluate.OLSEvaluator, "LASSO": evaluate.LassoEvaluator, "MARS": evaluate.GBREvaluator, "KMEANS": evaluate.KMeansEvaluator, "HCA": evaluate.AgglomerativeEvaluator}
+EVALUATORS = {"CART": evaluate.CARTEvaluator, "LDA": evaluate.LDAEvaluator, "NB": evaluate.GaussianNBEvaluator, "MNB": evaluate.MultinomialNBEvaluator, "OLS": evaluate.OLSEvaluator, "LASSO": evaluate.LassoEvaluator, "KMEANS": evaluate.KMeansEvaluator, "HCA": evaluate.AgglomerativeEvaluator}
 
 #: Strategy strings of the dict-of-frames interface.
 STRATEGIES: dict[str, dict[str, tuple[type, dict[str, Any]]]] = {
     "imputation": {"EM": (impute.EMImputer, {}), "MICE": (impute.MICEImputer, {}), "KNN": (impute.KNNImputer, {"n_neighbors": 4}), "RAND": (impute.RandomImputer, {}), "MF": (impute.MFImputer, {}), "MEAN": (impute.MeanImputer, {}), "MEDIAN": (impute.MedianImputer, {}), "DROP": (impute.DropMissing, {})},
     "normalisation": {"ZS": (scale.ZScoreScaler, {}), "MM": (scale.MinMaxScaler, {}), "DS": (scale.QuantileScaler, {"n_quantiles": 10}), "Log10": (scale.Log10Scaler, {})},
-    "outliers": {"ZSB": (outliers.FractionOutlierCleaner, {"detector": "robust"}), "IQR": (outliers.FractionOutlierCleaner, {"detector": "iqr"}), "LOF": (outliers.LocalOutlierFactorCleaner, {"n_neighbors": 4, "contamination": 0.1, "method": "drop"})},
+    "outliers": {"ZSB": (outliers.FractionOutlierCleaner, {"detector": "robust"}), "IQR": (outliers.FractionOutlierCleaner, {"detector": "iqr"}), "LOF": (outliers.MultivariateLOFCleaner, {"n_neighbors": 4, "contamination": 0.1})},
     "duplicates": {"ED": (dedup.ExactDeduplicator, {}), "AD": (dedup.JaccardSimilarityDeduplicator, {"threshold": 0.6, "keep": False}), "METRIC": (dedup.RowStringDeduplicator, {"threshold": 0.6, "metric": "DL"})},
     "consistency": {"CC": (validate.ConstraintChecker, {}), "PC": (validate.PatternChecker, {})},
     "features": {"MR": (select.MissingRatioSelector, {}), "LC": (select.CollinearitySelector, {}), "VAR": (select.LowDeviationSelector, {}), "L1": (select.LassoSelector, {}), "IMP": (select.RandomForestSelector, {"n_estimators": 50, "task": "regression"}), "Tree": (select.RandomForestSelector, {"n_estimators": 50}), "WR": (select.ChiSquareSelector, {"k": "all"}), "SVC": (select.LassoSelector, {"task": "classification"})},
