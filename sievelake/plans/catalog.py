@@ -618,15 +618,15 @@ for _name, _kind, _params in (("tree", evaluate.CARTEvaluator, {}), ("lda", eval
 
     @query(f"eval_{_name}")
     def _(spark, sf, kind=_kind, params=_params):
-        rows = table(spark, sf, "part").select("p_partkey", "p_size", "p_retailprice", F.when(F.col("p_retailprice") + F.col("p_size") > 1450, "high").otherwise("low").alias("band"))
-        return kind("band", _PART_KEY, ["p_size", "p_retailprice"], **params).predictions(rows)
+        rows = table(spark, sf, "part").select("p_partkey", "p_size", "p_retailprice", F.when(F.col("p_retailprice") + F.col("p_size") > 950, "high").otherwise("low").alias("band"))
+        return kind("band", _PART_KEY, ["p_size", "p_retailprice"], **params).predictions(rows).withColumn("confidence", F.round("confidence", 6))
 
 
-for _name, _kind, _params in (("linear_regression", evaluate.OLSEvaluator, {}), ("lasso", evaluate.LassoEvaluator, {"alphas": [0.01, 0.1], "folds": 2}), ("boosted_regression", evaluate.GBREvaluator, {"n_estimators": 5}), ("kernel_ridge", evaluate.KernelRidgeEvaluator, {"most": 300})):
+for _name, _kind, _params in (("linear_regression", evaluate.OLSEvaluator, {}), ("lasso", evaluate.LassoEvaluator, {}), ("boosted_regression", evaluate.GBREvaluator, {}), ("kernel_ridge", evaluate.KernelRidgeEvaluator, {"most": 300})):
 
     @query(f"eval_{_name}")
     def _(spark, sf, kind=_kind, params=_params):
-        return kind("p_retailprice", _PART_KEY, ["p_size", "p_group"], **params).predictions(_part(spark, sf))
+        return kind("p_retailprice", _PART_KEY, ["p_size", "p_group"], **params).predictions(_part(spark, sf)).withColumn("prediction", F.round("prediction", 4))
 
 
 for _name, _kind in (("kmeans", evaluate.KMeansEvaluator), ("agglomerative", evaluate.AgglomerativeEvaluator)):
@@ -911,3 +911,139 @@ SQL["dedup_row_metric"] = _linked("SELECT x.n_nationkey AS a, y.n_nationkey AS b
 _WORDS = "(SELECT doc_id AS k, list_distinct(list_filter(string_split(trim(regexp_replace(lower(text), '\\s+', ' ', 'g')), ' '), lambda t: t <> '')) AS t FROM documents WHERE text IS NOT NULL)"
 SQL["dedup_jaccard"] = _linked(
     f"SELECT a, b FROM (SELECT x.k AS a, y.k AS b, len(list_intersect(x.t, y.t)) AS c, len(x.t) AS m, len(y.t) AS n FROM {_WORDS} x JOIN {_WORDS} y ON x.k < y.k AND least(len(x.t), len(y.t)) >= 0.8 * greatest(len(x.t), len(y.t)) AND len(x.t) > 0) WHERE c >= (0.8 - 1e-12) * (m + n - c)", "doc_id", "documents", "doc_id")
+
+
+_PART_UNIT = _unit("CAST(p_partkey AS VARCHAR)")
+_BANDS = f"b AS (SELECT p_partkey, CAST(p_size AS DOUBLE) AS x, CAST(p_retailprice AS DOUBLE) AS y, CASE WHEN p_retailprice + p_size > 950 THEN 'high' ELSE 'low' END AS band, {_PART_UNIT} < 0.2 AS test FROM part)"
+#: A score a row and class to the best class and its share, classes numbered in alphabetical order.
+_BEST = """m AS (SELECT p_partkey, max(s) AS top, arg_max(i, s) AS i, arg_max(c, s) AS c FROM s GROUP BY 1), e AS (SELECT s.p_partkey, 1 / sum(exp(s.s - top)) AS confidence FROM s JOIN m USING (p_partkey) GROUP BY 1)"""
+_NUMBERED = "CAST(CASE b.band WHEN 'high' THEN 0 ELSE 1 END AS DOUBLE) AS label, CAST(m.i AS DOUBLE) AS prediction, round(confidence, 6) AS confidence FROM b JOIN m USING (p_partkey) JOIN e USING (p_partkey)"
+SQL["eval_gaussian_nb"] = f"""WITH {_BANDS}, v AS (SELECT 1e-9 * greatest(var_pop(x), var_pop(y)) AS eps FROM b WHERE NOT test),
+    t AS (SELECT band AS c, CASE band WHEN 'high' THEN 0 ELSE 1 END AS i, ln(count(*)) - ln((SELECT count(*) FROM b WHERE NOT test)) AS p, avg(x) AS mx, avg(y) AS my, var_pop(x) + any_value(eps) AS vx, var_pop(y) + any_value(eps) AS vy FROM b, v WHERE NOT test GROUP BY 1),
+    s AS (SELECT p_partkey, c, i, p - 0.5 * (ln(2 * pi() * vx) + power(x - mx, 2) / vx + ln(2 * pi() * vy) + power(y - my, 2) / vy) AS s FROM b, t WHERE test), {_BEST} SELECT b.p_partkey, {_NUMBERED}"""
+SQL["eval_multinomial_nb"] = f"""WITH {_BANDS}, t AS (SELECT band AS c, CASE band WHEN 'high' THEN 0 ELSE 1 END AS i, ln(count(*) + 1.0) - ln((SELECT count(*) + 2.0 FROM b WHERE NOT test)) AS p, ln(sum(x) + 1) - ln(sum(x) + sum(y) + 2) AS tx, ln(sum(y) + 1) - ln(sum(x) + sum(y) + 2) AS ty FROM b WHERE NOT test GROUP BY 1),
+    s AS (SELECT p_partkey, c, i, p + x * tx + y * ty AS s FROM b, t WHERE test), {_BEST} SELECT b.p_partkey, {_NUMBERED}"""
+SQL["eval_lda"] = f"""WITH {_BANDS}, t AS (SELECT band AS c, 0 AS i, count(*) AS n, avg(x) AS mx, avg(y) AS my, covar_pop(x, x) AS xx, covar_pop(x, y) AS xy, covar_pop(y, y) AS yy FROM b WHERE NOT test GROUP BY 1),
+    g AS (SELECT sum(n) AS n, sum(n * xx) / (sum(n) - count(*)) + 1e-6 AS xx, sum(n * xy) / (sum(n) - count(*)) AS xy, sum(n * yy) / (sum(n) - count(*)) + 1e-6 AS yy FROM t),
+    w AS (SELECT c, i, ln(t.n / g.n) AS p, mx, my, (g.yy * mx - g.xy * my) / (g.xx * g.yy - g.xy * g.xy) AS wx, (g.xx * my - g.xy * mx) / (g.xx * g.yy - g.xy * g.xy) AS wy FROM t, g),
+    s AS (SELECT p_partkey, c, i, p - (mx * wx + my * wy) / 2 + x * wx + y * wy AS s FROM b, w WHERE test), {_BEST} SELECT b.p_partkey, b.band AS label, m.c AS prediction, round(confidence, 6) AS confidence FROM b JOIN m USING (p_partkey) JOIN e USING (p_partkey)"""
+SQL["eval_linear_regression"] = f"""WITH r AS (SELECT p_partkey, CASE WHEN p_partkey % 7 <> 0 THEN CAST(p_retailprice AS DOUBLE) END AS y, CASE WHEN p_partkey % 11 <> 0 THEN CAST(p_size AS DOUBLE) END AS a, CAST(p_partkey % 100 AS DOUBLE) AS b, {_PART_UNIT} < 0.2 AS test FROM part),
+    f AS (SELECT p_partkey, y, coalesce(a, (SELECT avg(a) FROM r WHERE y IS NOT NULL)) AS a, b, test FROM r WHERE y IS NOT NULL),
+    g AS (SELECT avg(y) AS my, avg(a) AS ma, avg(b) AS mb, var_pop(a) AS aa, var_pop(b) AS bb, covar_pop(a, b) AS ab, covar_pop(a, y) AS ay, covar_pop(b, y) AS by_ FROM f WHERE NOT test)
+    SELECT p_partkey, y AS label, round(my + (a - ma) * (ay * bb - by_ * ab) / (aa * bb - ab * ab) + (b - mb) * (by_ * aa - ay * ab) / (aa * bb - ab * ab), 4) AS prediction FROM f, g WHERE test"""
+
+
+# ---- what is asked for by name or as a base: calls, loaders, sinks, guards, parameterised operators, rewards
+
+
+@query("base_call", SQL["impute_mean"])
+def base_call(spark, sf):
+    """Calling an operator that was not fitted: statistics of the frame itself."""
+    return impute.MeanImputer(columns=["c_acctbal"])(customer(spark, sf)).select("c_custkey", r("c_acctbal").alias("c_acctbal"))
+
+
+def _stored(spark, df: DataFrame, kind: str) -> str:
+    from sievelake.plans.shared import fresh_dir
+
+    return loaders.write_table(df, fresh_dir(spark, "tables"), "table", kind=kind)
+
+
+@query("source_csv", "SELECT CAST(s_suppkey AS INTEGER) AS s_suppkey, s_name, s_acctbal FROM supplier")
+def source_csv(spark, sf):
+    path = _stored(spark, table(spark, sf, "supplier").select("s_suppkey", "s_name", "s_acctbal"), "csv")
+    return loaders.CSVLoader(spark, file_path=path.removeprefix("file://").removeprefix("file:")).load() if path.startswith("file:") else loaders.CSVLoader(spark, file_path=path).load()
+
+
+@query("source_table", "SELECT s_suppkey, s_name, s_acctbal FROM supplier")
+def source_table(spark, sf):
+    return loaders.TableLoader(spark, _stored(spark, table(spark, sf, "supplier").select("s_suppkey", "s_name", "s_acctbal"), "orc"), kind="orc").load()
+
+
+@query("source_load_all", "SELECT 'supplier' AS name, count(*) AS n FROM supplier")
+def source_load_all(spark, sf):
+    """The dataset that is not there is left out."""
+    found = loaders.load_all({"supplier": loaders.CSVLoader(spark, dataset=table(spark, sf, "supplier")), "absent": loaders.TableLoader(spark, f"{sf}/absent.parquet", kind="parquet")})
+    parts = [df.agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("n")) for name, df in found.items()]
+    return parts[0]
+
+
+@query("source_concat", "SELECT CAST(c_nationkey AS DOUBLE) AS nation, c_name AS name, c_custkey FROM customer UNION ALL SELECT s_nationkey, s_name, NULL FROM supplier")
+def source_concat(spark, sf):
+    c = table(spark, sf, "customer").select(F.col("c_nationkey").cast("string").alias("nation"), F.col("c_name").alias("name"), "c_custkey", "c_acctbal")
+    s = table(spark, sf, "supplier").select(F.col("s_nationkey").cast("string").alias("nation"), F.col("s_name").alias("name"))
+    return loaders.concat_tables([c, s], drop=("c_acctbal",), numbers=("nation",))
+
+
+@query("source_train_test", f"SELECT CASE WHEN {_unit(_KEY)} < 0.33 THEN 'test' ELSE 'train' END AS part, count(*) AS n FROM customer GROUP BY 1")
+def source_train_test(spark, sf):
+    made = loaders.train_test(table(spark, sf, "customer"), key=["c_custkey"], target="c_mktsegment")
+    return made["train"].withColumn("part", F.lit("train")).unionByName(made["test"].withColumn("part", F.lit("test"))).groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("dedup_parameterized", "SELECT max(p_partkey) AS p_partkey FROM part GROUP BY p_size")
+def dedup_parameterized(spark, sf):
+    rows = table(spark, sf, "part").select("p_partkey", "p_size")
+    return dedup.ParameterizedDeduplicator(columns=["p_size"], key="p_partkey").set_params(keep="last").fit_transform(rows).select("p_partkey")
+
+
+@query("outlier_guarded", "WITH b AS (SELECT quantile_cont(value, 0.25) AS a, quantile_cont(value, 0.75) AS c FROM events) SELECT event_id, round(value, 6) AS value FROM events, b WHERE value BETWEEN a - 1.5 * (c - a) AND c + 1.5 * (c - a)")
+def outlier_guarded(spark, sf):
+    inner = outliers.IQROutlierCleaner(columns=["value"], method="drop")
+    return outliers.GuardedRemoval(inner=inner).fit_transform(table(spark, sf, "events")).select("event_id", r("value").alias("value"))
+
+
+@query("outlier_guard_holds", "SELECT event_id FROM events")
+def outlier_guard_holds(spark, sf):
+    """A removal that would leave less than half of the rows is not made."""
+    inner = outliers.ZScoreOutlierCleaner(columns=["value"], threshold=0.01, method="drop")
+    return outliers.GuardedRemoval(inner=inner).fit_transform(table(spark, sf, "events")).select("event_id")
+
+
+@query("scale_parameterized", "SELECT event_id, round((value - (SELECT avg(value) FROM events)) / (SELECT stddev_pop(value) FROM events), 6) AS value FROM events")
+def scale_parameterized(spark, sf):
+    return scale.ParameterizedScaler(columns=["value"]).set_params(method="zscore").fit_transform(table(spark, sf, "events").select("event_id", "value")).select("event_id", r("value").alias("value"))
+
+
+@query("scale_skewed_log1p", "WITH s AS (SELECT avg(power(n_chars - m, 3)) / power(any_value(d), 3) AS s FROM documents, (SELECT avg(n_chars) AS m, stddev_pop(n_chars) AS d FROM documents)) SELECT doc_id, round(CASE WHEN s >= 0.75 THEN ln(1 + n_chars) ELSE n_chars END, 6) AS n_chars, CAST(doc_id AS DOUBLE) AS even FROM documents, s")
+def scale_skewed_log1p(spark, sf):
+    rows = table(spark, sf, "documents").select("doc_id", F.col("n_chars").cast("double").alias("n_chars"), F.col("doc_id").cast("double").alias("even"))
+    return scale.Log1pScaler(columns=["n_chars", "even"], min_skew=0.75).fit_transform(rows).select("doc_id", r("n_chars").alias("n_chars"), "even")
+
+
+@query("inject_profile", SQL["inject_duplicates"])
+def inject_profile(spark, sf):
+    return inject.apply_error_profile(table(spark, sf, "customer"), inject.ErrorProfile("duplicates", 0.1), ["c_custkey"], "c_mktsegment")
+
+
+@query("eval_confidence", f"SELECT round(avg(greatest(score, 1 - score)), 6) AS confidence, round(avg(abs(2 * score - 1)), 6) AS margin, round(avg(-(CASE WHEN score > 0 THEN score * ln(score) ELSE 0 END + CASE WHEN score < 1 THEN (1 - score) * ln(1 - score) ELSE 0 END)), 6) AS entropy FROM {_SCORED}")
+def eval_confidence(spark, sf):
+    rows = scored(spark, sf).select(F.array(F.col("score").cast("double"), 1 - F.col("score").cast("double")).alias("probability"))
+    return evaluate.confidence_signals(rows).select(*(r(c).alias(c) for c in ("confidence", "margin", "entropy")))
+
+
+class _ShareOver:
+    """An evaluator of a closed form: the share of rows over a bound."""
+
+    def __init__(self, column: str, bound: float):
+        self.column, self.bound = column, bound
+
+    def evaluate(self, df: DataFrame) -> float:
+        return float(df.agg(F.avg((F.col(self.column) > self.bound).cast("double"))).first()[0] or 0.0)
+
+
+_COMPLETE = "(1 - (count(*) FILTER (c_acctbal IS NULL) + count(*) FILTER (c_mktsegment IS NULL)) / CAST(4 * count(*) AS DOUBLE))"
+
+
+@query(
+    "reward_variants",
+    f"""WITH w AS (SELECT count(*) AS n0, {_COMPLETE} AS c0 FROM {CUSTOMER}), l AS (SELECT count(*) AS n, avg(CASE WHEN c_acctbal > 0 THEN 1.0 ELSE 0.0 END) AS a FROM {_LEFT})
+    SELECT 'accuracy' AS reward, round(a, 6) AS value FROM l UNION ALL SELECT 'completeness', round(sqrt(n / CAST(n0 AS DOUBLE)), 6) FROM l, w
+    UNION ALL SELECT 'incremental', round(greatest(-1, least(1, 5 * (sqrt(n / CAST(n0 AS DOUBLE)) - c0))), 6) FROM l, w UNION ALL SELECT 'tiered', round(0.5 + a * sqrt(n / CAST(n0 AS DOUBLE)) - 0.005, 6) FROM l, w""",
+)
+def reward_variants(spark, sf):
+    whole, share = customer(spark, sf), _ShareOver("c_acctbal", 0.0)
+    prepared = impute.DropMissing().transform(whole)
+    own = {"accuracy": reward.AccuracyReward(share), "completeness": reward.CompletenessRetentionReward(), "incremental": reward.IncrementalGainReward(reward.CompletenessRetentionReward()), "tiered": reward.TieredAccuracyReward(share)}
+    for x in own.values():
+        x.reset(whole)
+    return spark.createDataFrame([(name, round(float(x(prepared)), 6)) for name, x in own.items()], "reward string, value double")
