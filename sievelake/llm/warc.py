@@ -20,16 +20,17 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievelake.llm.common import batches, filesystem, fresh_dir, written
 
 MANIFEST = "shard int, seq int, temporary string, name string, records long, bytes long, sha256 string"
 RECORDS = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, file string, nth long"
-#: Sampled rows from which the shards' bounds are read.
-BOUND_ROWS = 8192
-MOST_SHARDS = 4096
+#: Sampled rows from which the shards' bounds are read: so many a shard, and at least.
+BOUND_ROWS, LEAST_ROWS = 16, 8192
+#: Bounds that the driver holds. Beyond this many shards (4 TB of payloads by the usual size) a shard grows, and its files do not.
+MOST_SHARDS = 65_536
 SPACE = uuid.UUID("9b2f6f5e-5a0c-5d0e-8f55-3f6f2b1c7a10")
 
 
@@ -106,13 +107,14 @@ _RECORDS = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_b
 
 
 def bounds(keys: DataFrame, shard_bytes: int) -> list[int]:
-    """The page ids at which shards begin, of about equal bytes; from a sample by hash of at most BOUND_ROWS rows."""
+    """The page ids at which shards begin, of about equal bytes; from a sample by hash that grows with the shards."""
     total, n = keys.agg(F.sum("n"), F.count(F.lit(1))).first()
     shards = min(MOST_SHARDS, -(-(total or 0) // shard_bytes))
     if shards < 2:
         return []
-    sample = keys.where(F.col("page_id").isNotNull() & (F.pmod(F.xxhash64("page_id"), F.lit(1 << 30)) < int(min(1.0, BOUND_ROWS / n) * (1 << 30))))
-    rows = sorted((r.page_id, r.n + 200) for r in sample.orderBy(F.xxhash64("page_id"), "page_id").select("page_id", "n").limit(BOUND_ROWS).collect())
+    most = max(LEAST_ROWS, BOUND_ROWS * shards)
+    sample = keys.where(F.col("page_id").isNotNull() & (F.pmod(F.xxhash64("page_id"), F.lit(1 << 30)) < int(min(1.0, most / n) * (1 << 30))))
+    rows = sorted((r.page_id, r.n + 200) for r in sample.orderBy(F.xxhash64("page_id"), "page_id").select("page_id", "n").limit(most).collect())
     weight, at, out = sum(n for _, n in rows), 0, []
     for page_id, n in rows:
         if at >= weight * (len(out) + 1) / shards and (not out or page_id > out[-1]):
@@ -121,6 +123,23 @@ def bounds(keys: DataFrame, shard_bytes: int) -> list[int]:
     return out
 
 
+def shard_of(cuts: list[int], width: int = 256) -> Column:
+    """How many of the ascending cuts are at most the page id: counted in one block of `width` cuts, found by the blocks' first ones.
+
+    The cuts are constants made from text, so that a plan with tens of thousands of them stays small.
+    """
+    numbers = lambda own: F.split(F.lit(",".join(map(str, own))), ",").cast("array<bigint>")
+    upto = lambda own: F.size(F.filter(own, lambda b: b <= F.col("page_id")))
+    if not cuts:
+        return F.lit(0)
+    if len(cuts) <= width:
+        found = upto(numbers(cuts))
+    else:
+        block = upto(numbers(cuts[::width]))
+        found = F.when(block == 0, 0).otherwise((block - 1) * width + upto(F.slice(numbers(cuts), F.greatest(block - 1, F.lit(0)) * width + 1, F.lit(width))))
+    return F.when(F.col("page_id").isNull(), 0).otherwise(found).cast("int")
+
+
 def write(pages: DataFrame, folder: str, least: int = 100, shard_bytes: int = 64 << 20, roll_bytes: int = 16 << 20, level: int = 5, date: str = "1970-01-01T00:00:00Z", id_column: str = "page_id", url_column: str = "url", payload_column: str = "html") -> DataFrame:
     """Write the archives into the folder (a URI that driver and executors share); the manifest of the named files."""
     spark = pages.sparkSession
@@ -128,7 +147,7 @@ def write(pages: DataFrame, folder: str, least: int = 100, shard_bytes: int = 64
     rows = pages.select(F.col(id_column).cast("long").alias("page_id"), F.col(url_column).cast("string").alias("url"), F.coalesce(F.col(payload_column).cast("string").cast("binary"), F.lit(b"")).alias("payload"))
     keys = written(rows.select("page_id", F.sha2("payload", 256).alias("digest"), F.octet_length("payload").cast("long").alias("n")), "warc-keys")
     cuts = bounds(keys, shard_bytes)
-    shard = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda b: b <= F.col("page_id"))) if cuts else F.lit(0)
+    shard = shard_of(cuts)
     # what revisits what travels as small rows that sort before the pages they speak of, so payloads move once
     first = keys.where(F.col("n") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1 and first is not null").select("digest", "first")
     marks = keys.join(first, "digest").select("page_id", "digest", "first").distinct()

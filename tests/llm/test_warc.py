@@ -40,3 +40,13 @@ def test_same_rows_give_the_same_bytes(spark):
 
 def test_empty_table(spark):
     assert warc.round_trip(spark, spark.createDataFrame([], PAGES)).count() == 0
+
+
+def test_shards_of_many_cuts(spark):
+    import bisect
+
+    ids = [None, -5, 0, 1, 7, 499, 500, 1503, 1504, 99999]
+    df = spark.createDataFrame([(i,) for i in ids], "page_id long")
+    for cuts in ([], [3], list(range(0, 1500, 3)), list(range(1, 3000, 2))):
+        got = {r.page_id: r.s for r in df.select("page_id", warc.shard_of(cuts, 16).alias("s")).collect()}
+        assert got == {i: 0 if i is None else bisect.bisect_right(cuts, i) for i in ids}
