@@ -78,15 +78,17 @@ class LanguageModel:
         return self.within[f].classes[c], p * q
 
 
-def fit(labelled: DataFrame, per_language: int = 400, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", seed: int = 8) -> LanguageModel | None:
+def fit(labelled: DataFrame, per_language: int = 400, most_languages: int = 200, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", seed: int = 8) -> LanguageModel | None:
     """Learn from (text, language) rows: of each language the `per_language` with the smallest hash at most.
 
-    Counts over all rows give each language's sampling rate; the sample is drawn by hash and holds at most
+    The `most_languages` codes with most rows are learned (of equally many rows the first in order), so that a column of junk
+    codes bounds the machines, too. Counts over all rows give each language's sampling rate; the sample is drawn by hash and holds at most
     2 * per_language * languages rows of 4 * BUCKETS bytes on the driver.
     """
     batches(labelled.sparkSession)
     rows = labelled.select(F.col(id_column).alias("i"), F.col(text_column).alias("t"), F.col(lang_column).alias("l")).where("l is not null and t is not null")
-    counts = {r[0]: r[1] for r in rows.groupBy("l").count().collect()}
+    counts = {r[0]: r[1] for r in rows.groupBy("l").count().orderBy(F.desc("count"), "l").limit(most_languages).collect()}
+    rows = rows.where(F.col("l").isin(*counts))
     if not counts:
         return None
     rate = F.element_at(F.create_map(*(F.lit(x) for l, n in counts.items() for x in (l, min(1.0, 1.5 * per_language / n)))), F.col("l"))

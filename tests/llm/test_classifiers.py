@@ -19,6 +19,8 @@ def test_language_by_family_then_language(spark):
     assert [got[i].lang_pred for i in (1000, 1001, 1002, 1003, 1004)] == ["und", "und", "und", "fr", "de"]
     assert all(0 <= r.score <= 1 for r in got.values()) and got[1000].score == 0
     assert {r.lang_pred for r in language_id.predict(docs, language_id.fit(docs.limit(0))).collect()} == {"und"}
+    few = language_id.fit(docs, per_language=10, most_languages=2)  # ties of counts by code
+    assert few.families == ["germanic"] and {c for m in few.within for c in m.classes} == {"de", "en"}
 
 
 def test_squared_hinge_separates():
