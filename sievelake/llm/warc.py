@@ -153,7 +153,7 @@ def write(pages: DataFrame, folder: str, least: int = 100, shard_bytes: int = 64
     marks = keys.join(first, "digest").select("page_id", "digest", "first").distinct()
     both = rows.select("page_id", F.sha2("payload", 256).alias("digest"), F.lit(1).alias("kind"), "url", "payload", F.lit(None).cast("long").alias("first"))
     both = both.unionByName(marks.select("page_id", "digest", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "first"))
-    dealt = both.withColumn("shard", shard).repartition(len(cuts) + 1, "shard").sortWithinPartitions("shard", "page_id", "digest", "kind", "url")
+    dealt = both.withColumn("shard", shard).repartitionById(len(cuts) + 1, F.col("shard")).sortWithinPartitions("shard", "page_id", "digest", "kind", "url")
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         roller, at, mark, nth = None, None, None, 0
