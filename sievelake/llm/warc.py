@@ -251,7 +251,9 @@ def read(manifest: DataFrame, folder: str) -> DataFrame:
                 if found:
                     yield _rows(found, _RECORDS)
 
-    return manifest.select("name").repartition(F.col("name")).mapInArrow(run, RECORDS)
+    # a stated number of tasks, as names are too small for adaptive execution to keep them apart
+    files = manifest.count()
+    return manifest.select("name").repartition(max(1, min(files, max(256, files // 16))), "name").mapInArrow(run, RECORDS)
 
 
 def round_trip(spark: SparkSession, pages: DataFrame, **options) -> DataFrame:
