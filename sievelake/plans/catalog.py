@@ -818,12 +818,20 @@ def source_split(spark, sf):
     return evaluate.stratified_split(table(spark, sf, "customer"), ["c_custkey"], "c_mktsegment").groupBy("c_mktsegment", "split").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _event_stream(spark, sf):
+    """The events as a stream; a pattern, as a stream's plain path must be a folder and the table may be one file."""
+    from sievelake.streaming import streams
+
+    return streams.read_table_stream(spark, f"{sf}/events.parquet*", table(spark, sf, "events").schema)
+
+
 @query("stream_quality", "SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY 1")
 def stream_quality(spark, sf):
-    """The stream operators' aggregates over the same rows at rest; tests run them on readStream."""
-    from sievelake.streaming.streams import windowed_quality
+    """Windowed quality of the table read as a stream, summed over the windows."""
+    from sievelake.streaming import streams
 
-    by = windowed_quality(table(spark, sf, "events"), "ts", "value", "1 hour", by=["event_type"])
+    stream = _event_stream(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
+    by = streams.run_to_table(streams.windowed_quality(stream, "ts", "value", "1 hour", by=["event_type"]))
     return by.groupBy("event_type").agg(F.sum("n").alias("n"), r(F.sum(F.col("mean") * F.col("n")) / F.sum("n")).alias("mean"))
 
 
@@ -846,6 +854,17 @@ def prepare_and_score(spark, sf):
     return n.join(out).select("rows_in", "rows_out", r(F.sqrt(F.col("rows_out") / F.col("rows_in"))).alias("reward"), F.lit(round(scaler.stats["mean_v"], 4)).alias("mean"), F.lit(round(scaler.stats["sd_v"], 4)).alias("sd"))
 
 
+@query("stream_scaled", "SELECT event_id, round((value - (SELECT min(value) FROM events)) / (SELECT max(value) - min(value) FROM events), 6) AS value FROM events")
+def stream_scaled(spark, sf):
+    """An operator that was fitted on the table at rest, on the table as a stream."""
+    from sievelake.streaming import streams
+
+    rows = table(spark, sf, "events")
+    stream = _event_stream(spark, sf)
+    fitted = [scale.MinMaxScaler(columns=["value"]).fit(rows)]
+    return streams.run_to_table(streams.apply_fitted(stream, fitted), "append").select("event_id", r("value").alias("value"))
+
+
 # ---- twins of queries above that need more than a line
 
 

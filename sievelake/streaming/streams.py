@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from sievelake.operators.base import Action
+from sievelake.plans.shared import fresh_dir
 
 
 def read_table_stream(spark, path: str, schema, files_per_trigger: int = 16) -> DataFrame:
@@ -57,3 +58,19 @@ def run_to_memory(stream: DataFrame, name: str, mode: str = "append") -> Streami
     query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
     query.awaitTermination()
     return query
+
+
+def run_to_table(stream: DataFrame, mode: str = "complete") -> DataFrame:
+    """All that is available now, into a table in the shared folder: the last state of a `complete` stream, every row of another.
+
+    Offsets and state are checkpointed beside it, so a run that is cut off goes on where it was.
+    """
+    spark, folder = stream.sparkSession, fresh_dir(stream.sparkSession, "stream")
+    spark.createDataFrame([], stream.schema).write.parquet(f"{folder}/rows")
+
+    def put(batch: DataFrame, nth: int) -> None:
+        at = f"{folder}/rows" if mode == "complete" else f"{folder}/rows/batch={nth}"
+        batch.write.mode("overwrite").parquet(at)  # a batch that runs again replaces itself
+
+    stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
