@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from itertools import combinations
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from sievelake.functions.stats import adjusted_kurtosis, adjusted_skew, correlation, number, numeric_columns, quantiles
@@ -19,16 +19,27 @@ def duplicate_ratios(df: DataFrame, columns: list[str] | None = None) -> DataFra
     return groups.agg(F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))) / total, F.lit(0.0)).alias("members"), F.coalesce((F.sum("n") - F.count(F.lit(1))) / total, F.lit(0.0)).alias("surplus"))
 
 
+def distinct_counts(df: DataFrame, columns: dict[str, Column]) -> dict[str, int]:
+    """Distinct values of each column, nulls aside: values of all columns are counted as groups of one narrow table, each combined before it moves."""
+    if not columns:
+        return {}
+    cells = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), x.cast("string").alias("v")) for i, x in enumerate(columns.values())))).alias("e")
+    found = {r.i: r["count"] for r in df.select(cells).select("e.*").where("v is not null").distinct().groupBy("i").count().collect()}  # a row a column
+    return {c: found.get(i, 0) for i, c in enumerate(columns)}
+
+
 def profile_columns(df: DataFrame) -> DataFrame:
     """A row per column: column, missing, distinct, distinct_ratio, and for numbers iqr_rate, z_rate and abs_skew (0 below four rows)."""
     numeric = numeric_columns(df)
     exprs = [F.count(F.lit(1)).alias("n")]
     for c in df.columns:
         x = number(c) if c in numeric else F.col(f"`{c}`")
-        exprs += [F.count(x).alias(f"k_{c}"), F.count_distinct(x).alias(f"d_{c}")]
+        exprs.append(F.count(x).alias(f"k_{c}"))
         if c in numeric:
             exprs += [F.avg(x).alias(f"m_{c}"), F.stddev_samp(x).alias(f"s_{c}"), quantiles(x, [0.25, 0.75]).alias(f"q_{c}"), adjusted_skew(x).alias(f"w_{c}")]
     first = df.agg(*exprs).first()
+    # adding 0.0 makes one of the two zeros
+    distinct = distinct_counts(df, {c: number(c) + F.lit(0.0) if c in numeric else F.col(f"`{c}`") for c in df.columns})
     rates = {}
     if numeric:
         out = []
@@ -43,7 +54,7 @@ def profile_columns(df: DataFrame) -> DataFrame:
     for c in df.columns:
         known = first[f"k_{c}"]
         enough = c in numeric and known > 3
-        rows.append(Row(column=c, missing=1 - known / n if n else 0.0, distinct=first[f"d_{c}"], distinct_ratio=first[f"d_{c}"] / n if n else 0.0, iqr_rate=float(rates[f"i_{c}"] / known) if enough else 0.0, z_rate=float(rates[f"z_{c}"] / known) if enough else 0.0, abs_skew=abs(first[f"w_{c}"] or 0.0) if enough else 0.0, numeric=c in numeric))
+        rows.append(Row(column=c, missing=1 - known / n if n else 0.0, distinct=distinct[c], distinct_ratio=distinct[c] / n if n else 0.0, iqr_rate=float(rates[f"i_{c}"] / known) if enough else 0.0, z_rate=float(rates[f"z_{c}"] / known) if enough else 0.0, abs_skew=abs(first[f"w_{c}"] or 0.0) if enough else 0.0, numeric=c in numeric))
     return df.sparkSession.createDataFrame(rows, "column string, missing double, distinct long, distinct_ratio double, iqr_rate double, z_rate double, abs_skew double, numeric boolean")
 
 

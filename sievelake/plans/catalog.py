@@ -517,7 +517,8 @@ def profile_columns(spark, sf):
 @query("profile_dataset")
 def profile_dataset(spark, sf):
     report = profile.DataProfiler().profile(customer(spark, sf), "c_mktsegment")
-    return spark.createDataFrame([(report.summary(), ",".join(report.relevant_action_groups()), report.to_state_vector())], "summary string, groups string, state array<double>")
+    names = ("n_rows", "n_columns", "missing", "duplicates", "iqr_rate", "z_rate", "skew", "cardinality", "imbalance")
+    return spark.createDataFrame([(",".join(report.relevant_action_groups()), *(round(v, 4) for v in report.to_state_vector()))], "groups string, " + ", ".join(f"{n} double" for n in names))
 
 
 @query("profile_summary", "SELECT 'o_orderkey' AS \"column\", count(*) FILTER (o_orderkey IS NULL) AS missing, count(DISTINCT o_orderkey) AS \"distinct\" FROM {o} UNION ALL SELECT 'o_orderpriority', count(*) FILTER (o_orderpriority IS NULL), count(DISTINCT o_orderpriority) + 1 FROM {o} UNION ALL SELECT 'o_totalprice', count(*) FILTER (o_totalprice IS NULL), count(DISTINCT o_totalprice) + 1 FROM {o}".format(o=ORDERS))
@@ -752,14 +753,14 @@ def _scorer(rows):
 @query("search_best_pipeline")
 def search_best_pipeline(spark, sf):
     rows = customer(spark, sf)
-    return search.score_pipelines(rows, list(search.valid_pipelines(_groups(), 2)), {"completeness": _scorer(rows)})
+    return search.score_pipelines(rows, list(search.valid_pipelines(_groups(), 2)), {"completeness": _scorer(rows)}).withColumn("value", F.round("value", 6))
 
 
 @query("search_greedy")
 def search_greedy(spark, sf):
     rows = customer(spark, sf)
     chosen, value = search.greedy_search(rows, _groups(), _scorer(rows), 1)
-    return spark.createDataFrame([(g, a.name if a else None, float(value)) for g, a in chosen.items()], "family string, action string, score double")
+    return spark.createDataFrame([(g, a.name if a else None, round(float(value), 6)) for g, a in chosen.items()], "family string, action string, score double")
 
 
 @query("search_genetic")
@@ -782,7 +783,7 @@ def search_sequential_env(spark, sf):
     env = search.SequentialCleaningEnv(rows, actions, _scorer(rows), profile.DataStatsObserver())
     env.reset()
     steps = [env.step(i) for i in (0, 2, 2)]
-    return spark.createDataFrame([(i, float(s.reward), s.terminated) for i, s in enumerate(steps)], "step int, reward double, terminated boolean")
+    return spark.createDataFrame([(i, round(float(s.reward), 6), s.terminated) for i, s in enumerate(steps)], "step int, reward double, terminated boolean")
 
 
 @query("search_weights", "WITH g AS (SELECT i / 10.0 AS a, j / 10.0 AS b, (10 - i - j) / 10.0 AS c FROM (SELECT unnest(range(0, 11)) AS i), (SELECT unnest(range(0, 11)) AS j) WHERE i + j <= 10), s AS (SELECT l_returnflag, l_suppkey, avg(l_quantity) / 50 AS x, avg(l_discount) * 10 AS y, avg(l_tax) * 10 AS z FROM lineitem GROUP BY 1, 2) SELECT l_returnflag, round(a, 1) AS w0, round(b, 1) AS w1, round(c, 1) AS w2, round(max(a * x + b * y + c * z), 6) AS value FROM s, g GROUP BY 1, 2, 3, 4")
@@ -1066,3 +1067,37 @@ def reward_variants(spark, sf):
     for x in own.values():
         x.reset(whole)
     return spark.createDataFrame([(name, round(float(x(prepared)), 6)) for name, x in own.items()], "reward string, value double")
+
+
+SQL["profile_dataset"] = f"""WITH p AS ({" UNION ALL ".join(_rates(c) for c in _THREE)}), n AS (SELECT count(*) AS n FROM {CUSTOMER}), g AS (SELECT c_mktsegment, count(*) AS c FROM {CUSTOMER} GROUP BY 1),
+    v AS (SELECT avg(missing) AS m, avg(iqr_rate) AS i, avg(z_rate) AS z, avg(abs_skew) AS s, avg("distinct" / CAST(n AS DOUBLE)) AS d FROM p, n)
+    SELECT concat_ws(',', CASE WHEN m > 0.005 THEN 'imputation' END, CASE WHEN greatest(i, z) > 0.005 THEN 'outlier_detection' END, CASE WHEN s > 0.005 THEN 'scaling' END) AS groups,
+           CAST(n AS DOUBLE) AS n_rows, 3.0::DOUBLE AS n_columns, round(m, 4) AS missing, 0.0::DOUBLE AS duplicates, round(i, 4) AS iqr_rate, round(z, 4) AS z_rate, round(s, 4) AS skew, round(d, 4) AS cardinality,
+           round(1 - (SELECT max(c) / CAST(sum(c) AS DOUBLE) FROM g), 4) AS imbalance FROM v, n"""
+
+
+_PREPARED = {
+    "mean": "(SELECT * REPLACE (coalesce(c_acctbal, (SELECT avg(c_acctbal) FROM {q})) AS c_acctbal) FROM {q})",
+    "median": "(SELECT * REPLACE (coalesce(c_acctbal, (SELECT median(c_acctbal) FROM {q})) AS c_acctbal) FROM {q})",
+    "iqr": "(SELECT * FROM {q} WHERE c_acctbal IS NULL OR c_acctbal BETWEEN (SELECT 2.5 * quantile_cont(c_acctbal, 0.25) - 1.5 * quantile_cont(c_acctbal, 0.75) FROM {q}) AND (SELECT 2.5 * quantile_cont(c_acctbal, 0.75) - 1.5 * quantile_cont(c_acctbal, 0.25) FROM {q}))",
+    "minmax": "(SELECT * REPLACE ((c_acctbal - (SELECT min(c_acctbal) FROM {q})) / (SELECT max(c_acctbal) - min(c_acctbal) FROM {q}) AS c_acctbal) FROM {q})",
+}
+
+
+def _scored_pipeline(*steps: str) -> str:
+    """SQL of the completeness and retention of the customers after these steps."""
+    q = _WHOLE
+    for step in steps:
+        q = _PREPARED[step].format(q=q)
+    return f"(SELECT {_COMPLETE} * sqrt(count(*) / CAST((SELECT count(*) FROM {_WHOLE}) AS DOUBLE)) FROM {q})"
+
+
+_ORDERS = [(), *((a,) for a in _PREPARED), *((a, b) for a in _PREPARED for b in _PREPARED if a != b and {a, b} != {"mean", "median"})]
+SQL["search_best_pipeline"] = " UNION ALL ".join(f"SELECT '{' > '.join(p) or 'none'}' AS pipeline, 'completeness' AS reward, round({_scored_pipeline(*p)}, 6) AS value, CAST(NULL AS VARCHAR) AS error" for p in _ORDERS)
+SQL["search_sequential_env"] = f"""SELECT 0 AS step, round({_scored_pipeline("mean")} - {_scored_pipeline()}, 6) AS reward, false AS terminated
+    UNION ALL SELECT 1, round({_scored_pipeline("mean", "iqr")} - {_scored_pipeline("mean")}, 6), false UNION ALL SELECT 2, -1.0, true"""
+SQL["search_greedy"] = f"""WITH s AS (SELECT {_scored_pipeline()} AS none, {_scored_pipeline("mean")} AS mean, {_scored_pipeline("median")} AS median),
+    i AS (SELECT CASE WHEN none >= greatest(mean, median) THEN NULL WHEN mean >= median THEN 'mean' ELSE 'median' END AS action, greatest(none, mean, median) AS score FROM s)
+    SELECT 'imputation' AS family, action, round(score, 6) AS score FROM i
+    UNION ALL SELECT 'outliers', CASE WHEN (CASE action WHEN 'mean' THEN {_scored_pipeline("mean", "iqr")} WHEN 'median' THEN {_scored_pipeline("median", "iqr")} ELSE {_scored_pipeline("iqr")} END) > score + 1e-12 THEN 'iqr' END, round(score, 6) FROM i
+    UNION ALL SELECT 'scaling', NULL, round(score, 6) FROM i"""

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievelake.operators.base import Action, ParameterizedAction
+from sievelake.plans.shared import written
 
 Score = Callable[[DataFrame], float]
 
@@ -85,7 +86,7 @@ class SequentialCleaningEnv:
             return Step(self._observe(), self.repeat, self.ends_on_repeat, truncated, {"repeated": True})
         self.used.append(index)
         try:
-            df = self.actions[index].fit_transform(self.df)
+            df = written(self.actions[index].fit_transform(self.df), "step")  # later steps go on from here
             value = self.score(df)
         except Exception as error:  # an operator that does not fit this frame is an outcome of the search
             return Step(self._observe(), self.failure, False, truncated, {"error": str(error)[:300]})
