@@ -141,7 +141,11 @@ def steps(p: DataFrame, q: DataFrame, columns: list[str], buckets: int = 256) ->
     long = entries(p, 0).unionByName(entries(q, 1))
     counts = written(long.groupBy("feature", "v").agg(F.count(F.when(F.col("side") == 0, 1)).alias("cp"), F.count(F.when(F.col("side") == 1, 1)).alias("cq")), "value-counts")
     cuts = counts.groupBy("feature").agg(F.percentile_approx("v", [i / buckets for i in range(1, buckets)], 5000).alias("cuts"))
-    placed = counts.join(F.broadcast(cuts), "feature").withColumn("b", F.size(F.filter("cuts", lambda x: x < F.col("v")))).drop("cuts")
+    # how many cuts lie below a value: every sixteenth first, then the fifteen after the last of those
+    below = lambda own: F.size(F.filter(own, lambda x: x < F.col("v")))
+    cuts = cuts.withColumn("sixteenths", F.filter("cuts", lambda x, i: i % 16 == 15))
+    placed = counts.join(F.broadcast(cuts), "feature").withColumn("c", 16 * below("sixteenths"))
+    placed = placed.withColumn("b", F.col("c") + below(F.slice("cuts", F.col("c") + 1, F.lit(15)))).drop("cuts", "sixteenths", "c")
     within = Window.partitionBy("feature", "b").orderBy("v")
     sums = placed.groupBy("feature", "b").agg(F.sum("cp").alias("sp"), F.sum("cq").alias("sq"), F.min("v").alias("first"))
     over = Window.partitionBy("feature").orderBy("b")
