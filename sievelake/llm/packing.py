@@ -67,8 +67,16 @@ def word_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
     from tokenizers.pre_tokenizers import ByteLevel
 
     tokenizer = Tokenizer.from_file(path)
-    added = sorted({t.content.lower() for t in tokenizer.get_added_tokens_decoder().values()})
-    special = re.compile("|".join(map(re.escape, added)) or "(?!)", re.IGNORECASE)
+    added = tokenizer.get_added_tokens_decoder().values()
+    raw_tokens, folded_tokens = [t.content for t in added if not t.normalized], [t.content.lower() for t in added if t.normalized]
+
+    def special(text: str) -> bool:
+        """Whether the tokenizer may find one of its own tokens before it splits the text: as it stands, or in lower case."""
+        if any(t in text for t in raw_tokens):
+            return True
+        low = text.lower() if folded_tokens else ""
+        return any(t in low for t in folded_tokens)
+
     level = ByteLevel(add_prefix_space=False, use_regex=False)
     # the sign of each byte above ASCII is the last one of a character that ends in that byte
     marks = {b: level.pre_tokenize_str(bytes([0xC3, b]).decode())[0][0][-1] for b in range(0x80, 0xC0)}
@@ -90,7 +98,7 @@ def word_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
     kept = _Kept(of_string)
 
     def encode(texts: list[str]) -> list[bytes]:
-        found = [whole(t) if special.search(t) else b"".join(map(kept.__getitem__, t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "))) for t in texts]
+        found = [whole(t) if special(t) else b"".join(map(kept.__getitem__, t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "))) for t in texts]
         return found if sys.byteorder == "little" else [np.frombuffer(x, ">u4").astype("<u4").tobytes() for x in found]
 
     _encoders[path] = encode
