@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievelake.llm import ctw, decontaminate, language_id, near_dedup, packing, quality, substring_dedup, topk, toxicity, warc
+from sievelake.llm import ctw, decontaminate, language_id, merkle, near_dedup, packing, quality, substring_dedup, topk, toxicity, warc
 from sievelake.llm.common import crc_mod, held_out, table
 
 
@@ -72,8 +72,16 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out("doc_id", 10), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    docs = table(spark, sf_dir, "documents", *fields)
+    even = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    _, proofs = merkle.manifest(docs, fields, "doc_id", "source", {"text": F.when(even, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))})
+    return proofs
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_exact_topk_search, op3_warc, op4_decontamination, op5_quality_classifier, op6_substring_dedup, op7_minhash_near_dedup, op8_language_id, op9_best_fit_packing, op10_lm_scoring)}
+    return {f.__name__: f for f in (op1_toxicity, op2_exact_topk_search, op3_warc, op4_decontamination, op5_quality_classifier, op6_substring_dedup, op7_minhash_near_dedup, op8_language_id, op9_best_fit_packing, op10_lm_scoring, op12_merkle_manifest)}
 
 
 #: DuckDB SQL by query name; the others are tested against brute force, a round trip or held-out accuracy.
@@ -108,4 +116,33 @@ ORACLE_SQL: dict[str, str] = {
         SELECT page_id, payload_bytes, payload_digest,
                CASE WHEN payload_bytes >= 100 AND page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN payload_bytes >= 100 AND page_id > first THEN first END AS refers_to FROM m""",
+    # crc32 byte by byte, its eight steps as zeros that follow each byte; every level of a tree from the one below
+    "op12_merkle_manifest": """
+        WITH RECURSIVE f AS (
+            SELECT doc_id, source, text, coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+                   || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS head,
+                   xor(list_reduce(list_concat([4294967295], flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: [CAST(ascii(c) AS BIGINT), 0, 0, 0, 0, 0, 0, 0]))),
+                       lambda c, x: xor(xor(c, x) // 2, (xor(c, x) % 2) * 3988292384)), 4294967295) % 2 = 0 AS even FROM documents),
+        l AS (SELECT doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+                     CASE WHEN even THEN sha256(head || coalesce(strlen(replace(text, chr(10), '')) || ':' || replace(text, chr(10), ''), '-')) END AS other FROM f),
+        i AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY source) AS n FROM l),
+        t AS (SELECT source, 0 AS level, idx, leaf AS h, n FROM i
+              UNION ALL SELECT source, level + 1, idx // 3, sha256(string_agg(h, '' ORDER BY idx)), (n + 2) // 3 FROM t WHERE n > 1 GROUP BY source, level, idx // 3, n),
+        s AS (SELECT source, h AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS idx, count(*) OVER () AS n FROM t WHERE n = 1),
+        u AS (SELECT 0 AS level, idx, subroot AS h, n FROM s
+              UNION ALL SELECT level + 1, idx // 3, sha256(string_agg(h, '' ORDER BY idx)), (n + 2) // 3 FROM u WHERE n > 1 GROUP BY level, idx // 3, n),
+        -- siblings left and right of a node, from the leaves to the root
+        a AS (SELECT x.source, x.level, x.idx, coalesce(string_agg(y.h, '' ORDER BY y.idx) FILTER (y.idx < x.idx), '') AS l, coalesce(string_agg(y.h, '' ORDER BY y.idx) FILTER (y.idx > x.idx), '') AS r
+              FROM t x JOIN t y ON x.source IS NOT DISTINCT FROM y.source AND x.level = y.level AND x.idx // 3 = y.idx // 3 WHERE x.n > 1 GROUP BY ALL),
+        b AS (SELECT x.level, x.idx, coalesce(string_agg(y.h, '' ORDER BY y.idx) FILTER (y.idx < x.idx), '') AS l, coalesce(string_agg(y.h, '' ORDER BY y.idx) FILTER (y.idx > x.idx), '') AS r
+              FROM u x JOIN u y ON x.level = y.level AND x.idx // 3 = y.idx // 3 WHERE x.n > 1 GROUP BY ALL),
+        low AS (SELECT source, idx AS leaf_idx, doc_id, 0 AS level, idx, coalesce(other, leaf) AS h, '' AS sides FROM i
+                UNION ALL SELECT w.source, w.leaf_idx, w.doc_id, w.level + 1, w.idx // 3, sha256(a.l || w.h || a.r), w.sides || a.l || a.r
+                FROM low w JOIN a ON w.source IS NOT DISTINCT FROM a.source AND w.level = a.level AND w.idx = a.idx),
+        ends AS (SELECT w.source, w.leaf_idx, w.doc_id, s.subroot, s.idx, w.h, w.sides FROM low w JOIN s ON w.source IS NOT DISTINCT FROM s.source
+                 WHERE w.level = (SELECT max(level) FROM t WHERE t.source IS NOT DISTINCT FROM w.source)),
+        high AS (SELECT source, leaf_idx, doc_id, subroot, 0 AS level, idx, h, sides FROM ends
+                 UNION ALL SELECT w.source, w.leaf_idx, w.doc_id, w.subroot, w.level + 1, w.idx // 3, sha256(b.l || w.h || b.r), w.sides || b.l || b.r FROM high w JOIN b ON w.level = b.level AND w.idx = b.idx)
+        SELECT i.doc_id, i.leaf, w.subroot, u.h AS root, sha256(w.sides) AS proof_sha256, w.h AS folded_root, w.h = u.h AS verified
+        FROM high w JOIN i ON w.source IS NOT DISTINCT FROM i.source AND w.leaf_idx = i.idx JOIN u ON u.n = 1 AND u.level = w.level""",
 }
