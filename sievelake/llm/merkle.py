@@ -153,13 +153,12 @@ def arrow(schema: str) -> pa.Schema:
     return to_arrow_schema(StructType.fromDDL(schema))
 
 
-def by_height(n: Column, fanout: int) -> Column:
-    """The level of the root over n leaves."""
-    out, reach, level = F.when(n <= 1, 0), fanout, 1
-    while reach < 1 << 62:
-        out = out.when(n <= reach, level)
-        reach, level = reach * fanout, level + 1
-    return out.otherwise(level)
+def powers(fanout: int) -> Column:
+    """How many leaves a node of each level covers at most."""
+    out = [1]
+    while out[-1] * fanout < 1 << 62:
+        out.append(out[-1] * fanout)
+    return F.array(*(F.lit(x).cast("long") for x in out))
 
 
 def plant(leaves: DataFrame, group: str | None, order: list[str], fanout: int = 3, segment_rows: int = SEGMENT_ROWS) -> Forest:
@@ -205,19 +204,14 @@ def plant(leaves: DataFrame, group: str | None, order: list[str], fanout: int =
         spine.append(last)
         parts = -(-parts // MERGE)
     closed = reduce(DataFrame.unionByName, spine[1:], first).where("not open")
-    roots = closed.join(teams, "team").where(F.col("level") == by_height(F.col("n"), fanout)).select("team", "group_key", "n", F.col("digest").alias("subroot"))
+    roots = closed.join(teams, "team").where(F.col("level") == F.size(F.filter(powers(fanout), lambda p: p < F.col("n")))).select("team", "group_key", "n", F.col("digest").alias("subroot"))
     touched = reduce(DataFrame.unionByName, spine).groupBy("team", "level", "idx").agg(F.min("digest").alias("digest"))  # open first, joined later
     return Forest(rows, segments, closed.where("level > 0").select("team", "level", "idx", "digest"), touched, written(roots, "merkle-roots"), fanout)
 
 
 def beside(forest: Forest) -> DataFrame:
     """part, team, level, idx, digest: what stands beside the paths of a stretch and is not an ancestor of its leaves."""
-    powers = [1]
-    while powers[-1] * forest.fanout < 1 << 62:
-        powers.append(powers[-1] * forest.fanout)
-    power = F.array(*(F.lit(x).cast("long") for x in powers))
-    wanted = forest.segments.where("size < n").withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(len(powers) - 2))))
-    wanted = wanted.withColumn("span", F.element_at(power, F.col("level") + 1)).where("span < n")
+    wanted = forest.segments.where("size < n").select("*", F.posexplode(powers(forest.fanout)).alias("level", "span")).where("span < n")
     wanted = wanted.withColumns({"low": F.expr("start div span"), "high": F.expr("(start + size - 1) div span"), "most": F.expr("(n + span - 1) div span")})
     runs = wanted.withColumn("run", F.explode(F.expr(f"array_distinct(array(low div {forest.fanout}, high div {forest.fanout}))")))
     children = runs.withColumn("idx", F.explode(F.expr(f"sequence(run * {forest.fanout}, run * {forest.fanout} + {forest.fanout - 1})")))
