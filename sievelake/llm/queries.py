@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievelake.llm import ctw, decontaminate, language_id, merkle, near_dedup, packing, quality, substring_dedup, topk, toxicity, warc
+from sievelake.llm import ctw, decontaminate, html_extraction, language_id, merkle, near_dedup, packing, quality, substring_dedup, topk, toxicity, warc, whitening
 from sievelake.llm.common import crc_mod, held_out, table
 
 
@@ -72,6 +72,10 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out("doc_id", 10), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
 
 
+def op11_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.extract(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     fields = ["doc_id", "source", "lang", "n_chars", "text"]
     docs = table(spark, sf_dir, "documents", *fields)
@@ -80,8 +84,13 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return proofs
 
 
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whiten(table(spark, sf_dir, "embeddings", "vec_id", "embedding"), "vec_id", "embedding", 8, 1024.0, 100_000)
+    return found.withColumn("deviation", F.expr("try_cast(deviation AS long)"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_exact_topk_search, op3_warc, op4_decontamination, op5_quality_classifier, op6_substring_dedup, op7_minhash_near_dedup, op8_language_id, op9_best_fit_packing, op10_lm_scoring, op12_merkle_manifest)}
+    return {f.__name__: f for f in (op1_toxicity, op2_exact_topk_search, op3_warc, op4_decontamination, op5_quality_classifier, op6_substring_dedup, op7_minhash_near_dedup, op8_language_id, op9_best_fit_packing, op10_lm_scoring, op11_html_extraction, op12_merkle_manifest, op13_embedding_whitening)}
 
 
 #: DuckDB SQL by query name; the others are tested against brute force, a round trip or held-out accuracy.
