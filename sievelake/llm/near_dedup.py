@@ -5,10 +5,13 @@ repeated k-mer counts each time. A sketch entry takes the `ell` labelled k-mers
 order, so two texts agree on it only if they share those k-mers in the same order; that follows edit similarity, where
 plain MinHash follows sets. Bands of `rows` entries are bucket keys; the usual parameters are such that a pair at the least
 similarity meets in some bucket even if its edits are scattered (2 of 10 words changed at random leave a Jaccard share J of
-a fifth of the 5-mers, and 1 - (1 - J^2)^128 of the pairs meet). Candidates are verified by banded alignment: word edit
+a fifth of the 5-mers, and 1 - (1 - J^2)^128 of the pairs meet). A text of under `SHORT` words
+keeps too few 5-mers for that and has bands of 2-mers in their place; one of up to `SHORT` / similarity words has both, as it may
+be near to either. Candidates are verified by banded alignment: word edit
 distance at most (1 - similarity) of the longer text.
 
-Equal word sequences are one representative from the start. A bucket links its members to its first one. Where this leaves
+Equal word sequences are one representative from the start, numbered apart from the ids, so an id that stands by several texts is
+in the classes of all of them. A bucket links its members to its first one. Where this leaves
 more than one class in a bucket, its members are dealt into blocks by a hash, and any two blocks of which one lies outside
 the bucket's largest class meet in a task of their own: there each pair of different classes is ruled out by bounds of
 the edit distance (lengths, and words and word pairs counted in hashed cells) or goes on to the alignment. So every pair
@@ -16,7 +19,9 @@ that meets in a bucket is linked, in one class already, ruled out or aligned, wh
 capped, no task holds more than two blocks, and no group of copies is expanded into pairs.
 
 Defined results: a text without a word (null and empty ones too) is a class of its own; a text of fewer than k words has
-one k-mer, all its words; repeated rows get the same class; empty tables give no rows; extra columns are ignored.
+one k-mer, all its words; repeated rows get the same class, and rows of one id with different words the classes of their words
+(a class is named after its smallest id, so two classes may bear one name if an id has several texts); empty tables give no rows;
+extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,9 +30,11 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_128_digest
 
 from sievelake.llm.common import batches, forget, written
 from sievelake.plans.components import connected_components
@@ -39,12 +46,18 @@ BLOCK = 4096
 CELLS, PAIR_CELLS = 512, 256
 #: Bands whose buckets are compared before the others, so that a class is joined by few links for each member.
 FIRST_BANDS = 4
+#: Texts of fewer words are sketched by shorter k-mers.
+SHORT = 40
 
 
 def normalise(text: str | None) -> list[str]:
     return WORD.findall((text or "").lower())
 
 
+def digest_of(words: list[str]) -> bytes | None:
+    return xxh3_128_digest(" ".join(words).encode("utf-8", "replace")) if words else None
+
+
 class Sketcher:
     """Order MinHash sketches of word sequences."""
 
@@ -188,27 +201,32 @@ def similar(a: list[str], b: list[str], similarity: float) -> bool:
     return longer - common <= most and edits_within(a, b, most) is not None
 
 
-def sketches(docs: DataFrame, sketcher: Sketcher, id_column: str, text_column: str) -> DataFrame:
-    """doc_id, digest of the words (null if there is none), number of words, bucket keys."""
+def banded(words: list[str], sketcher: Sketcher, brief: Sketcher, similarity: float) -> tuple[int, np.ndarray]:
+    """The number of the first band and the keys from there on: the usual bands, then those of short texts."""
+    if len(words) < SHORT:
+        return sketcher.entries // sketcher.rows, brief.bands(words)
+    keys = sketcher.bands(words)
+    return 0, np.concatenate((keys, brief.bands(words))) if len(words) * similarity <= SHORT else keys
 
-    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh3_128_digest
 
+def sketches(docs: DataFrame, sketcher: Sketcher, brief: Sketcher, similarity: float, id_column: str, text_column: str) -> DataFrame:
+    """doc_id, digest of the words (null if there is none), number of words, first band, bucket keys."""
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:
-            digests, sizes, keys = [], [], []
-            for text in frame.column(1).to_pylist():
-                words = normalise(text)
-                sizes.append(len(words))
-                digests.append(xxh3_128_digest(" ".join(words).encode("utf-8", "replace")) if words else None)
-                keys.append(sketcher.bands(words) if words else None)
-            yield pa.RecordBatch.from_arrays([frame.column(0), pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "digest", "words", "bands"])
+            words = [normalise(t) for t in frame.column(1).to_pylist()]
+            found = [banded(x, sketcher, brief, similarity) if x else (0, None) for x in words]
+            yield pa.RecordBatch.from_arrays(
+                [frame.column(0), pa.array(map(digest_of, words), pa.binary()), pa.array(map(len, words), pa.int32()), pa.array([x[0] for x in found], pa.int32()), pa.array([x[1] for x in found], pa.list_(pa.int64()))],
+                names=["doc_id", "digest", "words", "first", "bands"],
+            )
 
-    return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")).mapInArrow(run, "doc_id long, digest binary, words int, bands array<long>")
+    return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")).mapInArrow(run, "doc_id long, digest binary, words int, first int, bands array<long>")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """a, b, linked of candidate pairs; texts by doc_id, once each."""
-    of = lambda x: texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"t{x}"))
+    """a, b, linked of candidate pairs; texts by id, once each."""
+    of = lambda x: texts.select(F.col("id").alias(x), F.col("text").alias(f"t{x}"))
     both = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "ta", "tb")
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,26 +244,33 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
 
 def classes(docs: DataFrame, similarity: float = 0.8, sketcher: Sketcher | None = None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id, class_id (the smallest id of the class), one row per row of docs with an id."""
+    return _members(docs, similarity, sketcher, id_column, text_column).select("doc_id", "class_id")
+
+
+def _members(docs: DataFrame, similarity: float, sketcher: Sketcher | None, id_column: str, text_column: str) -> DataFrame:
+    """doc_id, digest, class_id, and whether id and digest are the first of their class; one row per row of docs with an id."""
     spark = docs.sparkSession
     batches(spark)
-    sketcher = sketcher or Sketcher()
-    made = written(sketches(docs, sketcher, id_column, text_column).where("doc_id is not null"), "sketches")
-    # one representative per word sequence; only the smallest (id, keys) of a group travels
-    firsts = written(made.where("digest is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "words", "bands")).alias("f")).select("digest", "f.*"), "representatives")
+    sketcher, brief = sketcher or Sketcher(), Sketcher(k=2, entries=64, seed=8)
+    made = written(sketches(docs, sketcher, brief, similarity, id_column, text_column).where("doc_id is not null"), "sketches")
+    # one representative per word sequence, with a number of its own; only the smallest (id, keys) of a group travels
+    firsts = made.where("digest is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "words", "first", "bands")).alias("f"))
+    firsts = written(firsts.select("digest", "f.*", F.monotonically_increasing_id().alias("id")), "representatives")
     ids = written(made.select("doc_id", "digest"), "ids")
     forget(made)
-    rows = firsts.select(F.col("doc_id").alias("id"), "words", F.posexplode("bands").alias("band", "bucket"))
+    rows = firsts.select("id", "words", "first", F.posexplode("bands").alias("at", "bucket")).select("id", "words", (F.col("first") + F.col("at")).alias("band"), "bucket")
     # one row a bucket, as a table, so that a bucket that fills a partition can be split on the members' side
     shared = written(rows.groupBy("bucket").agg(F.min("id").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "buckets")
     members = written(rows.join(shared, "bucket"), "members")
-    of_digest = written(firsts.select("digest", "doc_id", "words"), "ids")
+    of_digest = written(firsts.select("digest", "doc_id", "words", "id"), "ids")
     forget(firsts, shared)
-    texts = written(_texts(docs, members.select("id").distinct(), sketcher, id_column, text_column), "candidate-texts")
+    texts = written(_texts(docs, of_digest.join(members.select("id").distinct(), "id", "left_semi"), sketcher, id_column, text_column), "candidate-texts")
     # each member against its bucket's pivot; later bands skip what the first ones have joined already
     labels, tested = None, None
-    sizes = of_digest.select(F.col("doc_id").alias("a"), F.col("words").alias("wa"))
+    sizes = of_digest.select(F.col("id").alias("a"), F.col("words").alias("wa"))
     fits = F.least("wa", "words") >= F.greatest("wa", "words") * F.lit(similarity - 1e-9)
-    for bands in (F.col("band") < FIRST_BANDS, F.col("band") >= FIRST_BANDS):
+    early = F.col("band") % (sketcher.entries // sketcher.rows) < FIRST_BANDS
+    for bands in (early, ~early):
         pairs = members.where(bands & (F.col("id") != F.col("pivot"))).select(F.col("pivot").alias("a"), F.col("id").alias("b"), "words").distinct().join(sizes, "a").where(fits).select("a", "b")
         if labels is not None:
             of = lambda x: labels.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))  # noqa: B023, E731
@@ -256,8 +281,12 @@ def classes(docs: DataFrame, similarity: float = 0.8, sketcher: Sketcher | None
     forget(members)
     labels = _joined(labels, written(verified(near, texts, similarity), "compared"))
     forget(texts)
-    of_digest = of_digest.join(labels, of_digest["doc_id"] == labels["node"], "left").select("digest", F.coalesce("component", "doc_id").alias("class_id"))
-    return ids.join(of_digest, "digest", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
+    named = written(of_digest.join(labels, of_digest["id"] == labels["node"], "left").select("digest", "doc_id", F.coalesce("component", "id").alias("class")), "classes")
+    first = named.groupBy("class").agg(F.min(F.struct("doc_id", "digest")).alias("least"))  # one row a class, so that a large one can be split on the other side
+    of_digest = named.join(first, "class").select("digest", "least")
+    whole = ids.join(of_digest, "digest", "left")
+    is_first = F.col("least").isNull() | (F.col("doc_id") == F.col("least.doc_id")) & (F.col("digest") == F.col("least.digest"))
+    return whole.select("doc_id", "digest", F.coalesce("least.doc_id", "doc_id").alias("class_id"), is_first.alias("is_first"))
 
 
 def _joined(labels: DataFrame | None, fresh: DataFrame) -> DataFrame:
@@ -271,16 +300,16 @@ def _joined(labels: DataFrame | None, fresh: DataFrame) -> DataFrame:
 
 
 def _texts(docs: DataFrame, needed: DataFrame, sketcher: Sketcher, id_column: str, text_column: str) -> DataFrame:
-    """doc_id, words joined by spaces and their counts by cell, of the needed ids, once each (repeated rows: the smallest text)."""
-    own = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")).join(needed, F.col("doc_id") == needed["id"], "left_semi")
+    """id, words, words joined by spaces and their counts by cell, of the needed (id, doc_id, digest), once each."""
+    own = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")).join(needed.select("doc_id").distinct(), "doc_id", "left_semi")
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:
             words = [normalise(t) for t in frame.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([frame.column(0), pa.array(map(len, words), pa.int32()), pa.array([" ".join(x) for x in words], pa.string()), pa.array(map(sketcher.bag, words), pa.binary())], names=["doc_id", "words", "text", "bag"])
+            yield pa.RecordBatch.from_arrays([pa.array(map(digest_of, words), pa.binary()), pa.array(map(len, words), pa.int32()), pa.array([" ".join(x) for x in words], pa.string()), pa.array(map(sketcher.bag, words), pa.binary())], names=["digest", "words", "text", "bag"])
 
-    made = own.mapInArrow(run, "doc_id long, words int, text string, bag binary")
-    return made.groupBy("doc_id").agg(F.min(F.struct("text", "words", "bag")).alias("f")).select("doc_id", "f.*")
+    made = own.mapInArrow(run, "digest binary, words int, text string, bag binary").where("digest is not null")
+    return made.groupBy("digest").agg(F.min(F.struct("text", "words", "bag")).alias("f")).join(needed.select("digest", "id"), "digest").select("id", "f.*")
 
 
 def _blocks(members: DataFrame, labels: DataFrame, texts: DataFrame) -> DataFrame:
@@ -299,7 +328,7 @@ def _blocks(members: DataFrame, labels: DataFrame, texts: DataFrame) -> DataFram
     home, deal = F.col("class") == F.col("largest"), lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     own = named.join(open_, "bucket").withColumn("block", F.when(home, -1 - deal("inner")).otherwise(deal("outer")))
     by_id = own.groupBy("id").agg(F.first("class").alias("class"), F.collect_list(F.struct("band", "bucket", "block", "inner", "outer")).alias("all"))
-    found = by_id.join(texts.select(F.col("doc_id").alias("id"), "words", "bag"), "id").select("id", "class", "words", "bag", "all", F.explode("all").alias("at"))
+    found = by_id.join(texts.select("id", "words", "bag"), "id").select("id", "class", "words", "bag", "all", F.explode("all").alias("at"))
     before = F.transform(F.filter("all", lambda x: x["band"] < F.col("at.band")), lambda x: F.struct(x["band"].alias("band"), x["bucket"].alias("bucket")))
     found = found.select("id", "class", "words", "bag", before.alias("earlier"), "at.*")
     meeting = lambda i, j: F.struct(i.alias("i"), j.alias("j"))
@@ -379,12 +408,24 @@ def _close(meetings: DataFrame, similarity: float) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, similarity: float = 0.8, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """docs with one row of each class, that of its smallest id; rows without an id stay."""
-    found = classes(docs, similarity, None, id_column, text_column)
-    gone = found.where("doc_id <> class_id").select("doc_id").distinct()
-    kept = docs.join(gone, docs[id_column].cast("long") == gone["doc_id"], "left_anti")
-    again = found.where("doc_id = class_id").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_again"))
-    if again.limit(1).count() == 0:  # no id is repeated, so no text need move
+    """docs with one row of each class, that of its smallest id; rows without an id stay, and of rows without a word one an id.
+
+    A row is told by its id and its words, so of an id with several texts only those go whose class has an earlier row.
+    """
+    found = written(_members(docs, similarity, None, id_column, text_column), "members-of-classes")
+    by_id = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max("is_first").alias("any"))
+    gone = by_id.where("not any").select(F.col("doc_id").alias("_gone"))
+    many = by_id.where("any and n > 1").select(F.col("doc_id").alias("_many"))
+    key = docs[id_column].cast("long")
+    kept = docs.join(gone, key == gone["_gone"], "left_anti")
+    if many.limit(1).count() == 0:  # no id is repeated, so no text need move
         return kept
-    match = docs[id_column].cast("long") == again["_again"]
-    return kept.join(again, match, "left_anti").unionByName(kept.join(again, match, "left_semi").dropDuplicates([id_column]))
+
+    @F.pandas_udf("binary")
+    def digests(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: digest_of(normalise(t)) or b"")
+
+    several = kept.join(many, key == many["_many"], "left_semi").withColumn("_digest", digests(F.col(text_column)))
+    first = found.where("is_first").select(F.col("doc_id").alias("_first"), F.coalesce("digest", F.lit(b"")).alias("_own")).distinct()
+    several = several.join(first, (several[id_column].cast("long") == first["_first"]) & (several["_digest"] == first["_own"]), "left_semi")
+    return kept.join(many, key == many["_many"], "left_anti").unionByName(several.dropDuplicates([id_column, "_digest"]).drop("_digest"))

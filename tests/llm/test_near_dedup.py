@@ -49,13 +49,19 @@ def substituted(words, share, seed):
 
 
 def test_usual_sketch_finds_scattered_edits():
-    usual = near_dedup.Sketcher()
-    for n, share, least in ((60, 0.1, 0.99), (60, 0.15, 0.97), (60, 0.2, 0.9), (200, 0.2, 0.95)):  # 0.2: the least similarity itself
-        met = []
-        for seed in range(100):
-            a = prose(seed, n).split()
-            met.append(bool((usual.bands(a) == usual.bands(substituted(a, share, seed))).any()))
-        assert sum(met) >= least * len(met), (n, share)
+    usual, brief = near_dedup.Sketcher(), near_dedup.Sketcher(k=2, entries=64, seed=8)
+
+    def keys(words):
+        first, own = near_dedup.banded(words, usual, brief, 0.8)
+        return set(enumerate(own.tolist(), first))
+
+    for n in (8, 10, 12, 15, 20, 25, 30, 39, 40, 48, 60, 200):
+        for share, least in ((0.1, 0.99), (0.15, 0.95), (0.2, 0.9)):  # 0.2: the least similarity itself
+            met = [bool(keys(a) & keys(substituted(a, share, seed))) for seed in range(100) for a in [prose(seed, n).split()]]
+            assert sum(met) >= least * len(met), (n, share)
+    for n in range(34, 56):  # words left out, across the border of short texts
+        met = [bool(keys(a) & keys([w for i, w in enumerate(a) if i not in set(random.Random(seed).sample(range(n), n // 5))])) for seed in range(50) for a in [prose(seed, n).split()]]
+        assert sum(met) >= 0.9 * len(met), n
 
 
 def test_classes_against_brute_force(spark, make_docs):
@@ -102,7 +108,7 @@ def test_more_unlike_members_in_a_bucket_than_a_block(spark, make_docs, monkeypa
     texts += [changed(texts[5], 0.1, 1), changed(texts[7], 0.1, 2)]
     members = spark.createDataFrame([(1, 0, i, 90) for i in range(10)], "bucket long, band int, id long, words int")
     labels = spark.createDataFrame([(5, 5), (8, 5), (7, 7), (9, 7)], "node long, component long")
-    counts = spark.createDataFrame([(i, 90, b"") for i in range(10)], "doc_id long, words int, bag binary")
+    counts = spark.createDataFrame([(i, 90, b"") for i in range(10)], "id long, words int, bag binary")
     met = near_dedup._blocks(members, labels, counts).collect()
     groups = {}
     for r in met:
@@ -114,6 +120,23 @@ def test_more_unlike_members_in_a_bucket_than_a_block(spark, make_docs, monkeypa
     assert [got[i] for i in range(len(texts))] == brute(texts)
 
 
+def test_short_texts_against_brute_force(spark, make_docs):
+    base = [prose(i, 8 + 2 * i) for i in range(16)]
+    texts = base + [" ".join(substituted(t.split(), 0.2, i)) for i, t in enumerate(base)] + ["one two three four five", "one two three four six"]
+    got = {r.doc_id: r.class_id for r in near_dedup.classes(make_docs(texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == brute(texts)
+
+
+def test_an_id_of_several_texts(spark, make_docs):
+    a, b, c = prose(1, 80), prose(2, 80), prose(3, 80)
+    rows = [(1, a), (2, a + " tail"), (2, b), (3, c), (4, b + " end"), (6, None), (6, ""), (6, c + " more"), (None, a)]
+    docs = make_docs(rows, extra=True)
+    got = sorted((r.doc_id, r.class_id) for r in near_dedup.classes(docs).collect())
+    assert got == [(1, 1), (2, 1), (2, 2), (3, 3), (4, 2), (6, 3), (6, 6), (6, 6)]
+    kept = near_dedup.keep_first(docs)
+    assert sorted(((r.doc_id, r.text or "") for r in kept.collect()), key=str) == sorted([(1, a), (2, b), (3, c), (6, ""), (None, a)], key=str) and kept.columns == docs.columns
+
+
 def test_keep_first(spark, make_docs):
     docs = make_docs([(5, prose(1, 50)), (3, prose(1, 50)), (3, prose(1, 50)), (9, prose(2, 50)), (7, None), (8, None)])
     kept = near_dedup.keep_first(docs)
