@@ -1,7 +1,9 @@
 """From raw documents to packed training sequences.
 
 Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept and returns a DataFrame, which is written as
-Parquet and reread as the next stage's docs. All but the last return the columns of `documents`.
+Parquet and reread as the next stage's docs. All but the last return the columns of `documents`; extra columns ride along, whatever their names,
+up to packing. Null texts go with the first stage, as they have no letter; repeated rows are one after the second. Empty tables give
+empty results.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def near_deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class stays, that of the smallest id."""
+    """One row of each near-duplicate class stays, that of the smallest id; rows without an id stay."""
     return near_dedup.keep_first(docs)
 
 
@@ -37,9 +39,11 @@ def deduplicate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a passage of a benchmark item go."""
-    found = decontaminate.passages(docs, table(spark, sf_dir, "benchmark", "item_id", "text"))
-    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    """Rows that hold a passage of a benchmark item go. A row is told by id and text: one without an id goes too, and of an id with
+    several texts only those that hold a passage."""
+    told = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
+    found = decontaminate.passages(told, table(spark, sf_dir, "benchmark", "item_id", "text"), id_column="_row")
+    return told.join(found.select(F.col("doc_id").alias("_row")).distinct(), "_row", "left_anti").select(docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
