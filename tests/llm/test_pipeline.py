@@ -80,6 +80,19 @@ def test_stages_keep_the_columns(spark, folder):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "minhash_near_dedup", "substring_dedup", "benchmark_decontamination", "best_fit_packing"]
 
 
+def test_rows_of_odd_ids(spark, folder):
+    """A row is told by id and text: without an id, or by an id of several texts, it fares as its own text does."""
+    path, docs = folder
+    item = prose(700, 80, SYLLABLES["en"]) + "\n" + ITEMS[0]
+    clean = [prose(800 + i, 70, SYLLABLES["en"]) for i in range(3)]
+    rows = [(1, item, "en"), (None, item, "en"), (2, item, None), (2, clean[0], "en"), (2, clean[0], "en"), (None, clean[1], None), (3, clean[2], "en")]
+    odd = spark.createDataFrame([(i, t, lang, None, None) for i, t, lang in rows], DOCS)
+    left = corpus_pipeline.decontaminate_benchmark(spark, odd, path)
+    assert sorted(map(str, ((r.doc_id, r.text) for r in left.collect()))) == sorted(map(str, [(2, clean[0]), (2, clean[0]), (None, clean[1]), (3, clean[2])]))
+    kept = corpus_pipeline.near_deduplicate(spark, odd, path)
+    assert sorted(map(str, ((r.doc_id, r.text) for r in kept.collect()))) == sorted(map(str, [(1, item), (None, item), (2, clean[0]), (None, clean[1]), (3, clean[2])]))
+
+
 def test_registered_names():
     names = list(queries())
-    assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 11)) and set(ORACLE_SQL) <= set(names)
+    assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 14)) and set(ORACLE_SQL) <= set(names)
