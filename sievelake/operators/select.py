@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sievelake.functions.stats import correlation, number, numeric_columns, quantiles
 from sievelake.operators.base import Action
+from sievelake.operators.neighbours import RANGE_ROWS, jittered, mutual_information
 
 
 class BaseSelector(Action):
@@ -78,25 +79,17 @@ class LinearCorrelationSelector(BaseSelector):
 
 
 class MutualInformationSelector(BaseSelector):
-    """Plug-in mutual information over `bins` equal-frequency bins (an estimate that one pass can make, in place of neighbours)."""
+    """Mutual information with a discrete target by the distances to `n_neighbors` neighbours.
 
-    DEFAULTS = {"k": 10, "random_state": 42, "n_neighbors": 3, "bins": 16}
+    Equal values are told apart by noise of `noise` of a column's spread, drawn by a hash of `key`; without a key they stay equal.
+    """
+
+    DEFAULTS = {"k": 10, "random_state": 42, "n_neighbors": 3, "key": None, "noise": 1e-10, "range_rows": RANGE_ROWS}
 
     def scores(self, df, columns):
-        bins = self.params["bins"]
-        cuts = df.agg(*(quantiles(number(c), [i / bins for i in range(1, bins)]).alias(c) for c in columns)).first()
-        out = {}
-        for c in columns:
-            edges = sorted(set(cuts[c] or []))
-            place = F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e < number(c))) if edges else F.lit(0)
-            joint = df.where(number(c).isNotNull() & F.col(self.target).isNotNull()).groupBy(place.alias("b"), F.col(self.target).alias("y")).count().collect()
-            n, by_b, by_y = sum(r["count"] for r in joint), {}, {}
-            for r in joint:
-                by_b[r.b], by_y[r.y] = by_b.get(r.b, 0) + r["count"], by_y.get(r.y, 0) + r["count"]
-            from math import log
-
-            out[c] = sum(r["count"] / n * log(r["count"] * n / (by_b[r.b] * by_y[r.y])) for r in joint)
-        return out
+        if key := self.params["key"]:
+            df = jittered(df, columns, [key] if isinstance(key, str) else list(key), self.params["noise"], self.params["random_state"])
+        return mutual_information(df, columns, self.target, self.params["n_neighbors"], self.params["range_rows"])
 
 
 class MissingRatioSelector(BaseSelector):

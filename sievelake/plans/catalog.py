@@ -354,7 +354,7 @@ def select_fscore(spark, sf):
     return _selection(spark, s).withColumn("score", F.round("score", 2))
 
 
-for _name, _kind, _params in (("mutual_info", select.MutualInformationSelector, {"k": 2}), ("random_forest", select.RandomForestSelector, {}), ("low_deviation", select.LowDeviationSelector, {}), ("lasso", select.LassoSelector, {})):
+for _name, _kind, _params in (("mutual_info", select.MutualInformationSelector, {"k": 2, "key": ["l_orderkey", "l_linenumber"]}), ("random_forest", select.RandomForestSelector, {}), ("low_deviation", select.LowDeviationSelector, {}), ("lasso", select.LassoSelector, {})):
 
     @query(f"select_{_name}")
     def _(spark, sf, kind=_kind, params=_params):
@@ -362,6 +362,12 @@ for _name, _kind, _params in (("mutual_info", select.MutualInformationSelector,
         return _selection(spark, kind(columns=_FEATURES, target="flag", **params).fit(rows))
 
 
+@query("select_mutual_info_neighbours")
+def select_mutual_info_neighbours(spark, sf):
+    rows = table(spark, sf, "part").withColumn("band", F.col("p_partkey") % 3 + (F.col("p_retailprice") + F.col("p_size") > 950).cast("int"))
+    return _selection(spark, select.MutualInformationSelector(columns=["p_size", "p_retailprice"], target="band", k=1, key="p_partkey").fit(rows))
+
+
 # ---- validation
 
 _RULES = {"columns": {"c_custkey": {"dtype": "int"}, "c_acctbal": {"dtype": "float", "checks": {"in_range": [-500, 9000]}}, "c_mktsegment": {"nullable": True, "checks": {"isin": ["BUILDING", "AUTOMOBILE", "MACHINERY"]}}}}
@@ -1101,3 +1107,15 @@ SQL["search_greedy"] = f"""WITH s AS (SELECT {_scored_pipeline()} AS none, {_sco
     SELECT 'imputation' AS family, action, round(score, 6) AS score FROM i
     UNION ALL SELECT 'outliers', CASE WHEN (CASE action WHEN 'mean' THEN {_scored_pipeline("mean", "iqr")} WHEN 'median' THEN {_scored_pipeline("median", "iqr")} ELSE {_scored_pipeline("iqr")} END) > score + 1e-12 THEN 'iqr' END, round(score, 6) FROM i
     UNION ALL SELECT 'scaling', NULL, round(score, 6) FROM i"""
+#: The 2 x 3 nearest of a value's own class follow from the ranks of the class; what is nearer than the third of any class is counted over all pairs.
+SQL["select_mutual_info_neighbours"] = f"""WITH b AS (SELECT p_partkey AS k, p_partkey % 3 + CAST(p_retailprice + p_size > 950 AS INT) AS y, CAST(p_size AS DOUBLE) AS p_size, CAST(p_retailprice AS DOUBLE) AS p_retailprice FROM part),
+    l AS (SELECT 'p_size' AS feature, k, y, p_size + (2 * {_unit("CAST(k AS VARCHAR)")} - 1) * (1e-10 * (SELECT greatest(stddev_pop(p_size), avg(abs(p_size))) FROM b)) AS v FROM b
+          UNION ALL SELECT 'p_retailprice', k, y, p_retailprice + (2 * {_unit("CAST(k AS VARCHAR)", seed=43)} - 1) * (1e-10 * (SELECT greatest(stddev_pop(p_retailprice), avg(abs(p_retailprice))) FROM b)) FROM b),
+    c AS (SELECT *, count(*) OVER (PARTITION BY feature, y) AS size FROM l QUALIFY size > 1),
+    w AS (SELECT *, list_sort(list_transform(list_filter([lag(v, 1) OVER o, lag(v, 2) OVER o, lag(v, 3) OVER o, lead(v, 1) OVER o, lead(v, 2) OVER o, lead(v, 3) OVER o], lambda x: x IS NOT NULL), lambda x: abs(x - v)))[least(3, size - 1)] AS r
+          FROM c WINDOW o AS (PARTITION BY feature, y ORDER BY v)),
+    m AS (SELECT w.feature, w.k, any_value(w.size) AS size, count(*) AS m FROM w JOIN c ON c.feature = w.feature AND abs(c.v - w.v) < w.r GROUP BY 1, 2),
+    psi AS (SELECT n, -0.5772156649015329 + coalesce(sum(1.0 / (n - 1)) FILTER (n > 1) OVER (ORDER BY n), 0) AS psi FROM range(1, (SELECT count(*) + 2 FROM part)) t(n)),
+    s AS (SELECT feature, greatest(0, (SELECT psi FROM psi WHERE n = max(total)) + avg(k.psi - z.psi - g.psi)) AS score
+          FROM (SELECT *, count(*) OVER (PARTITION BY feature) AS total FROM m) m JOIN psi k ON k.n = least(3, size - 1) JOIN psi z ON z.n = size JOIN psi g ON g.n = m GROUP BY feature)
+    SELECT feature, round(score, 6) AS score, score = max(score) OVER () AS kept FROM s"""
