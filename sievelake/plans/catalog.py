@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievelake.functions.stats import number
-from sievelake.operators import base, dedup, distance, evaluate, impute, inject, outliers, profile, reduce, reward, scale, select, validate
+from sievelake.operators import base, dedup, distance, evaluate, impute, inject, outliers, prior, profile, reduce, reward, scale, select, validate
 from sievelake.plans import search
 from sievelake.sources import loaders
 
@@ -499,6 +499,62 @@ def dist_energy(spark, sf):
     return distance.energy_distance(*sides(spark, sf)).select(r("value").alias("value"), r("root").alias("root"))
 
 
+def _named(spark, values: dict) -> DataFrame:
+    return spark.createDataFrame([(k, None if v is None else float(f"{v:.5g}")) for k, v in values.items()], "measure string, value double")
+
+
+@query("dist_mmd")
+def dist_mmd(spark, sf):
+    """Every row of both sides counts; the kernel is as wide as the middle distance of the reference's rows."""
+    p, q = sides(spark, sf)
+    rows = table(spark, sf, "lineitem")
+    gamma = 1 / prior.median_distance(rows, _NUM, ["l_orderkey", "l_linenumber"]) ** 2
+    value, error = prior.kernel_distance(p, q, _NUM, gamma)
+    return _named(spark, {"gamma": gamma, "mmd": value, "error": error})
+
+
+@query("dist_row_energy")
+def dist_row_energy(spark, sf):
+    value, error = prior.row_energy(*sides(spark, sf), _NUM, 16)
+    return _named(spark, {"energy": value, "error": error})
+
+
+@query("dist_c2st")
+def dist_c2st(spark, sf):
+    rows = table(spark, sf, "lineitem").withColumn("key", F.concat_ws("-", "l_orderkey", "l_linenumber"))
+    return _named(spark, {"auc": prior.told_apart(rows.where("l_returnflag = 'R'"), rows.where("l_returnflag <> 'R'"), _NUM, "key")})
+
+
+@query("dist_prior_normal")
+def dist_prior_normal(spark, sf):
+    rows = table(spark, sf, "lineitem").withColumn("key", F.concat_ws("-", "l_orderkey", "l_linenumber"))
+    return _named(spark, prior.prior_distances(rows, ["l_quantity", "l_extendedprice", "l_discount"], "key", 0, "normal"))
+
+
+@query("dist_prior_networks")
+def dist_prior_networks(spark, sf):
+    return _named(spark, prior.prior_distances(table(spark, sf, "customer"), ["c_acctbal", "c_nationkey"], "c_custkey", 0, lines=16))
+
+
+@query("prior_sample")
+def prior_sample(spark, sf):
+    """As many rows of the prior as the table has, by the row of the table that each stands beside."""
+    n = table(spark, sf, "customer").count()
+    drawn = prior.prior_sample(spark, n, ["x", "y"], 0)
+    return drawn.select("id", r("x").alias("x"), r("y").alias("y"))
+
+
+@query(
+    "stats_auc",
+    """WITH s AS (SELECT l_linestatus, l_returnflag = 'R' AS y, rank() OVER o + (count(*) OVER (PARTITION BY l_linestatus, l_extendedprice) - 1) / 2.0 AS k FROM lineitem WINDOW o AS (PARTITION BY l_linestatus ORDER BY l_extendedprice)),
+       c AS (SELECT l_linestatus, count(*) FILTER (y) AS positives, count(*) FILTER (NOT y) AS negatives, sum(k) FILTER (y) AS r FROM s GROUP BY 1)
+       SELECT l_linestatus, positives, negatives, round((r - positives * (positives + 1) / 2.0) / nullif(CAST(positives AS DOUBLE) * negatives, 0), 6) AS auc FROM c""",
+)
+def stats_auc(spark, sf):
+    rows = table(spark, sf, "lineitem").select("l_linestatus", (F.col("l_returnflag") == "R").cast("int").alias("label"), F.col("l_extendedprice").alias("score"))
+    return prior.auc(rows, ["l_linestatus"]).withColumn("auc", r("auc"))
+
+
 @query("dist_distortion")
 def dist_distortion(spark, sf):
     return spark.createDataFrame([(round(float(distance.distortion(*sides(spark, sf))), 6),)], "value double")
