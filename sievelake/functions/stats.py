@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sievelake.functions.quantiles import Quantiles, exact_quantiles
+
 
 def is_numeric(field: T.StructField, bool_is_numeric: bool = True) -> bool:
     return isinstance(field.dataType, T.NumericType) or (bool_is_numeric and isinstance(field.dataType, T.BooleanType))
@@ -28,9 +30,16 @@ def nan_to_null(df: DataFrame) -> DataFrame:
     return df.select(*(F.when(~F.isnan(f"`{c}`"), F.col(f"`{c}`")).alias(c) if c in floats else F.col(f"`{c}`") for c in df.columns))
 
 
-def quantiles(x: Column, shares: list[float], accuracy: int | None = None) -> Column:
-    """Interpolated exact quantiles, or the bounded-memory sketch if an accuracy is given (for columns of huge cardinality)."""
-    return F.percentile_approx(x, shares, accuracy) if accuracy else F.percentile(x, F.array(*map(F.lit, shares)))
+def quantiles(x: Column, shares: list[float], accuracy: int | None = None) -> Column | Quantiles:
+    """Interpolated exact quantiles, or one sketch if an accuracy is given (values that are there, one pass)."""
+    return F.percentile_approx(x, shares, accuracy) if accuracy else Quantiles(x, shares)
+
+
+def aggregated(df: DataFrame, exprs: dict[str, Column | Quantiles]) -> dict:
+    """Values by name: one pass for aggregates, a few for exact quantiles."""
+    plain = {k: e for k, e in exprs.items() if not isinstance(e, Quantiles)}
+    out = df.agg(*(e.alias(k) for k, e in plain.items())).first().asDict() if plain else {}
+    return out | exact_quantiles(df, {k: e for k, e in exprs.items() if isinstance(e, Quantiles)})
 
 
 def adjusted_skew(x: Column) -> Column:

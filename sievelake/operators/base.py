@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sievelake.functions.stats import is_numeric
+from sievelake.functions.quantiles import Quantiles
+from sievelake.functions.stats import aggregated, is_numeric
 
 log = logging.getLogger(__name__)
 
@@ -67,7 +68,7 @@ class Action:
                     out.append(f.name)
         return out
 
-    def stat_exprs(self, df: DataFrame, columns: list[str]) -> dict[str, Column]:
+    def stat_exprs(self, df: DataFrame, columns: list[str]) -> dict[str, Column | Quantiles]:
         return {}
 
     def settle(self, df: DataFrame, columns: list[str], stats: dict[str, Any]) -> dict[str, Any]:
@@ -76,8 +77,7 @@ class Action:
 
     def compute(self, df: DataFrame, columns: list[str]) -> dict[str, Any]:
         exprs = self.stat_exprs(df, columns)
-        row = df.agg(*(e.alias(k) for k, e in exprs.items())).first().asDict() if exprs else {}
-        return self.settle(df, columns, row)
+        return self.settle(df, columns, aggregated(df, exprs))
 
     def fit(self, df: DataFrame) -> Action:
         self.fitted_columns = self.select_columns(df)
@@ -177,12 +177,12 @@ class Pipeline:
 
 
 def fit_together(df: DataFrame, actions: list[Action]) -> list[Action]:
-    """Fit operators over one input in one aggregate pass."""
-    exprs = []
+    """Fit operators over one input in one aggregate pass, and the few that exact quantiles take."""
+    exprs: dict[str, Column | Quantiles] = {}
     for i, action in enumerate(actions):
         action.fitted_columns = action.select_columns(df)
-        exprs += [e.alias(f"{i}.{k}") for k, e in action.stat_exprs(df, action.fitted_columns).items()]
-    row = df.agg(*exprs).first().asDict() if exprs else {}
+        exprs |= {f"{i}.{k}": e for k, e in action.stat_exprs(df, action.fitted_columns).items()}
+    row = aggregated(df, exprs)
     for i, action in enumerate(actions):
         own = {k.partition(".")[2]: v for k, v in row.items() if k.partition(".")[0] == str(i)}
         action.stats = action.settle(df, action.fitted_columns, own)

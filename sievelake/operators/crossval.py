@@ -187,7 +187,7 @@ class KFoldRegression:
                 form = np.concatenate(([mean[-1] - mean[1:-1] @ beta], beta, [-1.0]))
                 error, n = float(form @ m @ form), m[0, 0]
                 spread = m[-1, -1] - m[0, -1] ** 2 / n
-                out.append({"alpha": alpha, "fold": fold, "n": int(n), "mse": error / n, "r2": 1 - error / spread if spread > 0 else None})
+                out.append({"alpha": float(alpha), "fold": int(fold), "n": int(n), "mse": float(error / n), "r2": float(1 - error / spread) if spread > 0 else None})
         return out
 
     def evaluate(self, df: DataFrame) -> tuple[float, float]:

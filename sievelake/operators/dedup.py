@@ -119,13 +119,46 @@ def jaccard_links(sets: DataFrame, threshold: float) -> DataFrame:
     return checked.unionByName(firsts)
 
 
+def band_rows(threshold: float, num_perm: int, recall: float = 0.97) -> int:
+    """The most rows a band may have so that pairs at the threshold still share a band with the given probability."""
+    return max((r for r in range(1, num_perm + 1) if 1 - (1 - threshold**r) ** (num_perm // r) >= recall), default=1)
+
+
+def lsh_links(sets: DataFrame, threshold: float, num_perm: int = 128, most: int = 64) -> DataFrame:
+    """a < b, jaccard of pairs of token sets at least that similar which share a band of their hash signatures; every pair is verified.
+
+    Signatures are least hashes of the tokens under `num_perm` seeds, bands of them are keys of an equi-join. Equal sets are
+    compared once. The members of a bucket of over `most` different sets are not paired there: they go through the exact join,
+    which frequent tokens do not slow, so no bucket is expanded into all its pairs and none is cut.
+    """
+    sets = sets.withColumn("tokens", F.array_sort("tokens"))
+    same = written(sets.groupBy("tokens").agg(F.min("k").alias("k")), "sets")
+    rows = band_rows(threshold, num_perm)
+    least = F.transform(F.sequence(F.lit(0), F.lit(num_perm // rows * rows - 1)), lambda i: F.array_min(F.transform("tokens", lambda t: F.xxhash64(t, i))))
+    signed = same.select("k", F.size("tokens").alias("n"), least.alias("s"))
+    bands = F.transform(F.sequence(F.lit(0), F.lit(num_perm // rows - 1)), lambda b: F.xxhash64(F.slice("s", b * rows + 1, F.lit(rows)), b))
+    index = written(signed.select("k", "n", F.explode(bands).alias("bucket")), "bands")
+    sizes = index.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    few = index.join(sizes.where(F.col("c") <= most).select("bucket"), "bucket")
+    a, b = few.alias("a"), few.alias("b")
+    pairs = a.join(b, (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.k") < F.col("b.k")) & (F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * F.lit(threshold - 1e-12))).select(F.col("a.k").alias("a"), F.col("b.k").alias("b")).distinct()
+    left, right = same.select(F.col("k").alias("a"), F.col("tokens").alias("ta")), same.select(F.col("k").alias("b"), F.col("tokens").alias("tb"))
+    common = F.size(F.array_intersect("ta", "tb"))
+    found = pairs.join(left, "a").join(right, "b").withColumn("jaccard", common / (F.size("ta") + F.size("tb") - common)).where(F.col("jaccard") >= threshold - 1e-12).select("a", "b", "jaccard")
+    crowded = index.join(sizes.where(F.col("c") > most).select("bucket"), "bucket", "left_semi").select("k").distinct()
+    found = found.unionByName(jaccard_links(same.join(crowded, "k", "left_semi").select("k", "tokens"), threshold)).distinct()
+    firsts = sets.join(same.withColumnRenamed("k", "first"), "tokens").where("k <> first").select(F.col("first").alias("a"), F.col("k").alias("b"), F.lit(1.0).alias("jaccard"))
+    return found.unionByName(firsts)
+
+
 class JaccardSimilarityDeduplicator(_Keyed):
     """Rows whose token sets are similar, and what they link together; every pair is verified, none is only estimated.
 
-    `num_perm` and `combine_columns` are accepted for the interface; the exact join needs neither.
+    `method` is `exact` (all pairs at the threshold) or `lsh` (those that share a band of `num_perm` hashes, 0.97 or more of
+    those at the threshold itself). `combine_columns` is accepted for the interface.
     """
 
-    DEFAULTS = {"threshold": 0.8, "num_perm": 128, "tokenizer": None, "combine_columns": True, "keep": "first", "key": None}
+    DEFAULTS = {"threshold": 0.8, "num_perm": 128, "tokenizer": None, "combine_columns": True, "keep": "first", "key": None, "method": "exact"}
 
     def links(self, df: DataFrame, columns: list[str]) -> DataFrame:
         key = self._order(df)[0]
@@ -135,7 +168,9 @@ class JaccardSimilarityDeduplicator(_Keyed):
             sets = df.select(F.col(key).alias("k"), split(F.concat_ws(" ", *own)).alias("tokens")).where("size(tokens) > 0")
         else:
             sets = token_sets(df, key, F.concat_ws(" ", *(F.col(f"`{c}`").cast("string") for c in own)))
-        return jaccard_links(sets, self.params["threshold"])
+        if self.params["method"] not in ("exact", "lsh"):
+            raise ValueError("method is exact or lsh")
+        return lsh_links(sets, self.params["threshold"], self.params["num_perm"]) if self.params["method"] == "lsh" else jaccard_links(sets, self.params["threshold"])
 
     def apply(self, df, columns, stats):
         if not columns:

@@ -6,7 +6,6 @@ import math
 from itertools import pairwise
 
 import numpy as np
-import pandas as pd
 from pyspark.ml import classification, clustering, regression
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import StringIndexer, VectorAssembler
@@ -109,7 +108,8 @@ class LDAEvaluator(BaseClassifierEvaluator):
     def predictions(self, df):
         features = self.features or [c for c in numeric_columns(df) if c not in (*self.key, self.target)]
         known = split(df.where(F.col(self.target).isNotNull()), self.key, self.target, seed=self.seed)
-        x = [F.coalesce(number(c), F.lit(0.0)) for c in features]
+        means = known.where("split = 'train'").agg(*(F.avg(number(c)).alias(c) for c in features)).first()
+        x = [F.coalesce(number(c), F.lit(means[c] or 0.0)) for c in features]
         p = len(features)
         train = known.where("split = 'train'").groupBy(F.col(self.target).cast("string").alias("t")).agg(F.count(F.lit(1)).alias("n"), *(F.avg(a).alias(f"m{i}") for i, a in enumerate(x)), *(F.covar_pop(x[i], x[j]).alias(f"c{i}_{j}") for i in range(p) for j in range(i, p))).orderBy("t").collect()
         total = sum(r.n for r in train)
@@ -209,29 +209,6 @@ class GBREvaluator(BaseRegressionEvaluator):
         return regression.GBTRegressor(maxIter=self.params.get("n_estimators", 100), maxDepth=3, stepSize=0.1, seed=self.seed)
 
 
-class KernelRidgeEvaluator(BaseRegressionEvaluator):
-    """RBF kernel ridge on a sample of at most `most` rows (the method is cubic), drawn by hash; every test row is predicted."""
-
-    def predictions(self, df):
-        features = self.features or [c for c in numeric_columns(df) if c not in (*self.key, self.target)]
-        most, gamma, alpha = self.params.get("most", 1000), self.params.get("gamma"), self.params.get("alpha", 1.0)
-        known = split(df.where(F.col(self.target).isNotNull()), self.key, seed=self.seed)
-        row = known.where("split = 'train'").agg(*(e for c in features for e in (F.avg(number(c)).alias(f"m_{c}"), F.stddev_pop(number(c)).alias(f"s_{c}")))).first()
-        z = [((F.coalesce(number(c), F.lit(row[f"m_{c}"] or 0.0)) - (row[f"m_{c}"] or 0.0)) / (row[f"s_{c}"] or 1.0)).alias(f"z{i}") for i, c in enumerate(features)]
-        sample = np.array([tuple(r) for r in known.where("split = 'train'").orderBy(F.xxhash64(*self.key, F.lit(self.seed))).select(*z, number(self.target)).limit(most).collect()], float)
-        x, y = sample[:, :-1], sample[:, -1]
-        width = gamma or 1 / max(1, x.shape[1])
-        weights = np.linalg.solve(np.exp(-width * ((x[:, None] - x[None]) ** 2).sum(-1)) + alpha * np.eye(len(x)), y - y.mean())
-        middle = y.mean()
-
-        @F.pandas_udf("double")
-        def predict(*series: pd.Series) -> pd.Series:
-            q = np.stack([s.to_numpy(float) for s in series], axis=1)
-            return pd.Series(np.exp(-width * ((q[:, None] - x[None]) ** 2).sum(-1)) @ weights + middle)
-
-        return known.where("split = 'test'").select(*self.key, number(self.target).alias("label"), *z).withColumn("prediction", predict(*(F.col(f"z{i}") for i in range(len(features))))).select(*self.key, "label", "prediction")
-
-
 class KMeansEvaluator:
     """The best number of clusters by silhouette (squared Euclidean distance)."""
 
@@ -393,6 +370,12 @@ def wilcoxon(df: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
     return sums.select(*by, "n", w.alias("w"), ((w - n * (n + 1) / 4) / F.nullif(F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("_ties") / 48), F.lit(0.0))).alias("z"))
 
 
+def pivot_delta(df: DataFrame, by: str, pivot: str, value: str, before: str, after: str) -> DataFrame:
+    """by, the mean of the value under either of two names, and how far the second lies over the first."""
+    named = lambda v: F.avg(F.when(F.col(pivot) == v, F.col(value))).alias(v)
+    return df.groupBy(by).agg(named(before), named(after)).withColumn("delta", F.col(f"`{after}`") - F.col(f"`{before}`"))
+
+
 def grouped_totals(df: DataFrame, by: list[str], value: str, how: str = "cube") -> DataFrame:
     """Counts, sums and means over every subset of the grouping columns (`cube`) or its leading ones (`rollup`); `level` tells which."""
     grouped = {"cube": df.cube, "rollup": df.rollup}[how](*by)

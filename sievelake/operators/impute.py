@@ -7,8 +7,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sievelake.functions.quantiles import Quantiles
 from sievelake.functions.stats import hash_unit, mode, nan_to_null, number
 from sievelake.operators.base import Action, ParameterizedAction, ParamSpec
+from sievelake.operators.learners import ExtraTrees
 
 
 class _Fill(Action):
@@ -35,7 +37,7 @@ class MedianImputer(_Fill):
     NUMERIC_ONLY = True
 
     def stat_exprs(self, df, columns):
-        return {c: F.median(number(c)) for c in columns}
+        return {c: Quantiles(number(c), [0.5], True) for c in columns}
 
 
 class MFImputer(_Fill):
@@ -255,11 +257,11 @@ class EMImputer(Action):
 class MICEImputer(Action):
     """Chained random forests, most nulls first: each column with nulls is predicted from the others, mean-filled at first.
 
-    Rounds end when no filled value moved by more than `tol` times the largest observed one, after `max_iter` at most; every
+    The estimator is `random_forest` or `extra_trees`. Rounds end when no filled value moved by more than `tol` times the largest observed one, after `max_iter` at most; every
     round is written out, so that plans stay short.
     """
 
-    DEFAULTS = {"max_iter": 50, "tol": 1e-3, "n_estimators": 50, "max_depth": 6, "random_state": 42}
+    DEFAULTS = {"max_iter": 50, "tol": 1e-3, "n_estimators": 50, "max_depth": 6, "random_state": 42, "estimator": "random_forest"}
     NUMERIC_ONLY = True
 
     def stat_exprs(self, df, columns):
@@ -271,6 +273,8 @@ class MICEImputer(Action):
     def _step(self, rows, c, columns, model):
         from pyspark.ml.feature import VectorAssembler
 
+        if self.params["estimator"] == "extra_trees":
+            return rows.withColumn(f"_f_{c}", F.coalesce(number(c), model.prediction([F.col(f"_f_{d}") for d in columns if d != c])))
         made = VectorAssembler(inputCols=[f"_f_{d}" for d in columns if d != c], outputCol="_x").transform(rows)
         out = model.transform(made)
         return out.withColumn(f"_f_{c}", F.coalesce(number(c), F.col("_p"))).drop("_x", "_p")
@@ -288,6 +292,11 @@ class MICEImputer(Action):
             for rounds in range(1, self.params["max_iter"] + 1):
                 before, rows = rows, rows.withColumns({f"_o_{c}": F.col(f"_f_{c}") for c in order})
                 for c in order:
+                    if self.params["estimator"] == "extra_trees":
+                        trees = ExtraTrees([f"_f_{d}" for d in columns if d != c], c, "regression", self.params["n_estimators"], self.params["max_depth"], seed=self.params["random_state"])
+                        models.append((c, trees.fit(rows)))
+                        rows = self._step(rows, c, columns, trees)
+                        continue
                     train = VectorAssembler(inputCols=[f"_f_{d}" for d in columns if d != c], outputCol="_x").transform(rows).where(number(c).isNotNull()).select("_x", number(c).alias("_y"))
                     forest = RandomForestRegressor(featuresCol="_x", labelCol="_y", predictionCol="_p", numTrees=self.params["n_estimators"], maxDepth=self.params["max_depth"], seed=self.params["random_state"])
                     models.append((c, forest.fit(train)))

@@ -5,10 +5,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sievelake.functions.quantiles import Quantiles, exact_quantiles
 from sievelake.functions.stats import correlation, hash_unit, number, numeric_columns
+from sievelake.plans.shared import written
 
 
 @dataclass(frozen=True)
@@ -32,6 +34,33 @@ def inject_mcar(df: DataFrame, rate: float, key: list[str], columns: list[str] |
     return df.withColumns({c: F.when(~_picked(key, c, rate, seed), F.col(c)) for c in _own(df, key, columns)})
 
 
+def numbered(df: DataFrame, key: list[str], name: str = "_row") -> DataFrame:
+    """Rows with their places, from 0, in the order of the key: places within ranges of keys, and the ranges' sizes before them."""
+    ranged = written(df.repartitionByRange(*key).sortWithinPartitions(*key).withColumn("_m", F.monotonically_increasing_id()), "numbered")
+    part = F.shiftright("_m", 33)
+    sizes = ranged.groupBy(part.alias("_p")).agg(F.count(F.lit(1)).alias("_n"), F.min("_m").alias("_first"))
+    before = sizes.select("_p", "_first", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_before"))  # a row a partition
+    return ranged.withColumn("_p", part).join(before, "_p").withColumn(name, F.col("_m") - F.col("_first") + F.col("_before")).drop("_m", "_p", "_first", "_before")
+
+
+def inject_mcar_cells(df: DataFrame, rate: float, key: list[str], columns: list[str] | None = None, seed: int = 42) -> DataFrame:
+    """max(1, round(rows * columns * rate)) cells, drawn with replacement, become null.
+
+    Draw i hits the cell that a hash of i names, so every cell is as likely as any other and a run repeats; a cell that is drawn
+    twice is null once. Keys are unique.
+    """
+    own = _own(df, key, columns)
+    rows = numbered(df, key)
+    n = rows.count()
+    if not n or not own or rate <= 0:
+        return df
+    draws = max(1, round(n * len(own) * rate))
+    cell = F.floor(hash_unit("id", seed=seed) * (n * len(own)))
+    hits = df.sparkSession.range(draws).select(cell.alias("c")).groupBy(F.expr(f"c div {len(own)}").alias("_row")).agg(F.collect_set((F.col("c") % len(own)).cast("int")).alias("_hit"))  # a row has as many cells as columns
+    out = rows.join(hits, "_row", "left")
+    return out.withColumns({c: F.when(~F.coalesce(F.array_contains("_hit", i), F.lit(False)), F.col(c)) for i, c in enumerate(own)}).select(df.columns)
+
+
 def inject_mar(df: DataFrame, rate: float, key: list[str], anchor: str | None = None, columns: list[str] | None = None, seed: int = 42) -> DataFrame:
     """Nulls in the column that correlates most with the anchor, where the anchor lies over its third quartile.
 
@@ -43,7 +72,7 @@ def inject_mar(df: DataFrame, rate: float, key: list[str], anchor: str | None =
     pairs = [(anchor, c) for c in own if c != anchor] if anchor else list(combinations(own, 2))
     row = df.agg(*(F.abs(correlation(number(a), number(b))).alias(str(i)) for i, (a, b) in enumerate(pairs))).first()
     a, b = pairs[max(range(len(pairs)), key=lambda i: row[str(i)] or 0.0)]
-    limit = df.agg(F.percentile(number(a), F.lit(0.75))).first()[0]
+    limit = exact_quantiles(df, {"q": Quantiles(number(a), [0.75], True)})["q"]
     # a quarter of the rows qualifies, so the rate among them is four times the rate among all
     hit = (number(a) > F.lit(limit)) & _picked(key, b, min(1.0, rate * 4), seed)
     return df.withColumn(b, F.when(F.coalesce(~hit, F.lit(True)), F.col(b)))

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sievelake.functions.quantiles import Quantiles, exact_quantiles
 from sievelake.functions.stats import number, quantiles
 from sievelake.operators.base import Action, ParameterizedAction, ParamSpec
 from sievelake.plans.shared import written
@@ -84,11 +85,11 @@ class RobustZOutlierCleaner(_Bounded):
     DEFAULTS = {"cut": 1.6, "scale": 1.4296, "method": "drop"}
 
     def stat_exprs(self, df, columns):
-        return {c: F.median(number(c)) for c in columns}
+        return {c: Quantiles(number(c), [0.5], True) for c in columns}
 
     def settle(self, df, columns, stats):
         known = [c for c in columns if stats[c] is not None]
-        mad = df.agg(*(F.median(F.abs(number(c) - F.lit(stats[c]))).alias(c) for c in known)).first().asDict() if known else {}
+        mad = exact_quantiles(df, {c: Quantiles(F.abs(number(c) - F.lit(stats[c])), [0.5], True) for c in known})
         return {c: (stats[c], mad[c]) for c in known}
 
     def bounds(self, c, stats):
@@ -200,7 +201,7 @@ class LocalOutlierFactorCleaner(Action):
         bad = []
         for c in (c for c in columns if c != key):
             found = self.factors(df, c, key)
-            limit = 1.5 if self.params["contamination"] == "auto" else found.agg(F.percentile("factor", F.lit(1 - self.params["contamination"]))).first()[0]
+            limit = 1.5 if self.params["contamination"] == "auto" else exact_quantiles(found, {"f": Quantiles(F.col("factor"), [1 - self.params["contamination"]], True)})["f"]
             marked = found.where(F.col("factor") > limit).select(F.col("k").alias(f"_k_{c}"), F.lit(True).alias(f"_out_{c}"))
             df = df.join(marked, F.col(key) == F.col(f"_k_{c}"), "left").drop(f"_k_{c}")
             bad.append(c)
@@ -267,7 +268,7 @@ class MultivariateLOFCleaner(Action):
 
     def apply(self, df, columns, stats):
         found = written(self.factors(df, columns), "factors")
-        limit = found.agg(F.percentile("factor", F.lit(1 - self.params["contamination"]))).first()[0]
+        limit = exact_quantiles(found, {"f": Quantiles(F.col("factor"), [1 - self.params["contamination"]], True)})["f"]
         kept = found.where(F.col("factor") <= F.lit(limit)).select("q") if limit is not None else found.select("q")
         return df.join(kept, df[self.params["key"]] == kept["q"], "left_semi")
 
@@ -296,7 +297,7 @@ class IsolationForestCleaner(Action):
         size = min(self.params["sample"], len(x))
         trees = [grow(x[rng.choice(len(x), size, replace=False)], int(np.ceil(np.log2(max(2, size))))) for _ in range(self.params["trees"])] if len(x) else []
         scored = rows.select(isolation_depth(columns, trees).alias("d"))
-        return {"trees": trees, "limit": scored.agg(F.percentile("d", F.lit(self.params["contamination"]))).first()[0]}
+        return {"trees": trees, "limit": exact_quantiles(scored, {"d": Quantiles(F.col("d"), [self.params["contamination"]], True)})["d"]}
 
     def apply(self, df, columns, stats):
         if stats["limit"] is None:

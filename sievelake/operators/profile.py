@@ -8,7 +8,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
-from sievelake.functions.stats import adjusted_kurtosis, adjusted_skew, correlation, number, numeric_columns, quantiles
+from sievelake.functions.stats import aggregated, adjusted_kurtosis, adjusted_skew, correlation, number, numeric_columns, quantiles
 from sievelake.operators.distance import normalised_drift
 
 
@@ -31,13 +31,13 @@ def distinct_counts(df: DataFrame, columns: dict[str, Column]) -> dict[str, int]
 def profile_columns(df: DataFrame) -> DataFrame:
     """A row per column: column, missing, distinct, distinct_ratio, and for numbers iqr_rate, z_rate and abs_skew (0 below four rows)."""
     numeric = numeric_columns(df)
-    exprs = [F.count(F.lit(1)).alias("n")]
+    exprs = {"n": F.count(F.lit(1))}
     for c in df.columns:
         x = number(c) if c in numeric else F.col(f"`{c}`")
-        exprs.append(F.count(x).alias(f"k_{c}"))
+        exprs[f"k_{c}"] = F.count(x)
         if c in numeric:
-            exprs += [F.avg(x).alias(f"m_{c}"), F.stddev_samp(x).alias(f"s_{c}"), quantiles(x, [0.25, 0.75]).alias(f"q_{c}"), adjusted_skew(x).alias(f"w_{c}")]
-    first = df.agg(*exprs).first()
+            exprs |= {f"m_{c}": F.avg(x), f"s_{c}": F.stddev_samp(x), f"q_{c}": quantiles(x, [0.25, 0.75]), f"w_{c}": adjusted_skew(x)}
+    first = aggregated(df, exprs)
     # adding 0.0 makes one of the two zeros
     distinct = distinct_counts(df, {c: number(c) + F.lit(0.0) if c in numeric else F.col(f"`{c}`") for c in df.columns})
     rates = {}

@@ -66,7 +66,7 @@ class SMOTEBalancer(Action):
     """Adds rows between neighbours of the smaller classes until each is as large as the largest.
 
     Neighbours are the k nearest of the whole class: blocks of about `block` rows, dealt by hash, meet in tasks of two, and the
-    k nearest of each are merged. Keys are unique; ties go to the smaller one; draws follow the values, so a run repeats. Classes below `least` rows stay as they are.
+    k nearest of each are merged. Keys are unique; ties go to the smaller one; draws follow the key, so a run repeats and rows of equal values differ. Classes below `least` rows stay as they are.
     """
 
     DEFAULTS = {"k": 5, "key": None, "least": 6, "block": 4096, "random_state": 42}
@@ -114,9 +114,9 @@ class SMOTEBalancer(Action):
             def between(frames):
                 for frame in frames:
                     out = []
-                    for times, own_x, near in zip(*(frame.column(i).to_pylist() for i in range(3)), strict=True):
+                    for q, times, own_x, near in zip(*(frame.column(i).to_pylist() for i in range(4)), strict=True):
                         x = np.array(own_x, float)
-                        rng = np.random.default_rng(abs(hash((seed, tuple(x.tolist())))))
+                        rng = np.random.default_rng([seed, *q.encode()])
                         for _ in range(times):
                             share = rng.random()
                             out.append((x + share * (np.array(near[int(rng.integers(len(near)))]["y"], float) - x)).tolist())
@@ -124,7 +124,7 @@ class SMOTEBalancer(Action):
 
             found = left.groupBy("own", "other").cogroup(right.groupBy("own", "other")).applyInArrow(nearest, "q string, n int, x array<double>, near string, distance double, y array<double>")
             best = found.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy("distance", F.length("near"), "near"))).where(F.col("r") <= k)
-            drawn = best.groupBy("q").agg(F.first("n").alias("n"), F.first("x").alias("x"), F.sort_array(F.collect_list(F.struct("r", "y"))).alias("near")).select("n", "x", "near")
+            drawn = best.groupBy("q").agg(F.first("n").alias("n"), F.first("x").alias("x"), F.sort_array(F.collect_list(F.struct("r", "y"))).alias("near")).select("q", "n", "x", "near")
             rows = drawn.mapInArrow(between, "x array<double>").select(*(F.get("x", F.lit(i)).alias(c) for i, c in enumerate(columns)), F.lit(label).alias(target))
             made = rows if made is None else made.unionByName(rows)
         typed = made.select(*(F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) if f.name in made.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema.fields))

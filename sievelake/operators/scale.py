@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
+from sievelake.functions.quantiles import quantile_grid
 from sievelake.functions.stats import number, quantiles
 from sievelake.operators.base import Action, ParameterizedAction, ParamSpec
 
@@ -127,8 +128,7 @@ class QuantileScaler(Action):
 
     def settle(self, df, columns, stats):
         grids = {c: min(self.params["n_quantiles"], stats[f"n_{c}"]) for c in columns}
-        row = df.agg(*(quantiles(number(c), [i / max(1, n - 1) for i in range(n)]).alias(c) for c, n in grids.items() if n)).first() if any(grids.values()) else {}
-        return {c: list(row[c]) for c, n in grids.items() if n}
+        return {c: quantile_grid(df, number(c), [i / max(1, n - 1) for i in range(n)]) for c, n in grids.items() if n}
 
     def apply(self, df, columns, stats):
         return df.withColumns({c: through_quantiles(number(c), stats[c], self.params["output_distribution"]) for c in columns if c in stats})

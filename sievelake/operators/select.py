@@ -7,8 +7,9 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievelake.functions.stats import correlation, number, numeric_columns, quantiles
+from sievelake.functions.stats import correlation, number, numeric_columns
 from sievelake.operators.base import Action
+from sievelake.operators.learners import ExtraTrees, l1_support_vectors
 from sievelake.operators.neighbours import RANGE_ROWS, jittered, mutual_information
 
 
@@ -191,5 +192,38 @@ class LassoSelector(_Modelled):
         return _over_percentile(scores, self.params["percentile"])
 
 
+class ExtraTreesSelector(BaseSelector):
+    """Importances of extremely randomised trees at least their mean (or a number)."""
+
+    DEFAULTS = {"n_estimators": 50, "threshold": "mean", "random_state": 42, "max_depth": 10, "task": "classification"}
+
+    def scores(self, df, columns):
+        forest = ExtraTrees(columns, self.target, self.params["task"], self.params["n_estimators"], self.params["max_depth"], seed=self.params["random_state"]).fit(df)
+        return dict(zip(columns, forest.importances.tolist(), strict=True))
+
+    def choose(self, scores):
+        limit = sum(scores.values()) / max(1, len(scores)) if self.params["threshold"] == "mean" else self.params["threshold"]
+        return [c for c, v in scores.items() if v >= limit - 1e-12]
+
+
+class LinearSVCSelector(BaseSelector):
+    """Columns with a weight in some L1-penalised support vector machine of one class against the rest."""
+
+    DEFAULTS = {"C": 0.01, "max_iter": 50, "least": 1e-5}
+
+    def scores(self, df, columns):
+        known = df.where(F.col(self.target).isNotNull())
+        classes = [r[0] for r in known.select(F.col(self.target).cast("string").alias("y")).distinct().orderBy("y").collect()]
+        classes = classes[1:] if len(classes) == 2 else classes
+        most = dict.fromkeys(columns, 0.0)
+        for label in classes:
+            weights = l1_support_vectors(known, columns, F.col(self.target).cast("string") == label, self.params["C"], self.params["max_iter"])
+            most = {c: max(most[c], abs(float(w))) for c, w in zip(columns, weights, strict=False)}
+        return most
+
+    def choose(self, scores):
+        return [c for c, v in scores.items() if v > self.params["least"]]
+
+
 def feature_columns(df: DataFrame, *leave_out: str) -> list[str]:
     return [c for c in numeric_columns(df) if c not in leave_out]

@@ -5,14 +5,17 @@ The tables hold no nulls; where a query needs some, a key's remainder makes them
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sievelake.functions import sketches
 from sievelake.functions.stats import number
-from sievelake.operators import base, dedup, distance, evaluate, impute, inject, outliers, prior, profile, reduce, reward, scale, select, validate
+from sievelake.operators import base, crossval, dedup, distance, evaluate, impute, inject, outliers, prior, profile, reduce, reward, scale, select, splines, validate
 from sievelake.plans import search
+from sievelake.plans.shared import written
 from sievelake.sources import loaders
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -368,6 +371,28 @@ def select_mutual_info_neighbours(spark, sf):
     return _selection(spark, select.MutualInformationSelector(columns=["p_size", "p_retailprice"], target="band", k=1, key="p_partkey").fit(rows))
 
 
+@query("select_extra_trees")
+def select_extra_trees(spark, sf):
+    rows = table(spark, sf, "lineitem").withColumn("flag", (F.col("l_returnflag") == "R").cast("int"))
+    return _selection(spark, select.ExtraTreesSelector(columns=_FEATURES, target="flag", max_depth=4).fit(rows))
+
+
+@query("select_svc")
+def select_svc(spark, sf):
+    rows = table(spark, sf, "part").withColumn("band", F.when(F.col("p_retailprice") + F.col("p_size") > 950, "high").otherwise("low"))
+    return _selection(spark, select.LinearSVCSelector(columns=["p_size", "p_retailprice"], target="band").fit(rows))
+
+
+@query(
+    "select_wr",
+    """WITH l AS (SELECT l_returnflag AS y, unnest([struct_pack(feature := 'l_quantity', v := CAST(l_quantity AS DOUBLE)), struct_pack(feature := 'l_discount', v := CAST(l_discount AS DOUBLE))], recursive := true) FROM lineitem),
+       s AS (SELECT feature, y, sum(v) AS o, count(*) AS n FROM l GROUP BY 1, 2), t AS (SELECT *, sum(o) OVER (PARTITION BY feature) * n / sum(n) OVER (PARTITION BY feature) AS e FROM s)
+       SELECT feature, round(sum(power(o - e, 2) / e), 6) AS score, true AS kept FROM t GROUP BY 1""",
+)
+def select_wr(spark, sf):
+    return _selection(spark, select.ChiSquareSelector(columns=["l_quantity", "l_discount"], target="l_returnflag", k="all").fit(table(spark, sf, "lineitem")))
+
+
 # ---- validation
 
 _RULES = {"columns": {"c_custkey": {"dtype": "int"}, "c_acctbal": {"dtype": "float", "checks": {"in_range": [-500, 9000]}}, "c_mktsegment": {"nullable": True, "checks": {"isin": ["BUILDING", "AUTOMOBILE", "MACHINERY"]}}}}
@@ -677,6 +702,45 @@ def eval_ols(spark, sf):
 
 
 _PART_KEY = ["p_partkey"]
+
+
+def _banded(spark, sf):
+    return table(spark, sf, "part").select("p_partkey", "p_size", "p_retailprice", F.when(F.col("p_retailprice") + F.col("p_size") > 950, "high").otherwise("low").alias("band"))
+
+
+for _kind in ("nb", "lda", "mnb", "cart"):
+
+    @query(f"eval_kfold_{_kind}")
+    def _(spark, sf, kind=_kind):
+        grid = [{"max_depth": d} for d in (3, 5)] if kind == "cart" else None
+        model = crossval.KFoldClassifier("band", _PART_KEY, ["p_size", "p_retailprice"], kind, 3 if kind == "cart" else 10, grid)
+        return model.results(_banded(spark, sf)).select(F.col("point").cast("int").alias("point"), F.col("fold").cast("int").alias("fold"), "n", "hits")
+
+
+@query("eval_kfold_ols")
+def eval_kfold_ols(spark, sf):
+    found = crossval.KFoldRegression("p_retailprice", _PART_KEY, ["p_size"]).results(table(spark, sf, "part"))
+    return spark.createDataFrame([(x["fold"], x["n"], round(x["mse"], 4)) for x in found], "fold int, n long, mse double")
+
+
+@query("eval_kfold_lasso")
+def eval_kfold_lasso(spark, sf):
+    found = crossval.KFoldRegression("l_extendedprice", ["l_orderkey", "l_linenumber"], ["l_quantity", "l_discount", "l_tax"], 10, [0.01, 0.1, 1.0, 10.0, 100.0]).results(table(spark, sf, "lineitem"))
+    return spark.createDataFrame([(x["alpha"], x["fold"], x["n"], round(x["mse"], 2)) for x in found], "alpha double, fold int, n long, mse double")
+
+
+@query("eval_mars")
+def eval_mars(spark, sf):
+    rows = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity", "l_discount", "l_tax")
+    return splines.MARSEvaluator("l_extendedprice", ["l_orderkey", "l_linenumber"], ["l_quantity", "l_discount", "l_tax"]).predictions(rows).select("l_orderkey", "l_linenumber", "label", r("prediction", 3).alias("prediction"))
+
+
+@query("eval_lda_nulls")
+def eval_lda_nulls(spark, sf):
+    rows = _banded(spark, sf).withColumn("p_size", F.when(F.col("p_partkey") % 3 != 0, F.col("p_size")))
+    return evaluate.LDAEvaluator("band", _PART_KEY, ["p_size", "p_retailprice"]).predictions(rows).withColumn("confidence", F.round("confidence", 6))
+
+
 for _name, _kind, _params in (("tree", evaluate.CARTEvaluator, {}), ("lda", evaluate.LDAEvaluator, {}), ("gaussian_nb", evaluate.GaussianNBEvaluator, {}), ("multinomial_nb", evaluate.MultinomialNBEvaluator, {}), ("random_forest", evaluate.RandomForestEvaluator, {"n_estimators": 10}), ("logistic", evaluate.LogisticEvaluator, {})):
 
     @query(f"eval_{_name}")
@@ -685,7 +749,7 @@ for _name, _kind, _params in (("tree", evaluate.CARTEvaluator, {}), ("lda", eval
         return kind("band", _PART_KEY, ["p_size", "p_retailprice"], **params).predictions(rows).withColumn("confidence", F.round("confidence", 6))
 
 
-for _name, _kind, _params in (("linear_regression", evaluate.OLSEvaluator, {}), ("lasso", evaluate.LassoEvaluator, {}), ("boosted_regression", evaluate.GBREvaluator, {}), ("kernel_ridge", evaluate.KernelRidgeEvaluator, {"most": 300})):
+for _name, _kind, _params in (("linear_regression", evaluate.OLSEvaluator, {}), ("lasso", evaluate.LassoEvaluator, {}), ("boosted_regression", evaluate.GBREvaluator, {}), ("kernel_ridge", crossval.KernelRidgeEvaluator, {"features": 64, "gammas": [0.01, 0.1, 1.0]})):
 
     @query(f"eval_{_name}")
     def _(spark, sf, kind=_kind, params=_params):
@@ -772,9 +836,37 @@ def class_balance(spark, sf):
     return o.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n")).join(total).select("o_orderstatus", "n", r(F.col("n") / F.col("t")).alias("share"))
 
 
-@query("pivot_delta", "SELECT o_orderpriority, round(sum(CASE WHEN o_orderstatus = 'F' THEN o_totalprice END), 2) AS f, round(sum(CASE WHEN o_orderstatus = 'O' THEN o_totalprice END), 2) AS o FROM orders GROUP BY 1")
+@query(
+    "pivot_delta",
+    "SELECT o_orderpriority, round(avg(CASE WHEN o_orderstatus = 'F' THEN o_totalprice END), 4) AS f, round(avg(CASE WHEN o_orderstatus = 'O' THEN o_totalprice END), 4) AS o, round(avg(CASE WHEN o_orderstatus = 'O' THEN o_totalprice END) - avg(CASE WHEN o_orderstatus = 'F' THEN o_totalprice END), 4) AS delta FROM orders GROUP BY 1",
+)
 def pivot_delta(spark, sf):
-    return table(spark, sf, "orders").groupBy("o_orderpriority").pivot("o_orderstatus", ["F", "O"]).agg(F.sum("o_totalprice")).select("o_orderpriority", r("F", 2).alias("f"), r("O", 2).alias("o"))
+    found = evaluate.pivot_delta(table(spark, sf, "orders"), "o_orderpriority", "o_orderstatus", "o_totalprice", "F", "O")
+    return found.select("o_orderpriority", r("F", 4).alias("f"), r("O", 4).alias("o"), r("delta", 4).alias("delta"))
+
+
+def _cube(spark, sf):
+    rows = table(spark, sf, "lineitem").select("l_returnflag", "l_linestatus", "l_extendedprice", "l_orderkey", "l_quantity")
+    return sketches.merge_cube(written(sketches.sketch(rows, ["l_returnflag", "l_linestatus"], ["l_orderkey"], ["l_extendedprice"], ["l_quantity"]), "sketches"), ["l_returnflag", "l_linestatus"])
+
+
+@query(
+    "sketch_cube_buckets",
+    f"""SELECT l_returnflag, l_linestatus, grouping(l_returnflag, l_linestatus) AS level, CAST(ceil(ln(l_extendedprice) / {math.log(sketches.GAMMA)!r}) AS BIGINT) + 524288 AS slot, count(*) AS v FROM lineitem
+        GROUP BY GROUPING SETS ((l_returnflag, l_linestatus, slot), (l_returnflag, slot), (l_linestatus, slot), (slot))""",
+)
+def sketch_cube_buckets(spark, sf):
+    """The buckets of the quantile sketch, merged up the cube from the finest groups alone."""
+    return _cube(spark, sf).where("kind = 'quantile'").select("l_returnflag", "l_linestatus", F.col("level").cast("long").alias("level"), "slot", "v")
+
+
+@query("sketch_cube")
+def sketch_cube(spark, sf):
+    cube, by = written(_cube(spark, sf), "cube"), ["level", "l_returnflag", "l_linestatus"]
+    distinct = sketches.distinct_counts(cube, by).select(*by, r("distinct", 3).alias("orders"))
+    middle = sketches.quantiles(cube, by, [0.25, 0.5, 0.75]).select(*by, "n", F.transform("quantiles", lambda v: F.round(v, 3)).alias("quartiles"))
+    same = [F.col(f"d.{c}").eqNullSafe(F.col(f"m.{c}")) for c in by]
+    return distinct.alias("d").join(middle.alias("m"), same[0] & same[1] & same[2]).select(*(f"d.{c}" for c in by), "orders", "n", "quartiles")
 
 
 # ---- reduction and balancing
@@ -1175,3 +1267,41 @@ SQL["select_mutual_info_neighbours"] = f"""WITH b AS (SELECT p_partkey AS k, p_p
     s AS (SELECT feature, greatest(0, (SELECT psi FROM psi WHERE n = max(total)) + avg(k.psi - z.psi - g.psi)) AS score
           FROM (SELECT *, count(*) OVER (PARTITION BY feature) AS total FROM m) m JOIN psi k ON k.n = least(3, size - 1) JOIN psi z ON z.n = size JOIN psi g ON g.n = m GROUP BY feature)
     SELECT feature, round(score, 6) AS score, score = max(score) OVER () AS kept FROM s"""
+#: Sums of all folds but one, by fold.
+_FOLDS = f"""b AS (SELECT p_partkey, CAST(p_size AS DOUBLE) AS x, CAST(p_retailprice AS DOUBLE) AS y, CASE WHEN p_retailprice + p_size > 950 THEN 'high' ELSE 'low' END AS band, CAST(floor({_unit("CAST(p_partkey AS VARCHAR)", "'fold'")} * 10) AS INTEGER) AS fold FROM part), f AS (SELECT DISTINCT fold FROM b)"""
+SQL["eval_kfold_nb"] = f"""WITH {_FOLDS}, t AS (SELECT f.fold, band AS c, count(*) AS n, avg(x) AS mx, avg(y) AS my, var_pop(x) AS vx, var_pop(y) AS vy FROM f JOIN b ON b.fold <> f.fold GROUP BY 1, 2),
+    v AS (SELECT f.fold, 1e-9 * greatest(var_pop(x), var_pop(y)) AS eps, count(*) AS total FROM f JOIN b ON b.fold <> f.fold GROUP BY 1),
+    s AS (SELECT b.fold, p_partkey, band, c, ln(n / total) - 0.5 * (ln(2 * pi() * (vx + eps)) + power(x - mx, 2) / (vx + eps) + ln(2 * pi() * (vy + eps)) + power(y - my, 2) / (vy + eps)) AS s FROM b JOIN t USING (fold) JOIN v USING (fold)),
+    m AS (SELECT fold, p_partkey, any_value(band) AS band, arg_max(c, s) AS p FROM s GROUP BY 1, 2)
+    SELECT 0 AS point, fold, count(*) AS n, count(*) FILTER (band = p) AS hits FROM m GROUP BY fold"""
+SQL["eval_kfold_ols"] = f"""WITH {_FOLDS}, t AS (SELECT f.fold, regr_slope(y, x) AS a, regr_intercept(y, x) AS i FROM f JOIN b ON b.fold <> f.fold GROUP BY 1)
+    SELECT fold, count(*) AS n, round(avg(power(y - i - a * x, 2)), 4) AS mse FROM b JOIN t USING (fold) GROUP BY fold"""
+SQL["eval_lda_nulls"] = SQL["eval_lda"].replace(_BANDS, f"""o AS (SELECT p_partkey, CASE WHEN p_partkey % 3 <> 0 THEN CAST(p_size AS DOUBLE) END AS x, CAST(p_retailprice AS DOUBLE) AS y, CASE WHEN p_retailprice + p_size > 950 THEN 'high' ELSE 'low' END AS band, {_PART_UNIT} < 0.2 AS test FROM part),
+    b AS (SELECT p_partkey, coalesce(x, (SELECT avg(x) FROM o WHERE NOT test)) AS x, y, band, test FROM o)""")
+
+
+@query(
+    "inject_mcar_cells",
+    f"""WITH c AS (SELECT c_custkey, c_acctbal, c_nationkey, row_number() OVER (ORDER BY c_custkey) - 1 AS k FROM customer), n AS (SELECT count(*) AS n FROM customer),
+        h AS (SELECT DISTINCT CAST(floor({_unit("CAST(i AS VARCHAR)")} * n * 2) AS BIGINT) AS cell FROM n, (SELECT unnest(range(0, (SELECT CAST(greatest(1, round(n * 2 * 0.1)) AS BIGINT) FROM n))) AS i))
+        SELECT c_custkey, CASE WHEN 2 * k NOT IN (SELECT cell FROM h) THEN c_acctbal END AS c_acctbal, CASE WHEN 2 * k + 1 NOT IN (SELECT cell FROM h) THEN c_nationkey END AS c_nationkey FROM c""",
+)
+def inject_mcar_cells(spark, sf):
+    rows = table(spark, sf, "customer").select("c_custkey", "c_acctbal", "c_nationkey")
+    return inject.inject_mcar_cells(rows, 0.1, ["c_custkey"], ["c_acctbal", "c_nationkey"])
+
+
+@query(
+    "dedup_lsh_links",
+    """WITH t AS (SELECT p_partkey AS k, list_sort(list_distinct(string_split(lower(p_name), ' '))) AS s FROM part),
+       e AS (SELECT s, min(k) AS a FROM t GROUP BY s) SELECT a, k AS b, 1.0 AS jaccard FROM e JOIN t USING (s) WHERE k <> a""",
+)
+def dedup_lsh_links(spark, sf):
+    """At a threshold that only equal sets of words reach the answer is known."""
+    return dedup.lsh_links(dedup.token_sets(table(spark, sf, "part"), "p_partkey", F.col("p_name")), 0.999)
+
+
+@query("dedup_lsh_documents")
+def dedup_lsh_documents(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return dedup.lsh_links(dedup.token_sets(docs, "doc_id", F.col("text")), 0.8).withColumn("jaccard", r("jaccard"))

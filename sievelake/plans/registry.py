@@ -46,7 +46,7 @@ STRATEGIES: dict[str, dict[str, tuple[type, dict[str, Any]]]] = {
     "outliers": {"ZSB": (outliers.FractionOutlierCleaner, {"detector": "robust"}), "IQR": (outliers.FractionOutlierCleaner, {"detector": "iqr"}), "LOF": (outliers.MultivariateLOFCleaner, {"n_neighbors": 4, "contamination": 0.1})},
     "duplicates": {"ED": (dedup.ExactDeduplicator, {}), "AD": (dedup.JaccardSimilarityDeduplicator, {"threshold": 0.6, "keep": False}), "METRIC": (dedup.RowStringDeduplicator, {"threshold": 0.6, "metric": "DL"})},
     "consistency": {"CC": (validate.ConstraintChecker, {}), "PC": (validate.PatternChecker, {})},
-    "features": {"MR": (select.MissingRatioSelector, {}), "LC": (select.CollinearitySelector, {}), "VAR": (select.LowDeviationSelector, {}), "L1": (select.LassoSelector, {}), "IMP": (select.RandomForestSelector, {"n_estimators": 50, "task": "regression"}), "Tree": (select.RandomForestSelector, {"n_estimators": 50}), "WR": (select.ChiSquareSelector, {"k": "all"}), "SVC": (select.LassoSelector, {"task": "classification"})},
+    "features": {"MR": (select.MissingRatioSelector, {}), "LC": (select.CollinearitySelector, {}), "VAR": (select.LowDeviationSelector, {}), "L1": (select.LassoSelector, {}), "IMP": (select.RandomForestSelector, {"n_estimators": 50, "task": "regression"}), "Tree": (select.ExtraTreesSelector, {"n_estimators": 50}), "WR": (select.ChiSquareSelector, {"k": "all"}), "SVC": (select.LinearSVCSelector, {"C": 0.01})},
 }
 
 

@@ -10,18 +10,35 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sievelake.functions.quantiles import Quantiles, exact_quantiles
 from sievelake.functions.stats import hash_unit, nan_to_null
 
 _READ_OPTIONS = {"sep": "sep", "encoding": "encoding", "quotechar": "quote", "escapechar": "escape", "comment": "comment"}
 
 
 def csv_options(read_csv_kwargs: dict[str, Any] | None) -> dict[str, Any]:
-    """Reader options by their usual names; `header=None` means there is none, `na_values` is what stands for null."""
+    """Reader options by their usual names; `header=None` means there is none."""
     given = dict(read_csv_kwargs or {})
-    out: dict[str, Any] = {"header": given.pop("header", 0) is not None, "inferSchema": True}
-    if (na := given.pop("na_values", None)) is not None:
-        out["nullValue"] = na if isinstance(na, str) else list(na)[0]
-    return out | {_READ_OPTIONS.get(k, k): v for k, v in given.items()}
+    given.pop("na_values", None)
+    return {"header": given.pop("header", 0) is not None, "inferSchema": True} | {_READ_OPTIONS.get(k, k): v for k, v in given.items()}
+
+
+def read_csv(spark: SparkSession, path: str, read_csv_kwargs: dict[str, Any] | None) -> DataFrame:
+    """A csv whose `na_values`, one or several, are null: with several the fields are read as text, nulled, and typed after that."""
+    options, na = csv_options(read_csv_kwargs), (read_csv_kwargs or {}).get("na_values")
+    if na is None or isinstance(na, str) or len(set(na)) == 1:
+        return spark.read.options(**options, **({"nullValue": na if isinstance(na, str) else next(iter(na))} if na else {})).csv(path)
+    marks = sorted({str(x) for x in na})
+    texts = spark.read.options(**(options | {"inferSchema": False})).csv(path)
+    first = spark.read.options(**(options | {"inferSchema": True, "nullValue": marks[0]})).csv(path).schema
+    nulled = texts.select(*(F.when(~F.col(f"`{c}`").isin(marks), F.col(f"`{c}`")).alias(c) for c in texts.columns))
+    open_ = [f.name for f in first.fields if isinstance(f.dataType, T.StringType)]
+    # a column that another mark made text is of the narrowest type that all its other fields have
+    kinds = ("boolean", "int", "bigint", "double", "date", "timestamp")
+    fits = nulled.agg(*(F.coalesce(F.bool_and(F.col(f"`{c}`").isNull() | F.col(f"`{c}`").try_cast(k).isNotNull()), F.lit(False)).alias(f"{i}_{k}") for i, c in enumerate(open_) for k in kinds)).first() if open_ else None
+    kind = {f.name: f.dataType.simpleString() for f in first.fields}
+    kind |= {c: next((k for k in kinds if fits[f"{i}_{k}"]), "string") for i, c in enumerate(open_)}
+    return nulled.select(*(F.col(f"`{c}`").try_cast(kind[c]).alias(c) for c in nulled.columns))
 
 
 class DatasetLoader(ABC):
@@ -49,7 +66,7 @@ class CSVLoader(DatasetLoader):
             return nan_to_null(self.dataset)
         if "://" not in self.file_path and not os.path.exists(self.file_path):
             raise FileNotFoundError(self.file_path)
-        return nan_to_null(self.spark.read.options(**csv_options(self.kwargs)).csv(self.file_path))
+        return nan_to_null(read_csv(self.spark, self.file_path, self.kwargs))
 
     def get_source_info(self):
         return {"type": "csv", "path": self.file_path, "target": self.target_col}
@@ -71,7 +88,7 @@ class TableLoader(DatasetLoader):
             df = nan_to_null(getattr(self.spark.read, self.kind)(self.path))
         else:
             raise ValueError(f"no reader for {self.kind}")
-        return df.drop("Unnamed: 0", "_c0")
+        return df.drop("Unnamed: 0", "_c0") if self.kind == "csv" else df.drop("Unnamed: 0")
 
     def get_source_info(self):
         return {"type": self.kind, "path": self.path, "target": self.target_col}
@@ -162,7 +179,7 @@ def concat_tables(frames: list[DataFrame], drop: tuple[str, ...] = (), numbers:
 
 def list_to_columns(df: DataFrame, column: str, share: float = 0.9) -> DataFrame:
     """<column>_item1 ... _itemk, k the given quantile of list lengths."""
-    k = int(df.agg(F.percentile(F.size(column), F.lit(share))).first()[0] or 0)
+    k = int(exact_quantiles(df, {"k": Quantiles(F.when(F.col(column).isNotNull(), F.size(column)), [share], True)})["k"] or 0)
     return df.select("*", *(F.get(column, F.lit(i)).alias(f"{column}_item{i + 1}") for i in range(k))).drop(column)
 
 
