@@ -259,21 +259,22 @@ def _members(docs: DataFrame, similarity: float, sketcher: Sketcher | None, id_c
     ids = written(made.select("doc_id", "digest"), "ids")
     forget(made)
     # id and band travel as one number, as there is such a row for each text and band
-    rows = firsts.select("id", "first", F.posexplode("bands").alias("at", "bucket")).select((F.col("id") * 256 + F.col("first") + F.col("at")).alias("entry"), "bucket")
+    rows = firsts.select("id", "words", "first", F.posexplode("bands").alias("at", "bucket")).select((F.col("id") * 256 + F.col("first") + F.col("at")).alias("entry"), "words", "bucket")
     # one row a bucket, as a table, so that a bucket that fills a partition can be split on the members' side
     shared = rows.groupBy("bucket").agg(F.min("entry").alias("least"), F.max("entry").alias("most")).where("least <> most")
     shared = written(shared.select("bucket", F.shiftright("least", 8).alias("pivot")), "buckets")
-    members = written(rows.join(shared, "bucket").select(F.shiftright("entry", 8).alias("id"), (F.col("entry") % 256).cast("int").alias("band"), "bucket", "pivot"), "members")
+    # how many buckets are shared has no bound, so they are never broadcast, and a small table is joined as a large one is
+    members = written(rows.join(shared.hint("merge"), "bucket").select(F.shiftright("entry", 8).alias("id"), (F.col("entry") % 256).cast("int").alias("band"), "words", "bucket", "pivot"), "members")
     of_digest = written(firsts.select("digest", "doc_id", "words", "id"), "ids")
     forget(firsts, shared)
     texts = written(_texts(docs, of_digest.join(members.select("id").distinct(), "id", "left_semi"), sketcher, id_column, text_column), "candidate-texts")
     # each member against its bucket's pivot; later bands skip what the first ones have joined already
     labels, tested = None, None
-    size = lambda x: of_digest.select(F.col("id").alias(x), F.col("words").alias(f"w{x}"))
-    fits = F.least("wa", "wb") >= F.greatest("wa", "wb") * F.lit(similarity - 1e-9)
+    sizes = of_digest.select(F.col("id").alias("a"), F.col("words").alias("wa"))
+    fits = F.least("wa", "words") >= F.greatest("wa", "words") * F.lit(similarity - 1e-9)
     early = F.col("band") % (sketcher.entries // sketcher.rows) < FIRST_BANDS
     for bands in (early, ~early):
-        pairs = members.where(bands & (F.col("id") != F.col("pivot"))).select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct().join(size("a"), "a").join(size("b"), "b").where(fits).select("a", "b")
+        pairs = members.where(bands & (F.col("id") != F.col("pivot"))).select(F.col("pivot").alias("a"), F.col("id").alias("b"), "words").distinct().join(sizes, "a").where(fits).select("a", "b")
         if labels is not None:
             of = lambda x: labels.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))  # noqa: B023, E731
             pairs = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b").join(tested.select("a", "b"), ["a", "b"], "left_anti")
