@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import logging
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -16,13 +17,21 @@ from sievelake.plans.shared import written
 
 log = logging.getLogger(__name__)
 
+#: Cells in which characters are counted; several share one, which only makes bounds wider.
+CELLS = 64
 
-def kept_only(df: DataFrame, by: list[Column], order: list[str], keep: str | bool) -> DataFrame:
-    """One row of each group, by the order of the row key; keep=False: only groups of one."""
-    if keep is False:
-        return df.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*by))).where("_n = 1").drop("_n")
-    ordered = [F.desc(c) if keep == "last" else F.asc(c) for c in order]
-    return df.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*ordered))).where("_n = 1").drop("_n")
+
+def kept_only(df: DataFrame, by: list[Column], order: list[str], keep: str | bool, instead: dict[str, Column] | None = None) -> DataFrame:
+    """One row of each group, by the order of the row key; keep=False: only groups of one. `instead`: aggregates in place of columns.
+
+    The row that stays is an aggregate, so a group of copies shrinks to one before anything moves.
+    """
+    row, at = F.struct(*(F.col(f"`{c}`") for c in df.columns)), F.struct(*(F.col(f"`{c}`") for c in order))
+    stays = F.max_by(row, at) if keep == "last" else F.min_by(row, at)
+    named = instead or {}
+    found = df.groupBy(*(x.alias(f"_g{i}") for i, x in enumerate(by))).agg(stays.alias("_row"), F.count(F.lit(1)).alias("_n"), *(e.alias(f"_i_{c}") for c, e in named.items()))
+    found = found.where("_n = 1") if keep is False else found
+    return found.select(*(F.col(f"_i_{c}").alias(c) if c in named else F.col(f"_row.`{c}`").alias(c) for c in df.columns))
 
 
 class _Keyed(Action):
@@ -76,9 +85,8 @@ class RoundedDeduplicator(_Keyed):
     def apply(self, df, columns, stats):
         own = [c for c in columns if c not in (self.params["label"], *(self._order(df) if self.params["key"] else ()))]
         by = [F.round(F.col(f"`{c}`").cast("double"), self.params["decimals"]) for c in own]
-        if label := self.params["label"]:
-            df = df.withColumn(label, F.mode(F.col(label), True).over(Window.partitionBy(*by)))
-        return kept_only(df, by, self._order(df), self._keep())
+        label = self.params["label"]
+        return kept_only(df, by, self._order(df), self._keep(), {label: F.mode(F.col(f"`{label}`"), True)} if label else None)
 
 
 def drop_linked(df: DataFrame, key: str, links: DataFrame, keep: str | bool) -> DataFrame:
@@ -178,8 +186,35 @@ class JaccardSimilarityDeduplicator(_Keyed):
         return drop_linked(df, self._order(df)[0], self.links(df, columns), self._keep())
 
 
-def block_pairs(rows: DataFrame, score, threshold: float, block_rows: int = 1024) -> DataFrame:
-    """a < b, similarity of rows (k, v: array<string>) by a Python function; every block meets every other once, in tasks of two blocks."""
+def characters(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of characters by cell, and lengths; of nulls 0."""
+    bags = np.zeros((len(texts), CELLS), np.int32)
+    for i, t in enumerate(texts):
+        if t:
+            bags[i] = np.bincount(np.frombuffer(t.encode("utf-32-le"), np.uint32) % CELLS, minlength=CELLS)
+    return bags, bags.sum(1)
+
+
+def at_most(kind: str, common: np.ndarray, m: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """No more than this is the similarity of texts of these lengths with so many characters in common.
+
+    An edit distance is at least the longer length less the common characters; no more of them can match or stand in one order.
+    """
+    longer = np.maximum(np.maximum(m, n), 1)
+    if kind == "jarowinkler":
+        jaro = np.where(common > 0, (common / np.maximum(m, 1) + common / np.maximum(n, 1) + 1) / 3, 0.0)
+        return np.where((m == 0) & (n == 0), 1.0, np.where(jaro > 0.7, jaro + 0.4 * (1 - jaro), jaro))
+    if kind == "token_sort":
+        return np.where(m + n > 0, 2 * common / np.maximum(m + n, 1), 1.0)
+    return np.where(m + n > 0, common / longer, 1.0)
+
+
+def block_pairs(rows: DataFrame, score, threshold: float, block_rows: int = 1024, kind: str | None = None, least=None) -> DataFrame:
+    """a < b, similarity of rows (k, v: array<string>) by a Python function; every block meets every other once, in tasks of two blocks.
+
+    With a `kind` of similarity only pairs are scored whose lengths and common characters let them reach the threshold (or
+    least(m, n), a number by their lengths) in every column; all others are ruled out by whole blocks of numbers.
+    """
     rows = written(rows, "blocks")
     blocks = max(1, -(-rows.count() // block_rows))
     own = rows.withColumn("i", F.pmod(F.xxhash64("k"), F.lit(blocks)).cast("int"))
@@ -187,20 +222,31 @@ def block_pairs(rows: DataFrame, score, threshold: float, block_rows: int = 1024
     left = own.withColumn("j", F.explode(F.filter(ends, lambda j: j >= F.col("i"))))
     # columns of their own on the right: a cogroup takes shared ones of one plan for the left side's
     right = own.select(F.col("k").alias("k"), F.col("v").alias("v"), F.col("i").alias("j")).withColumn("i", F.explode(F.filter(ends, lambda i: i <= F.col("j"))))
-    kind = rows.schema["k"].dataType.simpleString()
+    key = rows.schema["k"].dataType.simpleString()
 
     def run(a: pa.Table, b: pa.Table) -> pa.Table:
         out: tuple[list, list, list] = ([], [], [])
         same = a.num_rows and b.num_rows and a["i"][0] == a["j"][0]
-        for ka, va in zip(a["k"].to_pylist(), a["v"].to_pylist(), strict=True):
-            for kb, vb in zip(b["k"].to_pylist(), b["v"].to_pylist(), strict=True):
+        ours, theirs = (list(zip(t["k"].to_pylist(), t["v"].to_pylist(), strict=True)) for t in (a, b))
+        if kind and ours and theirs:
+            read = (lambda t: t and " ".join(sorted(t.split()))) if kind == "token_sort" else (lambda t: t)
+            sides = [[characters([read(v[c]) for _, v in side]) for c in range(len(ours[0][1]))] for side in (ours, theirs)]
+        for x, (ka, va) in enumerate(ours):
+            near = range(len(theirs))
+            if kind and theirs:
+                reach = np.ones(len(theirs), bool)
+                for (bags, sizes), (other, others) in zip(*sides, strict=True):
+                    common = np.minimum(other, bags[x]).sum(1)
+                    reach &= at_most(kind, common, sizes[x], others) >= (threshold if least is None else least(sizes[x], others)) - 1e-9
+                near = np.flatnonzero(reach).tolist()
+            for kb, vb in (theirs[y] for y in near):
                 if (not same or ka < kb) and (s := score(va, vb, threshold)) is not None:
                     for column, x in zip(out, (min(ka, kb), max(ka, kb), s), strict=True):
                         column.append(x)
         k = a.schema.field("k").type
         return pa.table({"a": pa.array(out[0], k), "b": pa.array(out[1], k), "similarity": pa.array(out[2], pa.float64())})
 
-    return left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(run, f"a {kind}, b {kind}, similarity double")
+    return left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(run, f"a {key}, b {key}, similarity double")
 
 
 def _all_columns(similarity):
@@ -242,7 +288,7 @@ class ApproximateDeduplicator(_Keyed):
         first = written(full.groupBy(*by).agg(F.min("k").alias("k")), "firsts")
         equal = full.join(first.withColumnRenamed("k", "a"), by).where("k <> a").select("a", F.col("k").alias("b"), F.lit(1.0).alias("similarity"))
         if not blocking or how == "full":
-            return block_pairs(first.select("k", "v"), score, threshold).unionByName(equal)
+            return block_pairs(first.select("k", "v"), score, threshold, kind=self.params["comparison_type"]).unionByName(equal)
         if how == "sortedneighbourhood":
             from sievelake.operators.scale import ranked
 
@@ -296,7 +342,10 @@ class RowStringDeduplicator(ApproximateDeduplicator):
 
         own = [c for c in columns if c != key]
         rows = df.select(F.col(key).alias("k"), F.array(F.concat_ws(" ", *(F.col(f"`{c}`").cast("string") for c in own))).alias("v"))
-        return block_pairs(rows, score, self.params["threshold"])
+        # edits under (m + n) / 2 * t are a similarity, by the longer length, of over 1 - (m + n) / (2 * longer) * t
+        share = self.params["threshold"]
+        least = None if edits is None else lambda m, n: 1 - (m + n) / (2 * np.maximum(np.maximum(m, n), 1)) * share
+        return block_pairs(rows, score, share, kind="jarowinkler" if edits is None else "levenshtein", least=least)
 
 
 class ParameterizedDeduplicator(ParameterizedAction, _Keyed):

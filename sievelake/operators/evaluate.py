@@ -6,10 +6,13 @@ import math
 from itertools import pairwise
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.ml import classification, clustering, regression
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import StringIndexer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -231,9 +234,110 @@ class KMeansEvaluator:
 
 
 class AgglomerativeEvaluator(KMeansEvaluator):
-    """Hierarchical clustering top down (bisecting k-means): bottom up has no distributed form."""
+    """Bottom-up clustering by average cosine distance; the best number of clusters by cosine silhouette.
 
-    kind = clustering.BisectingKMeans
+    The mean cosine distance of two clusters is 1 less the product of their sums of unit vectors over their sizes, so sums and
+    sizes are all that linkage needs. Up to `most` rows each is a summary of its own, and the result is that of all pairs. Beyond
+    that tasks gather rows of one direction into summaries, which meet until at most `most` are left; rows without a direction
+    take no part.
+    """
+
+    def __init__(self, features: list[str], ks: tuple[int, ...] = (2, 3, 4, 5), seed: int = 42, most: int = 1000):
+        super().__init__(features, ks, seed)
+        self.most = most
+
+    def labelled(self, df: DataFrame, ks: tuple[int, ...]) -> DataFrame:
+        """The rows' unit vectors as x, and k0, k1, ...: their cluster for each number of clusters."""
+        p, most = len(self.features), self.most
+        x = F.array(*(F.coalesce(number(c), F.lit(0.0)) for c in self.features))
+        size = F.sqrt(F.aggregate("x", F.lit(0.0), lambda a, b: a + b * b))
+        rows = written(df.select(x.alias("x")).withColumn("s", size).where("s > 0").select(F.transform("x", lambda v: v / F.col("s")).alias("x")), "directions")
+
+        def gathered(n: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """At most `most` summaries: each joins the first whose direction is near, ever less near while there are too many."""
+            reach = 1e-6
+            while len(n) > most:
+                unit = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-300)
+                home, lead = np.full(len(n), -1), []
+                for i in range(len(n)):
+                    if home[i] < 0:
+                        own = (home < 0) & (unit @ unit[i] >= 1 - reach)
+                        own[i] = True
+                        home[own] = len(lead)
+                        lead.append(i)
+                count, total = np.zeros(len(lead)), np.zeros((len(lead), p))
+                np.add.at(count, home, n)
+                np.add.at(total, home, sums)
+                n, sums, reach = count, total, reach * 4
+            return n, sums
+
+        def table(part: int, n: np.ndarray, sums: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([part] * len(n), pa.int64()), pa.array(n, pa.float64()), pa.array(list(sums), pa.list_(pa.float64()))], ["part", "n", "x"])
+
+        def local(stream):
+            n, sums = np.zeros(0), np.zeros((0, p))
+            for batch in stream:
+                more = np.array(batch.column(0).to_pylist(), float).reshape(-1, p)
+                n, sums = gathered(np.append(n, np.ones(len(more))), np.concatenate((sums, more)))
+            yield table(TaskContext.get().partitionId(), n, sums)
+
+        def meet(t: pa.Table) -> pa.Table:
+            return pa.Table.from_batches([table(t["bucket"][0].as_py(), *gathered(t["n"].to_numpy(), np.array(t["x"].to_pylist(), float).reshape(-1, p)))])
+
+        schema = "part long, n double, x array<double>"
+        found = written(rows.mapInArrow(local, schema), "summaries")
+        parts = (found.agg(F.max("part")).first()[0] or 0) + 1
+        while parts > 1:
+            found = written(found.withColumn("bucket", F.expr("part div 16")).groupBy("bucket").applyInArrow(meet, schema), "summaries")
+            parts = -(-parts // 16)
+        got = sorted((tuple(r.x), r.n) for r in found.collect())  # at most `most`, in an order of their own
+        sums, n = np.array([g[0] for g in got]).reshape(-1, p), np.array([g[1] for g in got])
+        cuts = average_linkage(sums, n, ks)
+        centre = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-300)
+
+        @F.pandas_udf("array<int>")
+        def cluster(values: pd.Series) -> pd.Series:
+            near = (np.stack(values.to_list()) @ centre.T).argmax(1)
+            return pd.Series([[int(c[i]) for c in cuts] for i in near])
+
+        return rows.withColumn("c", cluster("x")).select("x", *(F.get("c", F.lit(i)).alias(f"k{i}") for i in range(len(ks))))
+
+    def evaluate(self, df: DataFrame) -> tuple[float, int]:
+        rows = written(self.labelled(df, self.ks).withColumn("x", array_to_vector("x")), "clustered")
+        scores = {}
+        for i, k in enumerate(self.ks):
+            several = rows.select(f"k{i}").distinct().limit(2).count() > 1
+            scores[k] = ClusteringEvaluator(featuresCol="x", predictionCol=f"k{i}", distanceMeasure="cosine").evaluate(rows) if several else -1.0
+        best = max(scores, key=scores.get)
+        return scores[best], best
+
+
+def average_linkage(sums: np.ndarray, n: np.ndarray, ks: tuple[int, ...]) -> list[np.ndarray]:
+    """For each number of clusters the cluster of every summary, numbered by first member: the two nearest join, the first of equals."""
+    m = len(n)
+    sums, n, home = sums.copy(), n.astype(float).copy(), np.arange(m)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        far = 1 - (sums @ sums.T) / np.outer(n, n)
+    np.fill_diagonal(far, np.inf)
+    out, alive = {}, m
+
+    def labels() -> np.ndarray:
+        return np.unique(home, return_inverse=True)[1]
+
+    for k in sorted(ks, reverse=True):
+        while alive > max(k, 1):
+            i, j = sorted(divmod(int(far.argmin()), m))
+            sums[i] += sums[j]
+            n[i] += n[j]
+            home[home == j] = i
+            far[j], far[:, j] = np.inf, np.inf
+            own = 1 - (sums @ sums[i]) / (n * n[i])
+            live = np.isin(np.arange(m), home) & (np.arange(m) != i)
+            far[i] = np.where(live, own, np.inf)
+            far[:, i] = far[i]
+            alive -= 1
+        out[k] = labels()
+    return [out[k] for k in ks]
 
 
 def dbscan(df: DataFrame, key: str, features: list[str], eps: float = 0.1, least: int = 5) -> DataFrame:
@@ -289,14 +393,18 @@ def expected_calibration_error(df: DataFrame, correct: str = "correct", confiden
     return by.agg(F.coalesce(F.sum(F.when(F.col("b") < bins, F.abs(F.col("a") - F.col("m")) * F.col("n"))) / F.sum("n"), F.lit(0.0)).alias("ece"))
 
 
-def best_f1_threshold(df: DataFrame, label: str = "label", score: str = "score", decimals: int = 4) -> DataFrame:
-    """threshold, f1: the score from which predicting 1 gives the best F1; scores are counted by value before they are accumulated."""
-    counts = df.groupBy(F.round(score, decimals).alias("threshold")).agg(F.sum(F.col(label).cast("long")).alias("tp"), F.count(F.lit(1)).alias("n"))
-    # at most 10^decimals + 1 distinct thresholds
-    over = Window.partitionBy(F.lit(0)).orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
-    total = Window.partitionBy(F.lit(0))
-    f1 = 2 * F.sum("tp").over(over) / (F.sum("n").over(over) + F.sum("tp").over(total))
-    return counts.select("threshold", f1.alias("f1")).orderBy(F.desc("f1"), "threshold").limit(1)
+def best_f1_threshold(df: DataFrame, label: str = "label", score: str = "score", decimals: int | None = None) -> DataFrame:
+    """threshold, f1: the score from which predicting 1 gives the best F1, the smallest of several.
+
+    Scores are counted by value, rounded if decimals are given, and accumulated from the largest by ranges of values.
+    """
+    value = F.col(score) if decimals is None else F.round(score, decimals)
+    counts = written(df.where(F.col(score).isNotNull()).groupBy((-value).alias("_s")).agg(F.sum(F.col(label).cast("long")).alias("_p"), F.count(F.lit(1)).alias("_c")), "scores")
+    total = counts.agg(F.sum("_p").alias("_t"))  # one row
+    hits = running_counts(counts, [], "_s", "_p").select("_s", F.col("_run").alias("_tp"))
+    both = running_counts(counts, [], "_s", "_c").join(hits, "_s").join(F.broadcast(total))
+    f1 = 2 * F.col("_tp") / F.nullif(F.col("_run") + F.col("_t"), F.lit(0))
+    return both.select((-F.col("_s")).alias("threshold"), f1.alias("f1")).orderBy(F.desc("f1"), "threshold").limit(1)
 
 
 def confidence_signals(df: DataFrame, probabilities: str = "probability") -> DataFrame:
@@ -406,16 +514,44 @@ def pareto_front(df: DataFrame, key: str, maximise: list[str]) -> DataFrame:
         inside = placed.withColumn("_over", F.max("_b").over(Window.partitionBy("_p").orderBy(F.desc(a)).rowsBetween(Window.unboundedPreceding, -1)))
         best = inside.join(later, "_p").where((F.col("_b") > F.coalesce(F.greatest("_over", "_after"), F.lit(float("-inf"))))).select(a, F.col("_b").alias(b))
         return df.join(best, [a, b], "left_semi")
-    other = df.select(*(F.col(c).alias(f"_{c}") for c in maximise), F.col(key).alias("_key"))
-    at_least = [F.col(f"_{c}") >= F.col(c) for c in maximise]
-    better = [F.col(f"_{c}") > F.col(c) for c in maximise]
-    cond = at_least[0]
-    for x in at_least[1:]:
-        cond = cond & x
-    any_better = better[0]
-    for x in better[1:]:
-        any_better = any_better | x
-    return df.join(other, cond & any_better, "left_anti")
+    names = [f"_o{i}" for i in range(len(maximise))]
+    kind = df.schema[key].dataType.simpleString()
+    schema = f"_key {kind}, " + ", ".join(f"{c} double" for c in names)
+
+    def local(stream):
+        held = None
+        for batch in stream:
+            table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            x = np.column_stack([table[c].to_numpy() for c in names])
+            held = table.filter(pa.array(~dominated(x, x)))
+        if held is not None:
+            yield from held.combine_chunks().to_batches()
+
+    # a row that another of its partition dominates is out; what is left of each meets what is left of the others, in blocks
+    own = df.select(F.col(key).alias("_key"), *(F.col(c).cast("double").alias(n) for c, n in zip(maximise, names, strict=True))).dropna()
+    rest = written(own.mapInArrow(local, schema), "fronts")
+    blocks = max(1, -(-rest.count() // 4096))
+    dealt = rest.withColumn("i", F.pmod(F.xxhash64("_key"), F.lit(blocks)).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    left = dealt.withColumn("j", every)
+    right = dealt.select(*(F.col(c).alias(c) for c in names), F.col("i").alias("j")).withColumn("i", every)
+
+    def beaten(a: pa.Table, b: pa.Table) -> pa.Table:
+        x, y = (np.column_stack([t[c].to_numpy() for c in names]) for t in (a, b))
+        return a.select(["_key"]).filter(pa.array(dominated(x, y))) if a.num_rows and b.num_rows else a.select(["_key"]).slice(0, 0)
+
+    out = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(beaten, f"_key {kind}").distinct()
+    kept = rest.select("_key").join(out, "_key", "left_anti")
+    return df.join(kept, df[key] == kept["_key"], "left_semi")
+
+
+def dominated(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which rows of x some row of y dominates: nowhere smaller, somewhere larger."""
+    out = np.zeros(len(x), bool)
+    for i, row in enumerate(x):
+        near = (y >= row).all(1)
+        out[i] = bool(near.any() and (y[near] > row).any())
+    return out
 
 
 def moving_average(df: DataFrame, by: list[str], order: str, value: str, width: int = 10) -> DataFrame:

@@ -26,7 +26,7 @@ def summed(rows: DataFrame, gather, sizes: dict[str, tuple[int, ...]], least: tu
         for name, v in gather(stream).items():
             flat = v.ravel()
             at = np.flatnonzero(np.isfinite(flat) if name in least else flat)
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(at)), pa.array(at), pa.array(flat[at])], ["kind", "at", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array(flat[at], pa.float64())], ["kind", "at", "v"])
 
     by = rows.mapInArrow(run, NODES).groupBy("kind", "at").agg(F.sum("v").alias("s"), F.min("v").alias("m"))
     out = {name: np.full(int(np.prod(size)), np.inf if name in least else 0.0) for name, size in sizes.items()}

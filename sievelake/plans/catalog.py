@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from sievelake.functions import sketches
 from sievelake.functions.stats import number
 from sievelake.operators import base, crossval, dedup, distance, evaluate, impute, inject, outliers, prior, profile, reduce, reward, scale, select, splines, validate
-from sievelake.plans import search
+from sievelake.plans import mixture, search
 from sievelake.plans.shared import written
 from sievelake.sources import loaders
 
@@ -1305,3 +1305,49 @@ def dedup_lsh_links(spark, sf):
 def dedup_lsh_documents(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
     return dedup.lsh_links(dedup.token_sets(docs, "doc_id", F.col("text")), 0.8).withColumn("jaccard", r("jaccard"))
+
+
+@query("stream_profiles", "SELECT user_id, count(value) AS n, round(avg(value), 4) AS mean, round(stddev_samp(value), 4) AS sd, min(value) AS least, max(value) AS most FROM events GROUP BY 1")
+def stream_profiles(spark, sf):
+    """Keyed state over the table as a stream; the profile of most rows is a key's latest."""
+    from sievelake.streaming import streams
+
+    stream = _event_stream(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
+    found = streams.run_to_table(streams.running_profiles(stream, "user_id", "ts", "value", "3650 days", "3650 days"), "update")
+    last = found.groupBy("user_id").agg(F.max_by(F.struct("n", "mean", "sd", "least", "most"), "n").alias("p"))
+    return last.select("user_id", "p.n", r("p.mean", 4).alias("mean"), r("p.sd", 4).alias("sd"), "p.least", "p.most")
+
+
+@query("table_function_items", "SELECT vec_id, CAST(generate_subscripts(embedding, 1) - 1 AS INTEGER) AS place, round(CAST(unnest(embedding) AS DOUBLE), 6) AS value FROM embeddings")
+def table_function_items(spark, sf):
+    from sievelake.streaming import streams
+
+    return streams.items(table(spark, sf, "embeddings").select("vec_id", "embedding"), "embedding").withColumn("value", r("value"))
+
+
+@query("search_mixture")
+def search_mixture(spark, sf):
+    """The shares of the candidates of each stage, and which is chosen."""
+    rows = table(spark, sf, "customer").select("c_custkey", F.when(F.col("c_custkey") % 4 != 0, F.col("c_acctbal")).alias("c_acctbal"), "c_nationkey", (F.col("c_acctbal") + 100 * F.col("c_nationkey")).alias("y"))
+    found = mixture.PipelineMixture(["c_acctbal", "c_nationkey"], "y", ["c_custkey"], steps=25).fit(rows)
+    return spark.createDataFrame([(stage, name, round(float(p), 4), found.chosen[stage] == name) for stage, shares in found.shares.items() for name, p in zip(mixture.STAGES[stage], shares, strict=True)], "stage string, candidate string, share double, chosen boolean")
+
+
+@query(
+    "dedup_levenshtein_names",
+    f"SELECT * FROM (SELECT x.k AS a, y.k AS b, round(1 - levenshtein(x.v, y.v) / CAST(greatest(length(x.v), length(y.v)) AS DOUBLE), 6) AS similarity FROM {_NAMES} x JOIN {_NAMES} y ON x.k < y.k) WHERE similarity >= 0.6",
+)
+def dedup_levenshtein_names(spark, sf):
+    names = table(spark, sf, "part").groupBy("p_name").agg(F.min("p_partkey").alias("k"))
+    return dedup.ApproximateDeduplicator(key="k", comparison_type="levenshtein", threshold=0.6).links(names.select("k", "p_name"), ["p_name"]).select("a", "b", r("similarity").alias("similarity"))
+
+
+@query(
+    "stats_pareto_three",
+    """SELECT s_suppkey FROM supplier a WHERE NOT EXISTS (SELECT 1 FROM supplier b WHERE b.s_acctbal >= a.s_acctbal AND b.s_nationkey >= a.s_nationkey AND b.s_suppkey % 17 >= a.s_suppkey % 17
+       AND (b.s_acctbal > a.s_acctbal OR b.s_nationkey > a.s_nationkey OR b.s_suppkey % 17 > a.s_suppkey % 17))""",
+)
+def stats_pareto_three(spark, sf):
+    rows = table(spark, sf, "supplier").withColumn("third", F.col("s_suppkey") % 17)
+    return evaluate.pareto_front(rows, "s_suppkey", ["s_acctbal", "s_nationkey", "third"]).select("s_suppkey")
+

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import udtf
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState
 
 from sievelake.operators.base import Action
 from sievelake.plans.shared import fresh_dir
@@ -53,6 +57,62 @@ def sessions(stream: DataFrame, time: str, user: str, gap: str = "30 minutes", l
     return stream.withWatermark(time, lateness).groupBy(F.session_window(time, gap), user).agg(F.count(F.lit(1)).alias("n"))
 
 
+STATE = "n long, mean double, m2 double, least double, most double, last long"
+
+
+def running_profiles(stream: DataFrame, key: str, time: str, value: str, lateness: str = "10 minutes", idle: str = "1 hour") -> DataFrame:
+    """key, n, mean, sd, least, most, closed: the profile of each key's values so far, a row a key and batch that has rows of it.
+
+    State is six numbers a key. A key whose latest row lies `idle` behind the watermark gives its last profile as closed and is
+    forgotten; rows later than `lateness` are dropped, and a row of a forgotten key begins anew. A null value is no value. The latest profile of a key is the one of most rows.
+    """
+    width = int(pd.Timedelta(idle).total_seconds() * 1000)
+    kind = stream.schema[key].dataType.simpleString()
+    own = stream.withWatermark(time, lateness).select(F.col(key).alias("k"), F.col(time).alias("t"), F.unix_millis(F.col(time).cast("timestamp")).alias("ms"), F.col(value).cast("double").alias("v"))
+
+    def profile(name: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        n, mean, m2, least, most, last = state.get if state.exists else (0, 0.0, 0.0, None, None, 0)
+        closed = state.hasTimedOut
+        if closed:
+            state.remove()
+        else:
+            mark = max(0, state.getCurrentWatermarkMs())
+            for frame in frames:
+                frame = frame[frame["ms"] >= mark]
+                last = max([last, *map(int, frame["ms"])])
+                x = frame["v"].dropna().to_numpy()
+                if len(x):  # two parts' counts, means and squares make those of both
+                    more, middle = len(x), float(x.mean())
+                    m2 += float(((x - middle) ** 2).sum()) + (middle - mean) ** 2 * n * more / (n + more)
+                    mean += (middle - mean) * more / (n + more)
+                    n += more
+                    least, most = (float(f(x if y is None else [y, *x])) for f, y in ((min, least), (max, most)))
+            state.update((n, mean, m2, least, most, last))
+            state.setTimeoutTimestamp(max(last + width, mark + 1))
+        yield pd.DataFrame({"k": [name[0]], "n": [n], "mean": [mean if n else None], "sd": [math.sqrt(m2 / (n - 1)) if n > 1 else None], "least": [least], "most": [most], "closed": [closed]}).astype({"mean": float, "sd": float, "least": float, "most": float})
+
+    found = own.groupBy("k").applyInPandasWithState(profile, f"k {kind}, n long, mean double, sd double, least double, most double, closed boolean", STATE, "update", "EventTimeTimeout")
+    return found.withColumnRenamed("k", key)
+
+
+@udtf(returnType="place int, value double")
+class Items:
+    """A list's entries as rows, numbered from 0; a null list has none, a null entry is null."""
+
+    def eval(self, values: list):
+        for i, v in enumerate(values if values is not None else ()):
+            yield i, None if v is None else float(v)
+
+
+def items(df: DataFrame, column: str, name: str = "sievelake_items") -> DataFrame:
+    """df's other columns with place and value for each entry of a list column, by the table function beside each row."""
+    spark = df.sparkSession
+    spark.udtf.register(name, Items)
+    df.createOrReplaceTempView(f"{name}_rows")
+    rest = ", ".join(f"r.`{c}`" for c in df.columns if c != column)
+    return spark.sql(f"SELECT {rest}, i.place, i.value FROM {name}_rows r, LATERAL {name}(r.`{column}`) i")
+
+
 def run_to_memory(stream: DataFrame, name: str, mode: str = "append") -> StreamingQuery:
     """All that is available now, into an in-memory table of that name (for tests and small results)."""
     query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
