@@ -176,6 +176,31 @@ class Pipeline:
         return df
 
 
+def join_columns(frames: list[DataFrame], key: list[str], how: str = "left") -> DataFrame:
+    """Groups of columns side by side by the row key: an equi-join each, in the order of the frames.
+
+    Of columns of one name the first frame's stays. Keys are unique in all frames but the first; Spark chooses how to join by size.
+    """
+    out = frames[0]
+    for f in frames[1:]:
+        fresh = [c for c in f.columns if c not in out.columns]
+        out = out.join(f.select(*key, *(F.col(f"`{c}`") for c in fresh)), key, how) if fresh else out
+    return out
+
+
+def concat_columns(frames: list[DataFrame], key: list[str]) -> DataFrame:
+    """All rows of all frames side by side by the row key; what a frame lacks is null."""
+    return join_columns(frames, key, "full")
+
+
+def complete_numbers(df: DataFrame, keep: list[str] | None = None, least: int = 5) -> DataFrame:
+    """The kept and the numeric columns of the rows that have all numbers; no row if these are fewer than `least`."""
+    keep = keep or []
+    numbers = [f.name for f in df.schema.fields if f.name not in keep and is_numeric(f, False)]
+    rows = df.select(*(F.col(f"`{c}`") for c in [*keep, *numbers])).dropna(subset=numbers)
+    return rows if rows.limit(least).count() >= least else rows.limit(0)
+
+
 def fit_together(df: DataFrame, actions: list[Action]) -> list[Action]:
     """Fit operators over one input in one aggregate pass, and the few that exact quantiles take."""
     exprs: dict[str, Column | Quantiles] = {}

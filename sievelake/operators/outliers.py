@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievelake.functions.quantiles import Quantiles, exact_quantiles
-from sievelake.functions.stats import number, quantiles
+from sievelake.functions.stats import aggregated, number, quantiles
 from sievelake.operators.base import Action, ParameterizedAction, ParamSpec
 from sievelake.plans.shared import written
 
@@ -65,6 +65,48 @@ class IQROutlierCleaner(_Bounded):
         return q1 - reach, q3 + reach
 
 
+class GuardedIQRCleaner(IQROutlierCleaner):
+    """Drops rows outside the bounds of any column whose interquartile range is not 0; frames of under `least` rows stay as they are."""
+
+    DEFAULTS = IQROutlierCleaner.DEFAULTS | {"method": "drop", "min_iqr": 0.0, "least": 10}
+
+    def apply(self, df, columns, stats):
+        return super().apply(df, columns, stats) if df.limit(self.params["least"]).count() >= self.params["least"] else df
+
+
+class ClampNormaliser(Action):
+    """Values to the nearer bound (`sd3`: mean -+ 3 population deviations, `iqr`: 1.5 ranges beyond the quartiles, `none`), then
+    `standard`, `minmax` or `robust` scaling by the statistics of what was clamped; widths of 0 count as 1."""
+
+    DEFAULTS = {"clamp": "sd3", "scale": "standard"}
+    NUMERIC_ONLY = True
+
+    def stat_exprs(self, df, columns):
+        exprs = {"sd3": lambda x: F.struct(F.avg(x).alias("a"), F.stddev_pop(x).alias("b")), "iqr": lambda x: Quantiles(x, [0.25, 0.75]), "none": lambda x: F.count(x)}
+        if self.params["clamp"] not in exprs or self.params["scale"] not in ("standard", "minmax", "robust"):
+            raise ValueError("clamp is sd3, iqr or none, scale standard, minmax or robust")
+        return {c: exprs[self.params["clamp"]](number(c)) for c in columns}
+
+    def clamped(self, c: str, found) -> Column:
+        x = number(c)
+        if self.params["clamp"] == "none" or not found or found[0] is None:
+            return x
+        low, high = (found[0] - 3 * found[1], found[0] + 3 * found[1]) if self.params["clamp"] == "sd3" else (found[0] - 1.5 * (found[1] - found[0]), found[1] + 1.5 * (found[1] - found[0]))
+        return F.when(x < low, F.lit(low)).when(x > high, F.lit(high)).otherwise(x)
+
+    def settle(self, df, columns, stats):
+        exprs = {}
+        for c in columns:
+            x = self.clamped(c, stats[c])
+            exprs[c] = {"standard": lambda x: F.struct(F.avg(x).alias("a"), F.stddev_pop(x).alias("b")), "minmax": lambda x: F.struct(F.min(x).alias("a"), (F.max(x) - F.min(x)).alias("b")), "robust": lambda x: Quantiles(x, [0.25, 0.5, 0.75])}[self.params["scale"]](x)
+        found = aggregated(df, exprs)
+        scale = {c: None if not v or v[0] is None else (v[1], v[2] - v[0]) if self.params["scale"] == "robust" else (v[0], v[1]) for c, v in found.items()}
+        return {c: (stats[c], scale[c]) for c in columns}
+
+    def apply(self, df, columns, stats):
+        return df.withColumns({c: (self.clamped(c, bounds) - F.lit(scale[0])) / F.lit(scale[1] or 1.0) for c, (bounds, scale) in stats.items() if scale})
+
+
 class ZScoreOutlierCleaner(_Bounded):
     """Bounds mean -+ threshold sample deviations (ddof=0: population); a constant column is left alone."""
 

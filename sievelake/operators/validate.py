@@ -94,6 +94,33 @@ class SchemaValidator(Action):
 PanderaSchemaValidator = SchemaValidator
 
 
+class Validated(Action):
+    """An operator whose results are held against a schema: `strict` raises DataValidationError where a row breaks it, `warn` logs how
+    many do for each check and hands the rows on, `off` does not look."""
+
+    def __init__(self, action: Action, schema_config: dict[str, Any], mode: str = "strict", **params):
+        super().__init__(name=params.pop("name", f"validated {action.name}"), **params)
+        if mode not in ("strict", "warn", "off"):
+            raise ValueError("mode is strict, warn or off")
+        self.action, self.mode, self.validator = action, mode, SchemaValidator(schema_config=schema_config)
+
+    def fit(self, df):
+        self.action.fit(df)
+        self.fitted_columns, self.stats = self.action.fitted_columns, self.action.stats
+        return self
+
+    def transform(self, df):
+        out = self.action.transform(df)
+        if self.mode == "off":
+            return out
+        broken = {r.check: r.failed for r in self.validator.violations(out).collect() if r.failed}  # a row a check
+        if broken and self.mode == "strict":
+            raise DataValidationError(f"{self.action.name}: rows break {', '.join(sorted(broken))}")
+        for check, n in sorted(broken.items()):
+            log.warning("%s: %d rows break %s", self.action.name, n, check)
+        return out
+
+
 def constraint_predicates(df: DataFrame, fields: dict[str, dict[str, Any]]) -> list[Column]:
     """Row predicates of a constraint file's fields; nulls pass all but max_nulls = 0."""
     out = []

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from itertools import permutations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ from sievelake.functions import sketches
 from sievelake.functions.stats import number
 from sievelake.operators import base, crossval, dedup, distance, evaluate, impute, inject, outliers, prior, profile, reduce, reward, scale, select, splines, validate
 from sievelake.plans import mixture, search
-from sievelake.plans.shared import written
+from sievelake.plans.shared import fresh_dir, written
 from sievelake.sources import loaders
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -889,9 +890,12 @@ def balance_smote(spark, sf):
 
 # ---- search
 
-@query("search_permutations", "SELECT 3 AS n, 15 AS size UNION ALL SELECT 4, 64 UNION ALL SELECT 7, 13699")
+@query("search_permutations")
 def search_permutations(spark, sf):
-    return spark.createDataFrame([(n, len(search.PermutationSpace(range(n)))) for n in (3, 4, 7)], "n int, size int")
+    """Every ordered choice of three operators, by its number, and its score on the table."""
+    rows = customer(spark, sf)
+    space = search.PermutationSpace([_groups()["imputation"][0], _groups()["outliers"][0], _groups()["scaling"][0]])
+    return search.score_pipelines(rows, [space.unrank(i) for i in range(len(space))], {"completeness": _scorer(rows)}).select("pipeline", F.round("value", 6).alias("value"))
 
 
 def _groups():
@@ -1351,3 +1355,190 @@ def stats_pareto_three(spark, sf):
     rows = table(spark, sf, "supplier").withColumn("third", F.col("s_suppkey") % 17)
     return evaluate.pareto_front(rows, "s_suppkey", ["s_acctbal", "s_nationkey", "third"]).select("s_suppkey")
 
+
+# ---- contracts of operators, loaders and searches
+
+
+@query("action_parameters", "SELECT event_id, round(value + 1, 6) AS usual, round(value + 2.5, 6) AS given FROM events")
+def action_parameters(spark, sf):
+    """A class's defaults, overridden by keyword."""
+    rows = table(spark, sf, "events").select("event_id", F.col("value").alias("usual"), F.col("value").alias("given"))
+    rows = base.DummyAdd(columns=["usual"]).fit_transform(rows)
+    return base.DummyAdd(columns=["given"], increment=2.5).fit_transform(rows).select("event_id", r("usual").alias("usual"), r("given").alias("given"))
+
+
+@query("action_unfitted", "SELECT event_id, round((value - avg(value) OVER ()) / stddev_pop(value) OVER (), 6) AS value FROM events WHERE event_id % 2 = 0")
+def action_unfitted(spark, sf):
+    """Without a fit the statistics are those of the frame itself."""
+    return scale.ZScoreScaler(columns=["value"]).transform(table(spark, sf, "events").where("event_id % 2 = 0").select("event_id", "value")).withColumn("value", r("value"))
+
+
+@query("action_excluded", f"SELECT c_custkey, c_acctbal, c_mktsegment, CAST(c_nationkey AS DOUBLE) / 24 AS c_nationkey FROM {CUSTOMER}")
+def action_excluded(spark, sf):
+    """Numbers alone, without the excluded ones."""
+    rows = customer(spark, sf)
+    return scale.MinMaxScaler(exclude=["c_custkey", "c_acctbal"]).fit_transform(rows).select("c_custkey", "c_acctbal", "c_mktsegment", "c_nationkey")
+
+
+_SEGMENTS = {"columns": {"c_acctbal": {"nullable": False, "checks": {"in_range": [0, 10000]}}, "c_mktsegment": {"nullable": True, "checks": {"isin": ["BUILDING", "MACHINERY"]}}}}
+
+
+@query(
+    "validate_after_transform",
+    f"""WITH f AS (SELECT coalesce(c_acctbal, (SELECT avg(c_acctbal) FROM {CUSTOMER})) AS a, c_mktsegment AS s FROM {CUSTOMER})
+        SELECT 'c_acctbal:in_range' AS "check", count(*) FILTER (NOT a BETWEEN 0 AND 10000) AS failed, true AS refused FROM f UNION ALL SELECT 'c_acctbal:nullable', count(*) FILTER (a IS NULL), true FROM f
+        UNION ALL SELECT 'c_mktsegment:isin', count(*) FILTER (s NOT IN ('BUILDING', 'MACHINERY')), true FROM f""",
+)
+def validate_after_transform(spark, sf):
+    rows = customer(spark, sf)
+    warned = validate.Validated(impute.MeanImputer(columns=["c_acctbal"]), _SEGMENTS, "warn").fit(rows)
+    try:
+        validate.Validated(impute.MeanImputer(columns=["c_acctbal"]), _SEGMENTS).fit_transform(rows)
+        refused = False
+    except base.DataValidationError:
+        refused = True
+    return warned.validator.violations(warned.transform(rows)).withColumn("refused", F.lit(refused))
+
+
+@query("complete_numbers", f"SELECT c_custkey, c_acctbal, c_nationkey FROM {CUSTOMER} WHERE c_acctbal IS NOT NULL AND (SELECT count(c_acctbal) FROM {CUSTOMER}) >= 20")
+def complete_numbers(spark, sf):
+    return base.complete_numbers(customer(spark, sf), ["c_custkey"], 20)
+
+
+@query(
+    "join_columns",
+    f"SELECT a.c_custkey, a.c_nationkey, m.c_acctbal, l.c_mktsegment FROM {CUSTOMER} a LEFT JOIN (SELECT c_custkey, coalesce(c_acctbal, 0) AS c_acctbal FROM {CUSTOMER}) m USING (c_custkey) LEFT JOIN (SELECT c_custkey, c_mktsegment FROM {CUSTOMER} WHERE c_mktsegment IS NOT NULL) l USING (c_custkey)",
+)
+def join_columns(spark, sf):
+    """Groups of columns that different operators have prepared, side by side."""
+    rows = customer(spark, sf)
+    numbers = impute.ZeroImputer(columns=["c_acctbal"]).fit_transform(rows.select("c_custkey", "c_acctbal"))
+    texts = impute.DropMissing(columns=["c_mktsegment"]).fit_transform(rows.select("c_custkey", "c_mktsegment"))
+    return base.join_columns([rows.select("c_custkey", "c_nationkey"), numbers, texts], ["c_custkey"])
+
+
+@query("concat_columns", f"SELECT c_custkey, a.c_acctbal, b.c_mktsegment FROM (SELECT * FROM {CUSTOMER} WHERE c_acctbal > 0) a FULL JOIN (SELECT * FROM {CUSTOMER} WHERE c_custkey % 2 = 0) b USING (c_custkey)")
+def concat_columns(spark, sf):
+    rows = customer(spark, sf)
+    return base.concat_columns([rows.where("c_acctbal > 0").select("c_custkey", "c_acctbal"), rows.where("c_custkey % 2 = 0").select("c_custkey", "c_mktsegment")], ["c_custkey"])
+
+
+@query("outlier_iqr_zero_guard", "WITH b AS (SELECT quantile_cont(value, 0.25) AS a, quantile_cont(value, 0.75) AS c FROM events) SELECT event_id, value FROM events, b WHERE value BETWEEN a - 1.5 * (c - a) AND c + 1.5 * (c - a)")
+def outlier_iqr_zero_guard(spark, sf):
+    """A constant column has no range and so no bounds."""
+    rows = table(spark, sf, "events").select("event_id", "value", F.when(F.col("event_id") < 3, 100.0).otherwise(1.0).alias("flat"))
+    return outliers.GuardedIQRCleaner(columns=["value", "flat"]).fit_transform(rows).select("event_id", "value")
+
+
+for _clamp, _scale, _low, _high, _middle, _width in (
+    ("sd3", "standard", "avg(v) - 3 * stddev_pop(v)", "avg(v) + 3 * stddev_pop(v)", "avg(v)", "stddev_pop(v)"),
+    ("iqr", "robust", "2.5 * quantile_cont(v, 0.25) - 1.5 * quantile_cont(v, 0.75)", "2.5 * quantile_cont(v, 0.75) - 1.5 * quantile_cont(v, 0.25)", "median(v)", "quantile_cont(v, 0.75) - quantile_cont(v, 0.25)"),
+    ("iqr", "minmax", "2.5 * quantile_cont(v, 0.25) - 1.5 * quantile_cont(v, 0.75)", "2.5 * quantile_cont(v, 0.75) - 1.5 * quantile_cont(v, 0.25)", "min(v)", "max(v) - min(v)"),
+):
+
+    @query(f"clamp_{_clamp}_{_scale}", f"WITH e AS (SELECT event_id, value AS v FROM events), c AS (SELECT event_id, greatest(least(v, (SELECT {_high} FROM e)), (SELECT {_low} FROM e)) AS v FROM e) SELECT event_id, round((v - (SELECT {_middle} FROM c)) / (SELECT {_width} FROM c), 6) AS value FROM c")
+    def _(spark, sf, clamp=_clamp, scaling=_scale):
+        return outliers.ClampNormaliser(columns=["value"], clamp=clamp, scale=scaling).fit_transform(table(spark, sf, "events").select("event_id", "value")).withColumn("value", r("value"))
+
+
+@query("source_one_split", "SELECT * FROM nation")
+def source_one_split(spark, sf):
+    return loaders.LocalDatasetLoader(spark, sf, split="nation.parquet").load()
+
+
+@query("source_downloaded", "SELECT s_suppkey, s_name, s_nationkey, CASE WHEN s_name IN ('Supplier#000000003', 'Supplier#000000007') THEN NULL ELSE s_name END AS known FROM supplier")
+def source_downloaded(spark, sf):
+    """The table as a csv in the shared folder, read as a download, with two marks of missing names."""
+    folder = fresh_dir(spark, "download")
+    rows = table(spark, sf, "supplier").select("s_suppkey", "s_name", "s_nationkey", F.col("s_name").alias("known"))
+    rows.write.option("header", True).csv(f"{folder}/supplier.csv")
+    found = loaders.DownloadedCSVLoader(spark, "suppliers", folder, "supplier.csv", read_csv_kwargs={"na_values": ["Supplier#000000003", "Supplier#000000007"]}).load()
+    return found.select(F.col("s_suppkey").cast("long").alias("s_suppkey"), F.coalesce("s_name", F.format_string("Supplier#%09d", F.col("s_suppkey"))).alias("s_name"), "s_nationkey", "known")
+
+
+@query("source_cached_table", "SELECT p_partkey, CAST(dense_rank() OVER (ORDER BY p_brand) - 1 AS BIGINT) AS p_brand, nullif(p_size, 1) AS p_size FROM part")
+def source_cached_table(spark, sf):
+    """Chosen zeros are null, strings ordinal codes."""
+    folder = fresh_dir(spark, "cache")
+    table(spark, sf, "part").select("p_partkey", "p_brand", (F.col("p_size") - 1).alias("p_size")).write.parquet(f"{folder}/part.parquet")
+    found = loaders.CachedTableLoader(spark, "part", folder, "p_size", ("p_size",)).load()
+    return found.select("p_partkey", F.col("p_brand").cast("long").alias("p_brand"), (F.col("p_size") + 1).alias("p_size"))
+
+
+@query("search_permutations_env", f"SELECT 'mean > iqr' AS pipeline, round({_scored_pipeline('mean', 'iqr')}, 6) AS reward, true AS terminated UNION ALL SELECT 'minmax', round({_scored_pipeline('minmax')}, 6), true")
+def search_permutations_env(spark, sf):
+    """One step is a whole pipeline."""
+    rows = customer(spark, sf)
+    own = [_groups()["imputation"][0], _groups()["outliers"][0], _groups()["scaling"][0]]
+    env = search.PermutationsCleaningEnv(rows, own, _scorer(rows))
+    names = {tuple(a.name for a in env.space.unrank(i)): i for i in range(len(env.space))}
+    steps = [env.step(names[n]) for n in (("mean", "iqr"), ("minmax",))]
+    return spark.createDataFrame([(" > ".join(s.info["pipeline"]), round(float(s.reward), 6), s.terminated) for s in steps], "pipeline string, reward double, terminated boolean")
+
+
+@query("search_penalised_env", f"SELECT 0 AS step, round({_scored_pipeline('mean')} - {_scored_pipeline()}, 6) AS reward, false AS terminated UNION ALL SELECT 1, -0.05, false UNION ALL SELECT 2, round({_scored_pipeline('mean', 'minmax')} - {_scored_pipeline('mean')}, 6), false")
+def search_penalised_env(spark, sf):
+    """A repeat costs 0.05 and the episode goes on."""
+    rows = customer(spark, sf)
+    env = search.PenalisedCleaningEnv(rows, [a for own in _groups().values() for a in own], _scorer(rows))
+    env.reset()
+    steps = [env.step(i) for i in (0, 0, 3)]
+    return spark.createDataFrame([(i, round(float(s.reward), 6), s.terminated) for i, s in enumerate(steps)], "step int, reward double, terminated boolean")
+
+
+@query("search_random_cleaning", f"SELECT 'iqr > minmax' AS pipeline, round({_scored_pipeline('iqr', 'minmax')}, 6) AS score")
+def search_random_cleaning(spark, sf):
+    """One drawn operator of each family; families of one leave no choice."""
+    rows = customer(spark, sf)
+    names, value = search.random_cleaning(rows, {k: v for k, v in _groups().items() if len(v) == 1}, _scorer(rows))
+    return spark.createDataFrame([(" > ".join(names), round(float(value), 6))], "pipeline string, score double")
+
+
+@query("search_offline_transitions")
+def search_offline_transitions(spark, sf):
+    rows = customer(spark, sf)
+    own = search.OfflineTransitions(search.SequentialCleaningEnv(rows, [a for v in _groups().values() for a in v], _scorer(rows), profile.DataStatsObserver()))
+    own.collect(2)
+    return own.frame(spark).select("action", F.round("reward", 6).alias("reward"), "done")
+
+
+@query("search_nested")
+def search_nested(spark, sf):
+    """The best pipeline by inner validation, scored on rows that no fit has seen."""
+    rows = table(spark, sf, "part").select("p_partkey", F.when(F.col("p_partkey") % 7 != 0, F.col("p_size")).alias("p_size"), "p_retailprice")
+    pipelines = [[impute.MeanImputer(columns=["p_size"], name="mean")], [impute.ZeroImputer(columns=["p_size"], name="zero"), outliers.IQROutlierCleaner(columns=["p_size"], method="clip", name="iqr")]]
+
+    def error(train, held):
+        slope, middle = train.agg(F.regr_slope("p_retailprice", "p_size"), F.regr_intercept("p_retailprice", "p_size")).first()
+        return -float(held.agg(F.avg(F.abs(F.col("p_retailprice") - F.lit(middle) - F.lit(slope) * F.col("p_size")))).first()[0])
+
+    best, inner, outer = search.NestedProtocol(["p_partkey"]).choose(rows, pipelines, error)
+    return spark.createDataFrame([(" > ".join(a.name for a in best), round(inner, 6), round(outer, 6))], "pipeline string, validation double, test double")
+
+
+@query(
+    "search_expanded_grid",
+    " UNION ALL ".join(f"SELECT {f} AS factor, (SELECT count(*) FROM events, (SELECT quantile_cont(value, 0.25) AS a, quantile_cont(value, 0.75) AS c FROM events) WHERE value BETWEEN a - {f} * (c - a) AND c + {f} * (c - a)) AS kept" for f in (1.0, 2.0, 3.0)),
+)
+def search_expanded_grid(spark, sf):
+    """Every point of an operator's grid, and how many rows it keeps."""
+    rows = table(spark, sf, "events").select("event_id", "value")
+    grid = [outliers.IQROutlierCleaner(columns=["value"], method="drop", factor=f) for f in base.ParamSpec("factor", "float", 1.0, 3.0).grid(3)]
+    kept = None
+    for a in base.fit_together(rows, grid):
+        one = a.transform(rows).agg(F.count(F.lit(1)).alias("kept")).select(F.lit(a.params["factor"]).alias("factor"), "kept")
+        kept = one if kept is None else kept.unionByName(one)
+    return kept
+
+
+@query("registry_strategies", f"SELECT 'MEAN' AS name, round(sum(coalesce(c_acctbal, (SELECT avg(c_acctbal) FROM {CUSTOMER}))), 2) AS total FROM {CUSTOMER} UNION ALL SELECT 'MEDIAN', round(sum(coalesce(c_acctbal, (SELECT median(c_acctbal) FROM {CUSTOMER}))), 2) FROM {CUSTOMER}")
+def registry_strategies(spark, sf):
+    """Operators by the names that the dict interface knows them by."""
+    from sievelake.plans import registry
+
+    made = {name: registry.apply_to_dataset("imputation", name, {"train": customer(spark, sf), "test": None}, columns=["c_acctbal"])["train"] for name in ("MEAN", "MEDIAN")}
+    one = lambda name: made[name].agg(r(F.sum("c_acctbal"), 2).alias("total")).select(F.lit(name).alias("name"), "total")
+    return one("MEAN").unionByName(one("MEDIAN"))
+
+
+SQL["search_permutations"] = " UNION ALL ".join(f"SELECT '{' > '.join(p)}' AS pipeline, round({_scored_pipeline(*p)}, 6) AS value" for n in (1, 2, 3) for p in permutations(("mean", "iqr", "minmax"), n))
