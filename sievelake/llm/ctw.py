@@ -6,9 +6,11 @@ probabilities depend on counts alone, so the weighted tree is computed from corp
 probabilities, top down the mixture of all depths' estimates for each (context, byte).
 
 What is gathered is a count of each (context, byte) per chunk of documents, so it follows the corpus; nothing of it is
-pruned, sampled or broadcast. Contexts are dealt to tasks by their two latest bytes; only the nodes of depth 1 and 0,
-at most 256 * 255 rows, are finished on the driver. Probabilities travel back to the chunks that hold the (context, byte)
-and score their documents there.
+pruned, sampled or broadcast. A chunk deals its contexts to `FAN` parts by their two latest bytes. While there are more
+than `FAN` groups of chunks, the counts of `FAN` of them are merged part by part, and each part is dealt to `FAN` finer
+ones: groups become fewer as parts become more, so the rows of a chunk, and what a task merges, stay as they are however
+large the corpus is. Only the nodes of depth 1 and 0, at most 256 * 255 rows, are finished on the driver. Probabilities
+travel back the same way, each group answering those it was merged from, to the chunks that score their documents.
 
 The text that is scored is the sequence of its lower-cased words, each with a space after it, and an end mark; contexts
 before a text's start hold the end mark. Words are told apart by 64-bit hashes. A context that training never met adds no estimate, so its parents' mixture
@@ -21,7 +23,7 @@ training documents every bit has probability 1/2; empty tables give no rows; ext
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +35,8 @@ from sievelake.llm.common import batches, written
 LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
 SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 END = 0xFF  # no byte of UTF-8
+#: Parts that a chunk, or a part of merged chunks, is dealt to; groups whose counts meet in a task.
+FAN = 32
 #: Bytes that are worked on at once.
 STEP = 1 << 20
 _LETTER = np.random.default_rng(5).integers(1, 2**63, 256, dtype=np.uint64)
@@ -186,12 +190,12 @@ def unplaned(raw: bytes, kind: str) -> np.ndarray:
 
 
 def part_of_key(key: np.ndarray, depth: int, parts: int) -> np.ndarray:
-    """A context's part follows its two latest bytes, so that a part holds whole trees from depth 2 on."""
-    return (key >> 8 * (depth - 1)) * 40503 % 65521 % parts
+    """A context's part follows its two latest bytes, so that a part holds whole trees from depth 2 on; finer parts lie within coarser ones."""
+    return (key >> 8 * (depth - 1)) * 40503 % 65521 * parts // 65521
 
 
 def part_of_word(word: np.ndarray, parts: int) -> np.ndarray:
-    return (word & 0xFFFFFFFF) % parts
+    return (word >> 16 & 0x7FFFFFFF) * parts >> 31
 
 
 class _Counts:
@@ -241,21 +245,52 @@ def _gather(table: pa.Table, depth: int, parts: int) -> pa.Table:
                     into.add(x[learned[doc] == learns], learns)
     counts.settle()
     word_counts.settle()
+    return _dealt(table["chunk"][0].as_py(), (counts.key, counts.count), (word_counts.key, word_counts.count), ends, depth, 0, parts, parts)
+
+
+COUNTS = "chunk long, part long, keys binary, counts binary, words binary, word_counts binary, ends long"
+
+
+def _dealt(chunk: int, keys: tuple[np.ndarray, np.ndarray], words: tuple[np.ndarray, np.ndarray], ends: int, depth: int, first: int, parts: int, whole: int) -> pa.Table:
+    """A row for each of the parts from `first` on, of `whole` in all, that keys or words fall in; the end marks go with the first."""
     split = []
-    for of, part in ((counts, part_of_key(counts.key, depth, parts)), (word_counts, part_of_word(word_counts.key, parts))):
+    for (key, n), part in ((keys, part_of_key(keys[0], depth, whole)), (words, part_of_word(words[0], whole))):
         order = np.argsort(part, kind="stable")
-        bounds = np.searchsorted(part[order], np.arange(parts + 1))
-        split.append((of.key[order], of.count[order].astype(np.int32), bounds))
+        bounds = np.searchsorted(part[order], first + np.arange(parts + 1))
+        split.append((key[order], n[order].astype(np.int64), bounds))
     rows = []
     for p in range(parts):
         own = [x[bounds[p] : bounds[p + 1]] for key, n, bounds in split for x in (key, n)]
         if p == 0 or len(own[0]) or len(own[2]):
-            rows.append((table["chunk"][0].as_py(), p, *map(planes, own), ends if p == 0 else 0))
-    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), *[pa.binary()] * 4, pa.int64()), strict=True)], names=["chunk", "part", "keys", "counts", "words", "word_counts", "ends"])
+            rows.append((chunk, first + p, *map(planes, own), ends if p == 0 else 0))
+    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), *[pa.binary()] * 4, pa.int64()), strict=True)], names=["chunk", "part", "keys", "counts", "words", "word_counts", "ends"])
 
 
 def _merged(table: pa.Table, keys: str, counts: str) -> tuple[np.ndarray, np.ndarray]:
-    return merged([(unplaned(k.as_py(), "i8"), unplaned(n.as_py(), "i4")) for k, n in zip(table[keys], table[counts], strict=True)])
+    return merged([(unplaned(k.as_py(), "i8"), unplaned(n.as_py(), "i8")) for k, n in zip(table[keys], table[counts], strict=True)])
+
+
+def _merger(depth: int, fan: int, parts: int) -> Callable[[pa.Table], pa.Table]:
+    """One coarse part of up to `fan` groups as `fan` finer parts, of `parts` in all."""
+
+    def run(table: pa.Table) -> pa.Table:
+        first = table["part"][0].as_py() * fan
+        return _dealt(table["group"][0].as_py(), _merged(table, "keys", "counts"), _merged(table, "words", "word_counts"), sum(table["ends"].to_pylist()), depth, first, fan, parts)
+
+    return run
+
+
+ANSWERS = "chunk long, part long, keys binary, log10 binary, words binary, word_counts binary"
+
+
+def _answered(asked: pa.Table, key: np.ndarray, log10: np.ndarray, names: np.ndarray, of_words: np.ndarray) -> pa.Table:
+    """Probabilities and word counts of each row's own keys and words; key and names ascend and have all of them."""
+    out = []
+    for chunk, part, raw, words in zip(asked["chunk"].to_pylist(), asked["part"].to_pylist(), asked["keys"], asked["words"], strict=True):
+        mine, own = unplaned(raw.as_py(), "i8"), unplaned(words.as_py(), "i8")
+        out.append((chunk, part, raw.as_py(), planes(log10[np.searchsorted(key, mine)]) if len(mine) else b"", words.as_py(), planes(of_words[np.searchsorted(names, own)]) if len(own) else b""))
+    columns = zip(*out, strict=True) if out else [[]] * 6
+    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), *[pa.binary()] * 4), strict=True)], names=["chunk", "part", "keys", "log10", "words", "word_counts"])
 
 
 def score(docs: DataFrame, learns: Column, depth: int = 5, chunk_bytes: int = 32 << 20, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -268,9 +303,14 @@ def score(docs: DataFrame, learns: Column, depth: int = 5, chunk_bytes: int = 32
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"), F.coalesce(learns, F.lit(False)).alias("learn"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks = max(1, -(-total // chunk_bytes))
-    parts = max(16, chunks)
     chunked = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)))
-    gathered = written(chunked.groupBy("chunk").applyInArrow(lambda t: _gather(t, depth, parts), "chunk long, part int, keys binary, counts binary, words binary, word_counts binary, ends long"), "ctw-counts")
+    fan, groups, parts = FAN, chunks, FAN
+    steps = [written(chunked.groupBy("chunk").applyInArrow(lambda t: _gather(t, depth, fan), COUNTS), "ctw-counts")]
+    while groups > fan:
+        parts *= fan
+        steps.append(written(steps[-1].withColumn("group", F.expr(f"chunk div {fan}")).groupBy("group", "part").applyInArrow(_merger(depth, fan, parts), COUNTS), "ctw-counts"))
+        groups = -(-groups // fan)
+    gathered = steps[-1]
 
     def top(table: pa.Table) -> pa.Table:
         """Additive shares of the nodes of depth 1, and of the token totals (node -1)."""
@@ -300,13 +340,21 @@ def score(docs: DataFrame, learns: Column, depth: int = 5, chunk_bytes: int = 32
             node = tree.levels[-1][0]
             at = np.searchsorted(state[0], (node >> 16) << 8 | node & 255)
             log10 = tree.log10(*(x[at] for x in state[1:]))
-        out = []
-        for chunk, raw, words in zip(left["chunk"].to_pylist(), left["keys"], left["words"], strict=True):
-            mine, own = unplaned(raw.as_py(), "i8"), unplaned(words.as_py(), "i8")
-            out.append((chunk, raw.as_py(), planes(log10[np.searchsorted(key, mine)]) if len(mine) else b"", words.as_py(), planes(of_words[np.searchsorted(names, own)]) if len(own) else b""))
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), *[pa.binary()] * 4), strict=True)], names=["chunk", "keys", "log10", "words", "word_counts"])
-
-    answers = gathered.groupBy("part").applyInArrow(answer, "chunk long, keys binary, log10 binary, words binary, word_counts binary")
+        return _answered(left, key, log10 if len(key) else np.zeros(0), names, of_words)
+
+    def pass_on(below: pa.Table, above: pa.Table) -> pa.Table:
+        """What a merged group knows by now, to the groups it was merged from."""
+        whole = lambda name, kind: np.concatenate([np.zeros(0, kind), *(unplaned(x.as_py(), kind) for x in above[name])])
+        key, log10, names, of_words = whole("keys", "i8"), whole("log10", "f8"), whole("words", "i8"), whole("word_counts", "i8")
+        by_key, by_name = np.argsort(key), np.argsort(names)
+        return _answered(below, key[by_key], log10[by_key], names[by_name], of_words[by_name])
+
+    answers = gathered.groupBy("part").applyInArrow(answer, ANSWERS)
+    for below in reversed(steps[:-1]):
+        # names of their own above: a cogroup takes shared ones of one plan for the left side's
+        above = answers.select(F.col("chunk").alias("group"), F.expr(f"part div {fan}").alias("own"), "keys", "log10", "words", "word_counts")
+        asked = below.select(F.expr(f"chunk div {fan}").alias("in_group"), "chunk", "part", "keys", "words")
+        answers = asked.groupBy("in_group", "part").cogroup(above.groupBy("group", "own")).applyInArrow(pass_on, ANSWERS)
     unit = math.log10(tokens + 0.1 * (known + 1)) if tokens else math.log10(0.1 * (known + 1))
 
     def final(left: pa.Table, right: pa.Table) -> pa.Table:

@@ -70,8 +70,9 @@ def brute(train, texts, depth):
     return [sum(math.log10(p if bit else 1 - p) for decision, context, bit in walk(raw) for p in [one(decision, context)]) for raw in texts]
 
 
-@pytest.mark.parametrize("chunk_bytes", [60, 1 << 20])
-def test_scores_against_brute_force(spark, make_docs, chunk_bytes):
+@pytest.mark.parametrize(("chunk_bytes", "fan"), [(60, 2), (60, 32), (1 << 20, 32)])
+def test_scores_against_brute_force(spark, make_docs, monkeypatch, chunk_bytes, fan):
+    monkeypatch.setattr(ctw, "FAN", fan)  # 2: counts are merged in several rounds, and answers go back through them
     depth = 3
     got = {r.doc_id: r for r in ctw.score(make_docs(TEXTS, extra=True), F.col("doc_id") % 3 != 0, depth=depth, chunk_bytes=chunk_bytes).collect()}
     raw = [raw_of(t, depth) for t in TEXTS]
@@ -112,6 +113,23 @@ def test_batches_hold_the_words_and_contexts_of_each_text(texts, step):
     assert len({v for w in ("ab", "ba", "a", "b", "aa") for _, x in ctw.Batch([w], 2).words() for v in x.tolist()}) == 5
 
 
+def test_finer_parts_lie_within_coarser_ones():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    key, word = rng.integers(0, 2**48, 5000), rng.integers(-(2**63), 2**63, 5000)
+    for part, more in ((ctw.part_of_key, (5,)), (ctw.part_of_word, ())):
+        coarse, fine, finest = (part(key if more else word, *more, n) for n in (32, 1024, 1 << 20))
+        assert (fine // 32 == coarse).all() and (finest // 1024 == fine).all() and len(set(coarse.tolist())) == 32
+    sizes = {}
+    for texts in (50, 500):  # the rows of a chunk do not follow the number of chunks
+        import pyarrow as pa
+
+        table = pa.table({"chunk": [7] * texts, "text": ["some words of a text " + str(i) for i in range(texts)], "learn": [True] * texts})
+        sizes[texts] = ctw._gather(table, 5, ctw.FAN).num_rows
+    assert max(sizes.values()) <= ctw.FAN
+
+
 def test_probabilities_of_all_bytes_sum_to_one():
     import numpy as np
 
