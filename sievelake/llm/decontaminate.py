@@ -2,7 +2,7 @@
 
 Every word n-gram of the test items is counted over the whole corpus. In each stretch of `stretch` neighbouring n-grams of
 an item the rarest is a seed, so that no unbroken run of n + stretch - 1 shared words goes unseen, however common its
-words. Places in documents where seeds of one item gather are aligned with the item word by word; a passage is
+words; of an item of under `SHORT` words every n-gram is one, and one is enough, as edits leave few of them. Places in documents where seeds of one item gather are aligned with the item word by word; a passage is
 contaminated when its alignment score reaches `threshold` of what the item would score against itself.
 
 The items' table is the small side. Up to `most_bytes` of its text ride to the executors with the code (checked against its real
@@ -29,6 +29,8 @@ from sievelake.llm.common import batches
 WORD = re.compile(r"[^\W_]+")
 FOUND = "doc_id long, item_id long, similarity double, matches int, start int, end int"
 MATCH, MISMATCH, GAP = 2, -1, -1
+#: Items of fewer words have all their n-grams as seeds.
+SHORT = 24
 
 
 def words(text: str) -> list[str]:
@@ -132,8 +134,9 @@ def seeds(items: Items, counts: Counter, stretch: int) -> dict[int, list[tuple[i
     """Gram index to the (item, position) pairs of which it is a seed."""
     out: dict[int, list[tuple[int, int]]] = {}
     for k, own in enumerate(items.items):
+        span = 1 if len(own) < SHORT else stretch
         grams = np.searchsorted(items.grams, items.keys(own)).tolist()
-        chosen = {min(range(a, min(a + stretch, len(grams))), key=lambda p: (counts[grams[p]], p)) for a in range(max(1, len(grams) - stretch + 1))}
+        chosen = {min(range(a, min(a + span, len(grams))), key=lambda p: (counts[grams[p]], p)) for a in range(max(1, len(grams) - span + 1))}
         for p in chosen:
             out.setdefault(grams[p], []).append((k, p))
     return out
@@ -150,7 +153,7 @@ def align(items: Items, numbers: np.ndarray, found: dict[int, list[int]], least:
             j = i
             while j + 1 < len(starts) and starts[j + 1] - starts[j] <= max(4, n // 2):
                 j += 1
-            if j - i + 1 >= min(least, max(1, n // 6)):
+            if j - i + 1 >= (1 if n < SHORT else least):
                 a, b = max(0, starts[i] - n // 2), min(len(numbers), starts[j] + n + n // 2)
                 passage = numbers[a:b]
                 # no alignment can match more words than the two have in common

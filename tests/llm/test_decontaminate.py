@@ -80,3 +80,31 @@ def test_item_blocks_and_empty_tables(spark, make_docs):
     assert sorted(map(tuple, got)) == [(i, i) for i in range(10)]
     assert decontaminate.passages(docs.limit(0), items).count() == 0
     assert decontaminate.passages(docs, items.limit(0)).count() == 0
+
+
+def test_short_edited_items_are_found():
+    """Of items whose alignment with the text reaches the threshold, the share that seeds lead to."""
+    from collections import Counter
+
+    import numpy as np
+
+    for n in (10, 12, 16, 20, 24, 40):
+        for share, want in ((0.15, 0.97), (0.25, 0.95), (0.33, 0.9)):
+            hits = []
+            for seed in range(80):
+                rng = random.Random(seed)
+                item = prose(seed, n, "ka lo mi tu re sa vo ne pi da be fi go hu")
+                items, words = decontaminate.Items([(1, item)], 3), item.split()
+                for k in rng.sample(range(n), round(n * share)):
+                    words[k] = f"q{rng.randrange(999)}"
+                numbers = items.number(" ".join([prose(seed + 9999, 40), *words, prose(seed + 5555, 40)]))
+                if decontaminate.smith_waterman(items.items[0], numbers)[0] < 0.5 * 2 * n:
+                    continue
+                chosen = decontaminate.seeds(items, Counter(), 4)
+                positions, index = items.places(numbers, items.grams[np.array(sorted(chosen))])
+                found = {}
+                for p, g in zip(positions.tolist(), index.tolist(), strict=True):
+                    for k, q in chosen[sorted(chosen)[g]]:
+                        found.setdefault(k, []).append(p - q)
+                hits.append(bool(list(decontaminate.align(items, numbers, found, 2, 0.5))))
+            assert sum(hits) >= want * len(hits), (n, share)
