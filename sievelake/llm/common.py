@@ -2,18 +2,41 @@
 
 from __future__ import annotations
 
+import atexit
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievelake.plans.shared import ROOT, forget, fresh_dir, written
 
-__all__ = ["batches", "crc_mod", "filesystem", "forget", "fresh_dir", "held_out", "table", "written"]
+__all__ = ["batches", "bucketed", "crc_mod", "filesystem", "forget", "fresh_dir", "held_out", "table", "written"]
 
 #: Rows of an Arrow batch handed to Python; with a byte bound beside it a batch of very long texts stays small.
 BATCH_ROWS = "1000"
 BATCH_BYTES = str(8 << 20)
 
 
+def bucketed(df: DataFrame, kind: str, column: str) -> DataFrame:
+    """A written table whose files are dealt by a column, so that joins on it, however many, move the other side only.
+
+    The files are in the shared folder, the name in the session's catalogue; `forget` drops both.
+    """
+    spark, path = df.sparkSession, fresh_dir(df.sparkSession, kind)
+    name, n = f"{kind}_{path.rsplit('-', 1)[1]}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition(n, column).write.bucketBy(n, column).sortBy(column).option("path", path).saveAsTable(name)
+    atexit.register(_drop, spark, name)
+    out = spark.table(name)
+    out._written = path
+    return out
+
+
+def _drop(spark: SparkSession, name: str) -> None:
+    try:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    except Exception:  # the session may have ended before the interpreter does
+        pass
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """The named columns of a table; read through Spark, so any store that Spark reads will do."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
 
-from sievelake.llm.common import batches, forget, written
+from sievelake.llm.common import batches, bucketed, forget, written
 from sievelake.plans.components import connected_components
 
 WORD = re.compile(r"[^\W_]+")
@@ -267,7 +267,7 @@ def _members(docs: DataFrame, similarity: float, sketcher: Sketcher | None, id_c
     members = written(rows.join(shared.hint("merge"), "bucket").select(F.shiftright("entry", 8).alias("id"), (F.col("entry") % 256).cast("int").alias("band"), "words", "bucket", "pivot"), "members")
     of_digest = written(firsts.select("digest", "doc_id", "words", "id"), "ids")
     forget(firsts, shared)
-    texts = written(_texts(docs, of_digest.join(members.select("id").distinct(), "id", "left_semi"), sketcher, id_column, text_column), "candidate-texts")
+    texts = bucketed(_texts(docs, of_digest.join(members.select("id").distinct(), "id", "left_semi"), sketcher, id_column, text_column), "candidate_texts", "id")
     # each member against its bucket's pivot; later bands skip what the first ones have joined already
     labels, tested = None, None
     sizes = of_digest.select(F.col("id").alias("a"), F.col("words").alias("wa"))
