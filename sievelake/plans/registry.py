@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from typing import Any
 
-from sievelake.operators import base, dedup, distance, evaluate, impute, outliers, scale, select, validate
+from sievelake.operators import base, crossval, dedup, distance, evaluate, impute, outliers, scale, select, splines, validate
 from sievelake.sources import loaders
 
 # Public names and the usual parameters that go with them.
@@ -37,7 +37,7 @@ ACTIONS: dict[str, tuple[type, dict[str, Any]]] = {
 }
 DISTANCES = distance.DISTANCES
 DATASETS = {"csv": loaders.CSVLoader, "hf": loaders.LocalDatasetLoader, "kaggle": loaders.DownloadedCSVLoader, "openml": loaders.CachedTableLoader}
-EVALUATORS = {"CART": evaluate.CARTEvaluator, "LDA": evaluate.LDAEvaluator, "NB": evaluate.GaussianNBEvaluator, "MNB": evaluate.MultinomialNBEvaluator, "OLS": evaluate.OLSEvaluator, "LASSO": evaluate.LassoEvaluator, "KMEANS": evaluate.KMeansEvaluator, "HCA": evaluate.AgglomerativeEvaluator}
+EVALUATORS = {"CART": evaluate.CARTEvaluator, "LDA": evaluate.LDAEvaluator, "NB": evaluate.GaussianNBEvaluator, "MNB": evaluate.MultinomialNBEvaluator, "OLS": evaluate.OLSEvaluator, "LASSO": evaluate.LassoEvaluator, "KMEANS": evaluate.KMeansEvaluator, "HCA": evaluate.AgglomerativeEvaluator, "MARS": splines.MARSEvaluator, "KRR": crossval.KernelRidgeEvaluator}
 
 #: Strategy strings of the dict-of-frames interface.
 STRATEGIES: dict[str, dict[str, tuple[type, dict[str, Any]]]] = {
