@@ -257,7 +257,8 @@ def _dealt(chunk: int, keys: tuple[np.ndarray, np.ndarray], words: tuple[np.ndar
     for (key, n), part in ((keys, part_of_key(keys[0], depth, whole)), (words, part_of_word(words[0], whole))):
         order = np.argsort(part, kind="stable")
         bounds = np.searchsorted(part[order], first + np.arange(parts + 1))
-        split.append((key[order], n[order].astype(np.int64), bounds))
+        # four bytes a count where they are enough; how many there are tells which it was
+        split.append((key[order], n[order].astype(np.int32 if n.max(initial=0) < 1 << 31 else np.int64), bounds))
     rows = []
     for p in range(parts):
         own = [x[bounds[p] : bounds[p + 1]] for key, n, bounds in split for x in (key, n)]
@@ -267,7 +268,8 @@ def _dealt(chunk: int, keys: tuple[np.ndarray, np.ndarray], words: tuple[np.ndar
 
 
 def _merged(table: pa.Table, keys: str, counts: str) -> tuple[np.ndarray, np.ndarray]:
-    return merged([(unplaned(k.as_py(), "i8"), unplaned(n.as_py(), "i8")) for k, n in zip(table[keys], table[counts], strict=True)])
+    pairs = ((k.as_py(), n.as_py()) for k, n in zip(table[keys], table[counts], strict=True))
+    return merged([(unplaned(k, "i8"), unplaned(n, "i4" if 2 * len(n) == len(k) else "i8")) for k, n in pairs])
 
 
 def _merger(depth: int, fan: int, parts: int) -> Callable[[pa.Table], pa.Table]:

@@ -130,6 +130,16 @@ def test_finer_parts_lie_within_coarser_ones():
     assert max(sizes.values()) <= ctw.FAN
 
 
+def test_counts_beyond_four_bytes():
+    import numpy as np
+
+    key, word = np.array([5 << 16, 9 << 16]), np.array([-7, 8])
+    for large in (3, 1 << 40):
+        table = ctw._dealt(1, (key, np.array([1, large])), (word, np.array([2, 2])), 4, 3, 0, 2, 2)
+        found, counts = ctw._merged(table, "keys", "counts")
+        assert found.tolist() == key.tolist() and counts.tolist() == [1, large] and ctw._merged(table, "words", "word_counts")[1].tolist() == [2, 2]
+
+
 def test_probabilities_of_all_bytes_sum_to_one():
     import numpy as np
 
