@@ -57,7 +57,7 @@ class BoostedTrees:
 class Isotonic:
     """The non-decreasing function closest to the labels (pool adjacent violators), linear between its blocks.
 
-    Each block also counts half a row of either label, so no score is 0 or 1 for want of rows.
+    A block of more than one row also counts half a row of either label; one of a single row keeps its label, so a score may be 0 or 1.
     """
 
     def __init__(self, score: np.ndarray, y: np.ndarray):

@@ -44,8 +44,16 @@ def test_boosting_and_calibration():
 def test_isotonic_matches_brute_force():
     rng = np.random.default_rng(2)
     s, y = np.arange(40.0), (rng.random(40) < np.linspace(0, 1, 40)).astype(float)
-    fitted = boosting.Isotonic(s, y)
-    assert (np.diff(fitted.value) >= 0).all() and len(fitted.value) < 40
+    for labels in (y, np.sort(y), y[::-1].copy(), rng.integers(0, 2, 40).astype(float)):
+        fitted = boosting.Isotonic(s, labels)
+        # the closest non-decreasing function: the largest over beginnings of the least over ends of the mean between
+        best = [max(min(labels[a : b + 1].mean() for b in range(i, 40)) for a in range(i + 1)) for i in range(40)]
+        cuts = [0, *(i for i in range(1, 40) if abs(best[i] - best[i - 1]) > 1e-12), 40]
+        blocks = [slice(a, b) for a, b in zip(cuts, cuts[1:], strict=False)]
+        assert np.allclose(fitted.at, [s[b].mean() for b in blocks])
+        own = [(labels[b].sum() + 0.5) / (len(labels[b]) + 1) if len(labels[b]) > 1 else labels[b][0] for b in blocks]
+        assert np.allclose(fitted.value, np.maximum.accumulate(own))
+        assert np.allclose(fitted(fitted.at), fitted.value) and len(boosting.Isotonic(s[:0], y[:0])(s)) == 40
 
 
 def labelled(spark, docs, column):
