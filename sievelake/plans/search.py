@@ -1,10 +1,12 @@
 """Choosing a pipeline: spaces, environments, Q-learning, greedy, genetic and random search over lazy plans.
 
-Only scores are numbers on the driver; a candidate is one lazy plan, and prefixes that several candidates share are planned once.
+Only scores are numbers on the driver; a candidate is one lazy plan. When many pipelines are scored, a prefix that several of them
+share is fitted once and written.
 """
 
 from __future__ import annotations
 
+import copy
 import random
 from collections.abc import Callable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
@@ -18,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievelake.operators.base import Action, ParameterizedAction
-from sievelake.plans.shared import written
+from sievelake.plans.shared import forget, written
 
 Score = Callable[[DataFrame], float]
 
@@ -140,21 +142,60 @@ def expand_grid(action: ParameterizedAction, points: int = 3) -> list[Parameteri
 
 
 def score_pipelines(df: DataFrame, pipelines: Sequence[Sequence[Action]], scores: dict[str, Score], parallel: int = 4) -> DataFrame:
-    """pipeline, reward, value, error: every pipeline under every reward, several jobs at a time."""
+    """pipeline, reward, value, error: every pipeline under every reward, several jobs at a time.
+
+    Pipelines are gone through as a tree of their steps: a frame that more than one pipeline goes on from is written, and
+    deleted when all of them have. Operators are copied before they are fitted, so those that several branches use do not meet.
+    """
+    tree = _Prefix()
+    for pipeline in pipelines:
+        node = tree
+        for action in pipeline:
+            node = node.next.setdefault(id(action), _Prefix(action))
+        node.ends += 1
+
+    def rows_of(node: _Prefix, names: tuple[str, ...], frame: DataFrame | None, error: str | None) -> list[tuple]:
+        out, made = [], None
+        if node.action is not None:
+            names = (*names, node.action.name)
+            try:
+                if error is None:
+                    made = frame = copy.copy(node.action).fit_transform(frame)
+                    if len(node.next) + (node.ends > 0) > 1:
+                        made = frame = written(frame, "prefix")
+            except Exception as raised:  # reported in the rows of all that begin like this
+                error = str(raised)[:300]
+        if node.ends:
+            out += node.ends * [(" > ".join(names) or "none", k, *value(f, frame, error)) for k, f in scores.items()]
+        for child in node.next.values():
+            out += rows_of(child, names, frame, error)
+        if made is not None:
+            forget(made)
+        return out
 
-    def one(pipeline):
-        name = " > ".join(a.name for a in pipeline) or "none"
+    def value(f: Score, frame: DataFrame, error: str | None) -> tuple[float | None, str | None]:
+        if error is not None:
+            return None, error
         try:
-            made = run_pipeline(df, pipeline)
-            return [(name, k, float(f(made)), None) for k, f in scores.items()]
-        except Exception as error:  # reported in the row
-            return [(name, k, None, str(error)[:300]) for k in scores]
+            return float(f(frame)), None
+        except Exception as raised:  # reported in the row
+            return None, str(raised)[:300]
 
+    first = [_Prefix(next={k: v}) for k, v in tree.next.items()] + [_Prefix(ends=tree.ends)] * (tree.ends > 0)
     with ThreadPoolExecutor(parallel) as pool:
-        rows = [r for found in pool.map(one, pipelines) for r in found]
+        rows = [r for found in pool.map(lambda branch: rows_of(branch, (), df, None), first) for r in found]
     return df.sparkSession.createDataFrame(rows, "pipeline string, reward string, value double, error string")
 
 
+@dataclass
+class _Prefix:
+    """A step of a tree of pipelines: how many end here, and what they go on with."""
+
+    action: Action | None = None
+    ends: int = 0
+    next: dict[int, _Prefix] = field(default_factory=dict)
+
+
 def greedy_search(df: DataFrame, groups: dict[str, Sequence[Action | None]], score: Score, rounds: int = 2) -> tuple[dict[str, Action | None], float]:
     """Coordinate ascent: for each group in turn the action (or none) that scores best with the others fixed; scores are remembered."""
     chosen: dict[str, Action | None] = dict.fromkeys(groups)
