@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sievelake.functions.quantiles import Quantiles
 from sievelake.functions.stats import hash_unit, mode, nan_to_null, number
@@ -56,6 +57,17 @@ class ZeroImputer(_Fill):
         return {c: 0.0 for c in columns}
 
 
+class DefaultImputer(Action):
+    """Nulls at a value by type: `number` for numbers, `text` for strings, false for booleans; other types stay."""
+
+    DEFAULTS = {"number": 0, "text": "missing"}
+
+    def apply(self, df, columns, stats):
+        kinds = {f.name: f.dataType for f in df.schema.fields}
+        value = lambda t: F.lit(False) if isinstance(t, T.BooleanType) else F.lit(self.params["number"]).cast(t) if isinstance(t, T.NumericType) else F.lit(self.params["text"]) if isinstance(t, T.StringType) else None
+        return nan_to_null(df).withColumns({c: F.coalesce(F.col(f"`{c}`"), v) for c in columns if (v := value(kinds[c])) is not None})
+
+
 class DropMissing(Action):
     """Drops rows with a null in any of the columns."""
 

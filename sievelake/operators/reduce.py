@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from sievelake.functions.quantiles import Quantiles, exact_quantiles
 from sievelake.functions.stats import hash_unit, number
 from sievelake.operators.base import Action
 
@@ -62,6 +65,33 @@ class RandomProjector(Action):
         return projected(df, columns, [0.0] * len(columns), stats["loadings"], self.params["prefix"])
 
 
+class Undersampler(Action):
+    """As many rows of each class as the smallest has, those first by a hash of the key; rows without a class go.
+
+    Where a class ends is an exact quantile of its rows' hashes, so no class is sorted or gathered. Keys are unique.
+    """
+
+    DEFAULTS = {"key": None, "random_state": 42}
+
+    def fit(self, df):
+        key, target = self.params["key"], self.target
+        own = df.withColumn("_h", hash_unit(*([key] if isinstance(key, str) else key), seed=self.params["random_state"]))
+        sizes = {r[0]: r[1] for r in df.where(F.col(target).isNotNull()).groupBy(target).count().collect()}  # a row a class
+        least = min(sizes.values(), default=0)
+        # half a step beyond the last row that stays
+        ends = exact_quantiles(own, {str(i): Quantiles(F.when(F.col(target) == F.lit(c), F.col("_h")), [(least - 0.5) / (n - 1)], True) for i, (c, n) in enumerate(sizes.items()) if n > least})
+        self.fitted_columns, self.stats = [], {c: ends.get(str(i)) for i, c in enumerate(sizes)}
+        return self
+
+    def transform(self, df):
+        if self.fitted_columns is None:
+            return self.fit(df).transform(df)
+        key, target = self.params["key"], self.target
+        h = hash_unit(*([key] if isinstance(key, str) else key), seed=self.params["random_state"])
+        within = reduce(lambda a, b: a | b, ((F.col(target) == F.lit(c)) & (h <= F.lit(1.0 if end is None else end)) for c, end in self.stats.items()), F.lit(False))
+        return df.where(within)
+
+
 class SMOTEBalancer(Action):
     """Adds rows between neighbours of the smaller classes until each is as large as the largest.
 

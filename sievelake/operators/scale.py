@@ -189,6 +189,51 @@ class PowerScaler(Action):
         return df.withColumns({c: self._value(self._shifted(c, stats[c][0]), stats[c][1]) for c in columns if c in stats})
 
 
+class FrequencyEncoder(Action):
+    """Each value as its share of the fitted rows that have one; a value that the fit has not met counts 0, null stays null.
+
+    The shares are a table, however many values there are, and are joined by value.
+    """
+
+    CATEGORICAL_ONLY = True
+
+    def settle(self, df, columns, stats):
+        cells = F.explode(F.array(*(F.struct(F.lit(c).alias("c"), F.col(f"`{c}`").cast("string").alias("v")) for c in columns))).alias("e")
+        counts = df.select(cells).select("e.*").where("v is not null").groupBy("c", "v").agg(F.count(F.lit(1)).alias("n")) if columns else None
+        n = df.agg(*(F.count(F.col(f"`{c}`")).alias(c) for c in columns)).first().asDict() if columns else {}
+        return {"counts": written(counts, "frequencies") if columns else None, "n": n}
+
+    def apply(self, df, columns, stats):
+        for i, c in enumerate(columns):
+            own = stats["counts"].where(F.col("c") == c).select(F.col("v").alias(f"_v{i}"), (F.col("n") / F.lit(max(1, stats["n"][c]))).alias(f"_f{i}"))
+            share = F.when(F.col(f"`{c}`").isNotNull(), F.coalesce(f"_f{i}", F.lit(0.0)))
+            df = df.join(own, F.col(f"`{c}`").cast("string") == F.col(f"_v{i}"), "left").withColumn(c, share).drop(f"_v{i}", f"_f{i}")
+        return df
+
+
+class DummyCoder(Action):
+    """A column of 0 and 1 for each fitted value, named <column>_<value>, in place of the column; nulls and other values are 0 everywhere.
+
+    At most `most` values a column, as each is a column of the result; more are an error. `drop_first` leaves out the first.
+    """
+
+    DEFAULTS = {"most": 50, "drop_first": False}
+    CATEGORICAL_ONLY = True
+
+    def settle(self, df, columns, stats):
+        out = {}
+        for c in columns:
+            values = [r[0] for r in df.select(F.col(f"`{c}`").cast("string").alias("v")).where("v is not null").distinct().orderBy("v").limit(self.params["most"] + 1).collect()]
+            if len(values) > self.params["most"]:
+                raise ValueError(f"{c} has over {self.params['most']} values")
+            out[c] = values[1:] if self.params["drop_first"] else values
+        return out
+
+    def apply(self, df, columns, stats):
+        coded = [F.coalesce((F.col(f"`{c}`").cast("string") == v).cast("int"), F.lit(0)).alias(f"{c}_{v}") for c in columns for v in stats[c]]
+        return df.select(*(F.col(f"`{c}`") for c in df.columns if c not in columns), *coded)
+
+
 class LabelEncoder(Action):
     """Codes 0, 1, ... in ascending order of the distinct values; the mapping is a join, so it may be large."""
 

@@ -1542,3 +1542,25 @@ def registry_strategies(spark, sf):
 
 
 SQL["search_permutations"] = " UNION ALL ".join(f"SELECT '{' > '.join(p)}' AS pipeline, round({_scored_pipeline(*p)}, 6) AS value" for n in (1, 2, 3) for p in permutations(("mean", "iqr", "minmax"), n))
+
+
+@query("encode_frequency", f"SELECT c_custkey, c_mktsegment AS segment, round(CASE WHEN c_mktsegment IS NOT NULL THEN count(*) OVER (PARTITION BY c_mktsegment) / CAST((SELECT count(c_mktsegment) FROM {CUSTOMER}) AS DOUBLE) END, 6) AS c_mktsegment FROM {CUSTOMER}")
+def encode_frequency(spark, sf):
+    rows = customer(spark, sf).select("c_custkey", F.col("c_mktsegment").alias("segment"), "c_mktsegment")
+    return scale.FrequencyEncoder(columns=["c_mktsegment"]).fit_transform(rows).withColumn("c_mktsegment", r("c_mktsegment"))
+
+
+@query("encode_dummies", f"SELECT c_custkey, {', '.join(f'CAST(coalesce(c_mktsegment = {v!r}, false) AS INTEGER) AS c_mktsegment_{v.lower()}' for v in ('AUTOMOBILE', 'BUILDING'))} FROM {CUSTOMER}")
+def encode_dummies(spark, sf):
+    coded = scale.DummyCoder(columns=["c_mktsegment"]).fit_transform(customer(spark, sf).select("c_custkey", "c_mktsegment"))
+    return coded.select("c_custkey", F.col("c_mktsegment_AUTOMOBILE").alias("c_mktsegment_automobile"), F.col("c_mktsegment_BUILDING").alias("c_mktsegment_building"))
+
+
+@query("impute_default", f"SELECT c_custkey, coalesce(c_acctbal, -1) AS c_acctbal, coalesce(c_mktsegment, 'none') AS c_mktsegment FROM {CUSTOMER}")
+def impute_default(spark, sf):
+    return impute.DefaultImputer(number=-1, text="none").fit_transform(customer(spark, sf)).select("c_custkey", "c_acctbal", "c_mktsegment")
+
+
+@query("balance_undersample", f"SELECT c_custkey, c_mktsegment FROM (SELECT c_custkey, c_mktsegment, row_number() OVER (PARTITION BY c_mktsegment ORDER BY {_unit('CAST(c_custkey AS VARCHAR)')}) AS i FROM {CUSTOMER} WHERE c_mktsegment IS NOT NULL) WHERE i <= (SELECT min(n) FROM (SELECT count(*) AS n FROM {CUSTOMER} WHERE c_mktsegment IS NOT NULL GROUP BY c_mktsegment))")
+def balance_undersample(spark, sf):
+    return reduce.Undersampler(key="c_custkey", target="c_mktsegment").fit_transform(customer(spark, sf)).select("c_custkey", "c_mktsegment")
