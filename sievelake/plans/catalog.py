@@ -1564,3 +1564,22 @@ def impute_default(spark, sf):
 @query("balance_undersample", f"SELECT c_custkey, c_mktsegment FROM (SELECT c_custkey, c_mktsegment, row_number() OVER (PARTITION BY c_mktsegment ORDER BY {_unit('CAST(c_custkey AS VARCHAR)')}) AS i FROM {CUSTOMER} WHERE c_mktsegment IS NOT NULL) WHERE i <= (SELECT min(n) FROM (SELECT count(*) AS n FROM {CUSTOMER} WHERE c_mktsegment IS NOT NULL GROUP BY c_mktsegment))")
 def balance_undersample(spark, sf):
     return reduce.Undersampler(key="c_custkey", target="c_mktsegment").fit_transform(customer(spark, sf)).select("c_custkey", "c_mktsegment")
+
+
+@query(
+    "quality_components",
+    """WITH d AS (SELECT CASE WHEN c_custkey % 7 <> 0 THEN round(c_acctbal / 100) END AS a, CAST(c_nationkey AS DOUBLE) AS b FROM customer), c AS (SELECT a, b FROM d WHERE b < 20),
+       s AS (SELECT avg(a) AS ma, stddev_pop(a) AS sa, avg(b) AS mb, stddev_pop(b) AS sb, count(*) AS n, count(a) AS k FROM c),
+       o AS (SELECT count(*) FILTER (abs(a - ma) / (sa + 1e-9) > 3) + count(*) FILTER (abs(b - mb) / (sb + 1e-9) > 3) AS o FROM c, s),
+       v AS (SELECT 'a' AS f, a AS v, 0 AS side FROM c WHERE a IS NOT NULL UNION ALL SELECT 'a', a, 1 FROM d WHERE a IS NOT NULL UNION ALL SELECT 'b', b, 0 FROM c UNION ALL SELECT 'b', b, 1 FROM d),
+       g AS (SELECT f, v, count(*) FILTER (side = 0) AS p, count(*) FILTER (side = 1) AS q FROM v GROUP BY 1, 2),
+       w AS (SELECT f, lead(v) OVER x - v AS width, sum(p) OVER x / CAST(sum(p) OVER (PARTITION BY f) AS DOUBLE) AS fp, sum(q) OVER x / CAST(sum(q) OVER (PARTITION BY f) AS DOUBLE) AS fq FROM g WINDOW x AS (PARTITION BY f ORDER BY v)),
+       m AS (SELECT f, sum(abs(fp - fq) * width) AS w FROM w GROUP BY 1),
+       r AS (SELECT avg(w / (CASE f WHEN 'a' THEN (SELECT stddev_pop(a) FROM d) ELSE (SELECT stddev_pop(b) FROM d) END + 1e-9)) AS drift FROM m),
+       t AS (SELECT n / CAST((SELECT count(*) FROM d) AS DOUBLE) AS retention, (SELECT count(*) FROM (SELECT DISTINCT a, b FROM c)) / CAST(n AS DOUBLE) AS uniqueness, 1 - o / (2.0 * n) AS outlier_free, (1 - (1 - k / CAST(n AS DOUBLE)) / 2) * (1 - least(drift, 1)) AS q FROM s, o, r)
+       SELECT round(retention, 6) AS retention, round(uniqueness, 6) AS uniqueness, round(outlier_free, 6) AS outlier_free, round((retention + uniqueness + outlier_free) / 3, 6) AS composite, round(q, 6) AS observer_quality FROM t""",
+)
+def quality_components(spark, sf):
+    dirty = table(spark, sf, "customer").select(F.when(F.col("c_custkey") % 7 != 0, F.round(F.col("c_acctbal") / 100)).alias("a"), F.col("c_nationkey").cast("double").alias("b"))
+    found = profile.quality_components(dirty.where("b < 20"), dirty)
+    return found.select(*(r(c).alias(c) for c in found.columns))
