@@ -201,7 +201,7 @@ class KFoldRegression:
 
 
 class KernelRidgeEvaluator(BaseRegressionEvaluator):
-    """RBF kernel ridge by `features` random cosines over all rows, penalty and width chosen by k folds.
+    """RBF kernel ridge by `cosines` random cosines over all rows, penalty and width chosen by k folds.
 
     For each width the products of the cosines are summed by fold in one pass of all widths; penalties are then solved from those
     sums. Features are standardised on the training rows, as the widths of the grid suppose; nulls count as their means.
@@ -212,7 +212,7 @@ class KernelRidgeEvaluator(BaseRegressionEvaluator):
 
     def predictions(self, df):
         features = self.features or [c for c in numeric_columns(df) if c not in (*self.key, self.target)]
-        alphas, gammas, folds, width = (self.params.get(k, v) for k, v in (("alphas", self.ALPHAS), ("gammas", self.GAMMAS), ("folds", 5), ("features", 128)))
+        alphas, gammas, folds, width = (self.params.get(k, v) for k, v in (("alphas", self.ALPHAS), ("gammas", self.GAMMAS), ("folds", 5), ("cosines", 128)))
         known = split(df.where(F.col(self.target).isNotNull()), self.key, seed=self.seed)
         row = known.where("split = 'train'").agg(F.avg(number(self.target)).alias("y"), *(e for i, c in enumerate(features) for e in (F.avg(number(c)).alias(f"m{i}"), F.stddev_pop(number(c)).alias(f"s{i}")))).first()
         z = [((F.coalesce(number(c), F.lit(row[f"m{i}"])) - F.lit(row[f"m{i}"])) / F.lit(row[f"s{i}"] or 1.0)).alias(f"z{i}") for i, c in enumerate(features)]

@@ -750,7 +750,7 @@ for _name, _kind, _params in (("tree", evaluate.CARTEvaluator, {}), ("lda", eval
         return kind("band", _PART_KEY, ["p_size", "p_retailprice"], **params).predictions(rows).withColumn("confidence", F.round("confidence", 6))
 
 
-for _name, _kind, _params in (("linear_regression", evaluate.OLSEvaluator, {}), ("lasso", evaluate.LassoEvaluator, {}), ("boosted_regression", evaluate.GBREvaluator, {}), ("kernel_ridge", crossval.KernelRidgeEvaluator, {"features": 64, "gammas": [0.01, 0.1, 1.0]})):
+for _name, _kind, _params in (("linear_regression", evaluate.OLSEvaluator, {}), ("lasso", evaluate.LassoEvaluator, {}), ("boosted_regression", evaluate.GBREvaluator, {}), ("kernel_ridge", crossval.KernelRidgeEvaluator, {"cosines": 64, "gammas": [0.01, 0.1, 1.0]})):
 
     @query(f"eval_{_name}")
     def _(spark, sf, kind=_kind, params=_params):
