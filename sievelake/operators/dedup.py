@@ -201,6 +201,37 @@ def band_rows(threshold: float, num_perm: int, recall: float = 0.97) -> int:
     return max((r for r in range(1, num_perm + 1) if 1 - (1 - threshold**r) ** (num_perm // r) >= recall), default=1)
 
 
+def least_hashes(h: np.ndarray, starts: np.ndarray, seeds: int) -> np.ndarray:
+    """For runs of hashes the least of Spark's xxhash64 of token and seed, a column a seed; h are the tokens' own xxhash64."""
+    first, second, third, fifth = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5))
+    base, out = h.view(np.uint64) + fifth + np.uint64(4), np.empty((len(starts), seeds), np.int64)
+    with np.errstate(over="ignore"):
+        for i in range(seeds):
+            x = base ^ np.uint64(i) * first
+            x = (x << np.uint64(23) | x >> np.uint64(41)) * second + third
+            for shift, factor in ((33, second), (29, third)):
+                x ^= x >> np.uint64(shift)
+                x *= factor
+            x ^= x >> np.uint64(32)
+            out[:, i] = np.minimum.reduceat(x.view(np.int64), starts)
+    return out
+
+
+def signatures(sets: DataFrame, seeds: int) -> DataFrame:
+    """k, d, n, s: the least hashes of each set under every seed."""
+    key = sets.schema["k"].dataType.simpleString()
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in stream:
+            for part in (batch.slice(i, 512) for i in range(0, batch.num_rows, 512)):
+                n = part.column(2).to_numpy()
+                found = least_hashes(part.column(3).flatten().to_numpy(), np.cumsum(n) - n, seeds)
+                s = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * seeds, pa.int32()), pa.array(found.ravel()))
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], s], ["k", "d", "n", "s"])
+
+    return sets.select("k", "d", "n", "h").mapInArrow(run, f"k {key}, d binary, n int, s array<bigint>")
+
+
 def lsh_links(sets: DataFrame, threshold: float, num_perm: int = 128, most: int = 64) -> DataFrame:
     """a < b, jaccard of pairs of token sets at least that similar which share a band of their hash signatures; every pair is verified.
 
@@ -208,24 +239,21 @@ def lsh_links(sets: DataFrame, threshold: float, num_perm: int = 128, most: int
     compared once. The members of a bucket of over `most` different sets are not paired there: they go through the exact join,
     which frequent tokens do not slow, so no bucket is expanded into all its pairs and none is cut.
     """
-    sets = sets.withColumn("tokens", F.array_sort("tokens"))
-    same = written(sets.groupBy("tokens").agg(F.min("k").alias("k")), "sets")
+    sets, firsts = first_of_equal(sets)
     rows = band_rows(threshold, num_perm)
-    least = F.transform(F.sequence(F.lit(0), F.lit(num_perm // rows * rows - 1)), lambda i: F.array_min(F.transform("tokens", lambda t: F.xxhash64(t, i))))
-    signed = same.select("k", F.size("tokens").alias("n"), least.alias("s"))
     bands = F.transform(F.sequence(F.lit(0), F.lit(num_perm // rows - 1)), lambda b: F.xxhash64(F.slice("s", b * rows + 1, F.lit(rows)), b))
-    index = written(signed.select("k", "n", F.explode(bands).alias("bucket")), "bands")
-    sizes = index.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    signed = signatures(sets, num_perm // rows * rows).select("k", "d", "n", bands.alias("bands"))
+    one = signed.groupBy("d").agg(F.min(F.struct("k", "n", "bands")).alias("s"))
+    index = written(one.select("s.k", "s.n", F.explode("s.bands").alias("bucket")), "bands")
+    sizes = written(index.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "buckets")
     few = index.join(sizes.where(F.col("c") <= most).select("bucket"), "bucket")
     a, b = few.alias("a"), few.alias("b")
-    pairs = a.join(b, (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.k") < F.col("b.k")) & (F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * F.lit(threshold - 1e-12))).select(F.col("a.k").alias("a"), F.col("b.k").alias("b")).distinct()
-    left, right = same.select(F.col("k").alias("a"), F.col("tokens").alias("ta")), same.select(F.col("k").alias("b"), F.col("tokens").alias("tb"))
-    common = F.size(F.array_intersect("ta", "tb"))
-    found = pairs.join(left, "a").join(right, "b").withColumn("jaccard", common / (F.size("ta") + F.size("tb") - common)).where(F.col("jaccard") >= threshold - 1e-12).select("a", "b", "jaccard")
-    crowded = index.join(sizes.where(F.col("c") > most).select("bucket"), "bucket", "left_semi").select("k").distinct()
-    found = found.unionByName(jaccard_links(same.join(crowded, "k", "left_semi").select("k", "tokens"), threshold)).distinct()
-    firsts = sets.join(same.withColumnRenamed("k", "first"), "tokens").where("k <> first").select(F.col("first").alias("a"), F.col("k").alias("b"), F.lit(1.0).alias("jaccard"))
-    return found.unionByName(firsts)
+    pairs = a.join(b, (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.k") < F.col("b.k")) & (F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * F.lit(threshold - 1e-12))).select(F.col("a.k").alias("a"), F.col("b.k").alias("b"))
+    crowded = written(index.join(sizes.where(F.col("c") > most).select("bucket"), "bucket", "left_semi").select("k").distinct(), "crowded")
+    if crowded.limit(1).count():
+        many = written(sets.join(crowded, "k", "left_semi"), "crowded-sets")
+        pairs = pairs.unionByName(near_pairs(many, threshold))
+    return verified(sets, firsts, pairs.distinct(), threshold).unionByName(equal_links(sets, firsts))
 
 
 class JaccardSimilarityDeduplicator(_Keyed):
