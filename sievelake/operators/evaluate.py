@@ -343,24 +343,28 @@ def average_linkage(sums: np.ndarray, n: np.ndarray, ks: tuple[int, ...]) -> lis
 def dbscan(df: DataFrame, key: str, features: list[str], eps: float = 0.1, least: int = 5) -> DataFrame:
     """key, cluster (null: noise): neighbours by a grid of eps cells in the first two features, components of core points.
 
-    Cells of very many rows are compared row by row of neighbouring cells only; the result is that of all pairs.
+    Rows at one point are one, with their count and first key. Cells of very many points are compared point by point of
+    neighbouring cells only; the result is that of all pairs.
     """
     from sievelake.plans.components import connected_components
     from sievelake.plans.shared import written
 
     grid = features[:2]
     rows = written(df.select(F.col(key).alias("k"), F.array(*(number(c) for c in features)).alias("x"), *(F.floor(number(c) / eps).alias(f"g{i}") for i, c in enumerate(grid))).where(~F.exists("x", lambda v: v.isNull())), "dbscan")
-    near = rows
+    cell = [f"g{i}" for i in range(len(grid))]
+    points = written(rows.groupBy("x", *cell).agg(F.min("k").alias("p"), F.count(F.lit(1)).alias("c")), "points")
+    near = points
     for i in range(len(grid)):
         near = near.withColumn(f"g{i}", F.explode(F.array(*(F.col(f"g{i}") + d for d in (-1, 0, 1)))))
-    cell = [f"g{i}" for i in range(len(grid))]
     square = F.aggregate(F.zip_with("x", "x2", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, b: a + b)
-    pairs = written(near.select(F.col("k").alias("k2"), F.col("x").alias("x2"), *cell).join(rows, cell).where(square <= eps * eps).select("k", "k2"), "dbscan")
-    core = pairs.groupBy("k").count().where(F.col("count") >= least).select("k")
+    pairs = written(near.select(F.col("p").alias("k2"), F.col("x").alias("x2"), F.col("c").alias("c2"), *cell).join(points.withColumnRenamed("p", "k"), cell).where(square <= eps * eps).select("k", "k2", "c2"), "dbscan")
+    core = pairs.groupBy("k").agg(F.sum("c2").alias("n")).where(F.col("n") >= least).select("k")
     linked = pairs.where("k < k2").join(core, "k", "left_semi").join(core.withColumnRenamed("k", "k2"), "k2", "left_semi").select(F.col("k").alias("a"), F.col("k2").alias("b"))
     labels = core.join(connected_components(linked), core["k"] == F.col("node"), "left").select("k", F.coalesce("component", "k").alias("cluster"))
     edge = pairs.join(labels.select(F.col("k").alias("k2"), "cluster"), "k2").groupBy("k").agg(F.min("cluster").alias("cluster"))
-    return rows.select("k").join(edge.join(labels.withColumnRenamed("cluster", "own"), "k", "left").select("k", F.coalesce("own", "cluster").alias("cluster")), "k", "left").withColumnRenamed("k", key)
+    found = edge.join(labels.withColumnRenamed("cluster", "own"), "k", "left").select(F.col("k").alias("p"), F.coalesce("own", "cluster").alias("cluster"))
+    named = points.join(found, "p", "left").select("x", "cluster")
+    return rows.join(named, "x").select(F.col("k").alias(key), "cluster")
 
 
 # ---- metrics
