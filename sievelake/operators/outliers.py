@@ -258,14 +258,17 @@ def nearest_rows(df: DataFrame, key: str, columns: list[str], k: int, block: int
     """q, d, distance, r: the k nearest other rows of every row (Euclidean, ties to the smaller key), of rows without nulls.
 
     Every two blocks of rows meet in one task, which keeps k a row; these are merged. The search is exact, so each row
-    travels once for every block.
+    travels once for every block. Of rows at one point only the k + 1 of least keys can be anyone's neighbours, and all beyond
+    have the same ones, so one of them searches for the rest.
     """
     kind = df.schema[key].dataType.simpleString()
     rows = df.select(F.col(key).alias("q"), F.array(*(number(c) for c in columns)).alias("x")).where(~F.exists("x", lambda v: v.isNull()) & F.col("q").isNotNull())
-    blocks = max(1, -(-rows.count() // block))
+    rows = written(rows.withColumn("p", F.dense_rank().over(Window.partitionBy("x").orderBy("q"))), "points")
+    asking = rows.where(F.col("p") <= k + 2)
+    blocks = max(1, -(-asking.count() // block))
     own = F.pmod(F.xxhash64("q"), F.lit(blocks)).cast("int")
     every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left, right = rows.select("q", "x", own.alias("i"), every.alias("j")), rows.select("q", "x", every.alias("i"), own.alias("j"))
+    left, right = asking.select("q", "x", own.alias("i"), every.alias("j")), rows.where(F.col("p") <= k + 1).select("q", "x", every.alias("i"), own.alias("j"))
     schema = pa.schema([("q", pa.int64()), ("d", pa.int64()), ("distance", pa.float64())])
 
     def meet(a: pa.Table, b: pa.Table) -> pa.Table:
@@ -284,7 +287,10 @@ def nearest_rows(df: DataFrame, key: str, columns: list[str], k: int, block: int
         raise ValueError("the key must be an integer")
     left, right = (t.withColumn("q", F.col("q").cast("long")) for t in (left, right))
     found = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(meet, "q long, d long, distance double")
-    return found.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy("distance", "d"))).where(F.col("r") <= k)
+    found = written(found.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy("distance", "d"))).where(F.col("r") <= k), "found")
+    asked = rows.where(F.col("p") == k + 2).select("x", F.col("q").cast("long").alias("at")).distinct()
+    others = rows.where(F.col("p") > k + 2).select("x", F.col("q").cast("long").alias("q")).join(asked, "x")
+    return found.unionByName(others.join(found.withColumnRenamed("q", "at"), "at").select(*found.columns))
 
 
 class MultivariateLOFCleaner(Action):
