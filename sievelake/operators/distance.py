@@ -130,16 +130,17 @@ class KullbackLeibler(BaseDistribution):
         return held.join(total, "feature").withColumn("q", F.col("q") / F.col("_t")).groupBy("feature").agg(_relative("p", F.col("q")).alias("value"))
 
 
-def steps(p: DataFrame, q: DataFrame, columns: list[str], buckets: int = 256) -> DataFrame:
+def steps(p: DataFrame, q: DataFrame, columns: list[str], buckets: int = 256, weight: str | None = None) -> DataFrame:
     """feature, width, fp, fq: the two distribution functions of each column between one value and the next.
 
     Values are counted first, so repeated ones weigh nothing, and the counts are a written table, as three plans read it;
     running counts go by value ranges: within a range by a window, between ranges by the sums of those before (at most
-    `buckets` rows a column).
+    `buckets` rows a column). With a `weight` column a row stands for so many.
     """
-    entries = lambda df, side: df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), number(c).alias("v")) for c in columns))).alias("e")).select("e.*", F.lit(side).alias("side")).where("v is not null")
+    w = F.col(weight) if weight else F.lit(1).cast("long")
+    entries = lambda df, side: df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), number(c).alias("v")) for c in columns))).alias("e"), w.alias("w")).select("e.*", "w", F.lit(side).alias("side")).where("v is not null")
     long = entries(p, 0).unionByName(entries(q, 1))
-    counts = written(long.groupBy("feature", "v").agg(F.count(F.when(F.col("side") == 0, 1)).alias("cp"), F.count(F.when(F.col("side") == 1, 1)).alias("cq")), "value-counts")
+    counts = written(long.groupBy("feature", "v").agg(*(F.sum(F.when(F.col("side") == s, F.col("w")).otherwise(0)).alias(c) for s, c in ((0, "cp"), (1, "cq")))), "value-counts")
     cuts = counts.groupBy("feature").agg(F.percentile_approx("v", [i / buckets for i in range(1, buckets)], 5000).alias("cuts"))
     # how many cuts lie below a value: every sixteenth first, then the fifteen after the last of those
     below = lambda own: F.size(F.filter(own, lambda x: x < F.col("v")))

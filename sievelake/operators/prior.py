@@ -125,7 +125,12 @@ def median_distance(df: DataFrame, columns: list[str], key: list[str], seed: int
     return float(found or 1.0)
 
 
-def kernel_means(df: DataFrame, columns: list[str], lines: np.ndarray) -> np.ndarray:
+def counted_rows(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The distinct rows and `_w`, how many there are of each: what is worked out for a row is worked out once for its copies."""
+    return df.groupBy(*(number(c).alias(c) for c in columns)).agg(F.count(F.lit(1)).alias("_w"))
+
+
+def kernel_means(df: DataFrame, columns: list[str], lines: np.ndarray, weight: str | None = None) -> np.ndarray:
     """Means over rows of the cosines and sines along each line: a row a task, added up before they reach the driver."""
     width = lines.shape[1]
 
@@ -133,14 +138,15 @@ def kernel_means(df: DataFrame, columns: list[str], lines: np.ndarray) -> np.nda
         total, n = np.zeros(2 * width), 0
         for batch in stream:
             x = np.column_stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(len(columns))])
+            w = batch.column(len(columns)).to_numpy()
             for at in range(0, len(x), 256):
                 along = x[at : at + 256] @ lines
-                total[:width] += np.cos(along).sum(0)
-                total[width:] += np.sin(along).sum(0)
-            n += len(x)
+                total[:width] += w[at : at + 256] @ np.cos(along)
+                total[width:] += w[at : at + 256] @ np.sin(along)
+            n += int(w.sum())
         yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([total], pa.list_(pa.float64()))], ["n", "total"])
 
-    own = df.select(*(number(c).alias(c) for c in columns)).mapInArrow(run, "n long, total array<double>")
+    own = df.select(*(number(c).alias(c) for c in columns), F.col(weight) if weight else F.lit(1).cast("long")).mapInArrow(run, "n long, total array<double>")
     by = own.select("n", F.posexplode("total").alias("at", "t")).groupBy("at").agg(F.sum("t").alias("t"), F.sum("n").alias("n")).collect()
     out = np.zeros(2 * width)
     for r in by:
@@ -148,18 +154,18 @@ def kernel_means(df: DataFrame, columns: list[str], lines: np.ndarray) -> np.nda
     return out
 
 
-def kernel_distance(p: DataFrame, q: DataFrame, columns: list[str], gamma: float, features: int = 2048, seed: int = 0) -> tuple[float, float]:
+def kernel_distance(p: DataFrame, q: DataFrame, columns: list[str], gamma: float, features: int = 2048, seed: int = 0, weight: str | None = None) -> tuple[float, float]:
     """(squared maximum mean discrepancy for exp(-gamma |x - y|^2), its standard error): every row of both frames counts.
 
     The distance is the mean over lines w, normal with variance 2 gamma, of |mean exp(iwx) - mean exp(iwy)|^2.
     """
     lines = np.random.default_rng(seed).standard_normal((len(columns), features)) * math.sqrt(2 * gamma)
-    gap = kernel_means(p, columns, lines) - kernel_means(q, columns, lines)
+    gap = kernel_means(p, columns, lines, weight) - kernel_means(q, columns, lines, weight)
     each = gap[:features] ** 2 + gap[features:] ** 2
     return float(each.mean()), float(each.std() / math.sqrt(features))
 
 
-def row_energy(p: DataFrame, q: DataFrame, columns: list[str], lines: int = 64, seed: int = 0) -> tuple[float, float]:
+def row_energy(p: DataFrame, q: DataFrame, columns: list[str], lines: int = 64, seed: int = 0, weight: str | None = None) -> tuple[float, float]:
     """(2 E|X - Y| - E|X - X'| - E|Y - Y'| over whole rows, its standard error), from random directions.
 
     The length of a vector is the mean length of its projections over that of a unit vector's, so the distance is the mean of the
@@ -169,8 +175,8 @@ def row_energy(p: DataFrame, q: DataFrame, columns: list[str], lines: int = 64,
     unit = np.random.default_rng(seed).standard_normal((1 if d == 1 else lines, d))
     unit /= np.linalg.norm(unit, axis=1, keepdims=True)
     # the distribution functions run over values, so a digit lost to the order of sums is no step
-    along = lambda df: df.select(*(F.round(sum((F.lit(float(w)) * number(c) for w, c in zip(u, columns, strict=True)), F.lit(0.0)), 9).alias(f"l{i}") for i, u in enumerate(unit)))
-    by = steps(along(p), along(q), [f"l{i}" for i in range(len(unit))]).groupBy("feature").agg(F.coalesce(F.sum(2 * (F.col("fp") - F.col("fq")) ** 2 * F.col("width")), F.lit(0.0)).alias("e"))
+    along = lambda df: df.select(*(F.round(sum((F.lit(float(w)) * number(c) for w, c in zip(u, columns, strict=True)), F.lit(0.0)), 9).alias(f"l{i}") for i, u in enumerate(unit)), *([weight] if weight else []))
+    by = steps(along(p), along(q), [f"l{i}" for i in range(len(unit))], weight=weight).groupBy("feature").agg(F.coalesce(F.sum(2 * (F.col("fp") - F.col("fq")) ** 2 * F.col("width")), F.lit(0.0)).alias("e"))
     mean_length = math.exp(math.lgamma(d / 2) - math.lgamma((d + 1) / 2)) / math.sqrt(math.pi)
     found = np.array([r["e"] for r in by.collect()]) / mean_length  # a row a line
     return (float(found.mean()), float(found.std() / math.sqrt(len(found)))) if len(found) else (0.0, 0.0)

@@ -535,13 +535,13 @@ def dist_mmd(spark, sf):
     p, q = sides(spark, sf)
     rows = table(spark, sf, "lineitem")
     gamma = 1 / prior.median_distance(rows, _NUM, ["l_orderkey", "l_linenumber"]) ** 2
-    value, error = prior.kernel_distance(p, q, _NUM, gamma)
+    value, error = prior.kernel_distance(prior.counted_rows(p, _NUM), prior.counted_rows(q, _NUM), _NUM, gamma, weight="_w")
     return _named(spark, {"gamma": gamma, "mmd": value, "error": error})
 
 
 @query("dist_row_energy")
 def dist_row_energy(spark, sf):
-    value, error = prior.row_energy(*sides(spark, sf), _NUM, 16)
+    value, error = prior.row_energy(*(prior.counted_rows(side, _NUM) for side in sides(spark, sf)), _NUM, 16, weight="_w")
     return _named(spark, {"energy": value, "error": error})
 
 
