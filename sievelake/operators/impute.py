@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from pyspark.sql import types as T
 from sievelake.functions.quantiles import Quantiles
 from sievelake.functions.stats import hash_unit, mode, nan_to_null, number
 from sievelake.operators.base import Action, ParameterizedAction, ParamSpec
-from sievelake.operators.learners import ExtraTrees
+from sievelake.operators.learners import BinnedForest, ExtraTrees, cuts_of, ranges
 
 
 class _Fill(Action):
@@ -270,14 +271,17 @@ class MICEImputer(Action):
     """Chained random forests, most nulls first: each column with nulls is predicted from the others, mean-filled at first.
 
     The estimator is `random_forest` or `extra_trees`. Rounds end when no filled value moved by more than `tol` times the largest observed one, after `max_iter` at most; every
-    round is written out, so that plans stay short.
+    round is written out, so that plans stay short. A forest takes one pass (`BinnedForest`, its ranges those of the round's start)
+    where its cells are few enough to be summed, Spark's own by levels otherwise.
     """
 
     DEFAULTS = {"max_iter": 50, "tol": 1e-3, "n_estimators": 50, "max_depth": 6, "random_state": 42, "estimator": "random_forest"}
     NUMERIC_ONLY = True
+    #: Rows of a task, about: a small file would be one task otherwise.
+    TASK_ROWS = 50_000
 
     def stat_exprs(self, df, columns):
-        return {f"{k}_{c}": e for c in columns for k, e in (("mean", F.avg(number(c))), ("gaps", F.count(F.when(number(c).isNull(), 1))))}
+        return {"rows": F.count(F.lit(1))} | {f"{k}_{c}": e for c in columns for k, e in (("mean", F.avg(number(c))), ("gaps", F.count(F.when(number(c).isNull(), 1))))}
 
     def _start(self, df, columns, stats):
         return df.withColumns({f"_f_{c}": F.coalesce(number(c), F.lit(stats[f"mean_{c}"] or 0.0)) for c in columns})
@@ -285,38 +289,50 @@ class MICEImputer(Action):
     def _step(self, rows, c, columns, model):
         from pyspark.ml.feature import VectorAssembler
 
-        if self.params["estimator"] == "extra_trees":
+        if isinstance(model, (ExtraTrees, BinnedForest)):
             return rows.withColumn(f"_f_{c}", F.coalesce(number(c), model.prediction([F.col(f"_f_{d}") for d in columns if d != c])))
         made = VectorAssembler(inputCols=[f"_f_{d}" for d in columns if d != c], outputCol="_x").transform(rows)
         out = model.transform(made)
         return out.withColumn(f"_f_{c}", F.coalesce(number(c), F.col("_p"))).drop("_x", "_p")
 
-    def settle(self, df, columns, stats):
+    def _model(self, rows, c, columns, stats, cuts):
+        """The estimator of a column, fitted to the rows that have it."""
         from pyspark.ml.feature import VectorAssembler
         from pyspark.ml.regression import RandomForestRegressor
 
+        features, p = [f"_f_{d}" for d in columns if d != c], self.params
+        if p["estimator"] == "extra_trees":
+            return ExtraTrees(features, c, "regression", p["n_estimators"], p["max_depth"], seed=p["random_state"]).fit(rows)
+        forest = BinnedForest(features, c, [cuts[d] for d in columns if d != c], "_id", p["n_estimators"], p["max_depth"], p["random_state"] + columns.index(c))  # columns draw their rows apart
+        if forest.fits:
+            return forest.fit(rows, stats[f"mean_{c}"])
+        train = VectorAssembler(inputCols=features, outputCol="_x").transform(rows).where(number(c).isNotNull()).select("_x", number(c).alias("_y"))
+        return RandomForestRegressor(featuresCol="_x", labelCol="_y", predictionCol="_p", numTrees=p["n_estimators"], maxDepth=p["max_depth"], seed=p["random_state"]).fit(train)
+
+    def settle(self, df, columns, stats):
         from sievelake.plans.shared import forget, written
 
         order = sorted((c for c in columns if stats[f"gaps_{c}"] and stats[f"mean_{c}"] is not None), key=lambda c: -stats[f"gaps_{c}"])
-        models, rows, rounds = [], self._start(df, columns, stats), 0
+        models, rounds = [], 0
         if order and len(columns) > 1:
-            limit = self.params["tol"] * max(rows.agg(*(F.max(F.abs(number(c))).alias(c) for c in columns)).first().asDict().values(), key=lambda v: v or 0.0)
+            rows = self._start(df, columns, stats).select(*(number(c).alias(c) for c in columns), *(f"_f_{c}" for c in columns))
+            if stats["rows"] > self.TASK_ROWS:
+                rows = rows.repartition(-(-stats["rows"] // self.TASK_ROWS))
+            rows = written(rows.withColumn("_id", F.monotonically_increasing_id()), "mice")
+            most = [F.max(F.abs(number(c))).alias(f"most_{c}") for c in columns]
+            seen = rows.agg(*most, *(cuts_of(F.col(f"_f_{c}")).alias(c) for c in columns)).first()
+            limit = self.params["tol"] * max((seen[f"most_{c}"] or 0.0 for c in columns), default=0.0)
+            cuts = {c: ranges(seen[c]) for c in columns}
             for rounds in range(1, self.params["max_iter"] + 1):
                 before, rows = rows, rows.withColumns({f"_o_{c}": F.col(f"_f_{c}") for c in order})
                 for c in order:
-                    if self.params["estimator"] == "extra_trees":
-                        trees = ExtraTrees([f"_f_{d}" for d in columns if d != c], c, "regression", self.params["n_estimators"], self.params["max_depth"], seed=self.params["random_state"])
-                        models.append((c, trees.fit(rows)))
-                        rows = self._step(rows, c, columns, trees)
-                        continue
-                    train = VectorAssembler(inputCols=[f"_f_{d}" for d in columns if d != c], outputCol="_x").transform(rows).where(number(c).isNotNull()).select("_x", number(c).alias("_y"))
-                    forest = RandomForestRegressor(featuresCol="_x", labelCol="_y", predictionCol="_p", numTrees=self.params["n_estimators"], maxDepth=self.params["max_depth"], seed=self.params["random_state"])
-                    models.append((c, forest.fit(train)))
+                    models.append((c, self._model(rows, c, columns, stats, cuts)))
                     rows = self._step(rows, *models[-1][:1], columns, models[-1][1])
                 rows = written(rows, "mice")
                 forget(before)
-                moved = max(rows.agg(*(F.max(F.abs(F.col(f"_f_{c}") - F.col(f"_o_{c}"))).alias(c) for c in order)).first())
-                if moved < limit:
+                seen = rows.agg(*(F.max(F.abs(F.col(f"_f_{c}") - F.col(f"_o_{c}"))).alias(f"moved_{c}") for c in order), *(cuts_of(F.col(f"_f_{c}")).alias(c) for c in order)).first()
+                cuts |= {c: ranges(seen[c]) for c in order}
+                if max(seen[f"moved_{c}"] for c in order) < limit:
                     break
             forget(rows)
         return stats | {"models": models, "rounds": rounds}
@@ -324,13 +340,34 @@ class MICEImputer(Action):
     def apply(self, df, columns, stats):
         from sievelake.plans.shared import written
 
-        rows, each = self._start(df, columns, stats), len({c for c, _ in stats["models"]})
-        for i, (c, model) in enumerate(stats["models"], 1):
+        models, each = stats["models"], len({c for c, _ in stats["models"]})
+        if models and all(isinstance(model, BinnedForest) for _, model in models):
+            return self._chained(df, columns, stats)
+        rows = self._start(df, columns, stats)
+        for i, (c, model) in enumerate(models, 1):
             rows = self._step(rows, c, columns, model)
-            if i % each == 0 and i < len(stats["models"]):
+            if i % each == 0 and i < len(models):
                 rows = written(rows, "mice")
         return rows.withColumns({c: F.col(f"_f_{c}") for c in columns}).drop(*(f"_f_{c}" for c in columns))
 
+    def _chained(self, df, columns, stats):
+        """All rounds in one pass: what a row is filled with depends on the row alone."""
+        models, starts = stats["models"], np.array([stats[f"mean_{c}"] or 0.0 for c in columns])
+
+        @F.pandas_udf("array<double>")
+        def run(*series: pd.Series) -> pd.Series:
+            raw = np.column_stack([s.to_numpy(float) for s in series])
+            gaps = np.isnan(raw)
+            x = np.where(gaps, starts, raw)
+            for c, model in models:
+                j = columns.index(c)
+                own = np.flatnonzero(gaps[:, j])
+                x[own, j] = model.predict(np.delete(x[own], j, axis=1))
+            return pd.Series(list(x))
+
+        rows = df.withColumn("_all", run(*(number(c) for c in columns)))
+        return rows.withColumns({c: F.col("_all")[i] for i, c in enumerate(columns)}).drop("_all")
+
 
 class ParameterizedImputer(ParameterizedAction):
     NUMERIC_ONLY = True

@@ -1,11 +1,14 @@
-"""Learners that Spark's own library lacks: extremely randomised trees, and linear support vectors with an L1 penalty.
+"""Learners that Spark's own library lacks: extremely randomised trees, forests that take one pass, and linear support vectors with
+an L1 penalty.
 
-Both are loops of one or two aggregates whose size does not depend on the rows: trees grow by levels, all trees at once; the
-support vectors' quadratic model is summed over the rows within the margin, and its penalised least found on the driver.
+All are loops of one or two aggregates whose size does not depend on the rows: extremely randomised trees grow by levels, all at
+once; forests from sums by cell; the support vectors' quadratic model is summed over the rows within the margin, and its penalised
+least found on the driver.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievelake.functions.stats import number
+from sievelake.operators.prior import counted
 from sievelake.plans.shared import forget, written
 
 NODES = "kind string, at long, v double"
@@ -181,6 +185,135 @@ class ExtraTrees:
         return run(*df_columns)
 
 
+#: Chances that a row is drawn at most 0, 1, 2, ... times in a sample with replacement.
+POISSON = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(16)])
+
+
+def cuts_of(x: Column) -> Column:
+    """For `ranges`: values at thousandths of an expression, those of a column of few values being all that are not very rare."""
+    return F.percentile_approx(x, F.split(F.lit(" ".join(str(i / 1024) for i in range(1, 1024))), " ").cast("array<double>"), 10000)
+
+
+def ranges(quantiles: list[float], bins: int = 32) -> np.ndarray:
+    """At most bins - 1 upper ends: all of the values if they are so few, else equal shares."""
+    own = np.unique(quantiles)
+    return own if len(own) < bins else np.unique(np.quantile(quantiles, np.arange(1, bins) / bins, method="lower"))
+
+
+class BinnedForest:
+    """A random forest for a number that is grown from one aggregate: features are cut into ranges, at most 32 each.
+
+    Trees split between ranges only, so all that they need of the rows are count, sum and sum of squares of those drawn in each
+    cell (a range of every feature). One pass sums these for all trees, whatever their depth; trees are then grown in groups of
+    `TOGETHER`, and the forest is a mean by cell. Rows are drawn with replacement, by a hash of `ident` that is the same in
+    every fit. A third of the features is tried at a node. What a task holds is trees x cells: see `fits`.
+    """
+
+    #: Most trees x cells.
+    MOST = 1 << 21
+    TOGETHER = 10
+
+    def __init__(self, features: list[str], target: str, cuts: list[np.ndarray], ident: str, n_estimators: int = 50, max_depth: int = 6, seed: int = 42):
+        self.features, self.target, self.cuts, self.ident, self.trees, self.max_depth, self.seed = features, target, cuts, ident, n_estimators, max_depth, seed
+        self.shape = tuple(len(c) + 1 for c in cuts)
+
+    @property
+    def fits(self) -> bool:
+        return self.trees * math.prod(self.shape) <= self.MOST
+
+    def cells(self, x: np.ndarray) -> np.ndarray:
+        return np.ravel_multi_index([np.searchsorted(c, x[:, i]) for i, c in enumerate(self.cuts)], self.shape)
+
+    def fit(self, df: DataFrame, centre: float = 0.0) -> BinnedForest:
+        """`centre` is taken off the target while squares are summed."""
+        p, size = len(self.features), math.prod(self.shape)
+
+        def gather(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums = None
+            for batch in stream:
+                x, y = unpacked(batch, p)
+                if not len(y):
+                    continue
+                sums = np.zeros((self.trees, 3, size)) if sums is None else sums
+                cell, y = self.cells(x), y - centre
+                order = np.argsort(cell, kind="stable")
+                own, starts = np.unique(cell[order], return_index=True)
+                drawn, y = np.searchsorted(POISSON, counted(batch.column(p + 1).to_numpy()[order], self.trees, self.seed), "right").astype(float), y[order, None]
+                for k, w in enumerate((drawn, drawn * y, drawn * y * y)):
+                    sums[:, k, own] += np.add.reduceat(w, starts, axis=0).T
+            if sums is not None:
+                firsts = range(0, self.trees, self.TOGETHER)
+                yield pa.RecordBatch.from_arrays([pa.array(firsts, pa.int32()), pa.array([sums[i : i + self.TOGETHER].tobytes() for i in firsts], pa.binary())], ["first", "sums"])
+
+        def grow(table: pa.Table) -> pa.Table:
+            first = table["first"][0].as_py()
+            sums = sum(np.frombuffer(s.as_py()) for s in table["sums"]).reshape(-1, 3, *self.shape)
+            return pa.table({"first": pa.array([first], pa.int32()), "means": pa.array([self.grown(sums, first).tobytes()], pa.binary())})
+
+        rows = df.where(F.col(f"`{self.target}`").isNotNull()).select(*(number(c).alias(f"x{i}") for i, c in enumerate(self.features)), number(self.target).alias("y"), self.ident)
+        found = rows.mapInArrow(gather, "first int, sums binary").groupBy("first").applyInArrow(grow, "first int, means binary").collect()  # a row for every ten trees
+        tables = [m for r in sorted(found) for m in np.frombuffer(r["means"]).reshape(-1, size) if not np.isnan(m).any()]
+        self.means = centre + (np.mean(tables, axis=0) if tables else np.zeros(size))
+        return self
+
+    def grown(self, sums: np.ndarray, first: int = 0) -> np.ndarray:
+        """Means by cell of the trees from the first on, grown a level at a time; NaN for one that drew no row."""
+        p, whole = len(self.shape), sums.reshape(len(sums), 3, -1).sum(2)
+        out = np.full((len(sums), *self.shape), np.nan)
+        # running sums over all features: what is in a box follows from its corners
+        running = np.pad(sums, [(0, 0), (0, 0)] + [(1, 0)] * p)
+        for f in range(p):
+            running = np.cumsum(running, f + 2)
+        tree = np.flatnonzero(whole[:, 0])
+        node, low, high = np.zeros(len(tree), np.int64), np.zeros((len(tree), p), np.int64), np.tile(self.shape, (len(tree), 1))
+        for depth in range(self.max_depth + 1 if len(tree) else 0):
+            m, least = len(node), whole[tree, 2]
+            order = np.argsort(counted(node * self.trees + first + tree, p, self.seed + 1), 1)[:, : -(-p // 3)]
+            best, where = np.zeros(m), np.full((m, 2), -1)
+            for f in range(p):
+                others = [g for g in range(p) if g != f]
+                line = np.zeros((m, 3, self.shape[f] + 1))
+                turned = np.moveaxis(running, (1, f + 2), (-2, -1))
+                for corner in np.ndindex(*(2,) * (p - 1)):
+                    line += (-1) ** (p - 1 - sum(corner)) * turned[(tree, *(np.where(side, high[:, g], low[:, g]) for side, g in zip(corner, others, strict=True)))]
+                left = line - np.take_along_axis(line, low[:, None, [f]], 2)
+                total = np.take_along_axis(left, high[:, None, [f]], 2)
+                if not f:
+                    stats = total[..., 0]
+                right = total - left
+                inside = (np.arange(left.shape[2]) > low[:, [f]]) & (np.arange(left.shape[2]) < high[:, [f]]) & (left[:, 0] > 0.5) & (right[:, 0] > 0.5) & (order == f).any(1)[:, None]
+                gain = left[:, 1] ** 2 / np.maximum(left[:, 0], 1) + right[:, 1] ** 2 / np.maximum(right[:, 0], 1) - total[:, 1] ** 2 / np.maximum(total[:, 0], 1)
+                gain = np.where(inside, gain, -np.inf)
+                at = (gain >= gain.max(1, keepdims=True) - 1e-9 * least[:, None]).argmax(1)  # of equal ones the first, whatever the order of the sums
+                gap = inside & (left[:, 0] == np.take_along_axis(left[:, 0], at[:, None], 1))  # ranges without a drawn row: cut in their midst
+                at = at + (gap.sum(1) - 1 + ~inside.any(1)) // 2
+                most = np.take_along_axis(gain, at[:, None], 1)[:, 0]
+                better = most > np.maximum(best, 1e-10 * least)
+                best, where = np.where(better, most, best), np.where(better[:, None], np.column_stack((np.full(m, f), at)), where)
+            splits = (where[:, 0] >= 0) & (depth < self.max_depth)
+            for i in np.flatnonzero(~splits):
+                out[(tree[i], *map(slice, low[i], high[i]))] = stats[i, 1] / stats[i, 0]
+            if not splits.any():
+                break
+            tree, node, low, high, (f, cut) = tree[splits], node[splits], low[splits], high[splits], where[splits].T
+            mid_high, mid_low, own = high.copy(), low.copy(), np.arange(len(f))
+            mid_high[own, f], mid_low[own, f] = cut, cut
+            tree, node, low, high = np.concatenate((tree, tree)), np.concatenate((2 * node + 1, 2 * node + 2)), np.concatenate((low, mid_low)), np.concatenate((mid_high, high))
+        return out.reshape(len(sums), -1)
+
+    def predict(self, x: np.ndarray) -> np.ndarray:
+        return self.means[self.cells(x)]
+
+    def prediction(self, df_columns: list[Column]) -> Column:
+        own = self
+
+        @F.pandas_udf("double")
+        def run(*series: pd.Series) -> pd.Series:
+            return pd.Series(own.predict(np.column_stack([s.to_numpy(float) for s in series])))
+
+        return run(*df_columns)
+
+
 def unpacked(batch: pa.RecordBatch, p: int) -> tuple[np.ndarray, np.ndarray]:
     return np.column_stack([batch.column(i).to_numpy() for i in range(p)]), batch.column(p).to_numpy()
 
