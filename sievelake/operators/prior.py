@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from sievelake.functions.stats import hash_unit, number
 from sievelake.operators.distance import steps, wasserstein
 from sievelake.operators.evaluate import running_counts
-from sievelake.plans.shared import written
+from sievelake.plans.shared import spread, written
 
 # ---- draws
 
@@ -207,7 +207,8 @@ def told_apart(p: DataFrame, q: DataFrame, columns: list[str], key: str, folds:
             model = classification.LogisticRegression(featuresCol="x", labelCol="label", maxIter=300, regParam=1e-6)
         else:
             model = classification.RandomForestClassifier(featuresCol="x", labelCol="label", numTrees=100, maxDepth=8, seed=seed)
-        fitted = model.fit(rows.where(F.col("fold") != fold))
+        train = rows.where(F.col("fold") != fold)
+        fitted = model.fit(train if kind == "logistic" else spread(train))  # a forest holds each row with its draws for every tree
         out = fitted.transform(rows.where(F.col("fold") == fold)).select("fold", "label", F.get(vector_to_array("probability"), F.lit(1)).alias("score"))
         scored = out if scored is None else scored.unionByName(out)
     scored = scored.withColumn("fold", F.lit(0)) if pooled else scored

@@ -47,6 +47,20 @@ def forget(*frames: DataFrame) -> None:
             _forget(df.sparkSession, path)
 
 
+#: Rows of a task of a model that holds its rows, about.
+TASK_ROWS = 50_000
+
+
+def spread(df: DataFrame, rows: int = TASK_ROWS) -> DataFrame:
+    """Rows dealt over tasks by their number.
+
+    Partitions of files go by bytes, so a small file of many rows is a task or two, however many rows a learner then holds there
+    for its trees.
+    """
+    n = df.count()
+    return df.repartition(-(-n // rows)) if n > rows else df
+
+
 #: Shuffle files of an ended execution go at once, not when the driver's garbage is next collected.
 CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from sievelake.operators import impute
 from sievelake.operators.learners import BinnedForest, ranges
+from sievelake.plans.shared import spread, written
 
 
 def jobs(spark, group, run):
@@ -61,3 +62,11 @@ def test_forests_follow_two_features(spark):
     assert got.agg(F.corr("y", "p")).first()[0] > 0.95
     again = BinnedForest(["a", "b"], "y", own, "id", n_estimators=20).fit(df.repartition(5), 40.0)
     assert again.means == pytest.approx(forest.means)  # draws follow the id, not the partitions
+
+
+def test_rows_of_a_small_file_are_dealt_over_tasks(spark):
+    table = written(spark.range(1000, numPartitions=1), "small")
+    assert table.rdd.getNumPartitions() == 1
+    sizes = spread(table, 300).rdd.glom().map(len).collect()
+    assert len(sizes) == 4 and sum(sizes) == 1000 and max(sizes) <= 300
+    assert spread(table, 1000).rdd.getNumPartitions() == 1
