@@ -182,12 +182,13 @@ def row_energy(p: DataFrame, q: DataFrame, columns: list[str], lines: int = 64,
     return (float(found.mean()), float(found.std() / math.sqrt(len(found)))) if len(found) else (0.0, 0.0)
 
 
-def auc(df: DataFrame, by: list[str], label: str = "label", score: str = "score") -> DataFrame:
+def auc(df: DataFrame, by: list[str], label: str = "label", score: str = "score", weight: str | None = None) -> DataFrame:
     """by, positives, negatives, auc: the share of (positive, negative) pairs that the score puts in order, ties for half.
 
-    Scores are counted by value first; null without rows of both labels.
+    Scores are counted by value first; null without rows of both labels. With a `weight` column a row stands for so many.
     """
-    counts = df.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(*by, F.col(score).alias("_s")).agg(F.count(F.lit(1)).alias("_c"), F.sum(F.col(label).cast("long")).alias("_p"))
+    w = F.col(weight) if weight else F.lit(1).cast("long")
+    counts = df.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(*by, F.col(score).alias("_s")).agg(F.sum(w).alias("_c"), F.sum(F.col(label).cast("long") * w).alias("_p"))
     rank = F.col("_run") - (F.col("_c") - 1) / 2
     sums = running_counts(counts, by, "_s", "_c").groupBy(*by).agg(F.sum("_p").alias("positives"), F.sum(F.col("_c") - F.col("_p")).alias("negatives"), F.sum(rank * F.col("_p")).alias("_r"))
     p, n = F.col("positives").cast("double"), F.col("negatives").cast("double")
@@ -197,22 +198,26 @@ def auc(df: DataFrame, by: list[str], label: str = "label", score: str = "score"
 def told_apart(p: DataFrame, q: DataFrame, columns: list[str], key: str, folds: int = 3, kind: str = "logistic", seed: int = 0, pooled: bool = False) -> float | None:
     """The AUC by which a classifier, trained on the other folds, tells rows of p (1) from rows of q (0); 0.5: not at all.
 
-    The mean over folds, or of all scores together. Folds are drawn by a hash of side and key.
+    The mean over folds, or of all scores together. Folds are drawn by a hash of side and key. A logistic regression learns from
+    distinct rows with their counts, which is the same sum; the hash of whole rows also deals both sides alike over tasks, however
+    few bytes one of them takes. A forest draws rows one by one, so it keeps every copy.
     """
     side = lambda df, label: df.select(F.lit(label).cast("double").alias("label"), F.floor(hash_unit(F.col(key), F.lit(label), seed=seed) * folds).cast("int").alias("fold"), *(number(c).alias(c) for c in columns))
-    rows = written(VectorAssembler(inputCols=columns, outputCol="x").transform(side(p, 1).unionByName(side(q, 0))).select("label", "fold", "x"), "two-samples")
+    both = side(p, 1).unionByName(side(q, 0))
+    both = both.groupBy(*both.columns).agg(F.count(F.lit(1)).alias("_w")) if kind == "logistic" else both.withColumn("_w", F.lit(1).cast("long"))
+    rows = written(VectorAssembler(inputCols=columns, outputCol="x").transform(both).select("label", "fold", "x", "_w"), "two-samples")
     scored = None
     for fold in range(folds):
         if kind == "logistic":
-            model = classification.LogisticRegression(featuresCol="x", labelCol="label", maxIter=300, regParam=1e-6)
+            model = classification.LogisticRegression(featuresCol="x", labelCol="label", weightCol="_w", maxIter=300, regParam=1e-6)
         else:
             model = classification.RandomForestClassifier(featuresCol="x", labelCol="label", numTrees=100, maxDepth=8, seed=seed)
         train = rows.where(F.col("fold") != fold)
         fitted = model.fit(train if kind == "logistic" else spread(train))  # a forest holds each row with its draws for every tree
-        out = fitted.transform(rows.where(F.col("fold") == fold)).select("fold", "label", F.get(vector_to_array("probability"), F.lit(1)).alias("score"))
+        out = fitted.transform(rows.where(F.col("fold") == fold)).select("fold", "label", "_w", F.get(vector_to_array("probability"), F.lit(1)).alias("score"))
         scored = out if scored is None else scored.unionByName(out)
     scored = scored.withColumn("fold", F.lit(0)) if pooled else scored
-    return auc(scored, ["fold"]).agg(F.avg("auc")).first()[0]
+    return auc(scored, ["fold"], weight="_w").agg(F.avg("auc")).first()[0]
 
 
 def prior_distances(df: DataFrame, columns: list[str], key: str, seed: int = 0, prior: str = "networks", features: int = 2048, lines: int = 64) -> dict[str, float | None]:

@@ -5,7 +5,9 @@ import math
 import numpy as np
 from pyspark.sql import functions as F
 
+from sievelake.functions.stats import hash_unit
 from sievelake.operators import prior
+from sievelake.plans.shared import written
 
 
 def frame(spark, x, parts=4):
@@ -70,3 +72,20 @@ def test_prior_distances(spark):
     normal = prior.normal_sample(spark, 600, ["a", "b"], 5).withColumnRenamed("id", "k")
     got = prior.prior_distances(normal, ["a", "b"], "k", 6, "normal", features=512)
     assert abs(got["c2st"] - 0.5) < 0.1 and got["w1"] < 0.2 and math.isclose(got["mmd"], 0, abs_tol=0.02)
+
+
+def test_a_row_and_its_copies_are_learned_from_as_one(spark, monkeypatch):
+    """Copies weigh in the fit and in the ranks, and only distinct rows of a side and fold are held."""
+    held = []
+    monkeypatch.setattr(prior, "written", lambda df, kind: held.append(written(df, kind)) or held[-1])
+    p = spark.range(4000).selectExpr("id k", "cast(id % 7 as double) a")
+    q = spark.range(3000).selectExpr("id k", "cast(id % 5 as double) a")
+    got = prior.told_apart(p, q, ["a"], "k")
+    assert held[0].count() <= 3 * (7 + 5)
+    draw = lambda df, label: df.select("a", F.floor(hash_unit(F.col("k"), F.lit(label), seed=0) * 3).alias("fold")).collect()
+    up, down = draw(p, 1), draw(q, 0)
+    want = []
+    for fold in range(3):  # of one feature the score is a monotone function
+        x, y = (np.array([r.a for r in side if r.fold == fold]) for side in (up, down))
+        want.append(((x[:, None] > y) + (x[:, None] == y) / 2).mean())
+    assert abs(got - np.mean(want)) < 1e-9
