@@ -89,3 +89,13 @@ def test_a_row_and_its_copies_are_learned_from_as_one(spark, monkeypatch):
         x, y = (np.array([r.a for r in side if r.fold == fold]) for side in (up, down))
         want.append(((x[:, None] > y) + (x[:, None] == y) / 2).mean())
     assert abs(got - np.mean(want)) < 1e-9
+
+
+def test_both_sides_are_dealt_alike_over_the_fits_files(spark, monkeypatch):
+    """A side whose columns take few bytes was packed whole into a task or two."""
+    held = []
+    monkeypatch.setattr(prior, "written", lambda df, kind: held.append(written(df, kind)) or held[-1])
+    p, q = (spark.range(0, 2000, 1, 1).selectExpr("id k", f"id / {by} a") for by in (7.0, 5.0))
+    prior.told_apart(p, q, ["a"], "k")
+    by = held[0].groupBy(F.input_file_name().alias("file")).pivot("label", [0.0, 1.0]).count().collect()
+    assert all(r["0.0"] and r["1.0"] and 0.5 < r["0.0"] / r["1.0"] < 2 for r in by)
