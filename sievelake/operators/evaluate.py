@@ -137,10 +137,14 @@ class BaseRegressionEvaluator:
     def estimator(self):
         raise NotImplementedError
 
+    def training(self, rows: DataFrame, features: list[str]) -> DataFrame:
+        """What the estimator is fitted on: x, y and whatever columns it is told of."""
+        return rows
+
     def predictions(self, df: DataFrame) -> DataFrame:
         features = self.features or [c for c in numeric_columns(df) if c not in (*self.key, self.target)]
         rows = vectors(split(df.where(F.col(self.target).isNotNull()), self.key, seed=self.seed), features, self.target, "mean", None, (*self.key, "split")).withColumn("y", F.col("_t").cast("double"))
-        self.model = self.estimator().setFeaturesCol("x").setLabelCol("y").fit(rows.where("split = 'train'"))
+        self.model = self.estimator().setFeaturesCol("x").setLabelCol("y").fit(self.training(rows.where("split = 'train'"), features))
         return self.model.transform(rows.where("split = 'test'")).select(*self.key, F.col("y").alias("label"), "prediction")
 
     def evaluate(self, df: DataFrame) -> dict[str, float]:
@@ -208,8 +212,16 @@ class LassoEvaluator(BaseRegressionEvaluator):
 
 
 class GBREvaluator(BaseRegressionEvaluator):
+    """Boosted trees by squared error, which need only the count and the mean target of the rows of equal features: what these
+    differ by among themselves is the same on either side of a cut."""
+
+    def training(self, rows, features):
+        own = [f"_x_{c}" for c in features]
+        points = rows.groupBy(*own).agg(F.avg("y").alias("y"), F.count("y").cast("double").alias("w"))
+        return written(VectorAssembler(inputCols=own, outputCol="x").transform(points).select("x", "y", "w"), "points")
+
     def estimator(self):
-        return regression.GBTRegressor(maxIter=self.params.get("n_estimators", 100), maxDepth=3, stepSize=0.1, seed=self.seed)
+        return regression.GBTRegressor(weightCol="w", maxIter=self.params.get("n_estimators", 100), maxDepth=3, stepSize=0.1, seed=self.seed)
 
 
 class KMeansEvaluator:

@@ -2,9 +2,10 @@
 
 import numpy as np
 import pytest
+from pyspark.ml import regression
 from pyspark.sql import functions as F
 
-from sievelake.operators import impute
+from sievelake.operators import evaluate, impute
 from sievelake.operators.learners import BinnedForest, ranges
 from sievelake.plans.shared import spread, written
 
@@ -70,3 +71,16 @@ def test_rows_of_a_small_file_are_dealt_over_tasks(spark):
     sizes = spread(table, 300).rdd.glom().map(len).collect()
     assert len(sizes) == 4 and sum(sizes) == 1000 and max(sizes) <= 300
     assert spread(table, 1000).rdd.getNumPartitions() == 1
+
+
+def test_boosted_trees_learn_from_points_with_counts(spark):
+    """The trees are those of all rows, and the fit holds a row for each point."""
+    df = spark.range(3000).selectExpr("id k", "cast(id % 9 as double) a", "cast(id % 4 as double) b").withColumn("y", F.sin("a") * F.col("b") + F.col("k") % 101 / 50)
+    kind = evaluate.GBREvaluator("y", ["k"], ["a", "b"], n_estimators=6)
+    rows = evaluate.vectors(evaluate.split(df, ["k"], seed=42), ["a", "b"], "y", keep=("k", "split")).withColumn("y", F.col("_t"))
+    train = rows.where("split = 'train'")
+    assert kind.training(train, ["a", "b"]).count() == 36
+    plain = regression.GBTRegressor(featuresCol="x", labelCol="y", maxIter=6, maxDepth=3, stepSize=0.1, seed=42).fit(train)
+    want = {r.k: r.prediction for r in plain.transform(rows.where("split = 'test'")).select("k", "prediction").collect()}
+    got = {r.k: r.prediction for r in kind.predictions(df).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in got)
