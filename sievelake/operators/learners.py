@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from sievelake.functions.stats import number
 from sievelake.operators.prior import counted
-from sievelake.plans.shared import forget, written
+from sievelake.plans.shared import forget, spread, written
 
 NODES = "kind string, at long, v double"
 
@@ -314,6 +314,92 @@ class BinnedForest:
         return run(*df_columns)
 
 
+class CountedForest:
+    """A random forest for classes that is grown from counts: features are cut into ranges, at most `bins` each.
+
+    Trees split between ranges only, so rows of the same ranges and class are one with their count w, and a tree's sample with
+    replacement holds it Poisson(w) times: as often as its copies together, were each drawn by itself. The draws follow the ranges
+    and the class, so they do not depend on the partitions. Past the one pass that counts them a level is one aggregate, whose
+    size is bounded by trees x open nodes x features x ranges x classes. A node tries the square root of the features.
+    """
+
+    def __init__(self, features: list[str], target: str, n_estimators: int = 100, max_depth: int = 5, bins: int = 32, seed: int = 42):
+        self.features, self.target, self.trees, self.max_depth, self.bins, self.seed = features, target, n_estimators, max_depth, bins, seed
+
+    def counted(self, df: DataFrame) -> DataFrame:
+        """The ranges that occur, by class, and `w`, how many rows each has; written, as every level reads them."""
+        x, y = [F.coalesce(number(c), F.lit(0.0)) for c in self.features], number(self.target)
+        own = df.select(*(v.alias(f"x{i}") for i, v in enumerate(x)), y.alias("y")).where("y is not null")
+        row = own.agg(F.sort_array(F.collect_set("y")).alias("classes"), *(cuts_of(F.col(f"x{i}")).alias(f"x{i}") for i in range(len(x)))).first()
+        self.classes = np.array(row["classes"])
+        p, cuts = len(x), [ranges(row[f"x{i}"] or [], self.bins) for i in range(len(x))]
+
+        def place(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in stream:
+                at = [pa.array(np.searchsorted(c, batch.column(i).to_numpy()), pa.int32()) for i, c in enumerate(cuts)]
+                yield pa.RecordBatch.from_arrays([*at, pa.array(np.searchsorted(self.classes, batch.column(p).to_numpy()), pa.int32())], [*(f"x{i}" for i in range(p)), "y"])
+
+        placed = own.mapInArrow(place, ", ".join(f"x{i} int" for i in range(p)) + ", y int")
+        return written(placed.groupBy(*placed.columns).agg(F.count(F.lit(1)).alias("w")), "counted-ranges")
+
+    def fit(self, df: DataFrame) -> CountedForest:
+        table, p, t = self.counted(df), len(self.features), self.trees
+        rows = spread(table, 10_000)  # a small file, and all trees to walk for each row
+        k, tried = len(self.classes), math.ceil(math.sqrt(p))
+        self.feature, self.cut, gains = {}, {}, np.zeros((t, p))  # heap numbering: node i has children 2i + 1 and 2i + 2
+        open_ = [(tree, 0) for tree in range(t)]
+        for _ in range(self.max_depth):
+            if not open_ or not k:
+                break
+            drawn = np.array([np.random.default_rng([self.seed, tree, node]).permutation(p)[:tried] for tree, node in open_])
+            tables: list[tuple[dict, dict, dict]] = [({}, {}, {}) for _ in range(t)]
+            for (tree, node), f in self.feature.items():
+                tables[tree][0][node], tables[tree][1][node] = f, self.cut[tree, node]
+            for i, (tree, node) in enumerate(open_):
+                tables[tree][2][node] = i
+            size = (len(open_), tried, self.bins, k)
+
+            def count(stream, drawn=drawn, tables=tables, size=size) -> dict[str, np.ndarray]:
+                out = np.zeros(math.prod(size))
+                for batch in stream:
+                    x, y = unpacked(batch, p)
+                    w = batch.column(p + 1).to_numpy()
+                    times = np.array([np.random.default_rng([self.seed, *map(int, own), int(label)]).poisson(n, t) for own, label, n in zip(x, y, w, strict=True)]).reshape(-1, t)
+                    for tree, table in enumerate(tables):
+                        at = walk(x, *table)
+                        seen = np.flatnonzero((at >= 0) & (times[:, tree] > 0))
+                        for j in range(tried):
+                            np.add.at(out, np.ravel_multi_index((at[seen], np.full(len(seen), j), x[seen, drawn[at[seen], j]], y[seen]), size), times[seen, tree])
+                return {"n": out}
+
+            n = summed(rows, count, {"n": size})["n"]
+            left = n.cumsum(2)[:, :, :-1]
+            whole = n[:, :1].sum(2, keepdims=True)
+            drop = _gini(whole) - _gini(left) - _gini(whole - left)
+            drop = np.where((left.sum(-1) > 0) & ((whole - left).sum(-1) > 0), drop, 0.0).reshape(len(open_), -1)
+            following = []
+            for i, (tree, node) in enumerate(open_):
+                most = drop[i].max(initial=0.0)
+                if most <= 1e-9 * whole[i].sum():
+                    continue
+                j, cut = divmod(int((drop[i] >= most).argmax()), self.bins - 1)
+                f = int(drawn[i, j])
+                self.feature[tree, node], self.cut[tree, node] = f, cut
+                gains[tree, f] += most
+                following += [(tree, 2 * node + 1), (tree, 2 * node + 2)]
+            open_ = following
+        forget(table)
+        own = gains[gains.sum(1) > 0]
+        self.importances = (own / own.sum(1, keepdims=True)).mean(0) if len(own) else np.zeros(p)  # each tree's shares, and their mean
+        return self
+
+
+def _gini(n: np.ndarray) -> np.ndarray:
+    """Count times Gini impurity."""
+    total = n.sum(-1)
+    return total - (n**2).sum(-1) / np.maximum(total, 1e-300)
+
+
 def unpacked(batch: pa.RecordBatch, p: int) -> tuple[np.ndarray, np.ndarray]:
     return np.column_stack([batch.column(i).to_numpy() for i in range(p)]), batch.column(p).to_numpy()
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sievelake.functions.stats import correlation, number, numeric_columns
 from sievelake.operators.base import Action
-from sievelake.operators.learners import ExtraTrees, l1_support_vectors
+from sievelake.operators.learners import CountedForest, ExtraTrees, l1_support_vectors
 from sievelake.operators.neighbours import RANGE_ROWS, jittered, mutual_information
 
 
@@ -152,16 +152,20 @@ class _Modelled(BaseSelector):
 
 
 class RandomForestSelector(_Modelled):
-    """Forest importances at least the median (or a number); `max_features` bounds how many stay."""
+    """Forest importances at least the median (or a number); `max_features` bounds how many stay.
+
+    Forests for classes grow from counts by ranges of the features; those for numbers are Spark's.
+    """
 
     DEFAULTS = {"n_estimators": 100, "threshold": "median", "max_features": None, "random_state": 42, "max_depth": 5, "task": "classification"}
 
     def scores(self, df, columns):
-        from pyspark.ml.classification import RandomForestClassifier
         from pyspark.ml.regression import RandomForestRegressor
 
-        kind = RandomForestClassifier if self.params["task"] == "classification" else RandomForestRegressor
-        model = kind(featuresCol="_x", labelCol="_y", numTrees=self.params["n_estimators"], maxDepth=self.params["max_depth"], seed=self.params["random_state"]).fit(self.fitted(df, columns))
+        if self.params["task"] == "classification":
+            forest = CountedForest(columns, self.target, self.params["n_estimators"], self.params["max_depth"], seed=self.params["random_state"]).fit(df)
+            return dict(zip(columns, forest.importances.tolist(), strict=True))
+        model = RandomForestRegressor(featuresCol="_x", labelCol="_y", numTrees=self.params["n_estimators"], maxDepth=self.params["max_depth"], seed=self.params["random_state"]).fit(self.fitted(df, columns))
         return dict(zip(columns, model.featureImportances.toArray().tolist(), strict=True))
 
     def choose(self, scores):

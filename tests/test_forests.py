@@ -2,11 +2,11 @@
 
 import numpy as np
 import pytest
-from pyspark.ml import regression
+from pyspark.ml import classification, regression
 from pyspark.sql import functions as F
 
-from sievelake.operators import evaluate, impute
-from sievelake.operators.learners import BinnedForest, ranges
+from sievelake.operators import evaluate, impute, select
+from sievelake.operators.learners import BinnedForest, CountedForest, ranges
 from sievelake.plans.shared import spread, written
 
 
@@ -84,3 +84,18 @@ def test_boosted_trees_learn_from_points_with_counts(spark):
     want = {r.k: r.prediction for r in plain.transform(rows.where("split = 'test'")).select("k", "prediction").collect()}
     got = {r.k: r.prediction for r in kind.predictions(df).collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in got)
+
+
+def test_forests_for_classes_grow_from_counted_rows(spark):
+    """Copies are one row with their count, draws follow the ranges, and the shares are close to those of Spark's forest of all rows."""
+    df = spark.range(6000).selectExpr("cast(id % 40 as double) a", "cast(id % 7 as double) b", "cast(id % 3 as double) c", "id").withColumn("y", ((F.col("a") > 24) != ((F.col("b") > 4) & (F.hash("id") % 2 == 0))).cast("int"))
+    forest = CountedForest(["a", "b", "c"], "y", n_estimators=30, max_depth=4)
+    assert forest.counted(df).count() <= 32 * 7 * 3 * 2
+    forest.fit(df)
+    again = CountedForest(["a", "b", "c"], "y", n_estimators=30, max_depth=4).fit(df.repartition(7))
+    assert list(again.importances) == list(forest.importances) and abs(forest.importances.sum() - 1) < 1e-9
+    plain = classification.RandomForestClassifier(featuresCol="_x", labelCol="y", numTrees=30, maxDepth=4, seed=1)
+    kind = select.RandomForestSelector(columns=["a", "b", "c"], target="y", n_estimators=30, max_depth=4)
+    want = plain.fit(kind.fitted(df, ["a", "b", "c"]).withColumnRenamed("_y", "y")).featureImportances.toArray()
+    assert np.abs(forest.importances - want).max() < 0.1 and forest.importances[0] > forest.importances[1] > forest.importances[2]
+    assert kind.fit(df).stats["kept"] == ["a", "b"]
