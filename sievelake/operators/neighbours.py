@@ -82,11 +82,19 @@ def jittered(df: DataFrame, columns: list[str], key: list[str], size: float, see
     return df.withColumns({c: number(c) + (2 * hash_unit(*key, seed=seed + i) - 1) * F.lit(scale[c]) for i, c in enumerate(columns)})
 
 
+def dealt(df: DataFrame, rows: int) -> DataFrame:
+    """Rows over tasks of about `rows` each by their place in the input, which needs no sort; values that hardly repeat fill a task's
+    map of counts with every one of them, and a task of a scan has as many rows as its bytes hold."""
+    n = df.count()
+    return df.withColumn("_i", F.monotonically_increasing_id()).repartition(-(-n // rows), "_i").drop("_i") if n > rows else df
+
+
 def mutual_information(df: DataFrame, columns: list[str], target: str, neighbours: int = 3, range_rows: int = RANGE_ROWS) -> dict[str, float | None]:
     """By column; None where no class has two values. Rows where the column or the target is null take no part, nor do classes of one row."""
     k = neighbours
-    entries = F.explode(F.array(*(F.struct(F.lit(i).alias("feature"), number(c).alias("v")) for i, c in enumerate(columns))))
-    rows = df.where(F.col(f"`{target}`").isNotNull()).select(F.col(f"`{target}`").alias("y"), entries.alias("e")).select("y", "e.*").where("v is not null")
+    entries = F.explode(F.array(*(F.struct(F.lit(i).alias("feature"), F.col(f"x{i}").alias("v")) for i in range(len(columns)))))
+    known = dealt(df.where(F.col(f"`{target}`").isNotNull()).select(F.col(f"`{target}`").alias("y"), *(number(c).alias(f"x{i}") for i, c in enumerate(columns))), max(1, 4 * range_rows // len(columns)))
+    rows = known.select("y", entries.alias("e")).select("y", "e.*").where("v is not null")
     counts = written(rows.groupBy("feature", "v", "y").agg(F.count(F.lit(1)).alias("w")), "value-counts")
     classes = counts.groupBy("feature", "y").agg(F.sum("w").alias("size"), F.count(F.lit(1)).alias("distinct")).where("size > 1")
     classes = written(classes.withColumn("c", F.dense_rank().over(Window.partitionBy("feature").orderBy("y"))), "classes")
@@ -106,7 +114,8 @@ def mutual_information(df: DataFrame, columns: list[str], target: str, neighbour
 
     own, outer = Window.partitionBy("feature", "c", "part"), Window.partitionBy("feature", "c").orderBy("part", "v")
     value = F.struct("v", "w")
-    ranked = placed.withColumns({"up": F.row_number().over(own.orderBy("v")), "down": F.row_number().over(own.orderBy(F.desc("v")))})
+    # as many partitions as ranges, whatever few bytes their rows take: what a task sorts does not grow with the input
+    ranked = placed.repartition(parts, "feature", "c", "part").withColumns({"up": F.row_number().over(own.orderBy("v")), "down": F.row_number().over(own.orderBy(F.desc("v")))})
     edge = written(ranked.where((F.col("up") <= k) | (F.col("down") <= k)).select("feature", "c", "part", "v", "w", "up", "down"), "edges")
     left = edge.where(F.col("down") <= k).withColumn("left", F.collect_list(value).over(outer.rowsBetween(-k, -1))).withColumn("r", F.row_number().over(own.orderBy("v"))).where("r = 1").select("feature", "c", "part", "left")
     right = edge.where(F.col("up") <= k).withColumn("right", F.collect_list(value).over(outer.rowsBetween(1, k))).withColumn("r", F.row_number().over(own.orderBy(F.desc("v")))).where("r = 1").select("feature", "c", "part", "right")
@@ -144,7 +153,7 @@ def mutual_information(df: DataFrame, columns: list[str], target: str, neighbour
         kinds = (pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.float64(), pa.float64(), pa.int64())
         return pa.table({x: pa.array(y, t) for (x, y), t in zip(found.items(), kinds, strict=True)})
 
-    measured = written(placed.groupBy("part").cogroup(halo.groupBy("part")).applyInArrow(measure, SUMS), "neighbours")
+    measured = written(placed.repartition(parts, "part").groupBy("part").cogroup(halo.groupBy("part")).applyInArrow(measure, SUMS), "neighbours")
     asked = written(measured.where("x is not null").select("feature", "x", "r", "w", F.monotonically_increasing_id().alias("id")), "far-windows")
 
     def route(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,7 +184,7 @@ def mutual_information(df: DataFrame, columns: list[str], target: str, neighbour
                     got[at] = (2 * s - 1) * (base[at] + sums[below(v[mine], x[at], r[at], s == 1)])
         return pa.table({"feature": queries["feature"], "id": queries["id"], "w": queries["w"], "m": pa.array(got)})
 
-    counted = placed.select("part", "feature", "v", "w").withColumn("part", F.col("part").cast("long")).groupBy("part").cogroup(ends.groupBy("part")).applyInArrow(count, "feature int, id long, w long, m long")
+    counted = placed.select("part", "feature", "v", "w").withColumn("part", F.col("part").cast("long")).repartition(parts, "part").groupBy("part").cogroup(ends.groupBy("part")).applyInArrow(count, "feature int, id long, w long, m long")
     windows = counted.groupBy("feature", "id", "w").agg(F.sum("m").alias("m"))
 
     def psi_of(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -64,3 +64,25 @@ def test_selector_tells_equal_values_apart(spark):
     assert pick.transform(df).columns == ["tied", "k", "y"]
     nothing = select.MutualInformationSelector(columns=["noise"], target="y").fit(df.limit(0))
     assert nothing.stats["scores"] == {"noise": None}
+
+
+def test_rows_are_dealt_before_their_values_are_counted(spark, monkeypatch):
+    """A file of many rows is one task of a scan; the tasks that count and sort its values hold no more for it."""
+    from sievelake.operators import neighbours
+
+    frames = {}
+    real = neighbours.written
+
+    def kept(df, kind):
+        if kind == "edges":
+            frames[kind] = df.rdd.getNumPartitions()
+        return real(df, kind)
+
+    monkeypatch.setattr(neighbours, "written", kept)
+    df = spark.range(0, 4000, 1, 1).selectExpr("id", "cast(id * 7919 % 4001 as double) a", "cast(id * 104729 % 4001 as double) b", "id % 2 y")
+    got = neighbours.mutual_information(df, ["a", "b"], "y", 3, range_rows=500)
+    sizes = neighbours.dealt(df, 1000).rdd.glom().map(len).collect()
+    assert len(sizes) == 4 and sum(sizes) == 4000 and max(sizes) < 1300
+    assert frames["edges"] == 16  # 8000 values, 500 to a range
+    whole = neighbours.mutual_information(df, ["a", "b"], "y", 3)
+    assert all(abs(got[c] - whole[c]) < 1e-9 for c in got)
