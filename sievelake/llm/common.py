@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievelake.plans.shared import ROOT, forget, fresh_dir, written
+from sievelake.plans.shared import ROOT, Sieve, forget, fresh_dir, written
 
-__all__ = ["batches", "crc_mod", "filesystem", "forget", "fresh_dir", "held_out", "table", "written"]
+__all__ = ["Sieve", "batches", "crc_mod", "filesystem", "forget", "fresh_dir", "held_out", "table", "written"]
 
 #: Rows of an Arrow batch handed to Python; with a byte bound beside it a batch of very long texts stays small.
 BATCH_ROWS = "1000"

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
 
-from sievelake.llm.common import batches, forget, written
+from sievelake.llm.common import Sieve, batches, forget, written
 from sievelake.plans.components import connected_components
 
 WORD = re.compile(r"[^\W_]+")
@@ -267,7 +267,9 @@ def _members(docs: DataFrame, similarity: float, sketcher: Sketcher | None, id_c
     members = written(rows.join(shared.hint("merge"), "bucket").select(F.shiftright("entry", 8).alias("id"), (F.col("entry") % 256).cast("int").alias("band"), "words", "bucket", "pivot"), "members")
     of_digest = written(firsts.select("digest", "doc_id", "words", "id"), "ids")
     forget(firsts, shared)
-    texts = written(_texts(docs, of_digest.join(members.select("id").distinct(), "id", "left_semi"), sketcher, id_column, text_column), "candidate-texts")
+    needed = written(of_digest.join(members.select("id").distinct(), "id", "left_semi"), "needed")
+    texts = written(_texts(docs, needed, sketcher, id_column, text_column), "candidate-texts")
+    forget(needed)
     # each member against its bucket's pivot; later bands skip what the first ones have joined already
     labels, tested = None, None
     sizes = of_digest.select(F.col("id").alias("a"), F.col("words").alias("wa"))
@@ -303,8 +305,12 @@ def _joined(labels: DataFrame | None, fresh: DataFrame) -> DataFrame:
 
 
 def _texts(docs: DataFrame, needed: DataFrame, sketcher: Sketcher, id_column: str, text_column: str) -> DataFrame:
-    """id, words, words joined by spaces and their counts by cell, of the needed (id, doc_id, digest), once each."""
-    own = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")).join(needed.select("doc_id").distinct(), "doc_id", "left_semi")
+    """id, words, words joined by spaces and their counts by cell, of the needed (id, doc_id, digest), once each.
+
+    Digests say in the end which texts are needed; the ids only save moving the others.
+    """
+    own = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
+    own = Sieve(needed.select("doc_id")).through(own, F.col("doc_id"))
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:

@@ -7,7 +7,8 @@ import tempfile
 import uuid
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Where workers on this machine find the package; a cluster gets it by --py-files.
 ROOT = str(Path(__file__).resolve().parents[2])
@@ -78,3 +79,37 @@ def written(df: DataFrame, kind: str = "stage") -> DataFrame:
     out = spark.read.schema(schema).parquet(path)
     out._written = path
     return out
+
+
+#: Words of 64 bits of a sieve, at most.
+SIEVE_WORDS = 1 << 20
+
+
+class Sieve:
+    """A bit for the hash of each id of a table of one column, as rows (_word, _bits).
+
+    There are as many rows as ids, `SIEVE_WORDS` at most, so it can be broadcast however many ids there are: rows of a wide table
+    that have none of them are told without being moved, and only the others go on to the exact join. Beyond some 10^7 ids it lets
+    ever more rows through; it never holds one back.
+    """
+
+    def __init__(self, ids: DataFrame, words: int = SIEVE_WORDS):
+        self.words = max(1, min(ids.count(), words))
+        word, bit = self._place(F.col(ids.columns[0]))
+        self.table = written(ids.select(word.alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits")), "sieve")
+
+    def _place(self, key: Column) -> tuple[Column, Column]:
+        h = F.xxhash64(key.cast("long"))
+        return F.pmod(F.shiftright(h, 6), F.lit(self.words)), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(h, F.lit(64)).cast("int"))
+
+    def _join(self, df: DataFrame, key: Column, how: str) -> DataFrame:
+        word, bit = self._place(key)
+        return df.join(F.broadcast(self.table), (word == self.table["_word"]) & (self.table["_bits"].bitwiseAND(bit) != 0), how)
+
+    def through(self, df: DataFrame, key: Column) -> DataFrame:
+        """Rows whose key may be one of the ids: all that are, and few others."""
+        return self._join(df, key, "left_semi")
+
+    def held_back(self, df: DataFrame, key: Column) -> DataFrame:
+        """The other rows: none of them has one of the ids."""
+        return self._join(df, key, "left_anti")

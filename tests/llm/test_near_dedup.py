@@ -142,3 +142,27 @@ def test_keep_first(spark, make_docs):
     kept = near_dedup.keep_first(docs)
     assert sorted(r.doc_id for r in kept.collect()) == [3, 7, 8, 9] and kept.columns == docs.columns
     assert near_dedup.keep_first(docs.limit(0)).count() == 0
+
+
+def _shuffled(spark, plan_of) -> str:
+    """The plan as it is where no table is small enough for Spark to broadcast by itself."""
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")
+    before = [spark.conf.get(n) for n in names]
+    try:
+        for n, v in zip(names, ("-1", "false"), strict=True):
+            spark.conf.set(n, v)
+        return plan_of()._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for n, v in zip(names, before, strict=True):
+            spark.conf.set(n, v)
+
+
+def test_texts_that_are_not_needed_do_not_move(spark, make_docs):
+    docs = make_docs([prose(i, 50) for i in range(20)])
+    digest = near_dedup.digest_of(near_dedup.normalise(prose(3, 50)))
+    needed = spark.createDataFrame([(7, 3, bytearray(digest))], "id long, doc_id long, digest binary")
+    texts = lambda: near_dedup._texts(docs, needed, near_dedup.Sketcher(), "doc_id", "text")
+    assert [(r["id"], r["words"], r["text"]) for r in texts().collect()] == [(7, 50, prose(3, 50))]
+    plan = _shuffled(spark, texts)
+    read = plan[plan.index("MapInArrow") : plan.index("FileScan parquet")]
+    assert "hashpartitioning" not in read

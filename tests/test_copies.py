@@ -72,3 +72,19 @@ def test_extra_trees_read_copies_once(spark):
     assert held.count() <= 60 < len(rows) == held.groupBy().sum("w").first()[0]
     trees.fit(df)
     assert np.allclose(trees.value[0, 0].sum(), 1.0) and trees.importances.sum() > 0
+
+
+def test_a_sieve_lets_all_its_ids_through_and_loses_no_row(spark):
+    from sievelake.plans.shared import Sieve
+
+    rows = spark.createDataFrame([(i, f"t{i}") for i in [None, *range(-300, 300)]], "k int, t string")
+    ids = spark.createDataFrame([(i,) for i in [None, *range(0, 5000, 7)]], "k long")
+    for words in (1, 4, 1 << 20):  # from a sieve with every bit set
+        sieve = Sieve(ids, words)
+        through, back = ({r["t"] for r in part(rows, rows["k"]).collect()} for part in (sieve.through, sieve.held_back))
+        assert through | back == {r["t"] for r in rows.collect()} and not through & back
+        assert {f"t{i}" for i in range(0, 300, 7)} <= through
+        assert sieve.table.count() <= words
+    assert len(through) < 75  # 43 ids, the null and few others
+    none = Sieve(ids.where("k > 99999"))
+    assert none.through(rows, rows["k"]).count() == 0 and none.held_back(rows, rows["k"]).count() == 601
