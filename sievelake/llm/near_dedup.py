@@ -423,10 +423,11 @@ def keep_first(docs: DataFrame, similarity: float = 0.8, id_column: str = "doc_i
     """
     found = written(_members(docs, similarity, None, id_column, text_column), "members-of-classes")
     by_id = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max("is_first").alias("any"))
-    gone = by_id.where("not any").select(F.col("doc_id").alias("_gone"))
+    gone = written(by_id.where("not any").select(F.col("doc_id").alias("_gone")), "gone")
     many = by_id.where("any and n > 1").select(F.col("doc_id").alias("_many"))
     key = docs[id_column].cast("long")
-    kept = docs.join(gone, key == gone["_gone"], "left_anti")
+    sieve = Sieve(gone)  # most rows stay without being moved
+    kept = sieve.held_back(docs, key).union(sieve.through(docs, key).join(gone, key == gone["_gone"], "left_anti"))
     if many.limit(1).count() == 0:  # no id is repeated, so no text need move
         return kept
 

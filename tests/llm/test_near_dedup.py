@@ -166,3 +166,12 @@ def test_texts_that_are_not_needed_do_not_move(spark, make_docs):
     plan = _shuffled(spark, texts)
     read = plan[plan.index("MapInArrow") : plan.index("FileScan parquet")]
     assert "hashpartitioning" not in read
+
+
+def test_rows_that_stay_do_not_move(spark, make_docs):
+    docs = make_docs([*(prose(i, 50) for i in range(6)), prose(2, 50), (None, prose(1, 50))])
+    kept = lambda: near_dedup.keep_first(docs)
+    assert sorted((r["doc_id"] is None, r["doc_id"]) for r in kept().select("doc_id").collect()) == [*((False, i) for i in range(6)), (True, None)]
+    lines = _shuffled(spark, kept).splitlines()
+    stays = [x for x in lines[1:] if x.startswith(":")]
+    assert lines[0].strip() == "Union" and stays and not any("hashpartitioning" in x for x in stays)
