@@ -154,7 +154,7 @@ def steps(p: DataFrame, q: DataFrame, columns: list[str], buckets: int = 256, we
     totals = sums.groupBy("feature").agg(F.sum("sp").alias("np"), F.sum("sq").alias("nq")).where("np > 0 and nq > 0")
     run = within.rowsBetween(Window.unboundedPreceding, 0)
     lines = placed.join(before, ["feature", "b"]).withColumn("next", F.coalesce(F.lead("v").over(within), F.col("then"))).withColumn("fp", F.sum("cp").over(run) + F.col("bp")).withColumn("fq", F.sum("cq").over(run) + F.col("bq"))
-    return lines.join(totals, "feature").select("feature", (F.col("next") - F.col("v")).alias("width"), (F.col("fp") / F.col("np")).alias("fp"), (F.col("fq") / F.col("nq")).alias("fq"))
+    return lines.join(F.broadcast(totals), "feature").select("feature", (F.col("next") - F.col("v")).alias("width"), (F.col("fp") / F.col("np")).alias("fp"), (F.col("fq") / F.col("nq")).alias("fq"))
 
 
 def wasserstein(p: DataFrame, q: DataFrame, columns: list[str], buckets: int = 256) -> DataFrame:

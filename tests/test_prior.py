@@ -1,12 +1,13 @@
 """Distances of whole rows against sums over all pairs, and draws that do not depend on the partitions."""
 
 import math
+import re
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from sievelake.functions.stats import hash_unit
-from sievelake.operators import prior
+from sievelake.operators import distance, prior
 from sievelake.plans.shared import written
 
 
@@ -99,3 +100,19 @@ def test_both_sides_are_dealt_alike_over_the_fits_files(spark, monkeypatch):
     prior.told_apart(p, q, ["a"], "k")
     by = held[0].groupBy(F.input_file_name().alias("file")).pivot("label", [0.0, 1.0]).count().collect()
     assert all(r["0.0"] and r["1.0"] and 0.5 < r["0.0"] / r["1.0"] < 2 for r in by)
+
+
+def test_a_column_is_not_gathered_in_one_task(spark):
+    """The distribution functions of a column met its two totals in the one task of the column's name."""
+    p, q = (prior.normal_sample(spark, 50, ["a", "b"], seed) for seed in (1, 2))
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")
+    before = [spark.conf.get(n) for n in names]
+    try:
+        for n, v in zip(names, ("-1", "false"), strict=True):
+            spark.conf.set(n, v)
+        plan = distance.steps(p, q, ["a", "b"])._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for n, v in zip(names, before, strict=True):
+            spark.conf.set(n, v)
+    assert "SortMergeJoin [feature" in plan  # that of the ranges
+    assert not re.search(r"SortMergeJoin \[feature#\d+\]", plan)
