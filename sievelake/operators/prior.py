@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievelake.functions.stats import hash_unit, number
-from sievelake.operators.distance import steps, wasserstein
+from sievelake.operators.distance import areas
 from sievelake.operators.evaluate import running_counts
 from sievelake.plans.shared import spread, written
 
@@ -174,11 +174,9 @@ def row_energy(p: DataFrame, q: DataFrame, columns: list[str], lines: int = 64,
     d = len(columns)
     unit = np.random.default_rng(seed).standard_normal((1 if d == 1 else lines, d))
     unit /= np.linalg.norm(unit, axis=1, keepdims=True)
-    # the distribution functions run over values, so a digit lost to the order of sums is no step
-    along = lambda df: df.select(*(F.round(sum((F.lit(float(w)) * number(c) for w, c in zip(u, columns, strict=True)), F.lit(0.0)), 9).alias(f"l{i}") for i, u in enumerate(unit)), *([weight] if weight else []))
-    by = steps(along(p), along(q), [f"l{i}" for i in range(len(unit))], weight=weight).groupBy("feature").agg(F.coalesce(F.sum(2 * (F.col("fp") - F.col("fq")) ** 2 * F.col("width")), F.lit(0.0)).alias("e"))
     mean_length = math.exp(math.lgamma(d / 2) - math.lgamma((d + 1) / 2)) / math.sqrt(math.pi)
-    found = np.array([r["e"] for r in by.collect()]) / mean_length  # a row a line
+    by = areas(p, q, columns, lambda gap: 2 * gap**2, unit.T, weight)
+    found = np.array([e for e in by if e is not None]) / mean_length
     return (float(found.mean()), float(found.std() / math.sqrt(len(found)))) if len(found) else (0.0, 0.0)
 
 
@@ -231,7 +229,7 @@ def prior_distances(df: DataFrame, columns: list[str], key: str, seed: int = 0,
     median = median_distance(both, columns, ["_side", "_key"], seed)
     gamma = 1 / (2 * median**2) if prior == "networks" else 1 / median**2
     mmd, error = kernel_distance(z, g, columns, gamma, features, seed)
-    out: dict[str, float | None] = {"w1": wasserstein(z, g, columns).agg(F.avg("value")).first()[0], "mmd": math.sqrt(mmd) if prior == "networks" else mmd, "mmd_squared_error": error}
+    out: dict[str, float | None] = {"w1": float(np.mean([a for a in areas(z, g, columns, np.abs) if a is not None])) if n else None, "mmd": math.sqrt(mmd) if prior == "networks" else mmd, "mmd_squared_error": error}
     if prior == "networks":
         out["energy"], out["energy_error"] = row_energy(z, g, columns, lines, seed)
     g = g.withColumnRenamed("id", key)

@@ -16,7 +16,7 @@ from sievelake.functions import sketches
 from sievelake.functions.stats import number
 from sievelake.operators import base, crossval, dedup, distance, evaluate, impute, inject, outliers, prior, profile, reduce, reward, scale, select, splines, validate
 from sievelake.plans import mixture, search
-from sievelake.plans.shared import fresh_dir, written
+from sievelake.plans.shared import forget, fresh_dir, written
 from sievelake.sources import loaders
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -541,7 +541,9 @@ def dist_mmd(spark, sf):
 
 @query("dist_row_energy")
 def dist_row_energy(spark, sf):
-    value, error = prior.row_energy(*(prior.counted_rows(side, _NUM) for side in sides(spark, sf)), _NUM, 16, weight="_w")
+    held = [written(prior.counted_rows(side, _NUM), "rows") for side in sides(spark, sf)]  # read four times
+    value, error = prior.row_energy(*held, _NUM, 16, weight="_w")
+    forget(*held)
     return _named(spark, {"energy": value, "error": error})
 
 
