@@ -115,13 +115,30 @@ def median_distance(df: DataFrame, columns: list[str], key: list[str], seed: int
 
     A key must tell rows apart: those of one key are in one group.
     """
-    n = df.count()
+    n, d = df.count(), len(columns)
     group = F.floor(hash_unit(*key, seed=seed) * max(1, n // each))
-    rows = df.select(group.alias("g"), F.array(*(number(c) for c in columns)).alias("x"), F.xxhash64(*key).alias("k"))
-    near = rows.groupBy("g").agg(F.sort_array(F.collect_list(F.struct("k", "x"))).alias("all"))
-    pairs = near.select("all", F.posexplode("all").alias("i", "a")).select("a", F.explode(F.slice("all", F.col("i") + 2, F.size("all"))).alias("b"))
-    square = F.aggregate(F.zip_with("a.x", "b.x", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, b: a + b)
-    found = pairs.select(F.sqrt(square).alias("d")).where("d > 0").agg(F.percentile_approx("d", 0.5, 10000)).first()[0]
+    rows = df.select(group.alias("g"), F.xxhash64(*key).alias("k"), *(number(c).alias(f"x{i}") for i, c in enumerate(columns)))
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        g, x = np.zeros(0, np.int64), np.zeros((0, d))
+        for batch in stream:
+            g = np.concatenate((g, batch.column(0).to_numpy()))
+            x = np.concatenate((x, np.column_stack([batch.column(i + 1).to_numpy(zero_copy_only=False) for i in range(d)]).astype(float)))
+            whole = np.searchsorted(g, g[-1])  # the last group may go on
+            yield from pairs(g[:whole], x[:whole])
+            g, x = g[whole:], x[whole:]
+        yield from pairs(g, x)
+
+    def pairs(g: np.ndarray, x: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for apart in range(1, len(g)):
+            at = np.flatnonzero(g[apart:] == g[:-apart])
+            if not len(at):
+                return
+            far = np.sqrt(((x[at] - x[at + apart]) ** 2).sum(1))
+            yield pa.RecordBatch.from_arrays([pa.array(far[far > 0])], ["d"])
+
+    near = rows.repartition("g").sortWithinPartitions("g", "k").drop("k")
+    found = near.mapInArrow(run, "d double").agg(F.percentile_approx("d", 0.5, 10000)).first()[0]
     return float(found or 1.0)
 
 
@@ -130,22 +147,111 @@ def counted_rows(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.groupBy(*(number(c).alias(c) for c in columns)).agg(F.count(F.lit(1)).alias("_w"))
 
 
+#: Degree of the monomials that stand for the rows of a cell, and how far the waves turn within one (its corner from its middle).
+DEGREE, TURN = 7, 0.5
+
+#: Monomials of a cell, and cells of a task, at most.
+MONOMIALS, CELLS = 400, 1 << 16
+
+
+class CellWaves:
+    """Sums of exp(iwx) over weighted points, for many w, from the monomials' sums in cells of a grid around the cells' middles.
+
+    exp(iwx) is exp(iwc) times the series of exp(iw(x - c)) up to `DEGREE`, so a row costs its monomials, and each wave is worked
+    out once a cell. What is cut off is at most TURN^8 / 8!, 1e-7, for a row in a corner and the shortest wave, and falls with the
+    eighth power of either.
+    """
+
+    def __init__(self, lines: np.ndarray):
+        self.lines, d = lines, len(lines)
+        self.side = 2 * TURN / max(float(np.abs(lines).sum(0).max()), 1e-300)  # a corner's |w(x - c)| is at most half a side times this sum
+        # a monomial is an earlier one times a column
+        self.powers, self.made = [(0,) * d], [(0, 0)]
+        start = 0
+        for _ in range(DEGREE):
+            stop = len(self.powers)
+            for m in range(start, stop):
+                last = max((i for i, e in enumerate(self.powers[m]) if e), default=0)
+                for i in range(last, d):
+                    self.powers.append(tuple(e + (j == i) for j, e in enumerate(self.powers[m])))
+                    self.made.append((m, i))
+            start = stop
+        degrees = np.array([sum(e) for e in self.powers])
+        self.even = degrees % 2 == 0
+        self.terms = np.array([np.prod([lines[i] ** e / math.factorial(e) for i, e in enumerate(p)], axis=0) for p in self.powers]) * np.where(degrees % 4 < 2, 1.0, -1.0)[:, None]
+        self.total = np.zeros((2, lines.shape[1]))
+        self.clear()
+
+    @staticmethod
+    def offered(d: int) -> bool:
+        return math.comb(d + DEGREE, DEGREE) <= MONOMIALS
+
+    def clear(self) -> None:
+        self.cells, self.sums = np.zeros((0, len(self.lines)), np.int64), np.zeros((0, len(self.powers)))
+
+    def add(self, x: np.ndarray, w: np.ndarray) -> None:
+        place = np.floor(x / self.side).astype(np.int64)
+        order = np.lexsort(place.T)
+        place, w = place[order], w[order].astype(float)
+        u = x[order] - (place + 0.5) * self.side
+        first = np.flatnonzero(np.append(True, (place[1:] != place[:-1]).any(1)))
+        sums, own = np.empty((len(first), len(self.powers))), [w]
+        sums[:, 0] = np.add.reduceat(w, first)
+        for m, (of, i) in enumerate(self.made[1:], 1):
+            own.append(own[of] * u[:, i])
+            sums[:, m] = np.add.reduceat(own[m], first)
+        cells = np.concatenate((self.cells, place[first]))
+        self.cells, at = np.unique(cells, axis=0, return_inverse=True)
+        both = np.zeros((len(self.cells), len(self.powers)))
+        both[at[: len(self.sums)]] = self.sums
+        both[at[len(self.sums) :]] += sums
+        self.sums = both
+        if len(self.cells) > CELLS:
+            self.flush()
+
+    def flush(self) -> None:
+        for a in range(0, len(self.cells), 512):
+            wave = np.ones((1, 1))
+            for own, w in zip(self.cells[a : a + 512].T, self.lines, strict=True):
+                steps, at = np.unique(own, return_inverse=True)
+                wave = wave * np.exp(1j * np.outer((steps + 0.5) * self.side, w))[at]
+            real, imaginary = (self.sums[a : a + 512, own] @ self.terms[own] for own in (self.even, ~self.even))
+            self.total += (wave.real * real - wave.imag * imaginary).sum(0), (wave.real * imaginary + wave.imag * real).sum(0)
+        self.clear()
+
+
 def kernel_means(df: DataFrame, columns: list[str], lines: np.ndarray, weight: str | None = None) -> np.ndarray:
     """Means over rows of the cosines and sines along each line: a row a task, added up before they reach the driver."""
-    width = lines.shape[1]
+    width, d = lines.shape[1], len(columns)
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros(2 * width), 0
-        for batch in stream:
-            x = np.column_stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(len(columns))])
-            w = batch.column(len(columns)).to_numpy()
-            for at in range(0, len(x), 256):
-                along = x[at : at + 256] @ lines
-                total[:width] += w[at : at + 256] @ np.cos(along)
-                total[width:] += w[at : at + 256] @ np.sin(along)
+        waves = CellWaves(lines) if CellWaves.offered(d) else None
+        for x, w in held(stream):
+            if waves:
+                waves.add(x, w)
+            else:
+                for at in range(0, len(x), 256):
+                    along = x[at : at + 256] @ lines
+                    total[:width] += w[at : at + 256] @ np.cos(along)
+                    total[width:] += w[at : at + 256] @ np.sin(along)
             n += int(w.sum())
+        if waves:
+            waves.flush()
+            total = waves.total.ravel()
         yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([total], pa.list_(pa.float64()))], ["n", "total"])
 
+    def held(stream: Iterator[pa.RecordBatch], most: int = 1 << 16) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        own, n = [], 0
+        for batch in stream:
+            own.append((np.column_stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(d)]), batch.column(d).to_numpy()))
+            n += batch.num_rows
+            if n >= most:
+                yield tuple(map(np.concatenate, zip(*own, strict=True)))
+                own, n = [], 0
+        if n:
+            yield tuple(map(np.concatenate, zip(*own, strict=True)))
+
     own = df.select(*(number(c).alias(c) for c in columns), F.col(weight) if weight else F.lit(1).cast("long")).mapInArrow(run, "n long, total array<double>")
     by = own.select("n", F.posexplode("total").alias("at", "t")).groupBy("at").agg(F.sum("t").alias("t"), F.sum("n").alias("n")).collect()
     out = np.zeros(2 * width)
