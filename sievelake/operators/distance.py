@@ -169,9 +169,10 @@ def wasserstein(p: DataFrame, q: DataFrame, columns: list[str], buckets: int = 2
 AREA_ROWS = 1 << 20
 
 
-def areas(p: DataFrame, q: DataFrame, columns: list[str], over: Callable[[np.ndarray], np.ndarray], lines: np.ndarray | None = None, weight: str | None = None, most: int = AREA_ROWS) -> list[float | None]:
+def areas(p: DataFrame, q: DataFrame, columns: list[str], over: Callable[[np.ndarray], np.ndarray] | None, lines: np.ndarray | None = None, weight: str | None = None, most: int = AREA_ROWS) -> list[float | None]:
     """The integral of `over` the gap of the two distribution functions (0 where there is none), of each column, or of the rows'
-    projections on each of the `lines` (columns x lines, rounded to 9 digits); None where a side has no value.
+    projections on each of the `lines` (columns x lines, rounded to 9 digits); None where a side has no value. Without `over`: the
+    share of the pairs of rows in which p's value is the larger, ties for half.
 
     As `steps` finds them, for columns of mostly different values: a task sorts and counts what it holds of a column and sends it
     as one piece a value range, so pieces move, not values. A draw of the rows sets the ranges' bounds, which leave the result
@@ -250,6 +251,11 @@ def areas(p: DataFrame, q: DataFrame, columns: list[str], over: Callable[[np.nda
         v, *by = (np.concatenate([np.frombuffer(piece.as_buffer(), t) for piece in table.column(c)]) for c, t in (("v", float), ("cp", np.int64), ("cq", np.int64)))
         order = np.argsort(v)
         v = v[order]
+        if over is None:
+            first = np.flatnonzero(np.append(True, v[1:] != v[:-1]))
+            ours, theirs = (np.add.reduceat(c[order], first) for c in by)
+            value = float((ours * ((before[1, f, b] + theirs.cumsum() - theirs / 2) / totals[1, f])).sum() / totals[0, f])
+            return pa.table({"feature": pa.array([f], pa.int32()), "range": pa.array([b], pa.int32()), "area": [value]})
         gap = [np.append(before[k, f, b], before[k, f, b] + by[k][order].cumsum()) / totals[k, f] for k in (0, 1)]
         edges = np.concatenate((cuts[f][b - 1 : b] if b else v[:1], v, cuts[f][b : b + 1] if b < len(cuts[f]) else v[-1:]))
         return pa.table({"feature": pa.array([f], pa.int32()), "range": pa.array([b], pa.int32()), "area": [float((over(gap[0] - gap[1]) * np.diff(edges)).sum())]})
@@ -259,7 +265,7 @@ def areas(p: DataFrame, q: DataFrame, columns: list[str], over: Callable[[np.nda
     for r in sorted(moved.groupBy("feature", "range").applyInArrow(area, "feature int, range int, area double").collect()):  # a row a feature and range
         out[r["feature"]] += r["area"]
     for f in range(features):  # ranges between two bounds without a value
-        if out[f] is not None:
+        if over is not None and out[f] is not None:
             inner = np.arange(1, len(cuts[f]))
             inner = inner[counts[:, f, inner].sum(0) == 0]
             out[f] += float((over((before[0, f, inner] / totals[0, f]) - (before[1, f, inner] / totals[1, f])) * (cuts[f][inner] - cuts[f][inner - 1])).sum())

@@ -309,16 +309,24 @@ def told_apart(p: DataFrame, q: DataFrame, columns: list[str], key: str, folds:
     side = lambda df, label: df.select(F.lit(label).cast("double").alias("label"), F.floor(hash_unit(F.col(key), F.lit(label), seed=seed) * folds).cast("int").alias("fold"), *(number(c).alias(c) for c in columns))
     both = side(p, 1).unionByName(side(q, 0))
     both = both.groupBy(*both.columns).agg(F.count(F.lit(1)).alias("_w")) if kind == "logistic" else both.withColumn("_w", F.lit(1).cast("long"))
-    rows = written(VectorAssembler(inputCols=columns, outputCol="x").transform(both).select("label", "fold", "x", "_w"), "two-samples")
+    rows = written(both, "two-samples")
+    seen = VectorAssembler(inputCols=columns, outputCol="x").transform(rows).select("label", "fold", "x", "_w")
+    if kind == "logistic":
+        score = {}
+        for fold in range(folds):
+            fitted = classification.LogisticRegression(featuresCol="x", labelCol="label", weightCol="_w", maxIter=300, regParam=1e-6).fit(seen.where(F.col("fold") != fold))
+            margin = sum((F.lit(float(c)) * F.col(name) for c, name in zip(fitted.coefficients, columns, strict=True)), F.lit(float(fitted.intercept)))
+            score[fold] = F.when(F.col("fold") == fold, 1 / (1 + F.exp(-margin)))
+        names = ["s"] if pooled else [f"s{fold}" for fold in score]
+        by = [F.coalesce(*score.values())] if pooled else score.values()
+        scored = rows.select("label", "_w", *(x.alias(name) for x, name in zip(by, names, strict=True)))
+        found = [a for a in areas(scored.where("label = 1"), scored.where("label = 0"), names, None, weight="_w") if a is not None]
+        return float(np.mean(found)) if found else None
     scored = None
     for fold in range(folds):
-        if kind == "logistic":
-            model = classification.LogisticRegression(featuresCol="x", labelCol="label", weightCol="_w", maxIter=300, regParam=1e-6)
-        else:
-            model = classification.RandomForestClassifier(featuresCol="x", labelCol="label", numTrees=100, maxDepth=8, seed=seed)
-        train = rows.where(F.col("fold") != fold)
-        fitted = model.fit(train if kind == "logistic" else spread(train))  # a forest holds each row with its draws for every tree
-        out = fitted.transform(rows.where(F.col("fold") == fold)).select("fold", "label", "_w", F.get(vector_to_array("probability"), F.lit(1)).alias("score"))
+        model = classification.RandomForestClassifier(featuresCol="x", labelCol="label", numTrees=100, maxDepth=8, seed=seed)
+        fitted = model.fit(spread(seen.where(F.col("fold") != fold)))  # a forest holds each row with its draws for every tree
+        out = fitted.transform(seen.where(F.col("fold") == fold)).select("fold", "label", "_w", F.get(vector_to_array("probability"), F.lit(1)).alias("score"))
         scored = out if scored is None else scored.unionByName(out)
     scored = scored.withColumn("fold", F.lit(0)) if pooled else scored
     return auc(scored, ["fold"], weight="_w").agg(F.avg("auc")).first()[0]
