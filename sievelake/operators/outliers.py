@@ -254,39 +254,110 @@ class LocalOutlierFactorCleaner(Action):
         return out.drop(*(f"_out_{c}" for c in bad))
 
 
+def boxes(x: np.ndarray, most: int) -> tuple[list[tuple[int, float, int, int]], int]:
+    """Splits (column, cut, child below or at it, child above) that halve the points by their widest column into at most `most`
+    leaves, numbered -1, -2, ...; and how many leaves there are."""
+    splits: list[tuple[int, float, int, int]] = []
+    leaves = 0
+
+    def grow(own: np.ndarray, most: int) -> int:
+        nonlocal leaves
+        spread = own.max(axis=0) - own.min(axis=0) if len(own) else np.zeros(1)
+        if most < 2 or not spread.max() > 0:
+            leaves += 1
+            return -leaves
+        column = int(spread.argmax())
+        v = own[:, column]
+        cut = float(np.quantile(v, 0.5, method="lower"))
+        if cut == v.max():
+            cut = float(v[v < cut].max())
+        at = len(splits)
+        splits.append((column, cut, 0, 0))
+        splits[at] = (column, cut, grow(own[v <= cut], most // 2), grow(own[v > cut], most - most // 2))
+        return at
+
+    grow(x, most)
+    return splits, leaves
+
+
 def nearest_rows(df: DataFrame, key: str, columns: list[str], k: int, block: int = 4096) -> DataFrame:
     """q, d, distance, r: the k nearest other rows of every row (Euclidean, ties to the smaller key), of rows without nulls.
 
-    Every two blocks of rows meet in one task, which keeps k a row; these are merged. The search is exact, so each row
-    travels once for every block. Of rows at one point only the k + 1 of least keys can be anyone's neighbours, and all beyond
-    have the same ones, so one of them searches for the rest.
+    A block is a box of about as many rows. A row is held against those of its own block first, then against the blocks whose
+    boxes are no farther than the k-th of these, so the search is exact and few rows travel to more than the next blocks. Of rows
+    at one point only the k + 1 of least keys can be anyone's neighbours, and all beyond have the same ones, so one of them
+    searches for the rest.
     """
     kind = df.schema[key].dataType.simpleString()
-    rows = df.select(F.col(key).alias("q"), F.array(*(number(c) for c in columns)).alias("x")).where(~F.exists("x", lambda v: v.isNull()) & F.col("q").isNotNull())
+    if kind not in ("bigint", "int", "smallint", "tinyint"):
+        raise ValueError("the key must be an integer")
+    rows = df.select(F.col(key).cast("long").alias("q"), F.array(*(number(c) for c in columns)).alias("x")).where(~F.exists("x", lambda v: v.isNull()) & F.col("q").isNotNull())
     rows = written(rows.withColumn("p", F.dense_rank().over(Window.partitionBy("x").orderBy("q"))), "points")
     asking = rows.where(F.col("p") <= k + 2)
-    blocks = max(1, -(-asking.count() // block))
-    own = F.pmod(F.xxhash64("q"), F.lit(blocks)).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left, right = asking.select("q", "x", own.alias("i"), every.alias("j")), rows.where(F.col("p") <= k + 1).select("q", "x", every.alias("i"), own.alias("j"))
-    schema = pa.schema([("q", pa.int64()), ("d", pa.int64()), ("distance", pa.float64())])
+    n = asking.count()
+    blocks = max(1, -(-n // block))
+    drawn = asking.sample(min(1.0, 64 * blocks / n), 0).select("x").collect() if blocks > 1 else []
+    splits, _ = boxes(np.array([r["x"] for r in drawn], float).reshape(-1, len(columns)), blocks)
+
+    @F.pandas_udf("int")
+    def place(x: pd.Series) -> pd.Series:
+        m, at = np.array(x.tolist(), float).reshape(len(x), -1), np.zeros(len(x), int)
+        for _ in range(len(splits)):
+            inner = np.flatnonzero(at >= 0)
+            if not len(inner):
+                break
+            column, cut, low, high = (np.array(c) for c in zip(*splits, strict=True))
+            node = at[inner]
+            at[inner] = np.where(m[inner, column[node]] <= cut[node], low[node], high[node])
+        return pd.Series(-1 - at if splits else at)
+
+    asking = written(asking.withColumn("b", place("x")), "blocks")
+    box = asking.groupBy("b").agg(*(f(F.col("x")[i]).alias(f"{name}{i}") for name, f in (("low", F.min), ("high", F.max)) for i in range(len(columns)))).collect()  # a row a block
+    names = np.array([r["b"] for r in box], int)
+    low, high = (np.array([[r[f"{end}{i}"] for i in range(len(columns))] for r in box], float).reshape(-1, len(columns)) for end in ("low", "high"))
+
+    def nearest(q: int, x: np.ndarray, keys: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        distance = np.sqrt(((m - x) ** 2).sum(axis=1))
+        distance[keys == q] = np.inf  # a row is no neighbour of its own
+        if len(keys) > k + 1:
+            near = np.flatnonzero(distance <= np.partition(distance, k - 1)[k - 1])
+        else:
+            near = np.arange(len(keys))
+        near = near[(keys[near] != q)]
+        near = near[np.lexsort((keys[near], distance[near]))[:k]]
+        return keys[near], distance[near]
+
+    def points(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        return t["q"].to_numpy(), np.array(t["x"].to_pylist(), float).reshape(t.num_rows, -1)
+
+    def within(t: pa.Table) -> pa.Table:
+        (q, x), mine = points(t), t["b"][0].as_py()
+        few = t["p"].to_numpy() <= k + 1
+        out = []
+        for i in range(len(q)):
+            d, distance = nearest(q[i], x[i], q[few], x[few])
+            far = distance[-1] * (1 + 1e-9) if len(d) == k else np.inf
+            away = np.sqrt((np.maximum(0, np.maximum(low - x[i], x[i] - high)) ** 2).sum(axis=1))
+            out.append((int(q[i]), x[i].tolist(), d.tolist(), distance.tolist(), names[(away <= far) & (names != mine)].tolist()))
+        return pa.table([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), first, strict=True)], schema=first)
 
     def meet(a: pa.Table, b: pa.Table) -> pa.Table:
         out: list[list] = [[], [], []]
         if a.num_rows and b.num_rows:
-            names, m = np.array(b["q"].to_pylist()), np.array(b["x"].to_pylist(), float)
-            for q, x in zip(a["q"].to_pylist(), np.array(a["x"].to_pylist(), float), strict=True):
-                other = names != q
-                distance, ids = np.sqrt(((m[other] - x) ** 2).sum(axis=1)), names[other]
-                for i in np.lexsort((ids, distance))[:k].tolist():
-                    for column, v in zip(out, (q, int(ids[i]), float(distance[i])), strict=True):
-                        column.append(v)
+            keys, m = points(b)
+            for q, x in zip(*points(a), strict=True):
+                d, distance = nearest(q, x, keys, m)
+                for column, v in zip(out, ([int(q)] * len(d), d.tolist(), distance.tolist()), strict=True):
+                    column += v
         return pa.table([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
 
-    if kind not in ("bigint", "int", "smallint", "tinyint"):
-        raise ValueError("the key must be an integer")
-    left, right = (t.withColumn("q", F.col("q").cast("long")) for t in (left, right))
-    found = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(meet, "q long, d long, distance double")
+    schema = pa.schema([("q", pa.int64()), ("d", pa.int64()), ("distance", pa.float64())])
+    first = pa.schema([("q", pa.int64()), ("x", pa.list_(pa.float64())), ("d", pa.list_(pa.int64())), ("distance", pa.list_(pa.float64())), ("to", pa.list_(pa.int32()))])
+    own = written(asking.groupBy("b").applyInArrow(within, "q long, x array<double>, d array<long>, distance array<double>, to array<int>"), "own-blocks")
+    found = own.select("q", F.inline(F.arrays_zip("d", "distance")))
+    if blocks > 1:
+        left, right = own.select("q", "x", F.explode("to").alias("b")), asking.where(F.col("p") <= k + 1).select("q", "x", "b")
+        found = found.unionByName(left.groupBy("b").cogroup(right.groupBy("b")).applyInArrow(meet, "q long, d long, distance double"))
     found = written(found.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy("distance", "d"))).where(F.col("r") <= k), "found")
     asked = rows.where(F.col("p") == k + 2).select("x", F.col("q").cast("long").alias("at")).distinct()
     others = rows.where(F.col("p") > k + 2).select("x", F.col("q").cast("long").alias("q")).join(asked, "x")
